@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm.mixing import op1_mix
+from spanloom.llm.packing import op6_pack
 from spanloom.llm.quality_rules import op9_quality_rules
+from spanloom.llm.token_files import op3_token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +17,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_mix": op1_mix,
+        "op3_token_files": op3_token_files,
+        "op6_pack": op6_pack,
         "op9_quality_rules": op9_quality_rules,
     }
 
