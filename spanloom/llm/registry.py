@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spanloom.llm.mixing import op1_mix
 from spanloom.llm.packing import op6_pack
 from spanloom.llm.quality_rules import op9_quality_rules
+from spanloom.llm.secrets import op10_secrets
 from spanloom.llm.token_files import op3_token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op3_token_files": op3_token_files,
         "op6_pack": op6_pack,
         "op9_quality_rules": op9_quality_rules,
+        "op10_secrets": op10_secrets,
     }
 
 
