@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm.mixing import op1_mix
+from spanloom.llm.near_duplicates import op2_near_duplicates
 from spanloom.llm.packing import op6_pack
 from spanloom.llm.quality_rules import op9_quality_rules
 from spanloom.llm.secrets import op10_secrets
@@ -18,6 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_mix": op1_mix,
+        "op2_near_duplicates": op2_near_duplicates,
         "op3_token_files": op3_token_files,
         "op6_pack": op6_pack,
         "op9_quality_rules": op9_quality_rules,
