@@ -12,6 +12,7 @@ from spanloom.llm.packing import op6_pack
 from spanloom.llm.quality_rules import op9_quality_rules
 from spanloom.llm.secrets import op10_secrets
 from spanloom.llm.token_files import op3_token_files
+from spanloom.llm.vector_duplicates import op7_vector_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op2_near_duplicates": op2_near_duplicates,
         "op3_token_files": op3_token_files,
         "op6_pack": op6_pack,
+        "op7_vector_duplicates": op7_vector_duplicates,
         "op9_quality_rules": op9_quality_rules,
         "op10_secrets": op10_secrets,
     }
