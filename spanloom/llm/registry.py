@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanloom.llm.lm_scoring import op4_lm_scores
 from spanloom.llm.mixing import op1_mix
 from spanloom.llm.near_duplicates import op2_near_duplicates
 from spanloom.llm.packing import op6_pack
@@ -22,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op1_mix": op1_mix,
         "op2_near_duplicates": op2_near_duplicates,
         "op3_token_files": op3_token_files,
+        "op4_lm_scores": op4_lm_scores,
         "op6_pack": op6_pack,
         "op7_vector_duplicates": op7_vector_duplicates,
         "op9_quality_rules": op9_quality_rules,
