@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from spanloom.llm.lm_scoring import op4_lm_scores
 from spanloom.llm.mixing import op1_mix
 from spanloom.llm.near_duplicates import op2_near_duplicates
 from spanloom.llm.packing import op6_pack
 from spanloom.llm.quality_rules import op9_quality_rules
 from spanloom.llm.secrets import op10_secrets
+from spanloom.llm.site_quality import op8_site_quality
 from spanloom.llm.token_files import op3_token_files
 from spanloom.llm.vector_duplicates import op7_vector_duplicates
 
@@ -26,8 +28,10 @@ def queries() -> dict[str, Query]:
         "op4_lm_scores": op4_lm_scores,
         "op6_pack": op6_pack,
         "op7_vector_duplicates": op7_vector_duplicates,
+        "op8_site_quality": op8_site_quality,
         "op9_quality_rules": op9_quality_rules,
         "op10_secrets": op10_secrets,
+        "pipeline": corpus_pipeline.run,
     }
 
 
