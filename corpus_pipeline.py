@@ -6,18 +6,15 @@ stage's docs. All stages but the last return the columns of documents.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import stored, table
-from spanloom.llm.mixing import mix
+from spanloom.llm.mixing import mix, word_count
 from spanloom.llm.near_duplicates import near_duplicates
 from spanloom.llm.packing import pack
 from spanloom.llm.quality_rules import apply_quality_rules, fit_quality_rules
-from spanloom.llm.secrets import mask, scan_secrets
+from spanloom.llm.secrets import find_base, fit_network, mask_secrets
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -34,27 +31,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
-def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def mask_found_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, each found secret replaced by a mark; n_chars counts the new text."""
-    found = scan_secrets(docs).where(F.size("spans") > 0).select("doc_id", F.transform("spans", lambda s: F.struct(s["start"], s["end"])).alias("spans"))
-
-    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, spans = b.column("text").to_pylist(), b.column("spans").to_pylist()
-            new = [mask(t, [tuple(s.values()) for s in x]) if t and x else t for t, x in zip(texts, spans, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in COLUMNS if c != "text"), pa.array(new, pa.string())], [*(c for c in COLUMNS if c != "text"), "text"])
-
-    touched = docs.join(found, "doc_id").select(*COLUMNS, "spans")
-    covered = touched.mapInArrow(cover, "doc_id long, lang string, source string, n_chars long, text string")
-    covered = covered.withColumn("n_chars", F.char_length("text").cast("long"))
-    return docs.join(found.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS).unionByName(covered.select(*COLUMNS))
+    net = fit_network(stored(find_base(docs), "pipeline-candidates"))
+    masked = mask_secrets(docs.select(*COLUMNS), net)
+    return masked.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix to target weights: a row per copy that it takes."""
-    copies = mix(docs).where("copies > 0").select("doc_id", "copies")
-    taken = docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return taken.select(*COLUMNS)
+    # rows that repeat an id and a size share their number of copies, so the join adds no rows
+    copies = mix(docs).where("copies > 0").groupBy("doc_id", "size").agg(F.max("copies").alias("copies"))
+    sized = docs.withColumn("size", word_count(F.col("text")))
+    same = sized["doc_id"].eqNullSafe(copies["doc_id"]) & (sized["size"] == copies["size"])
+    taken = sized.join(copies, same).select(*[docs[c] for c in COLUMNS], "copies")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +58,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("quality rules", quality_rules),
     ("MinHash near-dedup", drop_near_duplicates),
-    ("secret scans", mask_secrets),
+    ("secret scans", mask_found_secrets),
     ("mixing sources", mix_sources),
     ("packing", pack_sequences),
 ]
