@@ -12,6 +12,7 @@ from spanloom.llm.mixing import op1_mix
 from spanloom.llm.near_duplicates import op2_near_duplicates
 from spanloom.llm.packing import op6_pack
 from spanloom.llm.quality_rules import op9_quality_rules
+from spanloom.llm.repeated_strings import op5_repeated_strings
 from spanloom.llm.secrets import op10_secrets
 from spanloom.llm.site_quality import op8_site_quality
 from spanloom.llm.token_files import op3_token_files
@@ -26,6 +27,7 @@ def queries() -> dict[str, Query]:
         "op2_near_duplicates": op2_near_duplicates,
         "op3_token_files": op3_token_files,
         "op4_lm_scores": op4_lm_scores,
+        "op5_repeated_strings": op5_repeated_strings,
         "op6_pack": op6_pack,
         "op7_vector_duplicates": op7_vector_duplicates,
         "op8_site_quality": op8_site_quality,
