@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import shuffle_partitions, stored, table
-from spanloom.llm.token_files import DocumentEncoder, id_lists, with_crc
+from spanloom.llm.token_files import encoder_for, id_lists, with_crc
 
 DIMENSIONS, BITS = 4, 10
 #: Bits of the order key below the curve position, filled from a hash of the document id: they spread groups of copies,
@@ -102,7 +102,7 @@ def pack(
     spark = docs.sparkSession
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = DocumentEncoder(tokenizer)
+        encoder = encoder_for(tokenizer)
         vectors = directions(1 << 16 if encoder.code.itemsize == 2 else encoder.tokenizer.get_vocab_size() + 1)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):

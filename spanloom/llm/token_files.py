@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,15 +28,21 @@ FILE_OPTIONS = {
 }
 
 
+#: Words of ASCII and Latin-1 letters only: one pre-token each, whatever the neighbours.
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+
+
 class DocumentEncoder:
     """Encode whole texts with a tokenizer file, one distinct word at a time.
 
-    The tokenizer drops white space and never joins across it, so the ids of a text are those of its words between
-    ASCII white space, in order. Words are looked up in a table that stops growing at ``most`` entries; what it lacks is
-    encoded again for each batch. ``code`` is the type of the packed ids, two bytes where the vocabulary allows it.
+    For tokenizers that lower-case, drop white space and split letters from punctuation: the ids of a text are then
+    those of its lower-cased words between ASCII white space, in order, and a word of letters followed by stops and commas
+    is the ids of the letters, then of the rest. Both tables stop growing at ``most`` entries; what they lack is encoded
+    again for each batch. Texts that may hold a special token go to the tokenizer whole. ``code`` is the type of the
+    packed ids, two bytes where the vocabulary allows it.
     """
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 200_000) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -43,28 +50,61 @@ class DocumentEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.code = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.most, self.known = most, {}
+        ends = [i for word, i in self.tokenizer.get_vocab().items() if word.endswith("</w>")]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ends[ends] = True
+        self.most, self.words, self.parts = most, {}, {}
+
+    def _encode_parts(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        """The packed ids of each part; words of letters are encoded many at a time and told apart by their last ids."""
+        plain = [p for p in parts if LETTERS.fullmatch(p)]
+        other = [p for p in parts if not LETTERS.fullmatch(p)]
+        out: dict[bytes, bytes] = {}
+        size = self.code.itemsize
+        for i in range(0, len(plain), 1000):
+            group = plain[i : i + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(group).decode()], add_special_tokens=False)[0].ids, self.code)
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * size
+            if len(cuts) != len(group):  # not a tokenizer of that kind
+                other += group
+                continue
+            packed, at = ids.tobytes(), 0
+            for p, end in zip(group, cuts.tolist(), strict=True):
+                out[p] = packed[at:end]
+                at = end
+        for i in range(0, len(other), 10_000):
+            group = other[i : i + 10_000]
+            found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in group], add_special_tokens=False)
+            out.update(zip(group, (np.array(e.ids, self.code).tobytes() for e in found), strict=True))
+        return out
 
     def _look_up(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """The packed ids of ``words``; as many as fit go to the table that stays."""
-        todo = list(words)
-        new: dict[bytes, bytes] = {}
-        for i in range(0, len(todo), 20_000):
-            part = todo[i : i + 20_000]
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            new.update(zip(part, (np.array(e.ids, self.code).tobytes() for e in found), strict=True))
-        room = self.most - len(self.known)
-        if room > 0:
-            self.known.update(w for w in list(new.items())[:room] if len(w[0]) <= 40)
+        """The packed ids of ``words``; as many as fit go to the tables that stay."""
+        split = {}
+        for w in words:
+            body = w.rstrip(b".,")
+            split[w] = (body, w[len(body) :]) if len(body) < len(w) and body[-1:].isalpha() else (w, b"")
+        needed = {p for both in split.values() for p in both if p}
+        parts = self._encode_parts(list(needed.difference(self.parts)))
+        keep = lambda table, new: table.update(x for x in list(new.items())[: max(0, self.most - len(table))] if len(x[0]) <= 40)
+        known = self.parts
+        find = lambda p: known[p] if p in known else parts[p]
+        new = {w: find(a) + find(b) if b else find(a) for w, (a, b) in split.items()}
+        keep(self.parts, parts)
+        keep(self.words, new)
         return new
 
     def encode(self, texts: list[bytes | None], end: bytes) -> Iterator[bytes]:
         """The packed ids of each text, followed by ``end``; null is an empty text."""
-        split = [(t or b"").split() for t in texts]
-        missing = set().union(*split).difference(self.known) if split else set()
-        rest = self._look_up(missing)
-        known = self.known
-        for words in split:
+        special = {i: t for i, t in enumerate(texts) if t and b"<|" in t}
+        split = [[] if i in special else (t or b"").lower().split() for i, t in enumerate(texts)]
+        known = self.words
+        rest = self._look_up(set().union(*split).difference(known)) if split else {}
+        for i, words in enumerate(split):
+            if i in special:
+                ids = self.tokenizer.encode(special[i].decode("utf-8", "replace"), add_special_tokens=False).ids
+                yield np.array(ids, self.code).tobytes() + end
+                continue
             try:
                 yield b"".join([known[w] for w in words]) + end
             except KeyError:
@@ -83,6 +123,16 @@ class DocumentEncoder:
         yield from self.encode(part, end)
 
 
+_ENCODERS: dict[str, DocumentEncoder] = {}
+
+
+def encoder_for(path: str) -> DocumentEncoder:
+    """One encoder per worker process: later tasks of the same worker find its tables filled."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = DocumentEncoder(path)
+    return _ENCODERS[path]
+
+
 def id_lists(packed: list[bytes], code: np.dtype) -> pa.ListArray:
     """Packed ids as an Arrow array of int lists."""
     ends = np.cumsum([0] + [len(p) // code.itemsize for p in packed])
@@ -112,7 +162,7 @@ def write_token_files(
     dealt = dealt.sortWithinPartitions("doc_id", "h").select("doc_id", "text", F.spark_partition_id().alias("shard"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, done = DocumentEncoder(tokenizer), 0
+        encoder, done = encoder_for(tokenizer), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 b = batch.slice(at, 2000)
