@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanloom.plans import building, detecting, measuring
+
 FLAGSHIP = "e11_redact_documents"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+_ALL = detecting.ALL | measuring.ALL | building.ALL
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}

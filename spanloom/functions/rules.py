@@ -75,12 +75,12 @@ RULES_STRICT: tuple[Rule, ...] = (
 CANDIDATE = "array<struct<start:int,end:int,label:string,score:double,name:string,valid:boolean,reason:string,value:string>>"
 
 
-def _one_rule(text: Column, rule: Rule, keep_invalid: bool, window: int, v6: bool) -> Column:
-    table = V.COMMON | {"CN_VEHICLE_LICENSE_PLATE": V.vehicle_plate}
+def _one_rule(text: Column, rule: Rule, keep_invalid: bool, window: int) -> Column:
+    table = V.COMMON | {"IP_ADDRESS": V.ip_plain, "CN_VEHICLE_LICENSE_PLATE": V.vehicle_plate}
 
     def decide(m: Column) -> Column:
         start, end, value = m["start"], m["end"], m["value"]
-        check = table[rule.validator](value) if rule.validator and rule.validator != "IP_ADDRESS" else V.ip(value, v6) if rule.validator else None
+        check = table[rule.validator](value) if rule.validator else None
         fields = lambda valid, reason, sure: F.struct(
             start.alias("start"), end.alias("end"), F.lit(rule.label).alias("label"),
             F.when(sure, F.lit(rule.score)).otherwise(F.lit(0.0)).alias("score"), F.lit(rule.name).alias("name"),
@@ -112,19 +112,18 @@ def _one_rule(text: Column, rule: Rule, keep_invalid: bool, window: int, v6: boo
 
 def candidates(
     text: Column, labels: Iterable[str] | None = None, rules: tuple[Rule, ...] = RULES, keep_invalid: bool = False,
-    window: int = CONTEXT_WINDOW, v6: bool = False,
+    window: int = CONTEXT_WINDOW,
 ) -> Column:
     """Array of candidate spans of a text, sorted by (start, end, label), one per (label, start, end): the best (score, name).
 
-    Only the rules of the requested labels become part of the plan. ``v6`` lets values with a colon reach the address
-    parser, the only Python in the plan; without it IPv6 candidates are left out.
+    Only the rules of the requested labels become part of the plan, which has no Python in it.
     """
     wanted = None if labels is None else set(labels)
-    chosen = [r for r in rules if (wanted is None or r.label in wanted) and (v6 or r.name != "ipv6")]
+    chosen = [r for r in rules if wanted is None or r.label in wanted]
     if not chosen:
         return F.expr(f"cast(array() as {CANDIDATE})")
     t = F.coalesce(text, F.lit(""))
-    every = F.concat(*[_one_rule(t, r, keep_invalid, window, v6) for r in chosen])
+    every = F.concat(*[_one_rule(t, r, keep_invalid, window) for r in chosen])
     better = lambda a, b: (a["label"] == b["label"]) & (a["start"] == b["start"]) & (a["end"] == b["end"]) & (
         (a["score"] < b["score"]) | ((a["score"] == b["score"]) & (a["name"] < b["name"]))
     )

@@ -32,7 +32,9 @@ def find_spans(text: Column, pattern: str, group: int = 0) -> Column:
 
     def step(acc: Column, r: Column) -> Column:
         start = acc["at"] + F.char_length(r["g"])
-        first = start + (F.locate(r["v"], r["w"]) - 1 if group else F.lit(0))
+        # the capture's last occurrence in its match: a keyword before it may hold the same text
+        tail = F.position(F.reverse(r["v"]), F.reverse(r["w"])) - 1
+        first = start + (F.char_length(r["w"]) - tail - F.char_length(r["v"]) if group else F.lit(0))
         span = F.struct(first.cast("int").alias("start"), (first + F.char_length(r["v"])).cast("int").alias("end"), r["v"].alias("value"))
         return F.struct((start + F.char_length(r["w"])).cast("int").alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 

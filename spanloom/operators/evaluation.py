@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -97,8 +97,8 @@ def _matching(edges: list[tuple[int, int]], n: int) -> dict[int, int]:
 def match_overlaps(gold: DataFrame, pred: DataFrame, minimum: float = 0.0, same_label: bool = False) -> DataFrame:
     """Maximum-cardinality matching of overlapping spans per document, better overlaps tried first.
 
-    Pairs whose two spans meet no other span are taken in SQL; only documents with a real conflict reach the grouped
-    Python function, one group per document.
+    Pairs whose two spans meet no other span are taken in SQL; only documents with a real conflict reach the Python
+    function, their pairs gathered in one row per document.
     """
     pairs = overlapping_pairs(gold, pred).where((F.col("iou") >= minimum) & (F.col("iou") > 0))
     if same_label:
@@ -108,17 +108,22 @@ def match_overlaps(gold: DataFrame, pred: DataFrame, minimum: float = 0.0, same_
     columns = ["g_start", "g_end", "g_label", "p_start", "p_end", "p_label"]
     easy = counted.where("_free").select(F.col("g_doc").cast("string").alias("doc_id"), *columns)
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(exact=(rows.g_start != rows.p_start) | (rows.g_end != rows.p_end), low=-rows.iou)
-        rows = rows.sort_values(["exact", "low", "g_start", "g_end", "p_start", "p_end", "g_label", "p_label"], kind="stable")
-        left = {k: i for i, k in enumerate(dict.fromkeys(zip(rows.g_start, rows.g_end, rows.g_label, strict=True)))}
-        right = {k: i for i, k in enumerate(dict.fromkeys(zip(rows.p_start, rows.p_end, rows.p_label, strict=True)))}
-        edges = [(left[a], right[b]) for a, b in zip(zip(rows.g_start, rows.g_end, rows.g_label, strict=True), zip(rows.p_start, rows.p_end, rows.p_label, strict=True), strict=True)]
-        names_l, names_r = list(left), list(right)
-        found = [(str(rows.g_doc.iloc[0]), *names_l[a], *names_r[b]) for a, b in _matching(edges, len(left)).items()]
-        return pd.DataFrame(found, columns=["doc_id", *columns])
-
-    hard = counted.where("NOT _free").drop("_free", "p_doc").groupBy("g_doc").applyInPandas(solve, MATCH)
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for doc, pairs in zip(pdf["doc_id"], pdf["pairs"], strict=True):
+                # exact pairs first, then by falling overlap, then in text order
+                rows = sorted(((p["g_start"], p["g_end"], p["g_label"]), (p["p_start"], p["p_end"], p["p_label"]), p["iou"]) for p in pairs)
+                rows.sort(key=lambda r: (r[0][:2] != r[1][:2], -r[2], r[0][:2], r[1][:2], r[0][2], r[1][2]))
+                left = {k: i for i, k in enumerate(dict.fromkeys(r[0] for r in rows))}
+                right = {k: i for i, k in enumerate(dict.fromkeys(r[1] for r in rows))}
+                names_l, names_r = list(left), list(right)
+                matched = _matching([(left[g], right[p]) for g, p, _ in rows], len(left))
+                found += [(doc, *names_l[g], *names_r[p]) for g, p in matched.items()]
+            yield pd.DataFrame(found, columns=["doc_id", *columns])
+
+    gathered = counted.where("NOT _free").groupBy(F.col("g_doc").cast("string").alias("doc_id")).agg(F.collect_list(F.struct(*columns, "iou")).alias("pairs"))
+    hard = gathered.mapInPandas(solve, MATCH)
     return easy.unionByName(hard)
 
 
