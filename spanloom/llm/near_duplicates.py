@@ -6,18 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import stored, table
 from spanloom.llm.packing import mix64
+from spanloom.llm.vector_duplicates import block_forest
 from spanloom.operators.graph import connected_components
 
 #: Coordinates of a sketch and rows of a band. Two sets of similarity 0.85 miss all 32 bands with probability 5e-11.
 COORDINATES, ROWS = 128, 4
 BANDS = COORDINATES // ROWS
-#: Pairs whose one-bit sketches differ in more places are not verified: at similarity 0.85 about 10 of the 128 bits
+#: Most shingles, and most documents, on either side of a block that is compared as a whole.
+BLOCK_SHINGLES, BLOCK_DOCUMENTS = 400_000, 2000
+#: Sampled pairs whose one-bit sketches differ in more places are not verified: at similarity 0.85 about 10 of the 128 bits
 #: differ, and more than 34 with probability below 1e-10.
 MOST_BITS = 34
 
@@ -141,6 +145,82 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return full.mapInArrow(check, "a long, b long")
 
 
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``a`` with every set of ``b``.
+
+    Shingles that few sets hold are counted occurrence by occurrence, the others by products of indicator matrices.
+    """
+    hashes = np.concatenate([*a, *b])
+    _, column = np.unique(hashes, return_inverse=True)
+    cut = sum(map(len, a))
+    ca, cb = column[:cut], column[cut:]
+    ra, rb = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b))
+    width = int(column.max()) + 1 if len(column) else 0
+    na, nb = np.bincount(ca, minlength=width), np.bincount(cb, minlength=width)
+    out = np.zeros(len(a) * len(b), np.float32)
+    few = na * nb * 400 < len(a) * len(b)
+    order = np.argsort(cb, kind="stable")
+    rows_b, first = rb[order], np.cumsum(nb) - nb
+    rare = np.flatnonzero(few[ca])
+    for at in range(0, len(rare), 1 << 18):
+        c, r = ca[rare[at : at + (1 << 18)]], ra[rare[at : at + (1 << 18)]]
+        times = nb[c]
+        place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first[c], times)
+        out += np.bincount(np.repeat(r, times) * len(b) + rows_b[place], minlength=len(out)).astype(np.float32)
+    out = out.reshape(len(a), len(b))
+    many = np.flatnonzero(~few & (na > 0) & (nb > 0))
+    for at in range(0, len(many), 2048):
+        slot = np.full(width, -1)
+        slot[many[at : at + 2048]] = np.arange(len(many[at : at + 2048]))
+        x, y = np.zeros((len(a), 2048), np.float32), np.zeros((len(b), 2048), np.float32)
+        for m, r, c in ((x, ra, slot[ca]), (y, rb, slot[cb])):
+            m[r[c >= 0], c[c >= 0]] = 1
+        out += x @ y.T
+    return out
+
+
+def compare_blocks(open_: DataFrame, top: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of a band outside its largest component and members of its other components.
+
+    Both sides of a band are dealt out in blocks by hash, and a task compares two blocks on full sets; what it returns is
+    a spanning forest of the links found, never pairs, so rows grow with the members and not with their square.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for b in _slices(batches, 200):
+            sets = [shingles(t, words).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "set"])
+
+    sets = texts.join(open_.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(pack, "doc_id long, set binary")
+    sets = stored(sets, "near-sets")
+    size = open_.groupBy("key").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_DOCUMENTS)).cast("int").alias("blocks"))
+    rows = open_.select("key", "doc_id", "component").join(size, "key").join(top.select("key", "top"), "key").join(sets, "doc_id")
+    block, every = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    names = ["key", "p", "q", "asks", "doc_id", "component", "set"]
+    ask = rows.where("component <> top").withColumns({"asks": F.lit(True), "p": block}).withColumn("q", every)
+    stay = rows.withColumns({"asks": F.lit(False), "q": block}).withColumn("p", every)
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        sides = []
+        for asks in (True, False):
+            part = t.filter(pa.compute.equal(t.column("asks"), asks))
+            found = [np.frombuffer(x, np.uint64) for x in part.column("set").to_pylist()]
+            sides.append((found, part.column("doc_id").to_numpy(), part.column("component").to_numpy()))
+        (a, ids_a, comp_a), (b, ids_b, comp_b) = sides
+        forest = np.zeros((0, 2), np.int64)
+        if len(a) and len(b):
+            both = shared_counts(a, b)
+            total = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])
+            i, j = np.nonzero((100 * both >= percent * (total - both)) & (comp_a[:, None] != comp_b))
+            if len(i):
+                forest = block_forest(i, j, ids_a, ids_b)
+        return pa.table({"a": pa.array(forest[:, 0], pa.int64()), "b": pa.array(forest[:, 1], pa.int64())})
+
+    return ask.select(*names).unionByName(stay.select(*names)).groupBy("key", "p", "q").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", percent: int = 85, rounds: int = 3) -> DataFrame:
     """Return doc_id, n_shingles, component_id and kept for every row of ``docs``.
 
@@ -148,9 +228,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = 85, roun
     are candidates: first each with the smallest of its band (one row per member, whatever the band's size), verified
     on full sets and joined into components. Bands whose members are then still in several components are followed
     up: members outside the band's largest component against a random member of it, for a few rounds while that
-    joins anything, and last against every member of another component, where the join's own condition drops pairs
-    whose sizes or one-bit sketches rule the threshold out. So no links between components are lost, and pairs inside
-    a component are never listed.
+    joins anything, and last against every member of another component, block by block on full sets. So no links
+    between components are lost, and no pairs are listed there.
 
     Null and empty texts have no shingles, link with nothing and stay. Rows without an id have a null component and
     stay. Repeated rows each get a row; rows that repeat an id count as one document with the links of all. Extra
@@ -199,12 +278,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = 85, roun
         more = keep(f"links-{r}")(verify(fresh, texts, percent))
         if r > rounds or more.isEmpty():  # sampling brings nothing more: look at all that is left
             last = True
-            rest = outside.select("key", F.col("component").alias("b_component"), *side("b"))
-            every = open_.select("key", F.col("component").alias("a_component"), *side("a"))
-            apart = (rest["key"] == every["key"]) & (F.col("a_component") != F.col("b_component"))
-            pairs = ordered(rest.join(every, apart & _alike(percent))).distinct()
-            done = ordered(checked.unionByName(fresh))
-            more = more.unionByName(keep("links-rest")(verify(pairs.join(done, ["a", "b"], "left_anti"), texts, percent)))
+            more = more.unionByName(keep("links-rest")(compare_blocks(open_, top, texts, percent)))
         checked, links = checked.unionByName(fresh), links.unionByName(more)
         components = keep(f"components-{r}")(connected_components(links, keep(f"edges-{r}")))
     found = members.select("doc_id", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left")
