@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from spanloom.functions.text import bind, full_match
 
@@ -127,7 +128,7 @@ def ip_plain(value: Column) -> Column:
     return result(four | six, n, reason)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _ipv6_compressed(values):  # an address parser has no SQL counterpart
     import ipaddress
 

@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+
 # token rows: doc_id, token_index, start, end, tag, score
-_ORDER = Window.partitionBy("doc_id").orderBy("token_index")
+def _order() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("token_index")
 
 
 def _parts() -> tuple[Column, Column]:
@@ -21,7 +23,7 @@ def repair_bio(tokens: DataFrame) -> DataFrame:
     """I without a B or I of the same label before it becomes B; tokens without width count as O."""
     kind, label = _parts()
     flat = tokens.withColumn("tag", F.when(F.col("end") <= F.col("start"), F.lit("O")).otherwise(F.col("tag")))
-    before = F.lag("tag").over(_ORDER)
+    before = F.lag("tag").over(_order())
     orphan = (kind == "I") & (before.isNull() | (before == "O") | (F.expr("substring(lag(tag) over (partition by doc_id order by token_index), 3)") != label))
     return flat.withColumn("tag", F.when(orphan, F.concat(F.lit("B-"), label)).otherwise(F.col("tag")))
 
@@ -30,7 +32,7 @@ def decode_bio(tokens: DataFrame) -> DataFrame:
     """Spans (doc_id, start, end, label, score): from each B over the I of its label; the score is the least of its tokens."""
     kind, label = _parts()
     t = repair_bio(tokens).withColumns({"_kind": kind, "_label": label}).where("_kind IN ('B', 'I')")
-    t = t.withColumn("_span", F.sum((F.col("_kind") == "B").cast("int")).over(_ORDER))
+    t = t.withColumn("_span", F.sum((F.col("_kind") == "B").cast("int")).over(_order()))
     out = t.groupBy("doc_id", "_span", F.col("_label").alias("label")).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("score").alias("score"))
     return out.select("doc_id", "start", "end", "label", "score")
 
@@ -42,7 +44,7 @@ def decode_bios(tokens: DataFrame) -> DataFrame:
     begins = tokens.withColumn("_single", kind == "S")
     as_bio = begins.withColumn("tag", F.when(F.col("_single"), F.concat(F.lit("B-"), label)).otherwise(F.col("tag")))
     # an I after an S starts a span of its own
-    after = F.lag("_single").over(_ORDER)
+    after = F.lag("_single").over(_order())
     as_bio = as_bio.withColumn("tag", F.when((kind == "I") & F.coalesce(after, F.lit(False)), F.concat(F.lit("B-"), label)).otherwise(F.col("tag")))
     del single
     return decode_bio(as_bio.drop("_single"))
@@ -111,7 +113,7 @@ def decode_sparse(tokens: DataFrame, text: str = "text", connector: str = r"[\s-
 def to_bie(tokens: DataFrame) -> DataFrame:
     """The last I of a run becomes E."""
     kind, label = _parts()
-    after = F.lead("tag").over(_ORDER)
+    after = F.lead("tag").over(_order())
     last = (kind == "I") & (after.isNull() | (after != F.concat(F.lit("I-"), label)))
     return tokens.withColumn("tag", F.when(last, F.concat(F.lit("E-"), label)).otherwise(F.col("tag")))
 
