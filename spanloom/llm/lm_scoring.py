@@ -17,6 +17,8 @@ WORDS, CLASSES = 191, 64
 UNITS = 1 + WORDS + CLASSES
 START = UNITS
 CONTEXT, DIM, NOISE, BATCH = 4, 24, 48, 4096
+#: Tokens that are scored at once: their logits stay in a core's cache.
+SCORED = 512
 #: Share of the unigram distribution in the model's, so that no unit has probability zero.
 FLOOR = 0.05
 END_HASH = 0x5DEECE66D1CE4E00
@@ -175,17 +177,33 @@ class LogBilinear:
         return grad.flat
 
     def log10(self, context: np.ndarray, target: np.ndarray, share: np.ndarray) -> np.ndarray:
-        """Normalised log10 probability of each target, by batched matrix products over all units."""
+        """Normalised log10 probability of each target, by batched matrix products over all units.
+
+        Biases and a bound of each row's largest logit enter as two more dimensions, so the product gives shifted logits
+        at once; rows that the bound leaves too small are done again with their own largest logit.
+        """
         out = np.zeros(len(target))
-        for at in range(0, len(target), BATCH):
-            t = target[at : at + BATCH]
-            z = self.predict(context[at : at + BATCH]) @ self.q.T
-            z += self.b
-            z -= z.max(1, keepdims=True)
-            own = z[np.arange(len(t)), t].astype(np.float64)
+        tables = [self.r @ self.m[j] for j in range(CONTEXT)]
+        long, top = float(np.sqrt((self.q * self.q).sum(1).max())), float(self.b.max())
+        units = np.concatenate([self.q, self.b[:, None], np.ones((UNITS, 1), np.float32)], 1).T.astype(np.float32)
+        ones, wide = np.ones(UNITS, np.float32), np.ones((SCORED, DIM + 2), np.float32)
+        for at in range(0, len(target), SCORED):
+            t, c = target[at : at + SCORED], context[at : at + SCORED]
+            x = wide[: len(t)]
+            p = x[:, :DIM]
+            np.take(tables[0], c[:, 0], axis=0, out=p)
+            for j in range(1, CONTEXT):
+                p += tables[j][c[:, j]]
+            x[:, DIM + 1] = -(np.sqrt(np.einsum("nd,nd->n", p, p)) * long + top)
+            z = x @ units
             np.exp(z, out=z)
-            p = np.exp(own) / z.sum(1, dtype=np.float64)
-            out[at : at + BATCH] = np.log10((1 - FLOOR) * p + FLOOR * share[t])
+            total, own = z @ ones, z[np.arange(len(t)), t]
+            low = np.flatnonzero(total < 1e-25)
+            if len(low):
+                again = x[low, : DIM + 1] @ units[: DIM + 1]
+                again = np.exp(again - again.max(1, keepdims=True))
+                total[low], own[low] = again.sum(1), again[np.arange(len(low)), t[low]]
+            out[at : at + SCORED] = np.log10((1 - FLOOR) * (own.astype(np.float64) / total) + FLOOR * share[t])
         return out
 
 
