@@ -21,22 +21,48 @@ CONTEXT, DIM, NOISE, BATCH = 4, 24, 48, 4096
 SCORED = 512
 #: Share of the unigram distribution in the model's, so that no unit has probability zero.
 FLOOR = 0.05
-END_HASH = 0x5DEECE66D1CE4E00
+#: The highest bit of a token's hash is set, so that places below it can stand for known tokens.
+MARK = 1 << 63
+END_HASH = 0xDDEECE66D1CE4E00
+
+
+def word_hash(word: bytes) -> int:
+    """64-bit hash of a word whose low bits are the class of its ending."""
+    return (xxhash.xxh3_64_intdigest(word) & ~(CLASSES - 1)) | (xxhash.xxh32_intdigest(word[-3:]) % CLASSES) | MARK
 
 
 class ClassedHashes(dict):
-    """64-bit word hashes whose low bits are the class of the word's ending; remembered up to a fixed number."""
+    """Word hashes, remembered up to a fixed number."""
+
+    MOST = 400_000
+
+    def __missing__(self, word: bytes) -> int:
+        value = word_hash(word)
+        if len(self) < self.MOST:
+            self[word] = value
+        return value
+
+
+class Codes(dict):
+    """The place of a word among the frequent tokens, or its hash if it is not there; remembered up to a fixed number."""
 
     MOST = 400_000
 
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        super().__init__()
+        self.h = vocabulary.h
+
     def __missing__(self, word: bytes) -> int:
-        value = (xxhash.xxh3_64_intdigest(word) & ~(CLASSES - 1)) | (xxhash.xxh32_intdigest(word[-3:]) % CLASSES)
+        value = word_hash(word)
+        at = int(np.searchsorted(self.h, np.uint64(value)))
+        if at < len(self.h) and int(self.h[at]) == value:
+            value = at
         if len(self) < self.MOST:
             self[word] = value
         return value
 
 
-def tokens(texts: list[bytes | None], hashes: ClassedHashes) -> tuple[np.ndarray, np.ndarray]:
+def tokens(texts: list[bytes | None], hashes: ClassedHashes | Codes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, each text followed by its end, and the number of tokens of each text."""
     split = [(t or b"").lower().split() for t in texts]
     sizes = np.array([len(w) + 1 for w in split], np.int64)
@@ -98,6 +124,9 @@ class Vocabulary:
         unit[rank] = 1 + np.arange(len(rank))
         unit[self.h == np.uint64(END_HASH)] = 0
         self.unit = unit.astype(np.int16)
+        self.end = int(np.searchsorted(self.h, np.uint64(END_HASH)))
+        if self.end >= len(self.h) or int(self.h[self.end]) != END_HASH:
+            self.end = -1
         own = np.bincount(unit, self.c + 0.5, UNITS)
         # a class holds all words of its endings but the units' own, and one place for unknown words
         word = (unit >= 1) & (unit <= WORDS)
@@ -107,20 +136,23 @@ class Vocabulary:
         self.mass = mass
         self.share = mass / mass.sum()
 
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each token among the frequent ones (-1: not there) and its unit."""
-        at = np.minimum(np.searchsorted(self.h, h), max(0, len(self.h) - 1))
-        known = self.h[at] == h if len(self.h) else np.zeros(len(h), bool)
-        unit = np.where(known, self.unit[at] if len(self.h) else 0, 1 + WORDS + (h & np.uint64(CLASSES - 1)).astype(np.int64))
-        unit[h == np.uint64(END_HASH)] = 0
-        return np.where(known, at, -1), unit.astype(np.int64)
+    def find(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From codes: place of each token among the frequent ones (-1: not there) and its unit."""
+        end = code == np.uint64(END_HASH)
+        at = np.where(code < np.uint64(MARK), code, 0).astype(np.int64)
+        at[end] = self.end
+        known = (code < np.uint64(MARK)) | (end & (self.end >= 0))
+        own = np.take(self.unit, np.maximum(at, 0)).astype(np.int64) if len(self.h) else np.zeros(len(code), np.int64)
+        unit = np.where(known, own, 1 + WORDS + (code & np.uint64(CLASSES - 1)).astype(np.int64))
+        unit[end] = 0
+        return np.where(known, at, -1), unit
 
 
 def contexts(unit: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The CONTEXT units before each token, START where the text begins."""
     first = np.repeat(np.cumsum(sizes) - sizes, sizes)
     place = np.arange(len(unit)) - first
-    out = np.full((len(unit), CONTEXT), START, np.int64)
+    out = np.full((CONTEXT, len(unit)), START, np.int64).T  # each position's units lie together
     for j in range(1, CONTEXT + 1):
         out[j:, j - 1] = np.where(place[j:] >= j, unit[:-j] if j else unit, START)
     return out
@@ -154,7 +186,7 @@ class LogBilinear:
     def predict(self, context: np.ndarray) -> np.ndarray:
         out = np.zeros((len(context), DIM), np.float32)
         for j in range(CONTEXT):
-            out += (self.r @ self.m[j])[context[:, j]]
+            out += np.take(self.r @ self.m[j], context[:, j], axis=0)
         return out
 
     def gradient(self, context: np.ndarray, target: np.ndarray, noise: np.ndarray, share: np.ndarray) -> np.ndarray:
@@ -162,10 +194,11 @@ class LogBilinear:
         grad = LogBilinear(np.zeros(self.SIZE, np.float32))
         p = self.predict(context)
         log_noise = np.log(len(noise) * share).astype(np.float32)
-        up = 1 / (1 + np.exp(-np.clip((p * self.q[target]).sum(1) + self.b[target] - log_noise[target], -30, 30))) - 1
+        own = np.take(self.q, target, axis=0)
+        up = 1 / (1 + np.exp(-np.clip(np.einsum("nd,nd->n", p, own) + self.b[target] - log_noise[target], -30, 30))) - 1
         down = 1 / (1 + np.exp(-np.clip(p @ self.q[noise].T + self.b[noise] - log_noise[noise], -30, 30)))
         up, down = (up / len(target)).astype(np.float32), (down / len(target)).astype(np.float32)
-        dp = up[:, None] * self.q[target] + down @ self.q[noise]
+        dp = up[:, None] * own + down @ self.q[noise]
         _scatter(grad.q, target, up[:, None] * p)
         np.add.at(grad.q, noise, down.T @ p)
         grad.b += np.bincount(target, up, UNITS).astype(np.float32) + np.bincount(noise, down.sum(0), UNITS).astype(np.float32)
@@ -193,7 +226,7 @@ class LogBilinear:
             p = x[:, :DIM]
             np.take(tables[0], c[:, 0], axis=0, out=p)
             for j in range(1, CONTEXT):
-                p += tables[j][c[:, j]]
+                p += np.take(tables[j], c[:, j], axis=0)
             x[:, DIM + 1] = -(np.sqrt(np.einsum("nd,nd->n", p, p)) * long + top)
             z = x @ units
             np.exp(z, out=z)
@@ -221,7 +254,7 @@ def train_round(docs: DataFrame, vocabulary, start: np.ndarray, seed: int, text:
     """
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, hashes, r = vocabulary.value, ClassedHashes(), np.random.default_rng(seed)
+        v, hashes, r = vocabulary.value, Codes(vocabulary.value), np.random.default_rng(seed)
         model, seen = LogBilinear(start.copy()), 0
         m, s, step = np.zeros_like(start), np.zeros_like(start), 0
 
@@ -279,7 +312,7 @@ def score_texts(docs: DataFrame, text: str = "text", frequent: int = 1 << 19, ro
     counts = stored(token_counts(docs, text), "lm-counts")
     low = F.floor(F.log2("c") * 8).cast("int")
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    classes = counts.where(F.col("h") != F.lit(END_HASH)).groupBy(F.col("h").bitwiseAND(CLASSES - 1).alias("k")).agg(F.sum("c"), F.count(F.lit(1))).collect()
+    classes = counts.where(F.col("h") != F.lit(END_HASH - (1 << 64))).groupBy(F.col("h").bitwiseAND(CLASSES - 1).alias("k")).agg(F.sum("c"), F.count(F.lit(1))).collect()
     class_mass, class_types = np.zeros(CLASSES), np.zeros(CLASSES)
     for k, c, n in classes:  # one row per class
         class_mass[k], class_types[k] = c, n
@@ -304,7 +337,7 @@ def score_texts(docs: DataFrame, text: str = "text", frequent: int = 1 << 19, ro
             flat[rows.column("place").to_numpy()] = rows.column("value").to_numpy()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, hashes, model = vocabulary.value, ClassedHashes(), LogBilinear(flat)
+        v, hashes, model = vocabulary.value, Codes(vocabulary.value), LogBilinear(flat)
         log_count, log_mass = np.log10(v.c + 0.5), np.log10(v.mass)
         for b in _slices(batches):
             h, sizes = tokens(b.column("text").cast(pa.binary()).to_pylist(), hashes)
