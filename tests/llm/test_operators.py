@@ -15,7 +15,7 @@ from spanloom.llm.near_duplicates import near_duplicates, shared_counts
 from spanloom.llm.packing import hilbert_key, pack
 from spanloom.llm.quality_rules import apply_quality_rules, fit_quality_rules, text_profile
 from spanloom.llm.repeated_strings import remove_repeats
-from spanloom.llm.secrets import base_spans, find_base, fit_network, mask_secrets, scan_secrets
+from spanloom.llm.secrets import CharCNN, base_spans, candidates, find_base, fit_network, mask_secrets, regions, scan_secrets
 from spanloom.llm.site_quality import site_quality
 from spanloom.llm.token_files import read_token_files, write_token_files
 from spanloom.llm.vector_duplicates import vector_duplicates
@@ -296,6 +296,25 @@ def test_secrets_beside_patterns(spark):
     assert [r.text for r in masked] == ["[SECRET] end", "x [SECRET] end"]
 
 
+def test_secrets_late_short_and_without_digits(spark):
+    """Random parts far into a token, all-letter keys and short tokens after a cue reach the network; recall sets the threshold."""
+    key = "wJalrXUtnFEMI7K7MDENGbPxRfiCYzQ8aLk3vR2s"
+    path, letters = f"path/to/file/of/the/long/project/folder/deeper/{key}", "qWmZxTrPlKjHgFdSaNbVcXyUiOpEr"
+    texts = [f"see {path} now", f"the key {letters} ok", "my password hunter2xq fine", "the secret is qwhzxv now", "nothing here"]
+    found = {t: {t[c[0] : c[1]] for c in candidates(t, [])} for t in texts}
+    assert [found[t] for t in texts] == [{path}, {letters}, {"hunter2xq"}, {"qwhzxv"}, set()]
+    seen = list(regions(candidates(texts[0], [])[0][4]))
+    assert all(len(w) == 80 for w in seen) and any(key in w for w in seen)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in scan_secrets(docs).collect()}
+    assert rows[0] == [("learned", 4, 4 + len(path))] and rows[1] == [("learned", 8, 8 + len(letters))] and rows[4] == []
+    net = CharCNN.fresh()
+    net.logits = lambda x: x[:, 0].astype(float)
+    x, y = np.arange(-50, 50)[:, None], np.arange(100) % 2
+    net.calibrate(x, y)
+    assert np.mean(net.probability(x[y == 1]) >= net.threshold) >= 0.98
+
+
 def test_site_quality(docs, labels, odd, empty):
     rows = site_quality(docs, labels).collect()
     truth = {r.doc_id: r for r in labels.collect()}
