@@ -153,9 +153,33 @@ def h18_paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return B.paired_difference(one(X.pred(spark, d)), one(X.second(spark, d)))
 
 
+#: Samples of the bootstraps over all documents.
+ALL_SAMPLES = 1000
+
+
+def h12_bootstrap_all(spark: SparkSession, d: str) -> DataFrame:
+    """As h12_bootstrap, but over every document and with ALL_SAMPLES samples, which is beyond the SQL."""
+    return _all_samples(spark, h13_per_document(spark, d))
+
+
+def _all_samples(spark: SparkSession, per_document: DataFrame) -> DataFrame:
+    plan = B.sample_plan(spark, per_document.count(), ALL_SAMPLES, "42")
+    return B.f1_samples(B.sample_sums(B.indexed(per_document), plan, ["tp", "fp", "fn"]))
+
+
+def h18_paired_bootstrap_all(spark: SparkSession, d: str) -> DataFrame:
+    one = lambda p: _all_samples(spark, E.per_document(X.docs(spark, d), X.gold(spark, d), p))
+    return B.paired_difference(one(X.pred(spark, d)), one(X.second(spark, d)))
+
+
 def h19_superiority(spark: SparkSession, d: str) -> DataFrame:
     clean = h11_clean_documents(spark, d).select(F.lit(0.001).alias("low"), "rate")
-    return B.superiority_gate(h18_paired_bootstrap(spark, d), clean)
+    return B.superiority_gate(h18_paired_bootstrap_all(spark, d), clean)
+
+
+def h20_counter_draws_all(spark: SparkSession, d: str) -> DataFrame:
+    keys = X.read(spark, d, "orders").select(F.col("o_orderkey").alias("counter"))
+    return keys.withColumn("draw", B.counter_draw("42", "bootstrap", F.col("counter"), F.lit(1000)))
 
 
 def h20_counter_draws(spark: SparkSession, d: str) -> DataFrame:
@@ -198,7 +222,11 @@ def g3_fit_temperature(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g2_softmax(spark: SparkSession, d: str) -> DataFrame:
-    z = X.read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("z")).where("vec_id < 200")
+    return g2_softmax_all(spark, d).where("vec_id < 200")
+
+
+def g2_softmax_all(spark: SparkSession, d: str) -> DataFrame:
+    z = X.read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("z"))
     p = C.softmax(F.col("z"), 2.0)
     return z.select("vec_id", F.round(F.array_max(p), 9).alias("top"), F.round(F.aggregate(p, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
@@ -378,7 +406,11 @@ ALL = {
   d AS (SELECT {F1.format(a='f_a.')} - {F1.format(a='f_b.')} AS d FROM f_a JOIN f_b USING (sample))
   SELECT quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high, count(*) AS samples, count(*) FILTER (d > 0) AS wins, count(*) FILTER (d = 0) AS ties,
     (count(*) FILTER (d <= 0) + 1)::DOUBLE / (count(*) + 1) AS tail FROM d"""),
+    "h12_bootstrap_all": (h12_bootstrap_all, None),
+    "h18_paired_bootstrap_all": (h18_paired_bootstrap_all, None),
     "h19_superiority": (h19_superiority, None),
+    "h20_counter_draws_all": (h20_counter_draws_all, None),
+    "g2_softmax_all": (g2_softmax_all, None),
     "h20_counter_draws": (h20_counter_draws, f"SELECT o_orderkey AS counter, {DRAW.format(h=HASH.format(c='o_orderkey'), n=1000)} AS draw FROM orders WHERE o_orderkey < 500"),
     "h22_added_predictions": (h22_added_predictions, "WITH " + X.PRED_SQL + """, k AS (SELECT doc_id, s, e, label, max(g) AS g, max(b) AS b, max(a) AS a FROM (
     SELECT *, 1 AS g, 0 AS b, 0 AS a FROM gold UNION ALL SELECT *, 0, 1, 0 FROM second UNION ALL SELECT *, 0, 0, 1 FROM pred) GROUP BY ALL)

@@ -14,6 +14,7 @@ from spanloom.operators import spans as S
 from spanloom.operators.graph import connected_components
 from spanloom.operators.windows import plan_windows, token_windows
 from spanloom.streaming.detection import label_counts, redact_stream
+from tests.conftest import SF
 
 SPAN = "doc_id long, start int, end int, label string"
 
@@ -135,3 +136,27 @@ def test_stream_equals_batch(spark, tmp_path):
         df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start().awaitTermination()
     assert {r.text for r in spark.table("red").collect()} == {"mail <EMAIL_ADDRESS> now"}
     assert spark.table("cnt").agg(F.sum("n")).first()[0] == 20
+
+
+def test_bootstraps_over_all_documents(spark):
+    """Every document is in the plan, and samples agree with draws made one by one."""
+    import hashlib
+
+    from spanloom import catalog
+
+    q = catalog.queries()
+    stats = [(r.tp, r.fp, r.fn) for r in q["h13_per_document"](spark, SF).orderBy("doc_id").collect()]
+    n, found = len(stats), {r["sample"]: (r.tp, r.fp, r.fn) for r in q["h12_bootstrap_all"](spark, SF).collect()}
+    assert n > 500 - 1 and sorted(found) == list(range(1000))
+
+    def draw(counter, below):
+        return int(hashlib.sha256(b"bootstrap\0" + (2).to_bytes(4) + b"42" + counter.to_bytes(16)).hexdigest(), 16) % below
+
+    for sample in (0, 1, 999):
+        rows = [stats[draw(i, n)] for i in range(sample * n, sample * n + n)]
+        assert found[sample] == tuple(map(sum, zip(*rows, strict=True)))
+    assert q["h18_paired_bootstrap_all"](spark, SF).first().samples == 1000
+    draws = {r.counter: r.draw for r in q["h20_counter_draws_all"](spark, SF).collect()}
+    orders = [r.o_orderkey for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").collect()]
+    assert draws == {k: draw(k, 1000) for k in orders} and max(orders) >= 500
+    assert q["g2_softmax_all"](spark, SF).count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()
