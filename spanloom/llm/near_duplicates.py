@@ -24,6 +24,8 @@ BLOCK_SHINGLES, BLOCK_DOCUMENTS = 400_000, 2000
 #: Sampled pairs whose one-bit sketches differ in more places are not verified: at similarity 0.85 about 10 of the 128 bits
 #: differ, and more than 34 with probability below 1e-10.
 MOST_BITS = 34
+#: The same below 85 percent: at similarity 0.80 about 13 bits differ, and more than 39 with probability 3e-11.
+MOST_BITS_80 = 39
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -118,7 +120,7 @@ def _alike(percent: int) -> Column:
     """What any pair of columns a_, b_ at the threshold satisfies: sizes and one-bit sketches that are near enough."""
     near = F.bit_count(F.col("a_b0").bitwiseXOR(F.col("b_b0"))) + F.bit_count(F.col("a_b1").bitwiseXOR(F.col("b_b1")))
     sizes = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
-    return sizes & (near <= MOST_BITS)
+    return sizes & (near <= (MOST_BITS if percent >= 85 else MOST_BITS_80))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:

@@ -336,3 +336,15 @@ def test_pipeline(spark):
     assert seen[1] < seen[0] < spark.read.parquet(f"{SF}/documents.parquet").count()
     packed = corpus_pipeline.run(spark, SF).agg(F.sum("length")).first()[0]
     assert packed == sum(len(ids_of(r.text)) + 1 for r in docs.select("text").collect())
+
+
+def test_pipeline_near_duplicates(spark):
+    """Copies at 0.80 to 0.85 go, those below 0.8 and repeated ids with other texts stay, fully repeated rows are one row."""
+    import corpus_pipeline
+
+    text = lambda tail: " ".join([f"u{i}" for i in range(104 - len(tail))] + tail)
+    # 100 shingles each: 10 changed ones give 90 / 110 = 0.818, 12 give 88 / 112 = 0.786
+    texts = [(1, text([])), (2, text([f"a{i}" for i in range(10)])), (3, text([f"b{i}" for i in range(12)])), (4, "one two"), (4, "one two"), (4, "three four"), (None, "x"), (None, "x")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, SF).select("doc_id", "text").collect()
+    assert sorted(map(tuple, out), key=str) == sorted([texts[i] for i in (0, 2, 3, 5, 6)], key=str)
