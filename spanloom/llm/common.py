@@ -6,7 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,3 +72,15 @@ def unit_hash(*columns, seed: str):
     digest = F.md5(F.concat_ws(":", F.lit(seed), *columns))
     bits = F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint")
     return (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def byte_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20, most_rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches that hold about ``most_bytes`` of ``column`` (one row at least), so a worker's memory is bounded by bytes."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            n = min(most_rows, max(1, int(np.searchsorted(ends, before + most_bytes, "right")) - at))
+            yield b.slice(at, n)
+            at += n

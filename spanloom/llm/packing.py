@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import shuffle_partitions, stored, table
-from spanloom.llm.token_files import encoder_for, id_lists, with_crc
+from spanloom.llm.common import byte_slices, shuffle_partitions, stored, table
+from spanloom.llm.token_files import _ENCODERS, encoder_for, id_bytes, id_lists
 
 DIMENSIONS, BITS = 4, 10
 #: Bits of the order key below the curve position, filled from a hash of the document id: they spread groups of copies,
@@ -87,39 +87,37 @@ def tail_cuts(total: int, length: int) -> list[int]:
 
 def pack(
     docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096, text: str = "text",
-    bucket_tokens: int = 2_000_000,
+    bucket_tokens: int = 2_000_000, as_bytes: bool = False,
 ) -> DataFrame:
     """Cut all documents, laid end to end along the curve, into sequences of ``length`` tokens.
 
-    Returns per piece doc_id, start, length, ids, doc_tokens, sequence_id and offset. Every sequence is full but the
-    last few of the whole corpus, whose lengths are falling powers of two, so nothing is padded. Documents are encoded
-    once and stored with their order key; the corpus is split into ranges of the key that hold about ``bucket_tokens``
-    tokens, one small row per range gives each its first position, and each range is then sorted and cut on its own.
+    Returns per piece doc_id, start, length, ids, doc_tokens, sequence_id and offset; ids is a list of ints, or with
+    ``as_bytes`` little-endian unsigned 32-bit numbers. Every sequence is full but the last few of the whole corpus, whose
+    lengths are falling powers of two, so nothing is padded. Documents are encoded once and stored with their order key;
+    the corpus is split into ranges of the key that hold about ``bucket_tokens`` tokens, at most four per shuffle partition;
+    one small row per range gives each its first position, and each range is then sorted and cut on its own.
 
-    Null texts are empty (only the end id). Rows with equal keys follow by doc_id, then by their number of tokens;
-    full repeats are packed as often as they occur. Extra columns are left out; no rows give no pieces.
+    Null texts are empty (only the end id), long ones are encoded a few at a time. Rows with equal keys follow by doc_id,
+    then by their number of tokens; full repeats are packed as often as they occur. Extra columns are left out; no rows
+    give no pieces.
     """
     spark = docs.sparkSession
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(tokenizer)
         vectors = directions(1 << 16 if encoder.code.itemsize == 2 else encoder.tokenizer.get_vocab_size() + 1)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                b = batch.slice(at, 2000)
-                packed = list(encoder.batches(b.column("text"), end_id))
-                points = np.array([project(np.frombuffer(p, encoder.code)[:-1], vectors) for p in packed])
-                ties = b.column("tie").to_numpy(zero_copy_only=False) & ((1 << TIE_BITS) - 1)
-                keys = (hilbert_key(points) << TIE_BITS) | ties
-                n = pa.array([len(p) // encoder.code.itemsize for p in packed], pa.int64())
-                ids = pa.array(packed, pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys), n, ids], ["doc_id", "key", "n", "ids"])
+        for b, ids, n in encoder.chunks(batches, end_id):
+            ends = np.cumsum(n).tolist()
+            points = np.array([project(ids[e - k : e - 1], vectors) for e, k in zip(ends, n.tolist(), strict=True)])
+            ties = b.column("tie").to_numpy(zero_copy_only=False) & ((1 << TIE_BITS) - 1)
+            keys = (hilbert_key(points) << TIE_BITS) | ties
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys), pa.array(n), id_bytes(ids, n)], ["doc_id", "key", "n", "ids"])
 
     source = docs.select("doc_id", F.col(text).cast("string").alias("text"), F.xxhash64("doc_id").alias("tie"))
     coded = stored(source.mapInArrow(encode, "doc_id long, key long, n long, ids binary"), "packing-ids")
     total = coded.agg(F.sum("n")).first()[0] or 0
     partitions = shuffle_partitions(spark)
-    ranges = max(1, min(4 * partitions, 1 + total // max(1, bucket_tokens // 8)), 1 + total // bucket_tokens)
+    ranges = max(1, min(4 * partitions, 1 + total // max(1, bucket_tokens // 8)))
     points = [i / ranges for i in range(1, ranges)]
     splits = coded.agg(F.percentile_approx("key", points, 20 * ranges)).first()[0] if points else []
     splits = np.unique(np.array(splits or [], np.int64))
@@ -135,49 +133,50 @@ def pack(
         starts[row["bucket"] + 1] = row["n"]
     starts = np.cumsum(starts)
     total = int(starts[-1])
-    tail = np.array(tail_cuts(total, length), np.int64)
-    full = total // length
+    full = total // length * length
+    tail = np.array([full, *tail_cuts(total, length)], np.int64)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, bucket, at = np.dtype("<u2"), -1, 0
-        names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-        for b in batches:
-            out: list[tuple] = []
-            parts: list[bytes] = []
-            rows = zip(*(b.column(c).to_pylist() for c in ("doc_id", "n", "ids", "bucket")), strict=True)
-            for doc_id, n, ids, own in rows:
-                if own != bucket:
-                    bucket, at = own, int(starts[own])
-                code = np.dtype("<u2") if len(ids) == 2 * n else np.dtype("<u4")
-                done = 0
-                while done < n:
-                    here = at + done
-                    if here < full * length:
-                        sequence, offset, end = here // length, here % length, (here // length + 1) * length
-                    else:
-                        k = int(np.searchsorted(tail, here, "right"))
-                        first = full * length if k == 0 else int(tail[k - 1])
-                        sequence, offset, end = full + k, here - first, int(tail[k])
-                    size = min(n - done, end - here)
-                    out.append((doc_id, done, size, n, sequence, offset))
-                    parts.append(ids[done * code.itemsize : (done + size) * code.itemsize])
-                    done += size
-                at += n
-            if out:
-                doc, start, size, n, sequence, offset = map(list, zip(*out, strict=True))
-                long = lambda x: pa.array(x, pa.int64())
+        _ENCODERS.clear()  # a worker that has encoded gives its tables back
+        bucket, at = -1, 0
+        for b in byte_slices(batches, "ids", most_rows=10_000):
+            own, n = b.column("bucket").to_numpy(), b.column("n").to_numpy()
+            raw = b"".join(b.column("ids").to_pylist())
+            ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * int(n.sum()) else "<u4")
+            ends = np.cumsum(n)
+            edges = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(n)]
+            for i, j in zip(edges, edges[1:], strict=False):
+                if own[i] != bucket:
+                    bucket, at = int(own[i]), int(starts[own[i]])
+                # rows i..j lie end to end from position ``at``; pieces start at rows and at the ends of sequences
+                first = at + np.concatenate([[0], ends[i : j - 1] - ends[i] + n[i]])
+                last = at + int(n[i:j].sum())
+                seams = np.concatenate([np.arange(at // length + 1, min(last, full) // length + 1) * length, tail])
+                piece = np.unique(np.concatenate([first, seams[(seams > at) & (seams < last)]]))
+                row = np.searchsorted(first, piece, "right") - 1
+                size = np.diff(np.append(piece, last))
+                k = np.searchsorted(tail, piece, "right")
+                whole = k == 0
+                sequence = np.where(whole, piece // length, full // length + k - 1)
+                offset = np.where(whole, piece % length, piece - tail[np.maximum(k, 1) - 1])
+                mine = ids[ends[i] - n[i] :][: last - at]
+                lists = id_bytes(mine.astype("<u4"), size) if as_bytes else id_lists(mine, size)
+                at = last
+                of = b.slice(i, j - i)
+                long = lambda x: pa.array(x.astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [long(doc), long(start), long(size), id_lists(parts, code), long(n), long(sequence), long(offset)], names
+                    [of.column("doc_id").take(pa.array(row)), long(piece - first[row]), long(size), lists, long(n[i:j][row]), long(sequence), long(offset)],
+                    ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
                 )
 
     dealt = coded.mapInArrow(locate, "doc_id long, key long, n long, ids binary, bucket int")
     dealt = dealt.repartition(partitions, "bucket").sortWithinPartitions("bucket", "key", "doc_id", "n")
-    schema = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
-    return dealt.mapInArrow(cut, schema)
+    kind = "binary" if as_bytes else "array<int>"
+    return dealt.mapInArrow(cut, f"doc_id long, start long, length long, ids {kind}, doc_tokens long, sequence_id long, offset long")
 
 
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    return with_crc(pieces)
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, as_bytes=True)
+    return pieces.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")

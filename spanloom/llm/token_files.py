@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import scratch, shuffle_partitions, table
+from spanloom.llm.common import byte_slices, scratch, shuffle_partitions, table
 
 #: Writer settings of a token file: dictionary codes for the ids, delta coding for the sorted metadata columns, small
 #: pages with their index, and row groups that one task can hold.
@@ -29,20 +29,29 @@ FILE_OPTIONS = {
 
 
 #: Words of ASCII and Latin-1 letters only: one pre-token each, whatever the neighbours.
-LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+LETTERS = "^[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+#: A word that ends in a letter and then ASCII marks (but ' and <, which can start tokens of their own): the ids of both parts.
+CLOSED = "^(?P<body>.*[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])(?P<tail>[!-&(-/:;=-@\\[-`{-~]+)$"
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions starts[i], ..., starts[i] + sizes[i] - 1 of all i, one after the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
 
 
 class DocumentEncoder:
     """Encode whole texts with a tokenizer file, one distinct word at a time.
 
     For tokenizers that lower-case, drop white space and split letters from punctuation: the ids of a text are then
-    those of its lower-cased words between ASCII white space, in order, and a word of letters followed by stops and commas
-    is the ids of the letters, then of the rest. Both tables stop growing at ``most`` entries; what they lack is encoded
-    again for each batch. Texts that may hold a special token go to the tokenizer whole. ``code`` is the type of the
-    packed ids, two bytes where the vocabulary allows it.
+    those of its lower-cased words between ASCII white space, in order. Arrow splits a chunk of texts and numbers its
+    distinct words, only parts of words that are not in the table yet reach the tokenizer, and numpy lays out the ids.
+    The table stops growing at ``most`` parts; what it lacks is encoded again for each chunk. Texts that may hold a
+    special token go to the tokenizer whole. ``code`` is the type of the ids, two bytes where the vocabulary allows it.
     """
 
-    def __init__(self, path: str, most: int = 200_000) -> None:
+    def __init__(self, path: str, most: int = 300_000) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -53,74 +62,83 @@ class DocumentEncoder:
         ends = [i for word, i in self.tokenizer.get_vocab().items() if word.endswith("</w>")]
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends[ends] = True
-        self.most, self.words, self.parts = most, {}, {}
-
-    def _encode_parts(self, parts: list[bytes]) -> dict[bytes, bytes]:
-        """The packed ids of each part; words of letters are encoded many at a time and told apart by their last ids."""
-        plain = [p for p in parts if LETTERS.fullmatch(p)]
-        other = [p for p in parts if not LETTERS.fullmatch(p)]
-        out: dict[bytes, bytes] = {}
-        size = self.code.itemsize
+        self.most, self.place = most, {}
+        self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, self.code)
+
+    def _encode_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Order of the parts, numbers of ids in that order, and all ids; words of letters are told apart by their last ids."""
+        letters = pc.match_substring_regex(parts, LETTERS).to_numpy(zero_copy_only=False)
+        raw = parts.cast(pa.binary()).to_pylist()
+        plain, other = np.flatnonzero(letters).tolist(), np.flatnonzero(~letters).tolist()
+        order, sizes, ids = [], [], []
         for i in range(0, len(plain), 1000):
             group = plain[i : i + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(group).decode()], add_special_tokens=False)[0].ids, self.code)
-            cuts = (np.flatnonzero(self.ends[ids]) + 1) * size
+            joined = b" ".join([raw[k] for k in group]).decode()
+            own = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.code)
+            cuts = np.flatnonzero(self.ends[own]) + 1
             if len(cuts) != len(group):  # not a tokenizer of that kind
                 other += group
                 continue
-            packed, at = ids.tobytes(), 0
-            for p, end in zip(group, cuts.tolist(), strict=True):
-                out[p] = packed[at:end]
-                at = end
+            order += group
+            sizes.append(np.diff(cuts, prepend=0))
+            ids.append(own)
         for i in range(0, len(other), 10_000):
             group = other[i : i + 10_000]
-            found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in group], add_special_tokens=False)
-            out.update(zip(group, (np.array(e.ids, self.code).tobytes() for e in found), strict=True))
-        return out
-
-    def _look_up(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """The packed ids of ``words``; as many as fit go to the tables that stay."""
-        split = {}
-        for w in words:
-            body = w.rstrip(b".,")
-            split[w] = (body, w[len(body) :]) if len(body) < len(w) and body[-1:].isalpha() else (w, b"")
-        needed = {p for both in split.values() for p in both if p}
-        parts = self._encode_parts(list(needed.difference(self.parts)))
-        keep = lambda table, new: table.update(x for x in list(new.items())[: max(0, self.most - len(table))] if len(x[0]) <= 40)
-        known = self.parts
-        find = lambda p: known[p] if p in known else parts[p]
-        new = {w: find(a) + find(b) if b else find(a) for w, (a, b) in split.items()}
-        keep(self.parts, parts)
-        keep(self.words, new)
-        return new
-
-    def encode(self, texts: list[bytes | None], end: bytes) -> Iterator[bytes]:
-        """The packed ids of each text, followed by ``end``; null is an empty text."""
-        special = {i: t for i, t in enumerate(texts) if t and b"<|" in t}
-        split = [[] if i in special else (t or b"").lower().split() for i, t in enumerate(texts)]
-        known = self.words
-        rest = self._look_up(set().union(*split).difference(known)) if split else {}
-        for i, words in enumerate(split):
-            if i in special:
-                ids = self.tokenizer.encode(special[i].decode("utf-8", "replace"), add_special_tokens=False).ids
-                yield np.array(ids, self.code).tobytes() + end
-                continue
-            try:
-                yield b"".join([known[w] for w in words]) + end
-            except KeyError:
-                yield b"".join([known[w] if w in known else rest[w] for w in words]) + end
-
-    def batches(self, texts: pa.Array, end_id: int, most_bytes: int = 8 << 20) -> Iterator[bytes]:
-        """``encode`` over an Arrow string array, some megabytes at a time."""
-        end = np.array([end_id], self.code).tobytes()
-        part, size = [], 0
-        for t in texts.cast(pa.binary()).to_pylist():
-            part.append(t)
-            size += len(t or b"")
-            if size >= most_bytes:
-                yield from self.encode(part, end)
-                part, size = [], 0
-        yield from self.encode(part, end)
+            found = self.tokenizer.encode_batch_fast([raw[k].decode("utf-8", "replace") for k in group], add_special_tokens=False)
+            order += group
+            sizes.append(np.array([len(e.ids) for e in found]))
+            ids += [np.array(e.ids, self.code) for e in found]
+        return np.array(order, np.int64), np.concatenate([np.zeros(0, np.int64), *sizes]), np.concatenate([np.zeros(0, self.code), *ids])
+
+    def _part_ids(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First place and number of the ids of each of the distinct ``parts``, and the ids that the places point into."""
+        raw = parts.cast(pa.binary()).to_pylist()
+        row = np.fromiter((self.place.get(p, -1) for p in raw), np.int64, len(raw))
+        lacking = np.flatnonzero(row < 0)
+        order, sizes, ids = self._encode_parts(parts.take(pa.array(lacking)))
+        row[lacking[order]] = len(self.sizes) + np.arange(len(order))
+        all_sizes, all_ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+        starts = np.cumsum(all_sizes) - all_sizes
+        room = min(len(order), self.most - len(self.sizes))
+        if room > 0:
+            self.place.update((raw[k], len(self.sizes) + i) for i, k in enumerate(lacking[order[:room]].tolist()))
+            self.sizes, self.ids = all_sizes[: len(self.sizes) + room], all_ids[: len(self.ids) + int(sizes[:room].sum())]
+        return starts[row], all_sizes[row], all_ids
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by ``end_id``, and the number of ids of each text; null is an empty text."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        special = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
+        whole = {int(i): np.array(self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, self.code) for i in special}
+        if whole:
+            texts = pc.if_else(pc.match_substring(texts, "<|"), "", texts)
+        words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        counts = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        closed = pc.extract_regex(coded.dictionary, CLOSED)
+        body = pc.coalesce(pc.struct_field(closed, "body"), coded.dictionary)
+        tail = pc.fill_null(pc.struct_field(closed, "tail"), "")
+        parts = pa.concat_arrays([body, tail]).dictionary_encode()
+        part = parts.indices.to_numpy()
+        starts, sizes, ids = self._part_ids(parts.dictionary)
+        # the ids of every distinct word: its body's, then its tail's
+        pair = np.stack([part[: len(body)], part[len(body) :]], 1).ravel()
+        word_sizes = sizes[pair].reshape(-1, 2).sum(1)
+        word_ids = ids[spread(starts[pair], sizes[pair])]
+        token = coded.indices.to_numpy()
+        own = word_sizes[token]
+        flat = word_ids[spread((np.cumsum(word_sizes) - word_sizes)[token], own)]
+        at = np.concatenate([[0], np.cumsum(own)])
+        edges = at[np.concatenate([[0], np.cumsum(counts)])]
+        if whole:
+            pieces = [whole.get(i, flat[edges[i] : edges[i + 1]]) for i in range(len(counts))]
+            flat, edges = np.concatenate(pieces), np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
+        return np.insert(flat, edges[1:], end_id).astype(self.code), np.diff(edges) + 1
+
+    def chunks(self, batches: Iterator[pa.RecordBatch], end_id: int, text: str = "text", most_bytes: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        """Slices of the batches of about ``most_bytes`` of text, each with its ids and their number per row."""
+        for part in byte_slices(batches, text, most_bytes, most_rows=10_000):
+            yield part, *self.encode(part.column(text), end_id)
 
 
 _ENCODERS: dict[str, DocumentEncoder] = {}
@@ -133,11 +151,15 @@ def encoder_for(path: str) -> DocumentEncoder:
     return _ENCODERS[path]
 
 
-def id_lists(packed: list[bytes], code: np.dtype) -> pa.ListArray:
-    """Packed ids as an Arrow array of int lists."""
-    ends = np.cumsum([0] + [len(p) // code.itemsize for p in packed])
-    values = np.frombuffer(b"".join(packed), code).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+def id_lists(ids: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """Ids laid end to end as an Arrow array of int lists."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids.astype(np.int32)))
+
+
+def id_bytes(ids: np.ndarray, sizes: np.ndarray) -> pa.BinaryArray:
+    """Ids laid end to end as an Arrow array of byte strings, little-endian, as wide as the ids are."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]) * ids.itemsize
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])
 
 
 def crc_of_ids(ids: pa.ListArray) -> list[int]:
@@ -162,18 +184,14 @@ def write_token_files(
     dealt = dealt.sortWithinPartitions("doc_id", "h").select("doc_id", "text", F.spark_partition_id().alias("shard"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, done = encoder_for(tokenizer), 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                b = batch.slice(at, 2000)
-                packed = list(encoder.batches(b.column("text"), end_id))
-                n_tokens = np.array([len(p) // encoder.code.itemsize for p in packed], np.int64)
-                starts = done + np.cumsum(n_tokens) - n_tokens
-                done += int(n_tokens.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("shard"), pa.array(starts), pa.array(n_tokens), id_lists(packed, encoder.code)],
-                    ["doc_id", "shard", "shard_start", "n_tokens", "ids"],
-                )
+        done = 0
+        for b, ids, n_tokens in encoder_for(tokenizer).chunks(batches, end_id):
+            starts = done + np.cumsum(n_tokens) - n_tokens
+            done += len(ids)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("shard"), pa.array(starts), pa.array(n_tokens), id_lists(ids, n_tokens)],
+                ["doc_id", "shard", "shard_start", "n_tokens", "ids"],
+            )
 
     schema = "doc_id long, shard int, shard_start long, n_tokens long, ids array<int>"
     dealt.mapInArrow(encode, schema).write.options(**FILE_OPTIONS).parquet(path)
