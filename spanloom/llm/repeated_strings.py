@@ -10,11 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import shuffle_partitions, stored, table
+from spanloom.llm.common import byte_slices, shuffle_partitions, stored, table
 from spanloom.llm.packing import mix64
 
-#: Bytes of the hashed piece that stands for a window (its smallest one), and bytes of one symbol of the transform.
+#: Most bytes of the hashed piece that stands for a window (its smallest one), and of one symbol of the transform.
 PIECE, SYMBOL = 64, 80
+#: Offsets of the piece in its window that share a name when the windows of a hot name are named anew.
+BAND = 22
 #: Bits of the filter that the second reading of the texts uses; a full filter only lets more through.
 FILTER_BITS = 27
 _BASE = 0x9E3779B97F4A7C15
@@ -43,6 +45,16 @@ def smallest(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(v) - width + 1], m[width - size : width - size + len(v) - width + 1])
 
 
+def piece_bytes(length: int) -> int:
+    """The largest power of two that is at most PIECE and fits into a window."""
+    return 1 << (min(PIECE, length).bit_length() - 1)
+
+
+def symbol_bytes(length: int) -> int:
+    """The largest divisor of a window's length that is at most SYMBOL, so that whole symbols make up a window."""
+    return max(d for d in range(1, min(SYMBOL, length) + 1) if length % d == 0)
+
+
 def window_runs(texts: list[bytes], length: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows of ``length`` bytes whose smallest piece has the same hash.
 
@@ -51,11 +63,11 @@ def window_runs(texts: list[bytes], length: int) -> tuple[bytes, np.ndarray, np.
     """
     joined = b"".join(texts)
     ends = np.cumsum([len(t) for t in texts])
-    none = np.zeros(0, np.int64)
+    none, piece = np.zeros(0, np.int64), piece_bytes(length)
     if len(joined) < length:
         return joined, ends, none.astype(np.uint64), none.astype(np.uint64), none, none
-    v = mix64(rolled(np.frombuffer(joined, np.uint8), (PIECE,))[0])
-    m = smallest(v, length - PIECE + 1)
+    v = mix64(rolled(np.frombuffer(joined, np.uint8), (piece,))[0])
+    m = smallest(v, length - piece + 1)
     doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])[: len(m)]
     change = np.flatnonzero((m[1:] != m[:-1]) | (doc[1:] != doc[:-1])) + 1
     first = np.concatenate([[0], change])
@@ -64,17 +76,23 @@ def window_runs(texts: list[bytes], length: int) -> tuple[bytes, np.ndarray, np.
     return joined, ends, v, m[first[good]], first[good], last[good]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    for batch in batches:
-        at, size, part = 0, 0, []
-        for t in batch.column("text").cast(pa.binary()).to_pylist():
-            part.append(t or b"")
-            size += len(part[-1])
-            if size >= most:
-                yield batch.slice(at, len(part)), part
-                at, size, part = at + len(part), 0, []
-        if part:
-            yield batch.slice(at, len(part)), part
+def named_anew(part: bytes, key: int, length: int, band: int) -> list[tuple[int, int, int]]:
+    """(name, first, end) of the runs of windows of ``part``, all with piece ``key``, that keep one place of the piece and one band.
+
+    Windows with the piece at offsets o to o + band - 1 share all but band - 1 of their bytes; the hash of those is the new
+    name, so equal windows are again in runs of one name. With a band of one the name is that of the whole window.
+    """
+    piece, n = piece_bytes(length), len(part) - length + 1
+    at = np.flatnonzero(mix64(rolled(np.frombuffer(part, np.uint8), (piece,))[0]) == np.uint64(key))
+    place = at[np.searchsorted(at, np.arange(n))]
+    own = (place - np.arange(n)) // band
+    edges = [0, *(np.flatnonzero((np.diff(place) != 0) | (np.diff(own) != 0)) + 1).tolist(), n]
+    out = []
+    for a, e in zip(edges, edges[1:], strict=False):
+        low, q = int(own[a]) * band, int(place[a])
+        shared = part[q - low : q + length - min(low + band - 1, length - piece)]
+        out.append((xxhash.xxh3_64_intdigest(shared, (key + low) & (1 << 64) - 1), a, e))
+    return out
 
 
 def stable_order(keys: np.ndarray) -> np.ndarray:
@@ -84,71 +102,88 @@ def stable_order(keys: np.ndarray) -> np.ndarray:
     return order[np.argsort(high[order], kind="stable")] if high.any() else order
 
 
-def shard_transforms(segments: list[bytes], shards: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The transforms of all shards, one after the other.
-
-    A segment is SYMBOL strings, one per phase, of symbols of SYMBOL bytes, each closed by its own end; the rotations of a
-    string start at every position of the segment and at the ends. Returns per place in the shards' sorted orders the
-    position that starts there and the symbol before it, and the shard of each place in turn.
-    """
-    n = np.array([len(s) for s in segments])
-    joined = b"".join(segments)
-    h16, h64 = rolled(np.frombuffer(joined + bytes(SYMBOL), np.uint8), (16, 64))
+def symbol_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the ``size`` bytes from each position, from those of powers of two."""
+    parts = tuple(1 << k for k in range(size.bit_length()) if size >> k & 1)
+    found = dict(zip(parts, rolled(data, parts), strict=True))
+    n, out, at = max(0, len(data) - size + 1), None, 0
     with np.errstate(over="ignore"):
-        hashes = h64[: len(joined)] * np.uint64(pow(_BASE, 16, 1 << 64)) + h16[64 : 64 + len(joined)]
-    # segment k has n[k] + 1 rotations: n - SYMBOL + 1 that start with a symbol, SYMBOL that start with an end
-    base = np.concatenate([[0], np.cumsum(n + 1)])
-    owner = np.repeat(np.arange(len(n)), n + 1)
-    p = np.arange(base[-1]) - base[owner]
-    is_end = p > n[owner] - SYMBOL
-    text_at = p + (base[owner] - owner)
-    symbol = np.zeros(len(p), np.int64)
-    symbol[~is_end] = np.unique(hashes[text_at[~is_end]], return_inverse=True)[1] + 1
-    after = np.where(is_end, base[owner] + p % SYMBOL, np.arange(len(p)) + SYMBOL)
-    before = np.empty_like(after)
-    before[after] = np.arange(len(after))
-    return p, owner, symbol, after, before, shards[owner]
+        for p in reversed(parts):
+            h = found[p][at : at + n]
+            out = h if out is None else out * np.uint64(pow(_BASE, p, 1 << 64)) + h
+            at += p
+    return out
+
+
+def sorted_shard(symbol: np.ndarray, after: np.ndarray, lo: int, hi: int, depth: int) -> np.ndarray:
+    """The rotations lo..hi of one shard in the order of their first ``depth`` symbols, from the last symbol to the first."""
+    steps = [np.arange(lo, hi)]
+    for _ in range(depth - 1):
+        steps.append(after[steps[-1]])
+    order = np.arange(hi - lo)
+    for step in reversed(steps):
+        order = order[stable_order(symbol[step[order]])]
+    return order + lo
 
 
-def repeated_windows(segments: list[bytes], length: int, shard_bytes: int = 1 << 18) -> list[np.ndarray]:
-    """Per segment, whether the string of ``length`` bytes from each position occurs again in any of the segments.
+def merged_prefixes(transform: np.ndarray, shard: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merge the transforms of shards, laid end to end: the rank of each of their places, and per rank the common prefix.
 
-    The segments are cut into shards, each shard's rotations are sorted by as many symbols as make up ``length``, and the
-    shards' transforms are merged by refining their interleave: round j takes the symbols before the rotations in the
-    order of round j - 1, sorts them stably, and so gets the order by j symbols from the transforms alone. Where the
-    symbol or the group of the round before changes, the common prefix ends; the groups that are left after the last round
-    share ``length`` bytes, and those of two or more are the repeated intervals.
+    Round j takes the symbols before the rotations in the interleave of round j - 1, sorts them stably, and so gets the
+    interleave by j symbols from the transforms alone; no suffix is compared or sorted again. The round in which two
+    neighbouring ranks first part gives the length in symbols, at most ``depth``, of their common prefix.
     """
-    depth = length // SYMBOL
-    n = np.array([len(s) for s in segments])
-    shards = (np.cumsum(n) - 1) // shard_bytes
-    p, owner, symbol, after, before, shard = shard_transforms(segments, shards)
-    # each shard's own order, from the last symbol to the first, then by shard
-    chain = [np.arange(len(p))]
-    for _ in range(depth - 1):
-        chain.append(after[chain[-1]])
-    order = np.arange(len(p))
-    for step in reversed(chain):
-        order = order[stable_order(symbol[step][order])]
-    order = order[np.argsort(shard[order].astype(np.int32), kind="stable")]
-    transform = symbol[before[order]]
-    del chain
-
-    interleave = shard[order].astype(np.int32)
-    group = np.zeros(len(order), np.int64)
-    for _ in range(depth):
-        places = np.argsort(interleave, kind="stable")
-        now = np.empty(len(order), np.int64)
-        now[places] = transform
+    n = len(transform)
+    interleave, group, prefix = shard, np.zeros(n, np.int32), np.full(n, depth, np.int16)
+    prefix[:1] = 0
+    for j in range(1, depth + 1):
+        now = np.empty(n, transform.dtype)
+        now[np.argsort(interleave, kind="stable")] = transform
         to = stable_order(now)
         interleave, now, was = interleave[to], now[to], group[to]
-        group = np.cumsum(np.concatenate([[0], (now[1:] != now[:-1]) | (was[1:] != was[:-1])]))
-    places = np.argsort(interleave, kind="stable")
-    size = np.bincount(group)[group]
-    again = np.empty(len(order), bool)
-    again[order] = (size > 1)[places]
-    again &= p <= n[owner] - length
+        parts = (now[1:] != now[:-1]) | (was[1:] != was[:-1])
+        prefix[1:][parts & (prefix[1:] == depth)] = j - 1
+        group = np.concatenate([[0], np.cumsum(parts, dtype=np.int32)]).astype(np.int32)[:n]
+    return np.argsort(interleave, kind="stable"), prefix
+
+
+def repeated_windows(segments: list[bytes], length: int, weights: list[int] | None = None, shard_bytes: int = 1 << 17) -> list[np.ndarray]:
+    """Per segment, whether the string of ``length`` bytes from each position occurs again, in any segment or in a copy of its own.
+
+    A segment is a set of strings, one per phase, of symbols of equal size, each closed by its own end; its rotations start
+    at every position and at the ends. Segments are dealt out to shards of about ``shard_bytes``; every shard is sorted on
+    its own by as many symbols as make up ``length`` and gives its transform, the symbols before its rotations in that
+    order. The transforms are merged by refining their interleave; ranks with a common prefix of ``length`` bytes form the
+    repeated intervals, and an interval repeats if its segments weigh two or more (``weights``: copies of each segment).
+    """
+    size = symbol_bytes(length)
+    depth = length // size
+    n = np.array([len(s) for s in segments], np.int64)
+    # segment k has n[k] + 1 rotations: n - size + 1 that start with a symbol, size that start with an end
     base = np.concatenate([[0], np.cumsum(n + 1)])
+    owner = np.repeat(np.arange(len(n), dtype=np.int32), n + 1)
+    p = (np.arange(base[-1]) - base[owner]).astype(np.int32)
+    is_end = p > (n[owner] - size)
+    joined = np.frombuffer(b"".join(segments) + bytes(size), np.uint8)
+    hashes = symbol_hashes(joined, size)
+    symbol = np.zeros(len(p), np.int32)
+    starts = np.flatnonzero(~is_end)
+    symbol[starts] = np.unique(hashes[starts - owner[starts]], return_inverse=True)[1] + 1
+    del joined, hashes, starts
+    after = np.where(is_end, base[owner] + p % size, np.arange(len(p)) + size).astype(np.int32)
+    before = np.empty_like(after)
+    before[after] = np.arange(len(after), dtype=np.int32)
+    shard = ((np.cumsum(n) - 1) // shard_bytes).astype(np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(n)]
+    order = np.concatenate([sorted_shard(symbol, after, base[a], base[e], depth) for a, e in zip(cuts, cuts[1:], strict=False)])
+    own = np.repeat(np.arange(len(cuts) - 1, dtype=np.uint16), [base[e] - base[a] for a, e in zip(cuts, cuts[1:], strict=False)])
+    ranks, prefix = merged_prefixes(symbol[before[order]], own, depth)
+    interval = np.cumsum(prefix < depth) - 1
+    weight = np.ones(len(n)) if weights is None else np.array(weights, float)
+    total = np.bincount(interval[ranks], weight[owner[order]])
+    again = np.zeros(len(order), bool)
+    again[order] = total[interval[ranks]] > 1
+    again &= p <= n[owner] - length
     return [again[base[k] : base[k] + n[k] - length + 1] for k in range(len(n))]
 
 
@@ -157,23 +192,33 @@ def intervals(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, text: str = "text", chunk_bytes: int = 2 << 20) -> DataFrame:
+def repeated_spans(
+    docs: DataFrame, length: int = 400, text: str = "text", chunk_bytes: int = 1 << 20, hot_bytes: int = 1 << 19
+) -> DataFrame:
     """doc_id, th (hash of the text) and spans: windows [start, end) of every document whose ``length`` bytes occur elsewhere.
 
     Every window is named by its smallest hashed piece, which equal windows share. Names seen once rule a window out;
-    the rest come in runs of windows with one name. Runs with equal bytes form a class, known by name and content hash; a
-    class of two or more is repeated as a whole, and one text of each class, of names with several classes or with a
-    piece that repeats inside one run, goes to the merge of transforms, which finds what classes share. Names are
-    dealt out by hash; a class counts once however many copies it has.
+    the rest come in runs of windows with one name. Runs with equal bytes form a class, known by name and content hash,
+    and one text of each class, with its number of copies, goes to the merge of transforms, which finds what repeats.
+    Names are dealt out by hash. A name whose classes have more than ``hot_bytes`` is split: its windows are named anew by
+    what surrounds the piece, names with one window drop out, and those that are still hot by all bytes of the window; so
+    no task holds much more than ``chunk_bytes`` of segments, however many documents share a passage.
     """
+    if length < 2:
+        raise ValueError("length must be at least 2")
     spark = docs.sparkSession
+    piece = piece_bytes(length)
     body = F.col(text).cast("string")
     source = docs.select("doc_id", F.xxhash64(body).alias("th"), body.alias("text"))
 
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+        for b in byte_slices(batches, "text", 1 << 20):
+            yield b, [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
+
     def name_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _chunks(batches):
+        for _, texts in chunks(batches):
             _, _, v, key, first, last = window_runs(texts, length)
-            width = length - PIECE
+            width = length - piece
             times = np.array([np.count_nonzero(v[a : b + width] == k) for k, a, b in zip(key, first.tolist(), last.tolist(), strict=True)], np.int64)
             names, at = np.unique(key, return_inverse=True)
             n = np.bincount(at, times, len(names)).astype(np.int64)
@@ -190,14 +235,14 @@ def repeated_spans(docs: DataFrame, length: int = 400, text: str = "text", chunk
 
     def named_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = seen.value
-        for b, texts in _chunks(batches):
+        for b, texts in chunks(batches):
             joined, ends, v, key, first, last = window_runs(texts, length)
             place = (key & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
             hit = (filter_[place >> 6] >> (place & 63)) & 1 == 1
             key, first, last = key[hit], first[hit], last[hit]
             doc = np.searchsorted(ends, first, "right")
             start = ends[doc] - np.array([len(t) for t in texts], np.int64)[doc]
-            view, width = memoryview(joined), length - PIECE
+            view, width = memoryview(joined), length - piece
             pairs = list(zip(key, first.tolist(), last.tolist(), strict=True))
             inner = [np.count_nonzero(v[a : e + width] == k) > 1 for k, a, e in pairs]
             content = np.array([xxhash.xxh3_64_intdigest(view[a : e - 1 + length]) for _, a, e in pairs], np.uint64)
@@ -211,45 +256,78 @@ def repeated_spans(docs: DataFrame, length: int = 400, text: str = "text", chunk
     runs = stored(source.mapInArrow(named_runs, "doc_id long, th long, key long, content long, first int, last int, inner boolean"), "repeat-runs")
     one = [F.first(c).alias(c) for c in ("doc_id", "th", "first", "last", "inner")]
     classes = stored(runs.groupBy("key", "content").agg(F.count(F.lit(1)).alias("copies"), *one), "repeat-classes")
-    open_ = classes.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max("inner").alias("any")).where("k > 1 OR any").select("key")
-    wanted = classes.join(open_, "key").groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "content", "first", "last")).alias("runs"))
+    load = F.sum(F.col("last") - F.col("first") + (length - 1))
+    open_ = classes.groupBy("key").agg(F.sum("copies").alias("n"), F.max("inner").alias("any"), load.alias("load")).where("n > 1 OR any")
+    open_ = open_.select("key", (F.col("load") > hot_bytes).alias("hot"))
+    wanted = classes.join(open_, "key").groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "content", "copies", "hot", "first", "last")).alias("runs"))
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
     texts = source.join(wanted, same(source, wanted)).select("text", "runs")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for t, runs in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("runs").to_pylist(), strict=True):
-                out += [(r["key"], r["content"], t[r["first"] : r["last"] - 1 + length]) for r in runs]
-            key, content, part = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(content, pa.int64()), pa.array(part, pa.binary())], ["key", "content", "part"])
-
-    segments = texts.mapInArrow(cut_out, "key long, content long, part binary")
-    dealt = segments.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "content")
+        kinds = {"key": pa.int64(), "content": pa.int64(), "copies": pa.int64(), "hot": pa.bool_()}
+        for b in byte_slices(batches, "text", 1 << 20):
+            rows, part = [], []
+            for t, own in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("runs").to_pylist(), strict=True):
+                rows += own
+                part += [t[r["first"] : r["last"] - 1 + length] for r in own]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in kinds.items()] + [pa.array(part, pa.binary())], [*kinds, "part"])
+
+    segments = stored(texts.mapInArrow(cut_out, "key long, content long, copies long, hot boolean, part binary"), "repeat-segments")
+    names = ["name", "key", "content", "base", "copies", "part"]
+    cool = segments.where("NOT hot").select(F.col("key").alias("name"), "key", "content", F.lit(0).alias("base"), "copies", "part")
+
+    def renamed(band: int):
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in byte_slices(batches, "part", 1 << 18):
+                for key, content, base, copies, part in zip(*(b.column(c).to_pylist() for c in ("key", "content", "base", "copies", "part")), strict=True):
+                    found = named_anew(part, key % (1 << 64), length, band)
+                    name, a, e = (np.array(x, np.uint64) for x in zip(*found, strict=True))
+                    same = lambda v, n=len(found), kind=np.int64: pa.array(np.full(n, v, kind))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(name.view(np.int64)), same(key), same(content), same(base, kind=np.int32), same(copies), pa.array(a.astype(np.int32)), pa.array(e.astype(np.int32))],
+                        ["name", "key", "content", "base", "copies", "a", "b"],
+                    )
+
+        return split
+
+    anew = "name long, key long, content long, base int, copies long, a int, b int"
+    marks = None
+    if not segments.where("hot").isEmpty():
+        parts = stored(segments.where("hot").dropDuplicates(["key", "content"]).withColumn("base", F.lit(0)), "repeat-hot")
+        split = stored(parts.mapInArrow(renamed(BAND), anew), "repeat-renamed")
+        several = split.groupBy("name").agg(F.sum("copies").alias("n"), F.sum(F.col("b") - F.col("a") + (length - 1)).alias("load")).where("n > 1")
+        again = split.join(several.select("name", (F.col("load") > hot_bytes).alias("hotter")), "name").drop("copies", "base")
+        cut = F.substring("part", F.col("a") + 1, F.col("b") - F.col("a") + (length - 1))
+        again = stored(again.join(parts, ["key", "content"]).select("name", "key", "content", F.col("a").alias("base"), "copies", cut.alias("part"), "hotter"), "repeat-split")
+        cool = cool.unionByName(again.where("NOT hotter").select(*names))
+        windows = again.where("hotter").mapInArrow(renamed(1), anew)
+        twice = windows.groupBy("name").agg(F.sum("copies").alias("n")).where("n > 1").select("name")
+        marks = windows.join(twice, "name").select("key", "content", (F.col("base") + F.col("a")).alias("a"), (F.col("base") + F.col("b")).alias("b"))
+
+    dealt = cool.repartition(shuffle_partitions(spark), "name").sortWithinPartitions("name", "key", "content", "base")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(rows: list[tuple]) -> pa.RecordBatch:
-            # repeated rows of one id bring a class twice; it counts once
-            distinct = list({(k, c): (k, c, s) for k, c, s in rows}.values())
-            flags = repeated_windows([s for _, _, s in distinct], length)
-            out = [(k, c, a, e) for (k, c, _), f in zip(distinct, flags, strict=True) for a, e in intervals(f)]
+            flags = repeated_windows([r[-1] for r in rows], length, [r[4] for r in rows])
+            out = [(k, c, base + a, base + e) for (_, k, c, base, _, _), f in zip(rows, flags, strict=True) for a, e in intervals(f)]
             key, content, a, e = map(list, zip(*out, strict=True)) if out else ([], [], [], [])
             return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(content, pa.int64()), pa.array(a, pa.int32()), pa.array(e, pa.int32())], ["key", "content", "a", "b"])
 
         rows, size = [], 0
-        for b in batches:
-            for key, content, part in zip(*(b.column(c).to_pylist() for c in ("key", "content", "part")), strict=True):
-                if size >= chunk_bytes and rows[-1][0] != key:
+        for b in byte_slices(batches, "part"):
+            for row in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+                if size >= chunk_bytes and rows[-1][0] != row[0]:
                     yield found(rows)
                     rows, size = [], 0
-                rows.append((key, content, part))
-                size += len(part)
+                if not rows or rows[-1][:4] != row[:4]:  # repeated rows of one id bring a class twice; it counts once
+                    rows.append(row)
+                    size += len(row[-1])
         if rows:
             yield found(rows)
 
-    shared = dealt.mapInArrow(merge, "key long, content long, a int, b int")
-    whole = classes.where("copies > 1").select("key", "content", F.lit(0).alias("a"), (F.col("last") - F.col("first")).alias("b"))
-    marks = stored(whole.unionByName(shared).groupBy("key", "content").agg(F.collect_list(F.struct("a", "b")).alias("marks")), "repeat-marks")
+    shared = dealt.select(*names).mapInArrow(merge, "key long, content long, a int, b int")
+    shared = shared.unionByName(marks) if marks is not None else shared
+    marks = stored(shared.groupBy("key", "content").agg(F.collect_list(F.struct("a", "b")).alias("marks")), "repeat-marks")
     spans = F.transform("marks", lambda m: F.struct((F.col("first") + m["a"]).alias("start"), (F.col("first") + m["b"] - 1 + length).alias("end")))
     placed = runs.join(marks, ["key", "content"]).select("doc_id", "th", spans.alias("spans"))
     return placed.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
@@ -266,20 +344,22 @@ def covered(spans: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", **limits: int) -> DataFrame:
     """Return doc_id, n_bytes, removed (array of byte ranges) and kept (the remaining bytes) for every row of ``docs``.
 
-    Null texts are empty. Repeated rows repeat each other, so all of what reaches ``length`` goes; rows are told apart by
-    id and text. Extra columns are ignored; without rows there are none.
+    ``limits``: chunk_bytes and hot_bytes of ``repeated_spans``; they bound a task's memory and never change the result.
+
+    Null texts are empty, long ones are read in slices of some megabytes. Repeated rows repeat each other, so all of what
+    reaches ``length`` goes; rows are told apart by id and text. Extra columns are ignored; without rows there are none.
     """
-    found = stored(repeated_spans(docs, length, text), "repeat-spans").withColumnsRenamed({"doc_id": "_d", "th": "_th"})
+    found = stored(repeated_spans(docs, length, text, **limits), "repeat-spans").withColumnsRenamed({"doc_id": "_d", "th": "_th"})
     body = F.col(text).cast("string")
     rows = docs.select("doc_id", F.xxhash64(body).alias("th"), body.alias("text"))
     both = rows.join(found, rows["doc_id"].eqNullSafe(found["_d"]) & (rows["th"] == found["_th"]), "left").select("doc_id", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for b in batches:
+        for b in byte_slices(batches, "text"):
             n, gone, kept = [], [], []
             for t, spans in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist(), strict=True):
                 t, holes = t or b"", covered(spans or [])

@@ -14,7 +14,7 @@ from spanloom.llm.mixing import mix
 from spanloom.llm.near_duplicates import near_duplicates, shared_counts
 from spanloom.llm.packing import hilbert_key, pack
 from spanloom.llm.quality_rules import apply_quality_rules, fit_quality_rules, text_profile
-from spanloom.llm.repeated_strings import remove_repeats
+from spanloom.llm.repeated_strings import remove_repeats, repeated_windows
 from spanloom.llm.secrets import CharCNN, base_spans, candidates, find_base, fit_network, mask_secrets, regions, scan_secrets
 from spanloom.llm.site_quality import site_quality
 from spanloom.llm.token_files import read_token_files, write_token_files
@@ -194,6 +194,39 @@ def brute_repeats(rows, length):
     return marks
 
 
+def passages(length, n, seed=3):
+    """Random texts that share passages a little shorter and a little longer than ``length``, and copies of each other."""
+    r = np.random.default_rng(seed)
+    pool = [bytes(r.integers(97, 101, length + int(k)).astype(np.uint8)) for k in r.integers(-12, 25, 6)]
+    out = []
+    for _ in range(n):
+        parts = [bytes(r.integers(97, 123, int(r.integers(0, length))).astype(np.uint8)), pool[r.integers(len(pool))], bytes(r.integers(97, 123, 9).astype(np.uint8))]
+        out.append(b"".join(parts * int(r.integers(1, 3))))
+    return out + out[:3]
+
+
+@pytest.mark.parametrize("length", [30, 64, 100, 101, 400])
+def test_merged_transforms(length):
+    segments = [s for s in passages(length, 40) if len(s) >= length]
+    count = Counter(s[i : i + length] for s in segments for i in range(len(s) - length + 1))
+    for shard_bytes in (1 << 10, 1 << 30):  # many shards, one shard
+        for s, flags in zip(segments, repeated_windows(segments, length, None, shard_bytes), strict=True):
+            assert flags.tolist() == [count[s[i : i + length]] > 1 for i in range(len(s) - length + 1)]
+    weighed = repeated_windows([segments[0], b"x" * length], length, [2, 1])
+    assert weighed[0].all() and not weighed[1].any()
+
+
+@pytest.mark.parametrize("length", [50, 100, 400])
+def test_hot_passage(spark, length):
+    """Names are split on both levels and give what brute force gives."""
+    texts = passages(length, 60, seed=length)
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    marks = brute_repeats(texts, length)
+    for hot_bytes in (1 << 19, 4 * length, 1):
+        for x in remove_repeats(df, length, hot_bytes=hot_bytes).collect():
+            assert bytes(x.kept) == bytes(b for b, gone in zip(texts[x.doc_id], marks[x.doc_id], strict=True) if not gone)
+
+
 def test_repeated_strings(spark, odd, empty):
     r = np.random.default_rng(3)
     word = lambda n: " ".join(f"{x:x}" for x in r.integers(0, 1 << 24, n))
