@@ -47,7 +47,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 def mix(
     docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2,
-    tilt: float = 0.25, seed: str = "mix", buckets: int = 1024,
+    tilt: float = 0.25, seed: str = "mix", steps: int = 64, levels: int = 3,
 ) -> DataFrame:
     """Return doc_id, source, size, source_size, target, copies and taken (copies * size) for every row of ``docs``.
 
@@ -55,11 +55,12 @@ def mix(
     m = rate * (1 + slope * (x - mean of x by words)), so that the expected words of a source are its target and no m
     leaves [0, most]. floor(m) copies are certain. For the rest, documents are ranked by u / (1 - u) divided by
     l / (1 - l) with l the fraction of m and u a hash of the id, and taken in that order until the source's target is
-    met (the last one only if that comes nearer). Running sums go over (source, rank bucket) aggregates first, and only
-    the one bucket of each source in which the target is met is ordered row by row.
+    met (the last one only if that comes nearer). Running sums go over (source, rank) aggregates, ``steps`` at a time on each
+    of ``levels`` levels, and only the last level's one cell in which the target is met, a share of 1 / steps**levels of a
+    source's documents, is ordered row by row.
 
     Null texts have size 0; rows of one id are told apart by size, and full repeats by an arbitrary but fixed order,
-    which changes none of the returned values. Extra columns are ignored.
+    which changes none of the returned values. Extra columns are ignored; an empty table gives none.
     """
     size = word_count(F.col(text))
     bits = lambda n: F.length(F.bin(n)).cast("long")
@@ -88,28 +89,32 @@ def mix(
     # q / (1 + q) of the Pareto rank q keeps the order and lies in (0, 1); documents without a fraction come last
     odds = (F.col("u") / (1 - F.col("u"))) * (1 - F.col("l")) / F.col("l")
     ranked = ranked.withColumn("rank", F.when(F.col("l") > 0, odds / (1 + odds)))
-    ranked = ranked.withColumn("bucket", F.least(F.floor(F.col("rank") * buckets), F.lit(buckets - 1)).cast("int"))
-
-    sums = ranked.groupBy("source", "bucket").agg(
-        F.sum("size").alias("words"), F.sum(F.col("size") * F.col("whole")).alias("certain"), F.max("target").alias("target")
-    )
-    running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    need = F.col("target") - F.sum("certain").over(Window.partitionBy("source"))
-    edges = (
-        sums.withColumn("need", need)
-        .where("bucket IS NOT NULL")
-        .withColumn("upto", F.sum("words").over(running))
-        .groupBy("source")
-        .agg(
-            F.max("need").alias("need"),
-            F.min(F.when(F.col("upto") >= F.col("need"), F.struct("bucket", (F.col("upto") - F.col("words")).alias("before")))).alias("edge"),
-        )
-        .select(F.col("source").alias("_s"), "need", F.col("edge.bucket").alias("edge"), F.col("edge.before").alias("before"))
+    cells = steps**levels
+    ranked = ranked.withColumn("cell", F.least(F.floor(F.col("rank") * cells), F.lit(cells - 1)).cast("int"))
+
+    sums = stored(
+        ranked.groupBy("source", "cell").agg(
+            F.sum("size").alias("words"), F.sum(F.col("size") * F.col("whole")).alias("certain"), F.max("target").alias("target")
+        ),
+        "mix-cells",
     )
+    edges = sums.groupBy("source").agg((F.max("target") - F.sum("certain")).alias("need"))
+    edges = edges.select(F.col("source").alias("_s"), "need", F.lit(0).cast("long").alias("before"), F.lit(0).alias("edge"))
+    running = Window.partitionBy("_s").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for k in range(levels - 1, -1, -1):
+        # the step of the edge found so far, out of ``steps``, in which the running sum reaches the need
+        width = steps**k
+        inside = sums.join(edges, sums["source"].eqNullSafe(edges["_s"]) & sums["cell"].between(edges["edge"], edges["edge"] + (width * steps - 1)))
+        step = F.floor((F.col("cell") - F.col("edge")) / width).cast("int")
+        summed = inside.groupBy("_s", "need", "before", "edge", step.alias("step")).agg(F.sum("words").alias("words"))
+        summed = summed.withColumn("upto", F.col("before") + F.sum("words").over(running)).where("upto >= need")
+        first = F.min(F.struct("step", (F.col("upto") - F.col("words")).alias("before"))).alias("at")
+        found = summed.groupBy("_s", "need", "edge").agg(first)
+        edges = found.select("_s", "need", F.col("at.before").alias("before"), (F.col("edge") + F.col("at.step") * width).alias("edge"))
     placed = ranked.join(edges, ranked["source"].eqNullSafe(edges["_s"]), "left").drop("_s")
-    on_edge = F.col("bucket").isNotNull() & (F.col("bucket") == F.col("edge"))
+    on_edge = F.col("cell").isNotNull() & (F.col("cell") == F.col("edge"))
     sure = placed.where(F.coalesce(~on_edge, F.lit(True))).withColumn(
-        "extra", (F.col("bucket").isNotNull() & (F.col("edge").isNull() | (F.col("bucket") < F.col("edge")))).cast("long")
+        "extra", (F.col("cell").isNotNull() & (F.col("edge").isNull() | (F.col("cell") < F.col("edge")))).cast("long")
     )
     in_order = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     done = F.col("before") + F.coalesce(F.sum("size").over(in_order), F.lit(0))

@@ -258,7 +258,8 @@ def repeated_spans(
     classes = stored(runs.groupBy("key", "content").agg(F.count(F.lit(1)).alias("copies"), *one), "repeat-classes")
     load = F.sum(F.col("last") - F.col("first") + (length - 1))
     open_ = classes.groupBy("key").agg(F.sum("copies").alias("n"), F.max("inner").alias("any"), load.alias("load")).where("n > 1 OR any")
-    open_ = open_.select("key", (F.col("load") > hot_bytes).alias("hot"))
+    # stored, so that a hot name's rows are dealt anew by the joins below
+    open_ = stored(open_.select("key", (F.col("load") > hot_bytes).alias("hot")), "repeat-open")
     wanted = classes.join(open_, "key").groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "content", "copies", "hot", "first", "last")).alias("runs"))
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
     texts = source.join(wanted, same(source, wanted)).select("text", "runs")
@@ -296,12 +297,13 @@ def repeated_spans(
         parts = stored(segments.where("hot").dropDuplicates(["key", "content"]).withColumn("base", F.lit(0)), "repeat-hot")
         split = stored(parts.mapInArrow(renamed(BAND), anew), "repeat-renamed")
         several = split.groupBy("name").agg(F.sum("copies").alias("n"), F.sum(F.col("b") - F.col("a") + (length - 1)).alias("load")).where("n > 1")
-        again = split.join(several.select("name", (F.col("load") > hot_bytes).alias("hotter")), "name").drop("copies", "base")
+        several = stored(several.select("name", (F.col("load") > hot_bytes).alias("hotter")), "repeat-several")
+        again = split.join(several, "name").drop("copies", "base")
         cut = F.substring("part", F.col("a") + 1, F.col("b") - F.col("a") + (length - 1))
         again = stored(again.join(parts, ["key", "content"]).select("name", "key", "content", F.col("a").alias("base"), "copies", cut.alias("part"), "hotter"), "repeat-split")
         cool = cool.unionByName(again.where("NOT hotter").select(*names))
-        windows = again.where("hotter").mapInArrow(renamed(1), anew)
-        twice = windows.groupBy("name").agg(F.sum("copies").alias("n")).where("n > 1").select("name")
+        windows = stored(again.where("hotter").mapInArrow(renamed(1), anew), "repeat-windows")
+        twice = stored(windows.groupBy("name").agg(F.sum("copies").alias("n")).where("n > 1").select("name"), "repeat-twice")
         marks = windows.join(twice, "name").select("key", "content", (F.col("base") + F.col("a")).alias("a"), (F.col("base") + F.col("b")).alias("b"))
 
     dealt = cool.repartition(shuffle_partitions(spark), "name").sortWithinPartitions("name", "key", "content", "base")
