@@ -290,6 +290,6 @@ def validate(label: Column, value: Column, table: dict[str, Validator] | None =
     """One CASE over the label; null for labels without a validator."""
     out: Column | None = None
     for name, check in (table or COMMON).items():
-        found = check(value) if name != "IP_ADDRESS" else ip(value, v6)
+        found = ip(value, v6) if check is ip else check(value)
         out = F.when(label == name, found) if out is None else out.when(label == name, found)
     return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +29,14 @@ def sample_plan(spark, n_docs: int, samples: int, seed: str, domain: str = "boot
     return draws.groupBy("sample", "index").agg(F.count(F.lit(1)).alias("times"))
 
 
-def indexed(stats: DataFrame) -> DataFrame:
-    """Add index, 0 to n - 1 in doc_id order: ranks within ranges, offset by the counts of the ranges before."""
+def indexed(stats: DataFrame, store: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Add index, 0 to n - 1 in doc_id order: ranks within ranges, offset by the counts of the ranges before.
+
+    ``store`` writes the ranged rows, so that both uses see the same ranges.
+    """
     from pyspark.sql import Window
 
-    ranged = stats.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id").withColumn("_part", F.spark_partition_id())
+    ranged = store(stats.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id").withColumn("_part", F.spark_partition_id()))
     local = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy("doc_id")) - 1)
     sizes = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row per partition
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
@@ -64,7 +69,77 @@ def paired_difference(a: DataFrame, b: DataFrame, level: float = 0.95) -> DataFr
     )
 
 
-def superiority_gate(diff: DataFrame, clean_diff: DataFrame, margin: float = 0.005, most: float = 0.05) -> DataFrame:
-    """F1 superiority (low > 0), and a clean-document rate that is within ``margin`` of the other's and at most ``most``."""
-    c = clean_diff.select(F.col("low").alias("c_low"), F.col("rate").alias("rate"))
-    return diff.join(c).select((F.col("low") > 0).alias("superior"), (F.col("c_low") + margin >= 0).alias("not_inferior"), (F.col("rate") <= most).alias("below_most"))
+def stratified_plan(spark, sizes: dict[str, int], samples: int, seed: str, domain: str = "bootstrap") -> DataFrame:
+    """(sample, stratum, index, times): every sample draws as many documents of each stratum as it has, strata in the given order."""
+    n = sum(sizes.values())
+    at, place, size, end = F.pmod("id", F.lit(max(1, n))), F.lit(None).cast("string"), F.lit(1), n
+    for name, k in reversed(sizes.items()):
+        here = (at >= end - k) & (at < end)
+        place, size, end = F.when(here, F.lit(name)).otherwise(place), F.when(here, F.lit(k)).otherwise(size), end - k
+    rows = spark.range(samples * n).select((F.col("id") / max(1, n)).cast("bigint").alias("sample"), place.alias("stratum"), counter_draw(seed, domain, F.col("id"), size).alias("index"))
+    return rows.groupBy("sample", "stratum", "index").agg(F.count(F.lit(1)).alias("times"))
+
+
+#: Margin and ceiling of the clean-document rate.
+MARGIN, MOST = 0.005, 0.05
+
+
+def three_metrics(docs: DataFrame, gold: DataFrame, system: DataFrame, drawn: DataFrame, n_labels: int) -> DataFrame:
+    """(sample, micro, macro, clean_rate) of one system over drawn(sample, doc_id, clean, times)."""
+    from spanloom.operators.evaluation import _sums, outcomes
+
+    per = outcomes(gold, system).groupBy("doc_id", "label").agg(*_sums())
+    sums = drawn.join(per, "doc_id").groupBy("sample", "label").agg(*[F.sum(F.col("times") * F.col(c)).alias(c) for c in ("tp", "fp", "fn")])
+    f1 = lambda tp, fp, fn: ratio(2 * tp, 2 * tp + fp + fn)
+    total = [F.sum(c) for c in ("tp", "fp", "fn")]
+    scores = sums.groupBy("sample").agg(f1(*total).alias("micro"), (F.sum(f1(F.col("tp"), F.col("fp"), F.col("fn"))) / n_labels).alias("macro"))
+    hit = system.select("doc_id").distinct().withColumn("_hit", F.lit(1))
+    clean = drawn.where("clean").join(hit, "doc_id", "left").groupBy("sample").agg(
+        ratio(F.sum(F.when(F.col("_hit").isNotNull(), F.col("times")).otherwise(0)), F.sum("times")).alias("clean_rate")
+    )
+    every = drawn.select("sample").distinct()
+    return every.join(scores, "sample", "left").join(clean, "sample", "left").na.fill(0.0, ["micro", "macro"])
+
+
+def superiority(
+    docs: DataFrame, gold: DataFrame, candidate: DataFrame, comparator: DataFrame, samples: int, seed: str,
+    store: Callable[[DataFrame], DataFrame] = lambda df: df, level: float = 0.95,
+) -> DataFrame:
+    """One row per metric: interval of what the candidate gains, and whether its gate holds.
+
+    Documents are drawn within strata (with gold, clean). Micro and macro F1 must gain (low > 0); the rate of clean documents
+    with a finding must not be worse by more than MARGIN (low of comparator - candidate + MARGIN at least 0) nor above MOST.
+    """
+    from spanloom.operators.datasets import ranked_in_order
+
+    spark = docs.sparkSession
+    has = gold.select("doc_id").distinct().withColumn("_g", F.lit(1))
+    base = docs.select("doc_id").join(has, "doc_id", "left").select("doc_id", F.when(F.col("_g").isNull(), F.lit("clean")).otherwise(F.lit("gold")).alias("stratum"))
+    ranked = ranked_in_order(base, ["stratum"], F.floor(F.col("doc_id") / (1 << 16)), ["doc_id"])
+    found = {r["stratum"]: r["n"] for r in base.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).collect()}
+    plan = stratified_plan(spark, {k: found[k] for k in ("gold", "clean") if k in found}, samples, seed)
+    on = (plan["stratum"] == ranked["stratum"]) & (plan["index"] == ranked["_rank"] - 1)
+    drawn = store(plan.join(ranked.drop("_total"), on).select("sample", "doc_id", (ranked["stratum"] == "clean").alias("clean"), "times"))
+    labels = gold.select("label").unionByName(candidate.select("label")).unionByName(comparator.select("label")).distinct().count()
+    a, b = (three_metrics(docs, gold, s, drawn, max(1, labels)) for s in (candidate, comparator))
+    both = a.select("sample", *[F.col(c).alias(f"a_{c}") for c in ("micro", "macro", "clean_rate")]).join(b, "sample")
+    gain = [F.struct(F.lit(m).alias("metric"), (F.col(f"a_{m}") - F.col(m)).alias("d")) for m in ("micro", "macro")]
+    gain.append(F.struct(F.lit("clean_rate").alias("metric"), (F.col("clean_rate") - F.col("a_clean_rate") + MARGIN).alias("d")))
+    rows = both.select(F.inline(F.array(*gain)))
+    tail = (1 - level) / 2
+    out = rows.groupBy("metric").agg(F.percentile("d", F.lit(tail)).alias("low"), F.percentile("d", F.lit(1 - tail)).alias("high"), F.count(F.lit(1)).alias("samples"))
+    own = stratified_rate(docs, gold, candidate)
+    gate = F.when(F.col("metric") == "clean_rate", (F.col("low") >= 0) & (F.lit(own) <= MOST)).otherwise(F.col("low") > 0)
+    return out.select("metric", "low", "high", "samples", gate.alias("passed"))
+
+
+def stratified_rate(docs: DataFrame, gold: DataFrame, system: DataFrame) -> float:
+    """Share of documents without gold in which the system finds something; 0 without such documents."""
+    clean = docs.select("doc_id").join(gold.select("doc_id").distinct(), "doc_id", "left_anti")
+    hit = system.select("doc_id").distinct().withColumn("_hit", F.lit(1))
+    return float(clean.join(hit, "doc_id", "left").agg(F.coalesce(F.avg(F.col("_hit").isNotNull().cast("double")), F.lit(0.0))).first()[0])
+
+
+def passes_all(gates: DataFrame) -> DataFrame:
+    """gates(comparator, metric, passed): whether the candidate passes each comparator's gates, and all of them (comparator null)."""
+    return gates.rollup("comparator").agg(F.bool_and("passed").alias("passed"), F.count(F.lit(1)).alias("n_gates"))

@@ -30,7 +30,7 @@ def examples(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return pred.join(g, SPAN, "left").select("label", "score", F.coalesce("_g", F.lit(False)).alias("positive"))
 
 
-def choose_thresholds(rows: DataFrame, support: DataFrame | None = None, beta: float = 1.0, min_recall: float = 0.0) -> DataFrame:
+def choose_thresholds(rows: DataFrame, support: DataFrame | None = None, beta: float = 1.0, min_recall: float = 0.0, steps: int = 4096) -> DataFrame:
     """Per label the threshold of the greatest (F-beta, recall, precision, threshold) with recall at least ``min_recall``.
 
     One pass: counts per distinct score, running sums from the highest score down, the best struct. Thresholds are the
@@ -41,9 +41,15 @@ def choose_thresholds(rows: DataFrame, support: DataFrame | None = None, beta: f
     ends = per.select("label").distinct().select("label", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("score"))
     zero = F.lit(0).cast("long")
     per = per.unionByName(ends.select("label", "score", zero.alias("pos"), zero.alias("n"))).groupBy("label", "score").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
-    down = Window.partitionBy("label").orderBy(F.col("score").desc())
-    whole = Window.partitionBy("label")
-    runs = per.withColumns({"tp": F.sum("pos").over(down), "hits": F.sum("n").over(down), "own": F.sum("pos").over(whole)})
+    # sums per label and step of the score first, so a label's scores are many tasks
+    per = per.withColumn("_step", F.floor(F.col("score") * steps))
+    sums = per.groupBy(F.col("label").alias("_l"), F.col("_step").alias("_s")).agg(F.sum("pos").alias("_pos"), F.sum("n").alias("_n"))
+    above = Window.partitionBy("_l").orderBy(F.col("_s").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_l", "_s", F.coalesce(F.sum("_pos").over(above), zero).alias("_pos"), F.coalesce(F.sum("_n").over(above), zero).alias("_n"), F.sum("_pos").over(Window.partitionBy("_l")).alias("own"))
+    down = Window.partitionBy("label", "_step").orderBy(F.col("score").desc())
+    runs = per.withColumns({"tp": F.sum("pos").over(down), "hits": F.sum("n").over(down)})
+    runs = runs.join(sums, runs["label"].eqNullSafe(sums["_l"]) & (runs["_step"] == sums["_s"]))
+    runs = runs.withColumns({"tp": F.col("tp") + F.col("_pos"), "hits": F.col("hits") + F.col("_n")})
     if support is not None:
         runs = runs.join(support, "label", "left").withColumn("total", F.greatest(F.coalesce("n_gold", zero), F.col("own")))
     else:

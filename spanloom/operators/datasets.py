@@ -66,20 +66,39 @@ def isolation(edges: DataFrame, splits: DataFrame) -> DataFrame:
     return own.groupBy("kind").agg(F.sum("n").alias("observations"), F.count(F.lit(1)).alias("unique_groups"), F.sum((F.col("s") > 1).cast("long")).alias("collisions"))
 
 
-def greedy_split(components: DataFrame, targets: Mapping[str, float], seed: str) -> DataFrame:
+def ranked_in_order(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str]) -> DataFrame:
+    """Add _rank, 1 to n per ``keys`` in ``order``, without a key in one task: ranks within buckets, offset by the counts of the buckets before.
+
+    ``bucket`` must rise with the order (a prefix of a hash, a block of an index); one row per key and bucket is summed up.
+    """
+    rows = df.withColumn("_bucket", bucket)
+    sizes = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("_n").over(Window.partitionBy(*keys))
+    sizes = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_kb"), before.alias("_before"), total.alias("_total"))
+    own = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
+    on = [rows[k].eqNullSafe(sizes[f"_k{i}"]) for i, k in enumerate(keys)] + [rows["_bucket"] == sizes["_kb"]]
+    return rows.withColumn("_own", own).join(sizes, on).withColumn("_rank", F.col("_own") + F.col("_before")).drop("_own", "_before", "_bucket", "_kb", *[f"_k{i}" for i in range(len(keys))])
+
+
+def greedy_split(
+    components: DataFrame, targets: Mapping[str, float], seed: str, assigned: Mapping[str, int] | None = None, total: int | None = None
+) -> DataFrame:
     """(component, split): components by falling size, each to the split with the most room left.
 
+    ``assigned`` and ``total`` continue a split that was begun elsewhere.
+
     ``components``: component, size. What the driver walks is one row per component size class: components of one
     size are dealt in hashed order, so the assignment needs only how many of each size a split takes, and the rows
     themselves are placed by their rank in a join.
     """
     spark = components.sparkSession
     h = F.sha2(F.concat_ws(":", F.lit(seed), F.col("component").cast("string")), 256)
-    ranked = components.withColumn("_rank", F.row_number().over(Window.partitionBy("size").orderBy(h, "component")) - 1)
-    sizes = sorted(((r["size"], r["n"]) for r in ranked.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
-    total = sum(s * n for s, n in sizes)
-    room = {k: v * total for k, v in targets.items()}
-    assigned = dict.fromkeys(targets, 0)
+    ranked = ranked_in_order(components.withColumn("_h", h), ["size"], F.substring("_h", 1, 3), ["_h", "component"]).withColumn("_rank", F.col("_rank") - 1)
+    sizes = sorted(((r["size"], r["n"]) for r in components.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    total = sum(s * n for s, n in sizes) if total is None else total
+    assigned = dict.fromkeys(targets, 0) | dict(assigned or {})
+    room = {k: v * total - assigned[k] for k, v in targets.items()}
     token = {k: hashlib.sha256(f"{seed}:{k}".encode()).hexdigest() for k in targets}
     ranges = []
     for size, n in sizes:
@@ -102,11 +121,10 @@ def greedy_split(components: DataFrame, targets: Mapping[str, float], seed: str)
 def hash_rank_resplit(docs: DataFrame, strata: Sequence[str], share: float, salt: str, key: str = "doc_id") -> DataFrame:
     """Promote min(n - 1, floor(n * share)) documents of each stratum, none of a lone one, by rank of sha256(salt, 0, id)."""
     h = F.sha2(F.concat(F.lit(salt), F.lit("\0"), F.col(key).cast("string")), 256)
-    w = Window.partitionBy(*strata)
-    n = F.count(F.lit(1)).over(w)
+    ranked = ranked_in_order(docs.select(key, *strata).withColumn("_h", h), list(strata), F.substring("_h", 1, 3), ["_h", key])
+    n = F.col("_total")
     take = F.when(n == 1, F.lit(0)).otherwise(F.least(n - 1, F.floor(n * F.lit(share))))
-    rank = F.row_number().over(w.orderBy(h, key))
-    return docs.select(key, *strata, (rank <= take).alias("promoted"))
+    return ranked.select(key, *strata, (F.col("_rank") <= take).alias("promoted"))
 
 
 def largest_remainder(shares: DataFrame, total: int) -> DataFrame:
@@ -133,17 +151,23 @@ def shingle_rows(docs: DataFrame, text: str, size: int, key: str = "doc_id") ->
 
 
 def near_duplicate_pairs(docs: DataFrame, text: str = "text", size: int = 5, threshold: float = 0.75, key: str = "doc_id") -> DataFrame:
-    """(a, b, shared, na, nb) of documents with Jaccard similarity from ``threshold`` on, exactly, over character n-grams.
+    """(a, b, shared, na, nb) of documents with Jaccard similarity from ``threshold`` on, exactly, over character n-grams."""
+    return near_duplicate_grams(shingle_rows(docs, text, size, key), threshold)
+
+
+def near_duplicate_grams(grams: DataFrame, threshold: float) -> DataFrame:
+    """``near_duplicate_pairs`` over rows (doc_id, n, gram).
 
     Prefix filter: a pair at the threshold must share one of each side's rarest n - ceil(threshold * n) + 1 grams, so only
     those enter the join that makes candidates, whose sizes must fit too; candidates are then counted on all grams.
-    Documents with equal gram sets are compared through one of them.
+    Documents with equal gram sets are a class that its smallest id stands for; the others come as a pair with it.
     """
-    grams = shingle_rows(docs, text, size, key)
     df = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     sets = grams.join(df, "gram").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
-    sets = sets.withColumn("g", F.transform("g", lambda x: x["gram"]))
-    classes = sets.groupBy("g", "n").agg(F.min("doc_id").alias("rep"), F.collect_list("doc_id").alias("members"))
+    sets = sets.withColumn("g", F.transform("g", lambda x: x["gram"])).withColumn("d", F.sha2(F.array_join(F.array_sort("g"), "\0"), 256))
+    reps = sets.groupBy("d", "n").agg(F.min("doc_id").alias("rep"))
+    placed = sets.join(reps, ["d", "n"])
+    classes = placed.where("doc_id = rep").select("rep", "n", "g")
     keep = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1).cast("int")
     prefix = classes.select("rep", "n", F.explode(F.slice("g", F.lit(1), keep)).alias("gram"))
     a = prefix.select("gram", F.col("rep").alias("a"), F.col("n").alias("na"))
@@ -153,9 +177,9 @@ def near_duplicate_pairs(docs: DataFrame, text: str = "text", size: int = 5, thr
     side = lambda s: classes.select(F.col("rep").alias(s), F.col("g").alias(f"g{s}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.size(F.array_intersect("ga", "gb")))
     out = full.where(F.col("shared") >= F.lit(threshold) * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b", "shared", "na", "nb")
-    # members of one class follow each other to their smallest, which is all that components need
-    own = classes.where(F.size("members") > 1).select(F.col("rep").alias("a"), F.explode("members").alias("b"), F.col("n").alias("shared"), F.col("n").alias("na"), F.col("n").alias("nb"))
-    return out.unionByName(own.where("a <> b"))
+    # members of one class follow their smallest, which is all that components need
+    own = placed.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.col("n").alias("shared"), F.col("n").alias("na"), F.col("n").alias("nb"))
+    return out.unionByName(own)
 
 
 def duplicate_groups(docs: DataFrame, value: Column) -> DataFrame:

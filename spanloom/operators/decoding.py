@@ -192,6 +192,15 @@ def code_points(text: Column) -> Column:
     return F.transform(points, lambda c, i: F.struct(i.alias("index"), i.alias("start"), (i + 1).alias("end"), c.alias("value")))
 
 
-def lower_percentile(values: Column, share: float) -> Column:
-    """The element at index int((n - 1) * share) of the sorted array."""
-    return F.get(F.sort_array(values), F.floor((F.size(values) - 1) * F.lit(share)).cast("int"))
+def lower_percentiles(df: DataFrame, key: str, value: str, shares: tuple[float, ...]) -> DataFrame:
+    """Per ``key`` the element at index int((n - 1) * share) of the sorted values, from counts per distinct value."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(key).orderBy(value))
+    rows = counts.withColumns({"_upto": upto, "_all": F.sum("_n").over(Window.partitionBy(key))})
+    at = lambda q: F.min(F.when(F.col("_upto") > F.floor((F.col("_all") - 1) * F.lit(q)), F.col(value)))
+    return rows.groupBy(key).agg(*[at(q).alias(f"p{int(q * 100)}") for q in shares])
+
+
+def to_global(start: Column, end: Column, window_start: Column) -> Column:
+    """Offsets in a window as offsets in its document."""
+    return F.struct((start + window_start).cast("int").alias("start"), (end + window_start).cast("int").alias("end"))

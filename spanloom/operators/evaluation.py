@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -67,30 +67,29 @@ def overlapping_pairs(gold: DataFrame, pred: DataFrame) -> DataFrame:
 MATCH = "doc_id string, g_start int, g_end int, g_label string, p_start int, p_end int, p_label string"
 
 
-def _matching(edges: list[tuple[int, int]], n: int) -> dict[int, int]:
-    """Most pairs with each side used once: right node by left node, trying left nodes and their edges in the order given."""
-    beside: dict[int, list[int]] = {}
-    for a, b in edges:
-        beside.setdefault(a, []).append(b)
-    owner: dict[int, int] = {}
-    for root in range(n):
-        came, queue, seen, end = {}, [root], set(), None
-        while queue and end is None:  # shortest alternating path to a free right node
-            a = queue.pop(0)
-            for b in beside.get(a, ()):
+def _matching(beside: dict, order: Sequence) -> dict:
+    """Most pairs with each side used once, right node by left node: left nodes in ``order``, each along the first augmenting
+    path that a depth-first walk over its partners, in their order, finds."""
+    owner: dict = {}
+    for root in order:
+        seen: set = set()
+        stack, path = [(root, iter(beside[root]))], []
+        while stack:
+            for b in stack[-1][1]:
                 if b in seen:
                     continue
                 seen.add(b)
-                came[b] = a
-                if b not in owner:
-                    end = b
-                    break
-                queue.append(owner[b])
-        while end is not None:
-            a = came[end]
-            before = next((b for b, x in owner.items() if x == a), None)
-            owner[end] = a
-            end = before if before is not None and before in came and a != root else None
+                path.append(b)
+                if b in owner:
+                    stack.append((owner[b], iter(beside[owner[b]])))
+                else:
+                    owner.update((right, left) for (left, _), right in zip(stack, path, strict=True))
+                    stack = []
+                break
+            else:
+                stack.pop()
+                if path:
+                    path.pop()
     return {a: b for b, a in owner.items()}
 
 
@@ -112,14 +111,15 @@ def match_overlaps(gold: DataFrame, pred: DataFrame, minimum: float = 0.0, same_
         for pdf in batches:
             found = []
             for doc, pairs in zip(pdf["doc_id"], pdf["pairs"], strict=True):
-                # exact pairs first, then by falling overlap, then in text order
-                rows = sorted(((p["g_start"], p["g_end"], p["g_label"]), (p["p_start"], p["p_end"], p["p_label"]), p["iou"]) for p in pairs)
-                rows.sort(key=lambda r: (r[0][:2] != r[1][:2], -r[2], r[0][:2], r[1][:2], r[0][2], r[1][2]))
-                left = {k: i for i, k in enumerate(dict.fromkeys(r[0] for r in rows))}
-                right = {k: i for i, k in enumerate(dict.fromkeys(r[1] for r in rows))}
-                names_l, names_r = list(left), list(right)
-                matched = _matching([(left[g], right[p]) for g, p, _ in rows], len(left))
-                found += [(doc, *names_l[g], *names_r[p]) for g, p in matched.items()]
+                rows = [((p["g_start"], p["g_end"], p["g_label"]), (p["p_start"], p["p_end"], p["p_label"]), p["iou"]) for p in pairs]
+                # partners of a span: the exact one first, then by falling overlap, then in text order
+                rows.sort(key=lambda r: (r[0][:2] != r[1][:2], -r[2], r[1]))
+                beside: dict[tuple, list] = {}
+                for g, p, _ in rows:
+                    beside.setdefault(g, []).append(p)
+                # spans with the fewest partners choose first
+                matched = _matching(beside, sorted(beside, key=lambda g: (len(beside[g]), g)))
+                found += [(doc, *g, *p) for g, p in matched.items()]
             yield pd.DataFrame(found, columns=["doc_id", *columns])
 
     gathered = counted.where("NOT _free").groupBy(F.col("g_doc").cast("string").alias("doc_id")).agg(F.collect_list(F.struct(*columns, "iou")).alias("pairs"))
@@ -168,9 +168,12 @@ def boundary_accuracy(gold: DataFrame, pred: DataFrame) -> DataFrame:
                  F.coalesce(F.avg((F.col("g_end") == F.col("p_end")).cast("double")), F.lit(0.0)).alias("end_accuracy"))
 
 
-def confusion(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """(gold label, predicted label, n) over matched overlaps; __MISSED__ and __SPURIOUS__ stand for no partner."""
-    m = match_overlaps(gold, pred)
+def confusion(gold: DataFrame, pred: DataFrame, store: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """(gold label, predicted label, n) over matched overlaps; __MISSED__ and __SPURIOUS__ stand for no partner.
+
+    ``store`` writes the matching, which is read three times, so that it is made once.
+    """
+    m = store(match_overlaps(gold, pred))
     text = lambda df: df.distinct().select(F.col("doc_id").cast("string").alias("doc_id"), "start", "end", "label")
     side = lambda s: m.select("doc_id", F.col(f"{s}_start").alias("start"), F.col(f"{s}_end").alias("end"), F.col(f"{s}_label").alias("label"))
     missed = text(gold).join(side("g"), SPAN, "left_anti").select(F.col("label").alias("gold_label"), F.lit("__MISSED__").alias("pred_label"))

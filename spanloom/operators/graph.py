@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def connected_components(edges: DataFrame, store: Callable[[DataFrame], DataFrame], rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """From edges (a, b): one row (node, component) per node of an edge, component = smallest node reachable.
 
     Alternates two star operations until the edges stop changing: every node hands its larger neighbours, then its
@@ -19,7 +19,7 @@ def connected_components(edges: DataFrame, store: Callable[[DataFrame], DataFram
     wide = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     now = store(wide.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
-    for _ in range(rounds):
+    while True:
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
             break

@@ -147,8 +147,8 @@ def accept(
     routed = route_candidates(c, table)
     if use_validators:
         value = slice_text(F.col("text"), F.col("start"), F.col("end"))
-        checks = V.COMMON | {"CN_VEHICLE_LICENSE_PLATE": V.vehicle_plate}
-        valid = V.validate(F.col("validator"), value, checks, v6=False)["valid"]
+        checks = V.COMMON | {"CN_VEHICLE_LICENSE_PLATE": V.vehicle_plate, "IP_ADDRESS": V.ip_plain}
+        valid = V.validate(F.col("validator"), value, checks)["valid"]
         wanted = F.col("validator").isNotNull() & ((F.col("branch") == "rule") | F.col("needs_validator"))
         routed = routed.where(~wanted | F.coalesce(valid, F.lit(False)))
     disabled = F.array_contains("steps", "route:branch_disabled")

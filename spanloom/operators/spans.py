@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,11 +94,90 @@ def union_spans(*tables: DataFrame, key: str = "doc_id") -> DataFrame:
     return collapse_exact(out, key)
 
 
-def augment(primary: DataFrame, extra: DataFrame, key: str = "doc_id") -> DataFrame:
-    """All of ``primary``, and the spans of ``extra`` that overlap none of them."""
+def fuse_records(rules: DataFrame, model: DataFrame, model_threshold: float = 0.0, keep_nested: bool = False, key: str = "doc_id") -> DataFrame:
+    """Rule and model spans (key, start, end, label, score) fused: rules count as validated, a null score as 1, the model's from a threshold on."""
+    side = lambda df, source, valid: df.select(key, "start", "end", "label", F.coalesce("score", F.lit(1.0)).alias("score"), F.lit(source).alias("source"), F.lit(valid).cast("boolean").alias("valid"))
+    strong = model.where(F.col("score").isNull() | (F.col("score") >= model_threshold))
+    return fuse(side(rules, "rule:cn_common", True).unionByName(side(strong, "qwen", None)), key, keep_nested=keep_nested).select(key, "start", "end", "label", "score")
+
+
+def same_documents(a: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Documents that only one of two record sets has; must be empty before they are fused."""
+    x, y = a.select(key).distinct(), b.select(key).distinct()
+    return x.join(y, key, "left_anti").unionByName(y.join(x, key, "left_anti"))
+
+
+def augment(primary: DataFrame, extra: DataFrame, key: str = "doc_id", labels: Sequence[str] | None = None) -> DataFrame:
+    """All of ``primary``, and the spans of ``extra`` that overlap none of them; ``labels`` selects only after that.
+
+    A primary span of a label that is not asked for still keeps what overlaps it out.
+    """
     p = primary.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"))
     free = extra.join(p, (extra[key] == p["_k"]) & (extra["start"] < p["_e"]) & (p["_s"] < extra["end"]), "left_anti")
-    return primary.unionByName(free)
+    both = primary.unionByName(free)
+    return both.where(F.col("label").isin(*labels)) if labels is not None else both
+
+
+# Classes of labels for flattening, the strongest first.
+FLATTENING = (
+    ("CN_RESIDENT_ID", "PASSPORT_NUMBER", "DRIVER_LICENSE_NUMBER", "SOCIAL_SECURITY_NUMBER", "BANK_CARD_NUMBER", "MEDICAL_RECORD_NUMBER", "GEO_COORDINATE", "SECRET"),
+    ("BANK_ACCOUNT_NUMBER", "ALIPAY_ACCOUNT", "EMPLOYEE_ID", "STUDENT_ID", "DEVICE_ID"),
+    ("PERSON_NAME", "PHONE_NUMBER", "EMAIL_ADDRESS", "ADDRESS", "DATE_OF_BIRTH", "VEHICLE_LICENSE_PLATE", "WECHAT_ID", "QQ_NUMBER", "USERNAME", "IP_ADDRESS", "MAC_ADDRESS"),
+    ("HEALTH_INFORMATION", "FINANCIAL_INFORMATION", "BIOMETRIC_INFORMATION", "RELIGIOUS_BELIEF", "PRECISE_MOVEMENT", "MINOR_INFORMATION", "AGE", "GENDER", "OCCUPATION"),
+    ("ORDER_ID", "TRANSACTION_ID", "INVOICE_CODE", "PRODUCT_CODE", "ORGANIZATION", "JOB_TITLE", "GENERIC_DATE", "PUBLIC_HOTLINE", "ORG_ADDRESS"),
+)
+
+
+def flattening_rank(label: Column) -> Column:
+    """Place of the label's class, 0 for the strongest, and of labels outside all classes after the last."""
+    return lookup(label, {name: i for i, names in enumerate(FLATTENING) for name in names}, F.lit(len(FLATTENING)))
+
+
+def flatten(spans: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Every span with kept (is it in the training view) and conflicts (spans of other labels with its range, around it or within it).
+
+    Of equal ranges the stronger class, then the more specific label stays; of nested ones the stronger class, and both
+    where the classes are equal. Spans that overlap partly both stay.
+    """
+    s = spans.select(key, "start", "end", "label").distinct()
+    one = F.struct("start", "end", "label", flattening_rank(F.col("label")).alias("rank"), specificity(F.col("label")).alias("spec"))
+    rows = s.groupBy(key).agg(F.collect_list(one).alias("_all"))
+
+    def judge(a: Column) -> Column:
+        same = lambda b: (a["start"] == b["start"]) & (a["end"] == b["end"])
+        nested = lambda b: ((a["start"] <= b["start"]) & (b["end"] <= a["end"])) | ((b["start"] <= a["start"]) & (a["end"] <= b["end"]))
+        order = lambda x: F.struct(x["rank"], -x["spec"], x["label"])
+        loses = lambda b: (a["label"] != b["label"]) & nested(b) & F.when(same(b), order(b) < order(a)).otherwise(b["rank"] < a["rank"])
+        return F.struct(
+            a["start"].alias("start"), a["end"].alias("end"), a["label"].alias("label"), (~F.exists("_all", loses)).alias("kept"),
+            F.size(F.filter("_all", lambda b: (a["label"] != b["label"]) & nested(b))).alias("conflicts"),
+        )
+
+    return rows.select(key, F.inline(F.transform("_all", judge)))
+
+
+def merge_hybrid(model: DataFrame, rules: DataFrame, key: str = "doc_id", ratio: float = 0.5) -> DataFrame:
+    """Union of model and rule spans: exact ones keep the greatest score (null counts 0), same-label clusters one winner.
+
+    In the order (label, start, end, falling score) each span gathers the kept spans of its label that share at least
+    ``ratio`` of the shorter one, and the best (score, length, earlier start, earlier end) of them stays. Labels never
+    suppress each other.
+    """
+    exact = model.unionByName(rules).groupBy(key, "start", "end", "label").agg(F.max(F.coalesce("score", F.lit(0.0))).alias("score"))
+    one = F.struct("label", "start", "end", (-F.col("score")).alias("_low"), "score")
+    rows = exact.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("_all"))
+
+    def near(a: Column, b: Column) -> Column:
+        shared = F.least(a["end"], b["end"]) - F.greatest(a["start"], b["start"])
+        return (a["label"] == b["label"]) & (shared > 0) & (shared >= ratio * F.least(a["end"] - a["start"], b["end"] - b["start"]))
+
+    def add(acc: Column, s: Column) -> Column:
+        cluster = F.concat(F.filter(acc, lambda k: near(k, s)), F.array(s))
+        ranked = F.transform(cluster, lambda k: F.struct(k["score"].alias("a"), (k["end"] - k["start"]).alias("b"), (-k["start"]).alias("c"), (-k["end"]).alias("d"), k.alias("k")))
+        return F.concat(F.filter(acc, lambda k: ~near(k, s)), F.array(F.array_max(ranked)["k"]))
+
+    kept = F.aggregate("_all", F.filter("_all", lambda _: F.lit(False)), add)
+    return rows.select(key, F.inline(F.transform(kept, lambda k: F.struct(k["start"].alias("start"), k["end"].alias("end"), k["label"].alias("label"), k["score"].alias("score")))))
 
 
 def best_per_span(spans: DataFrame, key: str = "doc_id", null_score: float = 0.0) -> DataFrame:
@@ -148,6 +227,37 @@ def replace_spans(text: Column, spans: Column, value) -> Column:
     return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], slice_text(text, acc["at"], F.char_length(text))))
 
 
+def apply_replacements(text: Column, spans: Column, table: Mapping[str, str], default: str | None = None) -> Column:
+    """``text`` with each span replaced by its label's value, or ``default``; a label with neither, or an overlap, fails."""
+    ordered = F.array_sort(spans)
+    place = F.sequence(F.lit(1), F.size(ordered) - 1)
+    clash = F.when(F.size(ordered) > 1, F.exists(place, lambda i: F.get(ordered, i)["start"] < F.get(ordered, i - 1)["end"])).otherwise(F.lit(False))
+    missing = F.raise_error("a label has no replacement").cast("string") if default is None else F.lit(default)
+    value = lambda s: lookup(s["label"], table, missing)
+    return F.when(clash, F.raise_error("spans to replace overlap").cast("string")).otherwise(replace_spans(text, ordered, value))
+
+
+def convert_segments(text: Column, spans: Column, convert: Callable[[Column], Column]) -> Column:
+    """Struct (text, spans): every span and every gap put through ``convert`` on its own, so offsets stay exact.
+
+    ``convert`` is any column function, such as a script converter, that may change lengths.
+    """
+    ordered = F.array_sort(spans)
+    none = F.expr("cast(array() as array<struct<start:int,end:int,label:string>>)")
+    init = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), none.alias("spans"))
+
+    def step(acc: Column, e: Column) -> Column:
+        lead = F.concat(acc["out"], convert(slice_text(text, acc["at"], e["start"])))
+        body = convert(slice_text(text, e["start"], e["end"]))
+        first = F.char_length(lead).cast("int")
+        span = F.struct(first.alias("start"), (first + F.char_length(body)).cast("int").alias("end"), e["label"].alias("label"))
+        return F.struct(e["end"].cast("int").alias("at"), F.concat(lead, body).alias("out"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+
+    return F.aggregate(ordered, init, step, lambda acc: F.struct(
+        F.concat(acc["out"], convert(slice_text(text, acc["at"], F.char_length(text)))).alias("text"), acc["spans"].alias("spans")
+    ))
+
+
 def redact(text: Column, spans: Column) -> Column:
     """Every stretch that any accepted candidate covers, replaced by <LABEL>."""
     return replace_spans(text, coverage(spans), lambda s: F.concat(F.lit("<"), s["label"], F.lit(">")))
@@ -171,22 +281,23 @@ def rebuild(text: Column, edits: Column) -> Column:
 
 
 def deduplicate_windows(spans: Column, ratio: float = 0.5) -> Column:
-    """Greedy clusters of same-label spans that are equal or share ``ratio`` of the shorter; the best (score, length) stays.
+    """Same-label spans that are equal or share ``ratio`` of the shorter one become one: the best (score, length, earlier start).
 
-    For spans that several overlapping text windows report; the array is taken in (start, end, label) order.
+    For spans (start, end, label, score) that several overlapping text windows report, earlier windows first. In the order
+    (label, start, end, falling score) each span gathers the kept ones near it, and the winner takes their place.
     """
-    ordered = F.array_sort(spans)
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(
+        s["label"].alias("label"), s["start"].alias("start"), s["end"].alias("end"), (-s["score"]).alias("_low"), s["score"].alias("score")
+    )))
 
     def near(a: Column, b: Column) -> Column:
         shared = F.least(a["end"], b["end"]) - F.greatest(a["start"], b["start"])
-        shorter = F.least(a["end"] - a["start"], b["end"] - b["start"])
-        return (a["label"] == b["label"]) & (shared >= ratio * shorter) & (shared > 0)
-
-    rank = lambda s: F.struct(s["score"], s["end"] - s["start"], -s["start"])
+        return (a["label"] == b["label"]) & (shared > 0) & (shared >= ratio * F.least(a["end"] - a["start"], b["end"] - b["start"]))
 
     def add(acc: Column, s: Column) -> Column:
-        clash = F.exists(acc, lambda k: near(k, s))
-        better = F.exists(acc, lambda k: near(k, s) & (rank(k) >= rank(s)))
-        return F.when(~clash, F.concat(acc, F.array(s))).when(better, acc).otherwise(F.concat(F.filter(acc, lambda k: ~near(k, s)), F.array(s)))
+        cluster = F.concat(F.filter(acc, lambda k: near(k, s)), F.array(s))
+        ranked = F.transform(cluster, lambda k: F.struct(k["score"].alias("a"), (k["end"] - k["start"]).alias("b"), (-k["start"]).alias("c"), k.alias("k")))
+        return F.concat(F.filter(acc, lambda k: ~near(k, s)), F.array(F.array_max(ranked)["k"]))
 
-    return F.array_sort(F.aggregate(ordered, F.filter(ordered, lambda _: F.lit(False)), add))
+    kept = F.aggregate(ordered, F.filter(ordered, lambda _: F.lit(False)), add)
+    return F.array_sort(F.transform(kept, lambda k: F.struct(k["start"].alias("start"), k["end"].alias("end"), k["label"].alias("label"), k["score"].alias("score"))))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,17 +11,6 @@ from spanloom.plans import fixtures as X
 SPLITS = ("test", "train", "validation")
 
 
-def _store(df: DataFrame) -> DataFrame:
-    """A written table in the folder that spark.checkpoint.dir names; where it is unset, as in tests, in the warehouse."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root.rstrip('/')}/spanloom-{uuid.uuid4().hex}"
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     """Documents of the corpus with their group keys: text hash, source and size, template of the first words."""
     docs = _documents(spark, d).withColumns({"opening": F.substring("text", 1, 24), "size_group": F.concat_ws(":", "source", "lang", F.col("n_chars").cast("string"))})
@@ -60,7 +47,7 @@ def i2_group_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def i3_components(spark: SparkSession, d: str) -> DataFrame:
-    return D.group_components(_edges(spark, d), _store)
+    return D.group_components(_edges(spark, d), X.store)
 
 
 def i4_greedy_split(spark: SparkSession, d: str) -> DataFrame:
@@ -80,12 +67,17 @@ def i8_composition(spark: SparkSession, d: str) -> DataFrame:
     return D.composition(docs)
 
 
-def i14_near_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs at 0.75 or more by five-grams of characters: passages, copies of them that lack their first words, conversations."""
+def near_items(spark: SparkSession, d: str) -> DataFrame:
+    """Passages, copies of them that lack their first words, and the turns of the conversations."""
     b = X.read(spark, d, "benchmark")
     items = b.select(F.col("item_id").alias("doc_id"), "text").unionByName(b.select((10_000 + F.col("item_id")).alias("doc_id"), F.expr("substring(text, 1 + item_id % 4 * 10)").alias("text")))
     turns = X.read(spark, d, "conversations").select((1_000_000 + F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    return D.near_duplicate_pairs(items.unionByName(turns))
+    return items.unionByName(turns)
+
+
+def i14_near_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs at 0.75 or more by five-grams of characters."""
+    return D.near_duplicate_pairs(near_items(spark, d))
 
 
 def i16_isolation(spark: SparkSession, d: str) -> DataFrame:

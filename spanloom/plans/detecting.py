@@ -441,6 +441,10 @@ A21_SQL = "SELECT doc_id, array_to_string(list_filter([" + ", ".join([
     _case(f"regexp_matches(text, '{PLAIN[0][0]}')", PLAIN[0][1]), _case("regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}')", PLAIN[1][1]),
     *[_case(f"regexp_matches(text, '{p}')", why) for p, why in SCREEN],
 ]) + "], lambda x: x IS NOT NULL), ',') AS reasons FROM documents"
+NEAR_SQL = "k.label = b[1].label AND least(-k.me, -b[1].me) > greatest(-k.ms, -b[1].ms) AND 2 * (least(-k.me, -b[1].me) - greatest(-k.ms, -b[1].ms)) >= least(k.len, b[1].len)"
+#: Clusters of near spans of one label, in order, each with its winner.
+CLUSTERED = """, l AS (SELECT doc_id, list([{{'score': score, 'len': e - s, 'ms': -s, 'me': -e, 'label': label}}] ORDER BY label, s, e, score DESC) AS xs FROM {source} GROUP BY doc_id),
+  k AS (SELECT doc_id, unnest(list_reduce(xs, lambda a, b: list_concat(list_filter(a, lambda k: NOT (""" + NEAR_SQL + ")), [list_max(list_concat(b, list_filter(a, lambda k: " + NEAR_SQL + """)))]))) AS x FROM l)"""
 URL_BODY = "[^\\s<>\"''，。！？；：、（）【】《》]+"
 
 ALL = {
@@ -464,15 +468,16 @@ ALL = {
   SELECT doc_id, label, min(s) AS "start", max(e) AS "end", string_agg(DISTINCT part, '+' ORDER BY part) AS parts FROM r GROUP BY doc_id, i, label"""),
     "a19_chat_exclusions": (a19_chat_exclusions, """SELECT array_to_string(list_filter([CASE WHEN lang <> 'en' THEN 'non_zh' END, CASE WHEN doc_id % 5 = 0 THEN 'deleted' END, CASE WHEN doc_id % 3 = 0 THEN 'synthetic' END], lambda x: x IS NOT NULL), ',') AS reasons,
   count(*) AS n FROM documents GROUP BY 1"""),
-    "a20_opaque_ids": (a20_opaque_ids, "SELECT doc_id, sha256(concat_ws(chr(0), source, lang, doc_id::VARCHAR)) AS opaque FROM documents"),
+    "a20_opaque_ids": (a20_opaque_ids, "SELECT doc_id, sha256(coalesce(source, '') || chr(0) || coalesce(lang, '') || chr(0) || coalesce(doc_id::VARCHAR, '')) AS opaque FROM documents"),
     "a21_page_exclusions": (a21_page_exclusions, A21_SQL),
     "a22_render_dialogue": (a22_render_dialogue, """WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN '[USR]' ELSE '[SYS]' END || chr(10) AS mark, coalesce(text, '') AS body FROM conversations)
   SELECT conv_id, string_agg(mark || body, chr(10) ORDER BY turn) AS text, count(*) AS n_turns, (length(string_agg(mark || body, chr(10) ORDER BY turn)) - length(arg_max(body, turn)))::INTEGER AS last_start,
     length(string_agg(mark || body, chr(10) ORDER BY turn))::INTEGER AS last_end FROM t GROUP BY conv_id"""),
     "a25_surrogates": (a25_surrogates, """WITH c AS (SELECT c_custkey, c_name, unnest(range(length(c_name))) AS i FROM customer),
-  b AS (SELECT *, c_name[i + 1] AS ch, CAST('0x' || substr(sha256('k:' || c_custkey || chr(0) || (i // 32)), i % 32 * 2 + 1, 2) AS INT) AS byte FROM c),
-  p AS (SELECT *, CASE WHEN regexp_matches(ch, '[0-9]') THEN '0123456789'[byte % 10 + 1] WHEN regexp_matches(ch, '[a-z]') THEN 'abcdefghijklmnopqrstuvwxyz'[byte % 26 + 1]
-    WHEN regexp_matches(ch, '[A-Z]') THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'[byte % 26 + 1] ELSE ch END AS out FROM b)
+  t AS (SELECT *, c_name[i + 1] AS ch, sum(regexp_matches(c_name[i + 1], '[0-9A-Za-z]')::INT) OVER (PARTITION BY c_custkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_ FROM c),
+  b AS (SELECT *, coalesce(before_, 0) AS j FROM t), y AS (SELECT *, CAST('0x' || substr(sha256('k:' || c_custkey || chr(0) || (j // 32)), CAST(j % 32 * 2 + 1 AS INT), 2) AS INT) AS byte FROM b),
+  p AS (SELECT *, CASE WHEN regexp_matches(ch, '[0-9]') THEN '0123456789'[byte % 10 + 1] WHEN regexp_matches(ch, '[a-z]') THEN 'abcdefghjklmnpqrstuvwxyz'[byte % 24 + 1]
+    WHEN regexp_matches(ch, '[A-Z]') THEN 'ABCDEFGHJKLMNPQRSTUVWXYZ'[byte % 24 + 1] WHEN ch = '#' THEN '#' ELSE 'X' END AS out FROM y)
   SELECT c_custkey, string_agg(out, '' ORDER BY i) AS surrogate FROM p GROUP BY c_custkey"""),
     "b_occurrences": (b_occurrences, "WITH t AS (SELECT conv_id, turn, conv_id * 1000 + turn AS kk, text FROM conversations), " + SPANS_SQL.format(name="m", key="kk", text="text", table="t", pattern="[a-z]+[A-Z]?[.]") + ' SELECT t.conv_id, t.turn, m.s AS "start", m.s + length(m.value)::INTEGER AS "end", m.value FROM m JOIN t USING (kk)'),
     "b_detect_documents": (b_detect_documents, DETECTED + ' SELECT doc_id, s AS "start", e AS "end", label, score, value FROM found'),
@@ -533,7 +538,7 @@ ALL = {
     "e5_union": (e5_union, "WITH " + SOURCES_SQL + COLLAPSED.format(floor=0) + " SELECT label, agreement::INTEGER AS agreement, count(*) AS n FROM one GROUP BY ALL"),
     "e6_augment": (e6_augment, "WITH " + X.PRED_SQL + """ SELECT doc_id, s AS "start", e AS "end", label FROM gold UNION ALL SELECT doc_id, s, e, label FROM pred p
   WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = p.doc_id AND g.s < p.e AND p.s < g.e)"""),
-    "e7_window_duplicates": (e7_window_duplicates, None),
+    "e7_window_duplicates": (e7_window_duplicates, "WITH " + X.PRED_SQL + CLUSTERED.format(source="scored") + ' SELECT doc_id, (-x.ms)::INTEGER AS "start", (-x.me)::INTEGER AS "end", x.label AS label, x.score AS score FROM k'),
     "e8_best_per_span": (e8_best_per_span, "WITH " + X.PRED_SQL + """ SELECT doc_id, s AS "start", e AS "end", label, max(score) AS score FROM (SELECT * FROM scored UNION ALL SELECT *, 0.0 FROM gold) GROUP BY ALL"""),
     "e9_coverage": (e9_coverage, "WITH " + X.PRED_SQL + COVERED.replace("FROM found", "FROM pred") + ' SELECT doc_id, s AS "start", e AS "end", label FROM stretches'),
     "e11_redact_documents": (e11_redact_documents, DETECTED + COVERED + """, cut AS (SELECT st.doc_id, st.s, st.e, st.label, coalesce(lag(st.e) OVER (PARTITION BY st.doc_id ORDER BY st.s), 0) AS prev FROM stretches st),

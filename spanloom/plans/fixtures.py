@@ -6,6 +6,8 @@ lineitem and conversations.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def store(df: DataFrame) -> DataFrame:
+    """A written table in the folder that spark.checkpoint.dir names; where it is unset, as in tests, in the warehouse."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{root.rstrip('/')}/spanloom-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.floor("l_quantity").cast("int")
     return read(spark, sf_dir, "lineitem").select(
@@ -57,13 +70,15 @@ def tokens(spark: SparkSession, sf_dir: str, tags: tuple[str, ...] = ("B-X", "I-
     """Words of the conversations (at most one per single space), with offsets, a tag by arithmetic and a score."""
     c = read(spark, sf_dir, "conversations").where("text IS NOT NULL")
     doc = (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id")
-    words = c.select(doc, "text", F.posexplode(F.split("text", " ")).alias("token_index", "word"))
-    length = F.char_length("word").cast("int")
-    before = F.aggregate(
-        F.slice(F.split("text", " "), F.lit(1), F.col("token_index")), F.lit(0), lambda a, w: a + F.char_length(w).cast("int") + 1
+    none = F.expr("cast(array() as array<struct<word:string,start:int>>)")
+    step = lambda acc, w: F.struct(
+        (acc["at"] + F.char_length(w) + 1).cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct(w.alias("word"), acc["at"].alias("start")))).alias("out")
     )
+    placed = F.aggregate(F.split("text", " "), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    words = c.select(doc, "text", F.posexplode(placed).alias("token_index", "w")).select("doc_id", "text", "token_index", "w.word", "w.start")
+    length = F.char_length("word").cast("int")
     tag = F.element_at(F.array(*map(F.lit, tags)), ((F.col("token_index") * 7 + F.col("doc_id") + F.char_length("word")) % len(tags) + 1).cast("int"))
-    return words.withColumns({"start": before.cast("int")}).withColumns({"end": (F.col("start") + length).cast("int"), "tag": tag}).select(
+    return words.withColumns({"end": (F.col("start") + length).cast("int"), "tag": tag}).select(
         "doc_id", "token_index", "start", "end", "tag", ((F.col("doc_id") + F.col("token_index")) % 10 / 10.0).cast("double").alias("score"), "text"
     )
 

@@ -80,7 +80,7 @@ def h9_boundary_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def h10_confusion(spark: SparkSession, d: str) -> DataFrame:
-    return E.confusion(X.gold(spark, d), X.pred(spark, d))
+    return E.confusion(X.gold(spark, d), X.pred(spark, d), X.store)
 
 
 def h11_clean_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -137,53 +137,77 @@ def h27_selection_score(spark: SparkSession, d: str) -> DataFrame:
     return both.select(F.round(E.selection_score(F.col("t0"), F.col("t1"), F.col("macro"), F.col("rate"), F.lit(0.5)), 9).alias("score"))
 
 
-SAMPLES = 20
+#: Samples that the SQL can follow, and those of the full runs.
+SAMPLES, ALL_SAMPLES = 20, 1000
 
 
-def h12_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """Micro F1 of each sample of a seeded document bootstrap."""
-    stats = B.indexed(h13_per_document(spark, d).where("doc_id < 500"))
-    sums = B.sample_sums(stats, B.sample_plan(spark, 500, SAMPLES, "42"), ["tp", "fp", "fn"])
-    return B.f1_samples(sums)
+def _bootstrap(spark: SparkSession, per_document: DataFrame, samples: int) -> DataFrame:
+    plan = B.sample_plan(spark, per_document.count(), samples, "42")
+    return B.f1_samples(B.sample_sums(B.indexed(per_document, X.store), plan, ["tp", "fp", "fn"]))
 
 
-def h18_paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    plan = B.sample_plan(spark, 500, SAMPLES, "42")
-    one = lambda p: B.f1_samples(B.sample_sums(B.indexed(E.per_document(X.docs(spark, d), X.gold(spark, d), p).where("doc_id < 500")), plan, ["tp", "fp", "fn"]))
-    return B.paired_difference(one(X.pred(spark, d)), one(X.second(spark, d)))
+def h12_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Micro F1 of each sample of a seeded document bootstrap over all documents."""
+    return _bootstrap(spark, h13_per_document(spark, d), SAMPLES)
 
 
-#: Samples of the bootstraps over all documents.
-ALL_SAMPLES = 1000
+def h12_bootstrap_all(spark: SparkSession, d: str) -> DataFrame:
+    """As h12_bootstrap, with ALL_SAMPLES samples, which is beyond the SQL."""
+    return _bootstrap(spark, h13_per_document(spark, d), ALL_SAMPLES)
 
 
-def h12_bootstrap_all(spark: SparkSession, d: str) -> DataFrame:
-    """As h12_bootstrap, but over every document and with ALL_SAMPLES samples, which is beyond the SQL."""
-    return _all_samples(spark, h13_per_document(spark, d))
+def _paired(spark: SparkSession, d: str, samples: int) -> DataFrame:
+    one = lambda p: _bootstrap(spark, E.per_document(X.docs(spark, d), X.gold(spark, d), p), samples)
+    return B.paired_difference(one(X.pred(spark, d)), one(X.second(spark, d)))
 
 
-def _all_samples(spark: SparkSession, per_document: DataFrame) -> DataFrame:
-    plan = B.sample_plan(spark, per_document.count(), ALL_SAMPLES, "42")
-    return B.f1_samples(B.sample_sums(B.indexed(per_document), plan, ["tp", "fp", "fn"]))
+def h18_paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    return _paired(spark, d, SAMPLES)
 
 
 def h18_paired_bootstrap_all(spark: SparkSession, d: str) -> DataFrame:
-    one = lambda p: _all_samples(spark, E.per_document(X.docs(spark, d), X.gold(spark, d), p))
-    return B.paired_difference(one(X.pred(spark, d)), one(X.second(spark, d)))
+    return _paired(spark, d, ALL_SAMPLES)
+
+
+def _gates(spark: SparkSession, d: str, samples: int, name: str = "second") -> DataFrame:
+    other = X.second(spark, d) if name == "second" else X.pred(spark, d).where("start % 2 = 0")
+    gates = B.superiority(X.docs(spark, d), X.gold(spark, d).where("doc_id % 3 > 0"), X.pred(spark, d), other, samples, "42", X.store)
+    return gates.select("metric", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), "samples", "passed")
 
 
 def h19_superiority(spark: SparkSession, d: str) -> DataFrame:
-    clean = h11_clean_documents(spark, d).select(F.lit(0.001).alias("low"), "rate")
-    return B.superiority_gate(h18_paired_bootstrap_all(spark, d), clean)
+    """Intervals and gates of the three metrics, drawn within strata."""
+    return _gates(spark, d, SAMPLES)
 
 
-def h20_counter_draws_all(spark: SparkSession, d: str) -> DataFrame:
-    keys = X.read(spark, d, "orders").select(F.col("o_orderkey").alias("counter"))
-    return keys.withColumn("draw", B.counter_draw("42", "bootstrap", F.col("counter"), F.lit(1000)))
+def h19_superiority_all(spark: SparkSession, d: str) -> DataFrame:
+    return _gates(spark, d, ALL_SAMPLES)
+
+
+def h21_all_comparators(spark: SparkSession, d: str) -> DataFrame:
+    """A candidate against two comparators: it passes only if every gate of each holds."""
+    parts = [_gates(spark, d, SAMPLES, n).withColumn("comparator", F.lit(n)) for n in ("second", "even")]
+    return B.passes_all(parts[0].unionByName(parts[1]))
+
+
+def h13_report(spark: SparkSession, d: str) -> DataFrame:
+    """The whole report in one long table (metric, value): strict, macro, relaxed, character, boundary, clean documents."""
+    g, p = X.gold(spark, d).where("doc_id % 3 > 0"), X.pred(spark, d)
+    strict = X.store(E.strict_counts(g, p))
+    rows = lambda df, group, names: df.select(F.inline(F.array(*[F.struct(F.lit(f"{group}_{n}").alias("metric"), F.col(n).cast("double").alias("value")) for n in names])))
+    micro = ("tp", "fp", "fn", "precision", "recall", "f1", "f2")
+    parts = [
+        rows(strict.where("label IS NULL"), "strict", micro), rows(E.macro(strict), "strict", ("macro_f1", "macro_f2")), rows(E.character_counts(g, p).where("label IS NULL"), "character", micro),
+        rows(E.boundary_counts(g, p), "boundary", ("exact", "gold", "predicted")), rows(E.clean_document_rate(E.per_document(X.docs(spark, d), g, p)), "clean", ("n_docs", "fp_docs", "rate")),
+    ]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.select("metric", F.round("value", 9).alias("value"))
 
 
 def h20_counter_draws(spark: SparkSession, d: str) -> DataFrame:
-    keys = X.read(spark, d, "orders").where("o_orderkey < 500").select(F.col("o_orderkey").alias("counter"))
+    keys = X.read(spark, d, "orders").select(F.col("o_orderkey").alias("counter"))
     return keys.withColumn("draw", B.counter_draw("42", "bootstrap", F.col("counter"), F.lit(1000)))
 
 
@@ -192,9 +216,7 @@ DRAW = """list_reduce([0::BIGINT] || list_transform(range(11), lambda i: CAST('0
 HASH = "sha256(unhex('626f6f747374726170' || '00' || '00000002' || '3432' || lpad(lower(hex({c})), 32, '0')))"
 
 
-def _plan_sql(n: int) -> str:
-    h = HASH.format(c="id")
-    return f"""draws AS (SELECT id // {n} AS sample, {DRAW.format(h=h, n=n)} AS idx FROM (SELECT unnest(range({n * SAMPLES})) AS id)),
+PLAN_SQL = f"""draws AS (SELECT id // n AS sample, {DRAW.format(h=HASH.format(c="id"), n="n")} AS idx FROM (SELECT n, unnest(range(n * {SAMPLES})) AS id FROM (SELECT count(*) AS n FROM docs))),
   plan AS (SELECT sample, idx, count(*) AS times FROM draws GROUP BY ALL)"""
 
 
@@ -202,7 +224,7 @@ def _samples_sql(pred: str, name: str) -> str:
     return (
         OUTCOMES.format(pred=pred).replace("outcomes AS", f"o_{name} AS").replace("FROM outcomes", f"FROM o_{name}").replace("counts AS", f"c_{name} AS")
         + f""", s_{name} AS (SELECT d.doc_id, row_number() OVER (ORDER BY d.doc_id) - 1 AS idx, count(*) FILTER (o.g AND o.p) AS tp, count(*) FILTER (NOT o.g AND o.p) AS fp,
-  count(*) FILTER (o.g AND NOT o.p) AS fn FROM docs d LEFT JOIN o_{name} o ON d.doc_id = o.doc_id WHERE d.doc_id < 500 GROUP BY d.doc_id),
+  count(*) FILTER (o.g AND NOT o.p) AS fn FROM docs d LEFT JOIN o_{name} o ON d.doc_id = o.doc_id GROUP BY d.doc_id),
   f_{name} AS (SELECT sample, sum(times * tp)::BIGINT AS tp, sum(times * fp)::BIGINT AS fp, sum(times * fn)::BIGINT AS fn FROM plan JOIN s_{name} USING (idx) GROUP BY sample)"""
     )
 
@@ -210,6 +232,36 @@ def _samples_sql(pred: str, name: str) -> str:
 F1 = "(CASE WHEN 2 * {a}tp + {a}fp + {a}fn > 0 THEN (2 * {a}tp)::DOUBLE / (2 * {a}tp + {a}fp + {a}fn) ELSE 0.0 END)"
 
 
+def _metrics_sql(pred: str, name: str) -> str:
+    """Micro and macro F1 and the clean rate of every stratified sample of one system."""
+    return (
+        OUTCOMES.format(pred=pred).replace("FROM gold g", "FROM some_gold g").replace("outcomes AS", f"o_{name} AS").replace("FROM outcomes", f"FROM o_{name}").replace("counts AS", f"c_{name} AS")
+        + f""", l_{name} AS (SELECT sample, label, sum(times * (g AND p)::INT) AS tp, sum(times * (NOT g AND p)::INT) AS fp, sum(times * (g AND NOT p)::INT) AS fn FROM drawn JOIN o_{name} USING (doc_id) GROUP BY ALL),
+  m_{name} AS (SELECT sample, {F1.format(a="").replace("tp", "sum(tp)").replace("fp", "sum(fp)").replace("fn", "sum(fn)")} AS micro, sum({F1.format(a="")}) / (SELECT n FROM n_labels) AS macro FROM l_{name} GROUP BY sample),
+  r_{name} AS (SELECT sample, sum(times * (doc_id IN (SELECT doc_id FROM {pred}))::INT)::DOUBLE / sum(times) AS rate FROM drawn WHERE clean GROUP BY sample)"""
+    )
+
+
+def _gates_sql(other: str) -> str:
+    """Gates of pred against another system, as rows of the table gates_<other>."""
+    return f""", d_{other} AS (SELECT sample, m_pred.micro - m_{other}.micro AS micro, m_pred.macro - m_{other}.macro AS macro, r_{other}.rate - r_pred.rate + 0.005 AS clean_rate
+    FROM m_pred JOIN m_{other} USING (sample) JOIN r_pred USING (sample) JOIN r_{other} USING (sample)),
+  u_{other} AS (SELECT 'micro' AS metric, micro AS d FROM d_{other} UNION ALL SELECT 'macro', macro FROM d_{other} UNION ALL SELECT 'clean_rate', clean_rate FROM d_{other}),
+  gates_{other} AS (SELECT metric, round(quantile_cont(d, 0.025), 9) AS low, round(quantile_cont(d, 0.975), 9) AS high, count(*) AS samples,
+    CASE metric WHEN 'clean_rate' THEN quantile_cont(d, 0.025) >= 0 AND (SELECT avg((doc_id IN (SELECT doc_id FROM pred))::INT) FROM strata WHERE clean) <= 0.05 ELSE quantile_cont(d, 0.025) > 0 END AS passed FROM u_{other} GROUP BY metric)"""
+
+
+def _strata_sql(others: tuple[str, ...]) -> str:
+    names = " UNION ".join(f"SELECT label FROM {t}" for t in ("some_gold", "pred", *others))
+    draw = DRAW.format(h=HASH.format(c="id"), n="size")
+    return "WITH " + X.PRED_SQL + f""", even AS (SELECT * FROM pred WHERE s % 2 = 0), some_gold AS (SELECT * FROM gold WHERE doc_id % 3 > 0), n_labels AS (SELECT count(*) AS n FROM ({names})),
+  strata AS (SELECT doc_id, clean, row_number() OVER (PARTITION BY clean ORDER BY doc_id) - 1 AS idx FROM (SELECT doc_id, doc_id NOT IN (SELECT doc_id FROM some_gold) AS clean FROM docs)),
+  sizes AS (SELECT count(*) AS n, count(*) FILTER (NOT clean) AS n_gold FROM strata),
+  ids AS (SELECT id, id // n AS sample, id % n >= n_gold AS clean, CASE WHEN id % n >= n_gold THEN n - n_gold ELSE n_gold END AS size FROM (SELECT n, n_gold, unnest(range(n * {SAMPLES})) AS id FROM sizes)),
+  plan AS (SELECT sample, clean, idx, count(*) AS times FROM (SELECT sample, clean, {draw} AS idx FROM ids) GROUP BY ALL),
+  drawn AS (SELECT sample, doc_id, clean, times FROM plan JOIN strata USING (clean, idx))""" + "".join(_metrics_sql(t, t) for t in ("pred", *others)) + "".join(map(_gates_sql, others))
+
+
 def g4_apply_calibration(spark: SparkSession, d: str) -> DataFrame:
     table = spark.createDataFrame([("AF", 1.5, 0.4), ("NO", 0.7, 0.6)], "label string, temperature double, threshold double")
     out = C.apply_calibration(X.scored(spark, d), table, 1.0, 0.5)
@@ -222,10 +274,6 @@ def g3_fit_temperature(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g2_softmax(spark: SparkSession, d: str) -> DataFrame:
-    return g2_softmax_all(spark, d).where("vec_id < 200")
-
-
-def g2_softmax_all(spark: SparkSession, d: str) -> DataFrame:
     z = X.read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("z"))
     p = C.softmax(F.col("z"), 2.0)
     return z.select("vec_id", F.round(F.array_max(p), 9).alias("top"), F.round(F.aggregate(p, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
@@ -341,8 +389,7 @@ def f16_code_points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f17_length_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    n = X.read(spark, d, "documents").groupBy("lang").agg(F.collect_list("n_chars").alias("v"))
-    return n.select("lang", *[D.lower_percentile(F.col("v"), q).alias(f"p{int(q * 100)}") for q in (0.5, 0.9, 0.99)])
+    return D.lower_percentiles(X.read(spark, d, "documents"), "lang", "n_chars", (0.5, 0.9, 0.99))
 
 
 def f1_token_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -390,7 +437,7 @@ ALL = {
     "h10_confusion": (h10_confusion, None),
     "h11_clean_documents": (h11_clean_documents, "WITH " + X.PRED_SQL + """, d AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM pred) AS hit FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM gold WHERE doc_id % 3 > 0))
   SELECT count(*) AS n_docs, count(*) FILTER (hit) AS fp_docs, count(*) FILTER (hit) / count(*)::DOUBLE AS rate FROM d"""),
-    "h12_bootstrap": (h12_bootstrap, "WITH " + X.PRED_SQL + ", " + _plan_sql(500) + _samples_sql("pred", "a") + f" SELECT sample, tp, fp, fn, {F1.format(a='')} AS f1 FROM f_a"),
+    "h12_bootstrap": (h12_bootstrap, "WITH " + X.PRED_SQL + ", " + PLAN_SQL + _samples_sql("pred", "a") + f" SELECT sample, tp, fp, fn, {F1.format(a='')} AS f1 FROM f_a"),
     "h13_per_document": (h13_per_document, STRICT + PER_DOC + " SELECT doc_id, tp, fp, fn, tp + fn AS n_gold, tp + fp AS n_pred FROM stats"),
     "h14_tier_minimum": (h14_tier_minimum, STRICT + f""", tiers AS (SELECT * FROM (VALUES {', '.join(map(str, TIERS))}) t(label, tier)),
   r AS (SELECT tier, label, tp::DOUBLE / (tp + fn) AS recall FROM counts JOIN tiers USING (label) WHERE tp + fn > 0),
@@ -402,16 +449,30 @@ ALL = {
     "h16_redaction_rates": (h16_redaction_rates, _char_sql("doc_id") + " SELECT tp, fp, fn, fn::DOUBLE / (tp + fn) AS missed_rate, fp::DOUBLE / (tp + fp) AS over_rate FROM counts"),
     "h17_fragmentation": (h17_fragmentation, "WITH " + X.PRED_SQL + _pairs_sql() + """, h AS (SELECT doc_id, gs, ge, gl, count(*) AS n FROM pairs WHERE gl = pl GROUP BY ALL)
   SELECT (SELECT count(*) FROM gold) AS n_gold, count(*) AS fragmented, count(*)::DOUBLE / (SELECT count(*) FROM gold) AS rate FROM h WHERE n >= 2"""),
-    "h18_paired_bootstrap": (h18_paired_bootstrap, "WITH " + X.PRED_SQL + ", " + _plan_sql(500) + _samples_sql("pred", "a") + _samples_sql("second", "b") + f""",
+    "h18_paired_bootstrap": (h18_paired_bootstrap, "WITH " + X.PRED_SQL + ", " + PLAN_SQL + _samples_sql("pred", "a") + _samples_sql("second", "b") + f""",
   d AS (SELECT {F1.format(a='f_a.')} - {F1.format(a='f_b.')} AS d FROM f_a JOIN f_b USING (sample))
   SELECT quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high, count(*) AS samples, count(*) FILTER (d > 0) AS wins, count(*) FILTER (d = 0) AS ties,
     (count(*) FILTER (d <= 0) + 1)::DOUBLE / (count(*) + 1) AS tail FROM d"""),
     "h12_bootstrap_all": (h12_bootstrap_all, None),
     "h18_paired_bootstrap_all": (h18_paired_bootstrap_all, None),
-    "h19_superiority": (h19_superiority, None),
-    "h20_counter_draws_all": (h20_counter_draws_all, None),
-    "g2_softmax_all": (g2_softmax_all, None),
-    "h20_counter_draws": (h20_counter_draws, f"SELECT o_orderkey AS counter, {DRAW.format(h=HASH.format(c='o_orderkey'), n=1000)} AS draw FROM orders WHERE o_orderkey < 500"),
+    "h19_superiority": (h19_superiority, _strata_sql(("second",)) + " SELECT * FROM gates_second"),
+    "h19_superiority_all": (h19_superiority_all, None),
+    "h21_all_comparators": (h21_all_comparators, _strata_sql(("second", "even")) + """ SELECT comparator, bool_and(passed) AS passed, count(*) AS n_gates
+  FROM (SELECT 'second' AS comparator, passed FROM gates_second UNION ALL SELECT 'even', passed FROM gates_even) GROUP BY ROLLUP (comparator)"""),
+    "h13_report": (h13_report, STRICT.replace("FROM gold g FULL", "FROM (SELECT * FROM gold WHERE doc_id % 3 > 0) g FULL") + PER_DOC + f""", r AS (SELECT label, tp, fp, fn, {RATES} FROM counts),
+  b AS (SELECT coalesce(g.n, 0) AS g, coalesce(p.n, 0) AS p FROM (SELECT doc_id, s, e, count(*) AS n FROM gold WHERE doc_id % 3 > 0 GROUP BY ALL) g FULL OUTER JOIN (SELECT doc_id, s, e, count(*) AS n FROM pred GROUP BY ALL) p ON g.doc_id = p.doc_id AND g.s = p.s AND g.e = p.e),
+  some_gold AS (SELECT * FROM gold WHERE doc_id % 3 > 0)""" + MERGED.format(n="some_gold", keys="doc_id, label") + MERGED.format(n="pred", keys="doc_id, label") + f""",
+  parts AS (SELECT least(a.e, b.e) - greatest(a.s, b.s) AS x, 0 AS g, 0 AS p FROM some_gold2 a JOIN pred2 b ON a.doc_id = b.doc_id AND a.label = b.label WHERE a.s < b.e AND b.s < a.e
+    UNION ALL SELECT 0, e - s, 0 FROM some_gold2 UNION ALL SELECT 0, 0, e - s FROM pred2),
+  cc AS (SELECT tp, fp, fn, {RATES} FROM (SELECT sum(x)::BIGINT AS tp, (sum(p) - sum(x))::BIGINT AS fp, (sum(g) - sum(x))::BIGINT AS fn FROM parts)),
+  d AS (SELECT count(*) AS n_docs, count(*) FILTER (tp + fp > 0) AS fp_docs FROM stats WHERE tp + fn = 0)
+  SELECT 'strict_' || name AS metric, round(value, 9) AS value FROM (UNPIVOT (SELECT tp::DOUBLE AS tp, fp::DOUBLE AS fp, fn::DOUBLE AS fn, precision, recall, f1, f2 FROM r WHERE label IS NULL) ON tp, fp, fn, precision, recall, f1, f2 INTO NAME name VALUE value)
+  UNION ALL SELECT 'character_' || name, round(value, 9) FROM (UNPIVOT (SELECT tp::DOUBLE AS tp, fp::DOUBLE AS fp, fn::DOUBLE AS fn, precision, recall, f1, f2 FROM cc) ON tp, fp, fn, precision, recall, f1, f2 INTO NAME name VALUE value)
+  UNION ALL SELECT 'strict_macro_f1', round(avg(f1), 9) FROM r WHERE label IS NOT NULL UNION ALL SELECT 'strict_macro_f2', round(avg(f2), 9) FROM r WHERE label IS NOT NULL
+  UNION ALL SELECT 'boundary_exact', sum(least(g, p))::DOUBLE FROM b UNION ALL SELECT 'boundary_gold', sum(g)::DOUBLE FROM b UNION ALL SELECT 'boundary_predicted', sum(p)::DOUBLE FROM b
+  UNION ALL SELECT 'clean_n_docs', n_docs::DOUBLE FROM d UNION ALL SELECT 'clean_fp_docs', fp_docs::DOUBLE FROM d UNION ALL SELECT 'clean_rate', round(fp_docs::DOUBLE / n_docs, 9) FROM d"""),
+    "h20_counter_draws": (h20_counter_draws, f"SELECT o_orderkey AS counter, {DRAW.format(h=HASH.format(c='o_orderkey'), n=1000)} AS draw FROM orders"),
+    "h20_counter_draws_all": (h20_counter_draws, f"SELECT o_orderkey AS counter, {DRAW.format(h=HASH.format(c='o_orderkey'), n=1000)} AS draw FROM orders"),
     "h22_added_predictions": (h22_added_predictions, "WITH " + X.PRED_SQL + """, k AS (SELECT doc_id, s, e, label, max(g) AS g, max(b) AS b, max(a) AS a FROM (
     SELECT *, 1 AS g, 0 AS b, 0 AS a FROM gold UNION ALL SELECT *, 0, 1, 0 FROM second UNION ALL SELECT *, 0, 0, 1 FROM pred) GROUP BY ALL)
   SELECT count(*) FILTER (g = 1 AND b = 0 AND a = 1) AS recovered_fn, count(*) FILTER (g = 1 AND b = 1 AND a = 0) AS suppressed_tp,
@@ -430,7 +491,10 @@ ALL = {
   c AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM pred) AS hit FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM gold WHERE doc_id % 3 > 0))
   SELECT round(0.45::DOUBLE * avg(f2) FILTER (tier = 'T0') + 0.25::DOUBLE * avg(f2) FILTER (tier = 'T1') + 0.15::DOUBLE * avg(f1)
     + 0.10::DOUBLE * (1 - (SELECT count(*) FILTER (hit)::DOUBLE / count(*) FROM c)) + 0.05::DOUBLE * 0.5, 9) AS score FROM r"""),
-    "g2_softmax": (g2_softmax, """WITH z AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS z FROM embeddings WHERE vec_id < 200),
+    "g2_softmax": (g2_softmax, """WITH z AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS z FROM embeddings),
+  x AS (SELECT vec_id, list_transform(z, lambda v: exp((v - list_max(z)) / 2.0::DOUBLE)) AS x FROM z)
+  SELECT vec_id, round(list_max(x) / list_sum(x), 9) AS top, 1.0::DOUBLE AS total FROM x"""),
+    "g2_softmax_all": (g2_softmax, """WITH z AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS z FROM embeddings),
   x AS (SELECT vec_id, list_transform(z, lambda v: exp((v - list_max(z)) / 2.0::DOUBLE)) AS x FROM z)
   SELECT vec_id, round(list_max(x) / list_sum(x), 9) AS top, 1.0::DOUBLE AS total FROM x"""),
     "g3_fit_temperature": (g3_fit_temperature, None),
