@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.llm import lm_scoring as lm
 from spanloom.llm.lm_scoring import score_texts
 from spanloom.llm.mixing import mix
 from spanloom.llm.near_duplicates import near_duplicates, shared_counts
@@ -261,6 +262,31 @@ def test_lm_scores(docs, odd, empty):
     assert score_texts(odd).count() == len(ODD) and score_texts(empty).count() == 0
 
 
+def test_lm_is_normalised():
+    """Over all units, and over the words of a class, probabilities add up to one."""
+    r = np.random.default_rng(3)
+    h = np.unique(r.integers(0, 1 << 62, 3000).astype(np.uint64) * np.uint64(3))
+    v = lm.Vocabulary(h, r.integers(1, 900, len(h)), np.full(lm.RARE, 1e4), np.full(lm.RARE, 90.0), 1_000_000, 3000)
+    model = lm.LogBilinear.fresh(v)
+    model.q += r.normal(0, 1, model.q.shape).astype(np.float32)
+    model.words += r.normal(0, 1, model.words.shape).astype(np.float32)
+    model = lm.LogBilinear.unpacked(model.packed())
+    context = np.repeat(r.integers(0, lm.UNITS + 1, (1, lm.CONTEXT)), lm.UNITS, 0)
+    of_unit, _ = model.log10(context, np.arange(lm.UNITS), np.full(lm.UNITS, -1), v)
+    assert abs((10**of_unit).sum() - 1) < 1e-4
+    places = np.arange(3 * lm.BLOCK, 4 * lm.BLOCK)
+    _, of_word = model.log10(context[: lm.BLOCK], np.full(lm.BLOCK, 1 + lm.WORDS + 3), places, v)
+    assert abs((10**of_word).sum() - 1) < 1e-4
+    _, unit, place = v.find(h)
+    assert (place >= 0).sum() == min(lm.VOCABULARY, len(h) - lm.WORDS) and (unit[place >= 0] == 1 + lm.WORDS + place[place >= 0] // lm.BLOCK).all()
+
+
+def test_lm_does_not_depend_on_partitions(docs):
+    few = docs.where("doc_id < 60")
+    one, many = ({r.doc_id: r.score for r in score_texts(few.repartition(n)).collect()} for n in (1, 7))
+    assert one.keys() == many.keys() and all(abs(one[i] - many[i]) < 1e-6 * abs(one[i]) for i in one)
+
+
 def test_vectors(spark, empty):
     r = np.random.default_rng(4)
     base = r.normal(size=(150, 16))
