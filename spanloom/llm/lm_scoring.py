@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import byte_slices, stored, table
+from spanloom.llm.packing import mix64
 
 #: Units of the upper level: the end, the most frequent words, classes of BLOCK words each of the learned vocabulary, and
 #: classes of word endings for all words beyond it.
@@ -31,19 +32,21 @@ END_HASH = 0x5DEECE66D1CE4E00
 SHARD_TOKENS = 1_000_000
 
 
-class EndingHashes(dict):
-    """64-bit word hashes whose low bits are a hash of the word's ending; remembered up to a fixed number."""
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of an Arrow array of words, whose low ENDING bits are a hash of the word's last three bytes."""
+    raw = words.cast(pa.binary())
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, raw.to_numpy(zero_copy_only=False).tolist()), np.uint64, len(raw))
+    ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+    data = np.frombuffer(raw.buffers()[2] or b"\0", np.uint8)
+    tail = np.zeros(len(raw), np.uint64)
+    for k in (3, 2, 1):
+        at = ends[1:] - k
+        tail = (tail << np.uint64(8)) | np.where(at >= ends[:-1], data[np.maximum(at, 0)] if len(data) else 0, 0).astype(np.uint64)
+    low = np.uint64((1 << ENDING) - 1)
+    return (h & ~low) | (mix64(tail) & low)
 
-    MOST = 200_000
 
-    def __missing__(self, word: bytes) -> int:
-        value = (xxhash.xxh3_64_intdigest(word) & ~((1 << ENDING) - 1)) | (xxhash.xxh32_intdigest(word[-3:]) & ((1 << ENDING) - 1))
-        if len(self) < self.MOST:
-            self[word] = value
-        return value
-
-
-def tokens(texts: pa.Array, hashes: EndingHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Number of the distinct token of each token, the distinct tokens' hashes (the end's comes last), and tokens per text.
 
     Each text is its words and an end; null is an empty text.
@@ -51,13 +54,13 @@ def tokens(texts: pa.Array, hashes: EndingHashes) -> tuple[np.ndarray, np.ndarra
     words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
     counts = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = words.flatten().dictionary_encode()
-    distinct = coded.dictionary.cast(pa.binary()).to_pylist()
     code = coded.indices.to_numpy()
-    if b"" in distinct:  # what a leading or trailing space leaves
-        real = code != distinct.index(b"")
+    empty = pc.index(coded.dictionary, "").as_py()
+    if empty >= 0:  # what a leading or trailing space leaves
+        real = code != empty
         counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[real], minlength=len(counts))
         code = code[real]
-    h = np.fromiter(map(hashes.__getitem__, distinct), np.uint64, len(distinct))
+    h = word_hashes(coded.dictionary)
     return np.insert(code, np.cumsum(counts), len(h)), np.append(h, np.uint64(END_HASH)), counts + 1
 
 
@@ -73,7 +76,7 @@ def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(h, c): how often each token occurs in the documents that are not held out."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, waiting, size = EndingHashes(), [], 0
+        waiting, size = [], 0
 
         def emit() -> pa.RecordBatch:
             h, at = np.unique(np.concatenate([h for h, _ in waiting]), return_inverse=True)
@@ -81,7 +84,7 @@ def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
 
         for b in byte_slices(batches, "text"):
-            code, h, _ = tokens(b.column("text"), hashes)
+            code, h, _ = tokens(b.column("text"))
             c = np.bincount(code, minlength=len(h))
             waiting.append((h[c > 0], c[c > 0]))
             size += len(h)
@@ -320,7 +323,7 @@ def train_round(docs: DataFrame, vocabulary, start: bytes, seed: int, shards: in
     rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "h", "text")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, hashes, model = vocabulary.value, EndingHashes(), LogBilinear.unpacked(start)
+        v, model = vocabulary.value, LogBilinear.unpacked(start)
         shard, learner, seen, kept = None, None, 0, []
 
         def done() -> pa.RecordBatch:
@@ -337,7 +340,7 @@ def train_round(docs: DataFrame, vocabulary, start: bytes, seed: int, shards: in
                     if learner is not None:
                         yield done()
                     shard, learner, seen, kept = int(own[i]), Learner(model, v, int(own[i])), 0, []
-                code, h, sizes = tokens(b.column("text").slice(i, j - i), hashes)
+                code, h, sizes = tokens(b.column("text").slice(i, j - i))
                 _, unit, place = v.find(h)
                 part = contexts(unit[code], sizes), unit[code], place[code]
                 learner.learn(*part)
@@ -408,10 +411,10 @@ def score_texts(docs: DataFrame, text: str = "text", frequent: int = 1 << 19, ro
         model = averaged(train_round(part, vocabulary, model, r + 1, shards, text), shards) or model
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, hashes, lm = vocabulary.value, EndingHashes(), LogBilinear.unpacked(model)
+        v, lm = vocabulary.value, LogBilinear.unpacked(model)
         log_count, log_mass = np.log10(v.c + 0.5), np.log10(v.mass)
         for b in byte_slices(batches, "text"):
-            code, h, sizes = tokens(b.column("text"), hashes)
+            code, h, sizes = tokens(b.column("text"))
             at, unit, place = v.find(h)
             counted = np.where(at >= 0, log_count[at] if len(log_count) else 0, 0)
             # a learned word has its probability in the class, any other token its share of the unit's mass

@@ -68,7 +68,7 @@ class DocumentEncoder:
     def _encode_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Order of the parts, numbers of ids in that order, and all ids; words of letters are told apart by their last ids."""
         letters = pc.match_substring_regex(parts, LETTERS).to_numpy(zero_copy_only=False)
-        raw = parts.cast(pa.binary()).to_pylist()
+        raw = parts.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
         plain, other = np.flatnonzero(letters).tolist(), np.flatnonzero(~letters).tolist()
         order, sizes, ids = [], [], []
         for i in range(0, len(plain), 1000):
@@ -92,7 +92,7 @@ class DocumentEncoder:
 
     def _part_ids(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First place and number of the ids of each of the distinct ``parts``, and the ids that the places point into."""
-        raw = parts.cast(pa.binary()).to_pylist()
+        raw = parts.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
         row = np.fromiter((self.place.get(p, -1) for p in raw), np.int64, len(raw))
         lacking = np.flatnonzero(row < 0)
         order, sizes, ids = self._encode_parts(parts.take(pa.array(lacking)))
