@@ -28,6 +28,8 @@ FLOOR = 0.05
 #: Low bits of a word's hash that tell its ending.
 ENDING = 12
 END_HASH = 0x5DEECE66D1CE4E00
+#: Places that the noise words of a class are drawn from.
+SLOTS = 2048
 #: Training tokens of a shard in one round.
 SHARD_TOKENS = 1_000_000
 
@@ -126,9 +128,14 @@ class Vocabulary:
         weight = np.ones(VOCABULARY)
         weight[: len(learned)] = self.c[learned] + 0.5
         weight[len(learned) :] = 1e-9
-        self.bounds = np.concatenate([[0], np.cumsum(weight)])
         inside = np.repeat(np.add.reduceat(weight, np.arange(0, VOCABULARY, BLOCK)), BLOCK)
         self.inside = (weight / inside).astype(np.float32)
+        # noise words of a class come from SLOTS places, at least one per word and the others by share
+        share = self.inside.reshape(CLASSES, BLOCK)
+        slots = 1 + np.floor(share * (SLOTS - BLOCK)).astype(np.int64)
+        slots[np.arange(CLASSES), share.argmax(1)] += SLOTS - slots.sum(1)
+        self.slots = np.repeat(np.arange(VOCABULARY), slots.ravel()).reshape(CLASSES, SLOTS)
+        self.noise = (slots.ravel() / SLOTS).astype(np.float32)
 
     @staticmethod
     def rare_unit(h: np.ndarray) -> np.ndarray:
@@ -197,7 +204,7 @@ class LogBilinear:
 
     def gradient(self, context: np.ndarray, target: np.ndarray, place: np.ndarray, noise: np.ndarray, inner: np.ndarray, v: Vocabulary) -> tuple:
         """Of the noise-contrastive loss: for units with the same noise units for all tokens of the batch, for learned words with
-        ``inner`` noise words of the same class each. Returns the gradient of the units, and rows and gradients of the words."""
+        ``inner`` (one row per learned word) noise words of the same class. Returns the gradient of the units, and rows and gradients of the words."""
         grad = LogBilinear(np.zeros(self.SIZE, np.float32), self.words)
         p = self.predict(context)
         log_noise = np.log(len(noise) * v.share).astype(np.float32)
@@ -211,10 +218,10 @@ class LogBilinear:
         word = np.flatnonzero(place >= 0)
         rows, steps = np.zeros(0, np.int64), np.zeros((0, DIM + 1), np.float32)
         if len(word):
-            both = np.concatenate([place[word][:, None], inner[word]], 1)
+            both = np.concatenate([place[word][:, None], inner], 1)
             x = np.concatenate([p[word], np.ones((len(word), 1), np.float32)], 1)
             own = self.words[both]
-            z = np.einsum("nd,nkd->nk", x, own) - np.log(INNER * v.inside[both])
+            z = np.einsum("nd,nkd->nk", x, own) - np.log(INNER * v.noise[both])
             err = (_sigmoid(z) / len(target)).astype(np.float32)
             err[:, 0] -= np.float32(1 / len(target))
             dp[word] += np.einsum("nk,nkd->nd", err, own[:, :, :DIM])
@@ -297,10 +304,9 @@ class Learner:
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
             self.step += 1
-            block = np.maximum(place[pick], 0) // BLOCK * BLOCK
-            low, high = self.v.bounds[block], self.v.bounds[block + BLOCK]
-            u = low[:, None] + self.r.random((len(pick), INNER)) * (high - low)[:, None]
-            inner = np.clip(np.searchsorted(self.v.bounds, u, "right") - 1, block[:, None], block[:, None] + BLOCK - 1)
+            own = place[pick]
+            own = own[own >= 0] // BLOCK
+            inner = self.v.slots[own[:, None], self.r.integers(0, SLOTS, (len(own), INNER))]
             noise = self.r.choice(UNITS, NOISE, p=self.v.share)
             g, rows, steps = self.model.gradient(context[pick], target[pick], place[pick], noise, inner, self.v)
             self.m = 0.9 * self.m + 0.1 * g
