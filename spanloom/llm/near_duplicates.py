@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import stored, table
+from spanloom.llm.common import byte_slices, stored, table
 from spanloom.llm.packing import mix64
 from spanloom.llm.vector_duplicates import block_forest
 from spanloom.operators.graph import connected_components
@@ -90,18 +90,12 @@ def signature(items: np.ndarray) -> tuple[bytes, int, int, list[int]]:
     return xxhash.xxh3_128_digest(items.tobytes()), int(bits[0]), int(bits[1]), bands.view(np.int64).tolist()
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n, digest, b0, b1, bands per document; of an empty set digest and bands are null."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        for b in _slices(batches):
+        for b in byte_slices(batches, "text"):
             rows = []
             for t in b.column("text").cast(pa.binary()).to_pylist():
                 items = shingles(t, words)
@@ -128,7 +122,7 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, sets = WordHashes(), {}
-        for batch in _slices(batches, 200):
+        for batch in byte_slices(batches, "tb", most_rows=200):
             keep = []
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             ta, tb = batch.column("ta").cast(pa.binary()), batch.column("tb").cast(pa.binary())
@@ -190,7 +184,7 @@ def compare_blocks(open_: DataFrame, top: DataFrame, texts: DataFrame, percent:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        for b in _slices(batches, 200):
+        for b in byte_slices(batches, "text", most_rows=200):
             sets = [shingles(t, words).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "set"])
 
@@ -235,7 +229,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = 85, roun
 
     Null and empty texts have no shingles, link with nothing and stay. Rows without an id have a null component and
     stay. Repeated rows each get a row; rows that repeat an id count as one document with the links of all. Extra
-    columns are ignored.
+    columns are ignored, long texts are read whole, and an empty table gives an empty one.
     """
     keep = lambda name: lambda df: stored(df, f"near-{name}")
     signed = keep("signatures")(signatures(docs, text))

@@ -10,11 +10,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import stored, table
+from spanloom.llm.common import byte_slices, stored, table
 
 #: Size of the hashed feature space; the last SHAPES * STEPS places are for binned shape features.
 PLACES, SHAPES, STEPS = 1 << 18, 7, 10
 STRIP = b".,;:!?\"'()[]#$%&*|<>"
+UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 class Places(dict):
@@ -36,10 +37,10 @@ def features(text: bytes | None, places: Places) -> np.ndarray:
     n = max(1, len(words))
     found = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
     letters = max(1, len(t) - t.count(b" "))
-    upper = sum(map(t.count, (b"E", b"N", b"T", b"R", b"A", b"S", b"O", b"I")))
+    upper = len(t) - len(t.translate(None, UPPER))
     shape = (
         sum(map(t.count, (b"#", b"*", b"$", b"%", b"&", b"<", b">"))) / n, t.count(b"|") / n, t.count(b"!") / n,
-        3 * upper / letters, 1 - len(set(words)) / n, min(1.0, np.log10(n) / 5), 1 - letters / max(1, len(t)),
+        upper / letters, 1 - len(set(words)) / n, min(1.0, np.log10(n) / 5), 1 - letters / max(1, len(t)),
     )
     binned = [PLACES - SHAPES * STEPS + i * STEPS + min(STEPS - 1, int(np.sqrt(max(0.0, x)) * STEPS)) for i, x in enumerate(shape)]
     return np.unique(np.concatenate([found, np.array(binned, np.int64)]))
@@ -98,7 +99,8 @@ def posteriors(sums: DataFrame, levels: tuple[str, ...], bad: str) -> DataFrame:
     """From per-path sums (levels, n, ``bad`` = expected number of bad documents): theta, the shrunk rate of each path.
 
     Every level's rates are shrunk toward the level above by a Beta prior whose strength comes from how much the rates of
-    that level differ beyond what their sizes explain (method of moments); the top level is the whole corpus.
+    that level differ beyond what their sizes explain (method of moments); the top level is the whole corpus. Also _k and
+    _prior of the last level: the strength and the mean of the prior that theta was shrunk toward.
     """
     everything = Window.partitionBy()
     df = sums.withColumn("theta", F.sum(bad).over(everything) / F.greatest(F.sum("n").over(everything), F.lit(1e-9)))
@@ -116,9 +118,10 @@ def posteriors(sums: DataFrame, levels: tuple[str, ...], bad: str) -> DataFrame:
         own = own.crossJoin(F.broadcast(strength))  # one row
         own = own.withColumn("_theta", (F.col("_k") * F.col("_up") + F.col("_b")) / (F.col("_k") + F.col("_n")))
         keys = [own[c].alias(f"_{c}") for c in levels[:k]]
-        own = own.select(*keys, "_theta")
+        own = own.select(*keys, "_theta", F.col("_k").alias("_strength"), F.col("_up").alias("_toward"))
         on = [df[c].eqNullSafe(own[f"_{c}"]) for c in levels[:k]]
-        df = df.join(own, on).withColumn("theta", F.col("_theta")).drop("_theta", *[f"_{c}" for c in levels[:k]])
+        df = df.drop("_k", "_prior").join(own, on).withColumn("theta", F.col("_theta"))
+        df = df.withColumnsRenamed({"_strength": "_k", "_toward": "_prior"}).drop("_theta", *[f"_{c}" for c in levels[:k]])
     return df
 
 
@@ -130,11 +133,13 @@ def site_quality(
     The classifiers learn from at most ``sample_rows`` labelled documents (smallest hashed ids); everything else covers
     all documents. Each document's evidence, a log-odds, is counted into its host and path; the rates of hosts are
     shrunk toward the corpus and those of paths toward their host, so sparse sites stay near the prior. A document's
-    posterior log-odds are its evidence moved by how far its path's rate is from the corpus rate, and it is kept if
-    neither target's passes its threshold.
+    posterior log-odds are its evidence moved by how far the rate of the other documents of its path is from the corpus
+    rate, and it is kept if neither target's passes its threshold. ``levels`` name the columns of host and path; tables
+    without addresses, such as documents, have their source and language stand for them.
 
     Null texts are empty; null hosts and paths form groups of their own; null labels are ignored and repeated ids take the
-    worse label. Without labels of both kinds a target rejects nothing. Repeated rows each get a row.
+    worse label. Without labels of both kinds a target rejects nothing. Repeated rows each get a row, ties in the sample go by
+    id, long texts are read whole, a few megabytes at a time, extra columns are ignored, and an empty table gives none.
     """
     h = F.xxhash64(F.col("doc_id"), F.lit(8))
     chosen = (
@@ -147,7 +152,7 @@ def site_quality(
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = Places()
-        for b in batches:
+        for b in byte_slices(batches, "text"):
             rows = [features(t, places).astype(np.int32) for t in b.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("bad"), b.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "bad", "toxic", "f"])
 
@@ -164,7 +169,7 @@ def site_quality(
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = Places()
-        for b in batches:
+        for b in byte_slices(batches, "text"):
             found = [features(t, places) for t in b.column("text").cast(pa.binary()).to_pylist()]
             out = [pa.array([models[k].log_odds(f) if k in models else -20.0 for f in found], pa.float64()) for k in ("bad", "toxic")]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", *levels)), *out], ["doc_id", *levels, "bad", "toxic"])
@@ -178,14 +183,17 @@ def site_quality(
     out = judged
     for name in ("bad", "toxic"):
         rates = posteriors(sums.select(*levels, "n", name), levels, name).select(
-            *[F.col(c).alias(f"_{c}") for c in levels], F.col("theta").alias(f"{name}_rate")
+            *[F.col(c).alias(f"_{c}") for c in levels], F.col("theta").alias(f"{name}_rate"), "_k", "_prior", F.col("n").alias("_n"), F.col(name).alias("_b")
         )
         out = out.join(rates, [out[c].eqNullSafe(rates[f"_{c}"]) for c in levels]).drop(*[f"_{c}" for c in levels])
         total = sums.agg(F.sum(name) / F.greatest(F.sum("n"), F.lit(1))).first()[0]
-        moved = F.col(name) + _logit(F.col(f"{name}_rate")) - _logit(F.lit(float(total or 0.5)))
+        # the rate that the other documents of the path give: a document is no evidence about itself
+        share = F.round(1e6 / (1 + F.exp(-F.col(name)))) / 1e6
+        others = (F.col("_k") * F.col("_prior") + F.greatest(F.col("_b") - share, F.lit(0.0))) / (F.col("_k") + F.col("_n") - 1)
+        moved = F.col(name) + _logit(others) - _logit(F.lit(float(total or 0.5)))
         out = out.withColumn(f"{name}_posterior", 1 / (1 + F.exp(-moved)))
         cut = models[name].threshold if name in models else float("inf")
-        out = out.withColumn(f"_{name}_cut", moved > F.lit(cut))
+        out = out.withColumn(f"_{name}_cut", moved > F.lit(cut)).drop("_k", "_prior", "_n", "_b")
     out = out.withColumn("kept", ~(F.col("_bad_cut") | F.col("_toxic_cut"))).drop("_bad_cut", "_toxic_cut")
     return out.withColumnsRenamed({"bad": "bad_evidence", "toxic": "toxic_evidence"})
 

@@ -49,7 +49,7 @@ class Index:
         own = nearest(x, centres)
         width = -(-x.shape[1] // subspaces)
         residual = np.pad(x - centres[own], ((0, 0), (0, width * subspaces - x.shape[1]))).reshape(len(x), subspaces, width)
-        few = residual[:8192]
+        few = residual[:8192]  # rows that the codebooks of the residuals are fitted on
         books = [kmeans(np.ascontiguousarray(few[:, m]), 256, 5) for m in range(subspaces)]
         books = np.stack([np.pad(b, ((0, 256 - len(b)), (0, 0)), mode="edge") for b in books])
         probe = x[r.choice(len(x), min(len(x), 2000), replace=False)]
@@ -122,12 +122,14 @@ def vector_duplicates(
     ``sample`` classes (smallest hashes) and holds all: every class lies in the list of its nearest centre with the
     code of its residual, and visits as many lists as find 99.5% of the vectors at the threshold. Lists and the
     queries that visit them are dealt out in blocks of at most about ``block`` vectors, so a crowded list is many
-    tasks. In a block, table-lookup distances, less what each code leaves out, rule pairs out without loss; the rest
+    tasks. A link that only one side's visits find counts on both sides. In a block, table-lookup distances, less what each code leaves out, rule pairs out without loss; the rest
     is decided by the cosine in double precision. A block returns link counts per query and a spanning forest, never
     pairs, so a group of n vectors costs rows in proportion to n.
 
     Vectors that are null, zero or hold null or non-finite components link with nothing. Shorter vectors count as
-    padded with zeros. Repeated rows each count; rows without an id are left out of all links. Extra columns are ignored.
+    padded with zeros, however long the longest is. Repeated rows each count; rows without an id are left out of all links.
+    Extra columns are ignored; an empty table gives an empty one. ``most_lists`` and ``sample`` bound what the driver fits:
+    the index itself holds every row, but beyond about most_lists * list_size vectors its lists get longer.
     """
     raw = vectors.select("vec_id", F.col(embedding).cast("array<double>").alias("e"))
     width = raw.agg(F.max(F.size("e"))).first()[0] or 0
@@ -172,12 +174,12 @@ def vector_duplicates(
         parts = {k: (-(-held[k] // block), -(-asked.get(k, 0) // block)) for k in held}
         blocks = F.create_map(*[F.lit(v) for k, (a, b) in parts.items() for v in (k, a)])
         asking = F.create_map(*[F.lit(v) for k, (a, b) in parts.items() for v in (k, b)])
-        stay = placed.select("list", F.lit(False).alias("query"), "rep", "m", "x", "code", "left").withColumn("c", F.pmod(h, F.element_at(blocks, F.col("list"))).cast("int"))
+        stay = placed.select("list", F.lit(False).alias("query"), "rep", "m", "x", "code", "left", "visits").withColumn("c", F.pmod(h, F.element_at(blocks, F.col("list"))).cast("int"))
         stay = stay.withColumn("q", F.explode(F.sequence(F.lit(0), F.element_at(asking, F.col("list")) - 1)))
-        come = placed.select(F.explode("visits").alias("list"), F.lit(True).alias("query"), "rep", "m", "x", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("left"))
+        come = placed.select(F.explode("visits").alias("list"), F.lit(True).alias("query"), "rep", "m", "x", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("left"), F.array("list").alias("visits"))
         come = come.where(F.col("list").isin(list(held))).withColumn("q", F.pmod(F.xxhash64("rep", F.lit(1)), F.element_at(asking, F.col("list"))).cast("int"))
         come = come.withColumn("c", F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("list")) - 1)))
-        names = ["list", "c", "q", "query", "rep", "m", "x", "code", "left"]
+        names = ["list", "c", "q", "query", "rep", "m", "x", "code", "left", "visits"]
 
         def compare(t: pa.Table) -> pa.Table:
             t = t.combine_chunks()
@@ -189,6 +191,9 @@ def vector_duplicates(
                 code = np.frombuffer(b"".join(db.column("code").to_pylist()), np.uint8).reshape(db.num_rows, -1)
                 left, ids, many = (db.column(c).to_numpy() for c in ("left", "rep", "m"))
                 list_id = db.column("list")[0].as_py()
+                visits = db.column("visits").combine_chunks()
+                own = ask.column("visits").combine_chunks().flatten().to_numpy()
+                weight = ask.column("m").to_numpy()
                 for at in range(0, ask.num_rows, 512):
                     part = ask.slice(at, 512)
                     x, mine = unit_rows(part.column("x").combine_chunks(), width), part.column("rep").to_numpy()
@@ -201,6 +206,8 @@ def vector_duplicates(
                     if len(i):
                         counts = np.bincount(i, many[j], len(x)).astype(np.int64)
                         out += [(int(mine[k]), int(counts[k])) for k in np.flatnonzero(counts)]
+                        # the other side counts the link here if its own visits do not come to this query's list
+                        out += [(int(ids[b]), int(weight[at + a])) for a, b in zip(i.tolist(), j.tolist(), strict=True) if int(own[at + a]) not in visits[b].as_py()]
                         forest.append(block_forest(i, j, mine, ids))
             forest = np.concatenate(forest)
             long = lambda x: pa.array(x, pa.int64())

@@ -17,7 +17,7 @@ from spanloom.llm.packing import hilbert_key, pack
 from spanloom.llm.quality_rules import apply_quality_rules, fit_quality_rules, text_profile
 from spanloom.llm.repeated_strings import remove_repeats, repeated_windows
 from spanloom.llm.secrets import CharCNN, base_spans, candidates, find_base, fit_network, mask_secrets, regions, scan_secrets
-from spanloom.llm.site_quality import site_quality
+from spanloom.llm.site_quality import posteriors, site_quality
 from spanloom.llm.token_files import read_token_files, write_token_files
 from spanloom.llm.vector_duplicates import vector_duplicates
 from tests.conftest import SF
@@ -305,6 +305,44 @@ def test_vectors(spark, empty):
     assert vector_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_with_many_lists(spark):
+    """Recall of links against brute force where queries visit a part of the lists, and equal counts on both sides."""
+    r = np.random.default_rng(9)
+    base = r.normal(size=(2000, 48))
+    near = base[:500] + 0.42 * r.normal(size=(500, 48))
+    x = np.concatenate([base, near]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = {q.vec_id: q for q in vector_duplicates(df, list_size=32, block=256).collect()}
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    want = ((y @ y.T >= 0.9) & ~np.eye(len(y), dtype=bool)).sum(1)
+    got = np.array([found[i].n_links for i in range(len(y))])
+    assert want.sum() > 500 and (got <= want).all() and got.sum() >= 0.95 * want.sum() and got.sum() % 2 == 0
+
+
+def test_posteriors(spark):
+    """Rates per site against the same sums in numpy."""
+    r = np.random.default_rng(2)
+    rows = [(h, f"{h}/{p}", int(n), float(n * r.beta(1 + 3 * (h == "a"), 5))) for h in "abc" for p in range(6) for n in [r.integers(1, 60)]]
+    out = {q.path: q for q in posteriors(spark.createDataFrame(rows, "host string, path string, n long, bad double"), ("host", "path"), "bad").collect()}
+    total = sum(q[3] for q in rows) / sum(q[2] for q in rows)
+    up = dict.fromkeys([q[0] for q in rows], total)
+    for level in (0, 1):
+        n, b, prior = defaultdict(float), defaultdict(float), {}
+        for q in rows:
+            n[q[level]] += q[2]
+            b[q[level]] += q[3]
+            prior[q[level]] = up[q[0]]
+        chance = {g: prior[g] * (1 - prior[g]) for g in n}
+        seen, size = sum(n[g] * (b[g] / n[g] - prior[g]) ** 2 for g in n), sum(n.values())
+        between = max((seen - sum(chance.values())) / max(size, 1), 1e-9)
+        k = max(2.0, min(1e4, sum(n[g] * chance[g] for g in n) / max(size, 1) / between - 1))
+        theta = {g: (k * prior[g] + b[g]) / (k + n[g]) for g in n}
+        up = theta if level == 0 else up
+    for q in rows:
+        assert abs(out[q[1]].theta - theta[q[1]]) < 1e-9 and abs(out[q[1]]["_k"] - k) < 1e-6 * k and abs(out[q[1]]["_prior"] - up[q[0]]) < 1e-9
+
+
 def test_quality_rules(docs, labels, odd, empty):
     rules = fit_quality_rules(docs, labels)
     rows = {r.doc_id: r for r in apply_quality_rules(docs, rules).collect()}
