@@ -151,6 +151,8 @@ def learn_decision_list(
     """
     import math
 
+    if not rows:
+        return DecisionList()
     bits = lambda flags: int("".join("1" if x else "0" for x in flags) or "0", 2)
     positive, pruning = bits(r[1] for r in rows), bits(r[2] for r in rows)
     everything = (1 << len(rows)) - 1
@@ -222,7 +224,8 @@ def fit_quality_rules(
     """Learn from at most ``sample_rows`` labelled documents (those with the smallest hashed ids).
 
     ``labels`` holds doc_id and quality (1 good, 0 bad); null labels are ignored, and of repeated ids the lowest label
-    counts. Without labels the list is empty.
+    counts. Rows of ``docs`` that repeat a labelled id all count, up to twice ``sample_rows`` rows, those with the smallest
+    hashed ids and features. Without labels, or labelled documents, the list is empty.
     """
     h = F.xxhash64(F.col("doc_id"), F.lit(9))
     chosen = (
@@ -241,12 +244,16 @@ def fit_quality_rules(
         (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(10)), F.lit(3)) == 0).alias("prune"),
         F.col("doc_id"),
     )
-    rows = sorted((r["doc_id"], tuple(r["x"]), r["rejected"], r["prune"]) for r in measured.limit(2 * sample_rows).collect())
+    rows = sorted((r["doc_id"], tuple(r["x"]), r["rejected"], r["prune"]) for r in measured.orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id", "x").limit(2 * sample_rows).collect())
     return learn_decision_list([r[1:] for r in rows], **options)
 
 
 def apply_quality_rules(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame:
-    """Profile every text and add base_failed, rule (first rejecting rule or null) and kept."""
+    """Profile every text and add base_failed, rule (first rejecting rule or null) and kept.
+
+    Null and empty texts have no words and fail; long texts are profiled whole; repeated rows each get a row with the same
+    verdict; other columns stay as they are, but for one named like an added column, which it replaces; an empty table gives none.
+    """
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     df = text_profile(docs, text).withColumn("base_failed", base_failed)
     df = df.withColumn("rule", F.when(~F.col("base_failed"), rules.verdict()))

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from spanloom.llm import lm_scoring as lm
 from spanloom.llm.lm_scoring import score_texts
 from spanloom.llm.mixing import mix
@@ -422,8 +423,31 @@ def test_site_quality(docs, labels, odd, empty):
     assert site_quality(odd, labels).count() == len(ODD) and site_quality(empty, labels).count() == 0
 
 
+def test_stages_on_awkward_tables(spark, odd, empty):
+    """Every stage takes nulls, empty and long texts, repeats, no rows and extra columns, and keeps the columns of documents."""
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality rules", "MinHash near-dedup", "secret scans", "mixing sources", "packing"]
+    stage = dict(corpus_pipeline.STAGES)
+    for name, f in stage.items():
+        none = f(spark, empty, SF)
+        assert none.count() == 0 and (name == "packing" or tuple(none.columns) == corpus_pipeline.COLUMNS)
+    got = {name: f(spark, odd, SF).collect() for name, f in stage.items()}
+    assert all(r.text is not None and len(words(r.text)) >= 10 for r in got["quality rules"])
+    kept = Counter(r.doc_id for r in got["MinHash near-dedup"])
+    assert kept == {1: 1, 2: 1, 3: 1, 4: 1, 6: 1, 8: 1, 9: 1}
+    masked = {r.doc_id: r for r in got["secret scans"]}
+    assert len(got["secret scans"]) == len(ODD) and masked[1].text is None and masked[1].n_chars is None and masked[6].text == LONG
+    assert "hunter2xyz" not in masked[9].text and masked[9].n_chars == len(masked[9].text)
+    size = {r[0]: len(words(r[1])) for r in ODD}
+    times = Counter(r.doc_id for r in got["mixing sources"])
+    assert all(times[i] <= 2 * sum(r[0] == i for r in ODD) for i in times) and sum(size[i] * n for i, n in times.items()) > 0
+    tokens = Counter()
+    for p in got["packing"]:
+        tokens[p.doc_id] += p.length
+    assert tokens[1] == tokens[2] == 1 and tokens[3] == 2 * (len(ids_of("one")) + 1) and tokens[6] == len(ids_of(LONG)) + 1
+
+
 def test_pipeline(spark):
-    import corpus_pipeline
 
     docs, seen = spark.read.parquet(f"{SF}/documents.parquet"), []
     for _, stage in corpus_pipeline.STAGES[:-1]:
@@ -437,7 +461,6 @@ def test_pipeline(spark):
 
 def test_pipeline_near_duplicates(spark):
     """Copies at 0.80 to 0.85 go, those below 0.8 and repeated ids with other texts stay, fully repeated rows are one row."""
-    import corpus_pipeline
 
     text = lambda tail: " ".join([f"u{i}" for i in range(104 - len(tail))] + tail)
     # 100 shingles each: 10 changed ones give 90 / 110 = 0.818, 12 give 88 / 112 = 0.786
