@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = 85, roun
     reps = members.where("doc_id = rep")
     banded = reps.select("doc_id", "n", "b0", "b1", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    grouped = keep("bands")(banded.join(shared, "key").select("key", "pivot", "doc_id", "n", "b0", "b1"))
+    grouped = keep("bands")(banded.join(shared, "key").select("key", "pivot", "m", "doc_id", "n", "b0", "b1"))
     checked = keep("pairs-0")(grouped.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct())
     wanted = grouped.select("doc_id").distinct()
     texts = keep("texts")(docs.select("doc_id", F.col(text).cast("string").alias("text")).join(wanted, "doc_id", "left_semi"))
@@ -253,15 +253,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = 85, roun
     side = lambda s, p="": [F.col(f"{p}doc_id").alias(s), *(F.col(f"{p}{c}").alias(f"{s}_{c}") for c in ("n", "b0", "b1"))]
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     components = keep("components-0")(connected_components(links, keep("edges-0")))
-    r, last = 0, False
+    # a band of two has had its one pair verified, and a band in one component stays so: neither is looked at again
+    r, last, left = 0, False, grouped.where("m > 2").drop("pivot", "m")
     while not last:
         r += 1
-        placed = grouped.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        placed = placed.withColumn("component", F.coalesce("component", "doc_id")).drop("pivot")
+        placed = left.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
         split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
         open_ = keep(f"open-{r}")(placed.join(split, "key"))
         if open_.isEmpty():
             break
+        left = open_.drop("component")
         # the smallest hash picks another member each round
         parts = open_.groupBy("key", "component").agg(
             F.count(F.lit(1)).alias("m"), F.min_by(F.struct("doc_id", "n", "b0", "b1"), F.xxhash64("doc_id", F.lit(r))).alias("one")
