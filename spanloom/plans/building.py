@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators import datasets as D
@@ -12,9 +12,14 @@ SPLITS = ("test", "train", "validation")
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of the corpus with their group keys: text hash, source and size, template of the first words."""
-    docs = _documents(spark, d).withColumns({"opening": F.substring("text", 1, 24), "size_group": F.concat_ws(":", "source", "lang", F.col("n_chars").cast("string"))})
-    return D.group_edges(docs.withColumn("hash", D.text_hash(F.col("text"))), {"text": "hash", "size": "size_group", "opening": "opening"})
+    """Documents of the corpus with their group keys: text hash, source and size, template of the whole text."""
+    docs = _documents(spark, d).withColumns({"template": _template(F.col("text")), "size_group": F.concat_ws(":", "source", "lang", F.col("n_chars").cast("string"))})
+    return D.group_edges(docs.withColumn("hash", D.text_hash(F.col("text"))), {"text": "hash", "size": "size_group", "template": "template"})
+
+
+def _template(text: Column) -> Column:
+    """Hash of the whole text with its numbers made equal."""
+    return F.sha2(F.regexp_replace(text, "[0-9]+", "0"), 256)
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -26,8 +31,9 @@ def _splits(spark: SparkSession, d: str) -> DataFrame:
 
 
 FLAT = r"replace(lower(regexp_replace(text, '[\s\x0b\x{85}\p{Z}]+', '', 'g')), 'ß', 'ss')"
+TEMPLATE = "sha256(regexp_replace(text, '[0-9]+', '0', 'g'))"
 EDGES_SQL = f"""edges AS (SELECT doc_id, 'text' AS kind, 'sha256:' || sha256({FLAT}) AS value FROM documents WHERE text IS NOT NULL
-  UNION SELECT doc_id, 'size', concat_ws(':', source, lang, n_chars::VARCHAR) FROM documents UNION SELECT doc_id, 'opening', substr(text, 1, 24) FROM documents WHERE text IS NOT NULL),
+  UNION SELECT doc_id, 'size', concat_ws(':', source, lang, n_chars::VARCHAR) FROM documents UNION SELECT doc_id, 'template', {TEMPLATE} FROM documents WHERE text IS NOT NULL),
   splits AS (SELECT doc_id, ['test', 'train', 'validation'][doc_id % 3 + 1] AS split FROM documents)"""
 
 
@@ -137,10 +143,10 @@ def i29_unique_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def i41_corpus_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Shared fingerprints of documents, by text and by opening, between the corpora that the sources are."""
+    """Shared fingerprints of documents, by text and by template, between the corpora that the sources are."""
     docs = _documents(spark, d)
     part = lambda name, value: docs.select(F.col("source").alias("corpus"), F.lit(name).alias("dimension"), value.alias("value"))
-    return D.corpus_overlap(part("text", D.text_hash(F.col("text"))).unionByName(part("opening", F.substring("text", 1, 16))).where("value IS NOT NULL AND corpus IS NOT NULL"))
+    return D.corpus_overlap(part("text", D.text_hash(F.col("text"))).unionByName(part("template", _template(F.col("text")))).where("value IS NOT NULL AND corpus IS NOT NULL"))
 
 
 def j1_admission(spark: SparkSession, d: str) -> DataFrame:
@@ -206,7 +212,7 @@ ALL = {
     (SELECT count(DISTINCT label) FROM g JOIN docs d ON g.doc_id = d.doc_id WHERE d.split = n.split) AS n_labels FROM n GROUP BY split"""),
     "i36_length_buckets": (i36_length_buckets, "SELECT lang, CASE WHEN n_chars <= 128 THEN '<=128' WHEN n_chars <= 512 THEN '<=512' WHEN n_chars <= 2048 THEN '<=2048' ELSE '>2048' END AS bucket, count(*) AS n FROM documents GROUP BY ALL"),
     "i41_corpus_overlap": (i41_corpus_overlap, f"""WITH f AS (SELECT DISTINCT source AS corpus, 'text' AS dimension, sha256({FLAT}) AS value FROM documents WHERE text IS NOT NULL AND source IS NOT NULL
-    UNION SELECT source, 'opening', substr(text, 1, 16) FROM documents WHERE text IS NOT NULL AND source IS NOT NULL)
+    UNION SELECT source, 'template', {TEMPLATE} FROM documents WHERE text IS NOT NULL AND source IS NOT NULL)
   SELECT a.dimension, a.corpus AS corpus_a, b.corpus AS corpus_b, count(*) AS shared FROM f a JOIN f b ON a.dimension = b.dimension AND a.value = b.value AND a.corpus < b.corpus GROUP BY ALL"""),
     "j1_admission": (j1_admission, J1_SQL),
 }
