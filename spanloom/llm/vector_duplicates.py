@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +30,13 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     half = 0.5 * (centres * centres).sum(1)
-    return np.concatenate([(half - x[i : i + 4096] @ centres.T).argmin(1) for i in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
+    return np.concatenate([(half - x[rows] @ centres.T).argmin(1) for rows in slices(x, centres)] or [np.zeros(0, np.int64)])
+
+
+def slices(x: np.ndarray, centres: np.ndarray) -> Iterator[slice]:
+    """Rows of ``x`` whose distances to all centres take about 32 MB, so that memory doesn't grow with the lists."""
+    step = max(1, (1 << 22) // len(centres))
+    return (slice(at, at + step) for at in range(0, len(x), step))
 
 
 @dataclass(frozen=True)
@@ -57,9 +64,11 @@ class Index:
         aside -= (aside * probe).sum(1, keepdims=True) * probe
         aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-12)
         turned = cosine * probe + np.sqrt(1 - cosine**2) * aside
-        far = 0.5 * (centres * centres).sum(1) - probe @ centres.T
-        rank = (far < far[np.arange(len(probe)), nearest(turned, centres)][:, None]).sum(1)
-        probes = int(np.quantile(rank, recall)) + 1
+        half, goal, rank = 0.5 * (centres * centres).sum(1), nearest(turned, centres), []
+        for rows in slices(probe, centres):
+            far = half - probe[rows] @ centres.T
+            rank.append((far < np.take_along_axis(far, goal[rows][:, None], 1)).sum(1))
+        probes = int(np.quantile(np.concatenate(rank), recall)) + 1
         return cls(centres, books, min(probes, len(centres)), float(np.sqrt(2 - 2 * cosine)))
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,10 +82,11 @@ class Index:
 
     def visit(self, x: np.ndarray) -> np.ndarray:
         """The ``probes`` nearest lists of each vector."""
-        far = 0.5 * (self.centres * self.centres).sum(1) - x @ self.centres.T
         if self.probes >= len(self.centres):
             return np.tile(np.arange(len(self.centres)), (len(x), 1))
-        return np.argpartition(far, self.probes - 1, axis=1)[:, : self.probes]
+        half = 0.5 * (self.centres * self.centres).sum(1)
+        near = [np.argpartition(half - x[rows] @ self.centres.T, self.probes - 1, axis=1)[:, : self.probes] for rows in slices(x, self.centres)]
+        return np.concatenate(near or [np.zeros((0, self.probes), np.int64)])
 
     def table_distances(self, x: np.ndarray, list_id: int, code: np.ndarray) -> np.ndarray:
         """Distances of queries to coded vectors of one list, by one table of partial distances per subspace."""
@@ -114,22 +124,23 @@ def block_forest(i: np.ndarray, j: np.ndarray, ids_i: np.ndarray, ids_j: np.ndar
 
 def vector_duplicates(
     vectors: DataFrame, embedding: str = "embedding", cosine: float = 0.9, sample: int = 20_480, list_size: int = 256,
-    most_lists: int = 1024, block: int = 2048,
+    base_lists: int = 1024, block: int = 2048,
 ) -> DataFrame:
     """Return vec_id, n_links, component_id and kept for every row of ``vectors``.
 
-    Equal vectors form a class; one of each is indexed, and the rest only count. The index is fitted on at most
-    ``sample`` classes (smallest hashes) and holds all: every class lies in the list of its nearest centre with the
+    Equal vectors form a class; one of each is indexed, and the rest only count. The index has a list for every
+    ``list_size`` classes, up to ``base_lists`` or the square root of their number, whichever is more. It is fitted on at
+    most ``sample`` classes, or 16 a list if that is more (smallest hashes), and holds all: every class lies in the list of its nearest centre with the
     code of its residual, and visits as many lists as find 99.5% of the vectors at the threshold. Lists and the
     queries that visit them are dealt out in blocks of at most about ``block`` vectors, so a crowded list is many
-    tasks. A link that only one side's visits find counts on both sides. In a block, table-lookup distances, less what each code leaves out, rule pairs out without loss; the rest
-    is decided by the cosine in double precision. A block returns link counts per query and a spanning forest, never
+    tasks. A link that only one side's visits find counts on both sides. In a block, table-lookup distances, less what
+    each code leaves out, rule pairs out without loss; the rest is decided by the cosine in double precision. A block returns link counts per query and a spanning forest, never
     pairs, so a group of n vectors costs rows in proportion to n.
 
     Vectors that are null, zero or hold null or non-finite components link with nothing. Shorter vectors count as
     padded with zeros, however long the longest is. Repeated rows each count; rows without an id are left out of all links.
-    Extra columns are ignored; an empty table gives an empty one. ``most_lists`` and ``sample`` bound what the driver fits:
-    the index itself holds every row, but beyond about most_lists * list_size vectors its lists get longer.
+    Extra columns are ignored; an empty table gives an empty one. What the driver fits, the centres and what is broadcast
+    grow with the square root of the number of classes, and so does the work per vector.
     """
     raw = vectors.select("vec_id", F.col(embedding).cast("array<double>").alias("e"))
     width = raw.agg(F.max(F.size("e"))).first()[0] or 0
@@ -149,8 +160,8 @@ def vector_duplicates(
     good = packed.where("x IS NOT NULL AND vec_id IS NOT NULL")
     classes = stored(good.groupBy("x").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m")), "vector-classes")
     n = classes.count()
-    lists = max(1, min(most_lists, n // list_size, sample // 16))
-    rows = classes.orderBy(F.xxhash64("x"), "rep").limit(sample).select("x").toArrow()
+    lists = max(1, min(n // list_size, max(base_lists, math.isqrt(n))))
+    rows = classes.orderBy(F.xxhash64("x"), "rep").limit(max(sample, 16 * lists)).select("x").toArrow()
     if n:
         index = Index.fit(unit_rows(rows.column("x").combine_chunks(), width), lists, cosine)
 
@@ -168,17 +179,14 @@ def vector_duplicates(
     if n:
         placed = stored(classes.select("x", "rep", "m").mapInArrow(place, "x binary, rep long, m long, list int, code binary, left double, visits array<int>"), "vector-lists")
         h = F.xxhash64("rep")
-        held = {r["list"]: r["count"] for r in placed.groupBy("list").count().collect()}
-        asked = {r["v"]: r["count"] for r in placed.select(F.explode("visits").alias("v")).groupBy("v").count().collect()}
-        # blocks of each list, from counts of at most ``most_lists`` lists
-        parts = {k: (-(-held[k] // block), -(-asked.get(k, 0) // block)) for k in held}
-        blocks = F.create_map(*[F.lit(v) for k, (a, b) in parts.items() for v in (k, a)])
-        asking = F.create_map(*[F.lit(v) for k, (a, b) in parts.items() for v in (k, b)])
-        stay = placed.select("list", F.lit(False).alias("query"), "rep", "m", "x", "code", "left", "visits").withColumn("c", F.pmod(h, F.element_at(blocks, F.col("list"))).cast("int"))
-        stay = stay.withColumn("q", F.explode(F.sequence(F.lit(0), F.element_at(asking, F.col("list")) - 1)))
+        # one row per list: in how many blocks it lies, and in how many the queries come that visit it
+        held = placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+        asked = placed.select(F.explode("visits").alias("list")).groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("asking"))
+        parts = F.broadcast(stored(held.join(asked, "list"), "vector-parts"))
+        stay = placed.select("list", F.lit(False).alias("query"), "rep", "m", "x", "code", "left", "visits").join(parts, "list")
+        stay = stay.withColumns({"c": F.pmod(h, "blocks").cast("int"), "q": F.explode(F.sequence(F.lit(0), F.col("asking") - 1))})
         come = placed.select(F.explode("visits").alias("list"), F.lit(True).alias("query"), "rep", "m", "x", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("left"), F.array("list").alias("visits"))
-        come = come.where(F.col("list").isin(list(held))).withColumn("q", F.pmod(F.xxhash64("rep", F.lit(1)), F.element_at(asking, F.col("list"))).cast("int"))
-        come = come.withColumn("c", F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("list")) - 1)))
+        come = come.join(parts, "list").withColumns({"q": F.pmod(F.xxhash64("rep", F.lit(1)), "asking").cast("int"), "c": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
         names = ["list", "c", "q", "query", "rep", "m", "x", "code", "left", "visits"]
 
         def compare(t: pa.Table) -> pa.Table:

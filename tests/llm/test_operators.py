@@ -314,11 +314,15 @@ def test_vectors_with_many_lists(spark):
     x = np.concatenate([base, near]).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     found = {q.vec_id: q for q in vector_duplicates(df, list_size=32, block=256).collect()}
+    # beyond base_lists, lists follow the square root of the vectors, and the fit follows the lists
+    fewer = {q.vec_id: q for q in vector_duplicates(df, list_size=32, block=256, base_lists=8, sample=64).collect()}
     y = x.astype(np.float64)
     y /= np.linalg.norm(y, axis=1, keepdims=True)
     want = ((y @ y.T >= 0.9) & ~np.eye(len(y), dtype=bool)).sum(1)
     got = np.array([found[i].n_links for i in range(len(y))])
     assert want.sum() > 500 and (got <= want).all() and got.sum() >= 0.95 * want.sum() and got.sum() % 2 == 0
+    rooted = np.array([fewer[i].n_links for i in range(len(y))])
+    assert (rooted <= want).all() and rooted.sum() >= 0.95 * want.sum() and rooted.sum() % 2 == 0
 
 
 def test_posteriors(spark):
