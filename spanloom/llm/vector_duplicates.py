@@ -199,8 +199,13 @@ def vector_duplicates(
                 code = np.frombuffer(b"".join(db.column("code").to_pylist()), np.uint8).reshape(db.num_rows, -1)
                 left, ids, many = (db.column(c).to_numpy() for c in ("left", "rep", "m"))
                 list_id = db.column("list")[0].as_py()
-                visits = db.column("visits").combine_chunks()
                 own = ask.column("visits").combine_chunks().flatten().to_numpy()
+                visits = db.column("visits").combine_chunks().flatten().to_numpy().reshape(db.num_rows, -1)
+                asked_from, own = np.unique(own, return_inverse=True)
+                spot = np.minimum(np.searchsorted(asked_from, visits), len(asked_from) - 1)
+                row, col = np.nonzero(asked_from[spot] == visits)
+                comes = np.zeros((db.num_rows, len(asked_from)), bool)  # whether a vector of this list visits a query's list
+                comes[row, spot[row, col]] = True
                 weight = ask.column("m").to_numpy()
                 for at in range(0, ask.num_rows, 512):
                     part = ask.slice(at, 512)
@@ -215,7 +220,9 @@ def vector_duplicates(
                         counts = np.bincount(i, many[j], len(x)).astype(np.int64)
                         out += [(int(mine[k]), int(counts[k])) for k in np.flatnonzero(counts)]
                         # the other side counts the link here if its own visits do not come to this query's list
-                        out += [(int(ids[b]), int(weight[at + a])) for a, b in zip(i.tolist(), j.tolist(), strict=True) if int(own[at + a]) not in visits[b].as_py()]
+                        one_way = ~comes[j, own[at + i]]
+                        back = np.bincount(j[one_way], weight[at + i[one_way]], len(ids)).astype(np.int64)
+                        out += [(int(ids[k]), int(back[k])) for k in np.flatnonzero(back)]
                         forest.append(block_forest(i, j, mine, ids))
             forest = np.concatenate(forest)
             long = lambda x: pa.array(x, pa.int64())
