@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from spanloom.llm.exact_duplicates import OP12_SQL, op12_exact_duplicates
 from spanloom.llm.lm_scoring import op4_lm_scores
 from spanloom.llm.mixing import op1_mix
 from spanloom.llm.near_duplicates import op2_near_duplicates
@@ -33,9 +34,10 @@ def queries() -> dict[str, Query]:
         "op8_site_quality": op8_site_quality,
         "op9_quality_rules": op9_quality_rules,
         "op10_secrets": op10_secrets,
+        "op12_exact_duplicates": op12_exact_duplicates,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_exact_duplicates": OP12_SQL}
