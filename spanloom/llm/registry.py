@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from spanloom.llm.conversation_repair import op11_conversation_repair
 from spanloom.llm.exact_duplicates import OP12_SQL, op12_exact_duplicates
 from spanloom.llm.lm_scoring import op4_lm_scores
 from spanloom.llm.mixing import op1_mix
@@ -18,6 +19,7 @@ from spanloom.llm.secrets import op10_secrets
 from spanloom.llm.site_quality import op8_site_quality
 from spanloom.llm.token_files import op3_token_files
 from spanloom.llm.vector_duplicates import op7_vector_duplicates
+from spanloom.llm.whitening import op13_whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,7 +36,9 @@ def queries() -> dict[str, Query]:
         "op8_site_quality": op8_site_quality,
         "op9_quality_rules": op9_quality_rules,
         "op10_secrets": op10_secrets,
+        "op11_conversation_repair": op11_conversation_repair,
         "op12_exact_duplicates": op12_exact_duplicates,
+        "op13_whiten": op13_whiten,
         "pipeline": corpus_pipeline.run,
     }
 

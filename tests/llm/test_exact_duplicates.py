@@ -1,6 +1,7 @@
 """Exact duplicates against a plain dictionary of texts and against the SQL in DuckDB."""
 
 import hashlib
+import random
 from collections import defaultdict
 
 import duckdb
@@ -56,7 +57,9 @@ def test_empty_table(spark):
 
 
 def test_chunks_are_the_text_and_follow_content(spark):
-    df = spark.createDataFrame([(LONG,), ("Inserted. " + LONG,), ("",)], "text string").select(normalised(F.col("text")).alias("t"))
+    words = random.Random(3).choices("then on that side a thing in an area and the rain in another dale is never done again".split(), k=40_000)
+    varied = " ".join(words)
+    df = spark.createDataFrame([(varied,), ("Inserted. " + varied,), ("",)], "text string").select(normalised(F.col("text")).alias("t"))
     rows = df.select("t", chunks(F.col("t")).alias("c")).collect()
     assert all("".join(r.c) == r.t for r in rows) and all(len(c) <= 4096 for r in rows for c in r.c)
     assert len(set(rows[0].c) & set(rows[1].c)) >= 0.9 * len(set(rows[0].c))
