@@ -7,6 +7,7 @@ import hashlib
 import hmac
 import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +16,7 @@ from pyspark.sql.types import StringType
 
 from spanloom.functions.text import contains_any, find_spans, slice_text
 from spanloom.operators.datasets import greedy_split, ranked_in_order, shingle_rows
+from spanloom.operators.dealing import deal, taken
 from spanloom.operators.spans import rebuild, replace_spans
 
 Store = Callable[[DataFrame], DataFrame]
@@ -137,48 +139,41 @@ def coverage_split(components: DataFrame, targets: Mapping[str, float], required
     return greedy_split(rest.select("component", "size"), targets, seed, assigned, total).unionByName(seeded)
 
 
-def balanced_split(components: DataFrame, targets: Mapping[str, float], seed: str, most_steps: int = 10_000) -> DataFrame:
+def balanced_split(components: DataFrame, targets: Mapping[str, float], seed: str) -> DataFrame:
     """(component, split) with the least 4 documents^2 + 2 clean^2 + hard^2 of relative errors, component by component.
 
     components: component, size, n_clean, n_hard. Hard, then clean, then large components come first. Components of equal
-    figures are dealt in hashed order, so the driver walks figures, one row per combination, and a join by rank places the
-    rows; beyond ``most_steps`` components of one combination it deals equal runs. A component above the largest
-    target, or a split left empty or off by more than a component, fails.
+    figures are dealt in hashed order; the sum of squares grows by a fixed amount more with each that a split has, so the
+    split of a component follows from its rank, and the driver keeps one row per combination of figures. A component above
+    the largest target, or a split left empty or off by more than a component, fails. Ties go to the smaller hash.
     """
     figures = ["size", "n_clean", "n_hard"]
     h = F.sha2(F.concat_ws(":", F.lit(seed), F.col("component").cast("string")), 256)
+    components = components.select("component", *[F.col(c).cast("long").alias(c) for c in figures])
     ranked = ranked_in_order(components.withColumn("_h", h), figures, F.substring("_h", 1, 3), ["_h", "component"])
-    rows = [tuple(r) for r in components.groupBy(*figures).agg(F.count(F.lit(1)).alias("n")).collect()]
+    rows = [tuple(r) for r in components.groupBy(*figures).agg(F.count(F.lit(1)).alias("n")).collect()]  # one row per combination
     rows.sort(key=lambda r: (-(r[2] > 0), -(r[1] > 0), -r[0], r[1], r[2]))
     sums = [sum(r[i] * r[3] for r in rows) for i in range(3)]
     aims = {k: [v * s for s in sums] for k, v in targets.items()}
     largest = max((r[0] for r in rows), default=0)
     if rows and largest > -(-max(a[0] for a in aims.values()) // 1):
         raise ValueError("a component is larger than the largest split")
-    token = {k: hashlib.sha256(f"{seed}:{k}".encode()).hexdigest() for k in targets}
-    now, weights, table = {k: [0, 0, 0] for k in targets}, (4.0, 2.0, 1.0), []
-
-    def cost(name: str, own: Sequence[int]) -> float:
-        return sum(w * ((now[s][i] + (own[i] if s == name else 0) - aims[s][i]) / max(1.0, aims[s][i])) ** 2 for s in targets for i, w in enumerate(weights))
-
+    if any(r[0] < 1 for r in rows):
+        raise ValueError("a component has no documents")
+    splits = sorted(targets, key=lambda k: hashlib.sha256(f"{seed}:{k}".encode()).hexdigest())
+    now, plan = {k: [0, 0, 0] for k in splits}, []
+    scale = {k: [w / max(1.0, a) ** 2 for w, a in zip((4.0, 2.0, 1.0), aims[k], strict=True)] for k in splits}
     for *own, n in rows:
-        step, at = max(1, -(-n // most_steps)), 0
-        while at < n:
-            take = min(step, n - at)
-            name = min(targets, key=lambda k: (cost(k, [x * take for x in own]), token[k]))
-            if table and table[-1][:3] == tuple(own) and table[-1][5] == name:
-                table[-1] = (*own, table[-1][3], at + take, name)
-            else:
-                table.append((*own, at, at + take, name))
-            now[name] = [a + b * take for a, b in zip(now[name], own, strict=True)]
-            at += take
+        first = [sum(w * o * (2 * (x - a) + o) for w, o, x, a in zip(scale[k], own, now[k], aims[k], strict=True)) for k in splits]
+        step = [sum(2 * w * o * o for w, o in zip(scale[k], own, strict=True)) for k in splits]
+        plan.append((*own, first, step))
+        for k, m in zip(splits, taken(first, step, n), strict=True):
+            now[k] = [x + o * m for x, o in zip(now[k], own, strict=True)]
     if rows and any(v[0] == 0 for v in now.values()):
         raise ValueError("a split is empty")
     if any(abs(now[k][0] - aims[k][0]) > max(1, largest) for k in targets):
         raise ValueError("a split is off by more than a component")
-    plan = components.sparkSession.createDataFrame(table or [(0, 0, 0, 0, 0, "")], "size long, n_clean long, n_hard long, first long, last long, split string")
-    on = [ranked[c] == plan[c] for c in figures] + [F.col("_rank") - 1 >= F.col("first"), F.col("_rank") - 1 < F.col("last")]
-    return ranked.join(plan, on).select("component", "split")
+    return deal(ranked, figures, plan, splits)
 
 
 def close_over_groups(members: DataFrame) -> DataFrame:
@@ -351,12 +346,14 @@ def reserved_values(spark: SparkSession, n: int, modulus: int, step: int, offset
 # audits --------------------------------------------------------------------------------------------------------------
 
 # Words that would let a model learn the surface.
-SHORTCUTS = ("example", "placeholder", "synthetic", "测试", "示例")
+SHORTCUTS = ("test", "syn", "测试", "示例", "合成", "虚构", "演练")
 
 
 def surface_violations(docs: DataFrame, values: DataFrame, shortcuts: Sequence[str] = SHORTCUTS) -> DataFrame:
     """One row (texts, values, repeated): texts and values with a shortcut word, and value groups used more than once."""
-    hit = lambda c: F.coalesce(F.sum(contains_any(F.lower(F.col(c)), shortcuts).cast("long")), F.lit(0))
+    # lower case, and the long s and the two st ligatures, which full case folding turns into ASCII letters as well
+    folded = lambda c: F.regexp_replace(F.translate(F.lower(F.col(c)), "ſ", "s"), "[ﬅﬆ]", "st")
+    hit = lambda c: F.coalesce(F.sum(contains_any(folded(c), shortcuts).cast("long")), F.lit(0))
     texts = docs.agg(hit("text").alias("texts"))
     own = values.agg(hit("value").alias("values"))
     again = values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.count(F.lit(1)).alias("repeated"))
@@ -506,34 +503,48 @@ def row_hash(df: DataFrame, name: str = "row_sha256") -> DataFrame:
     return df.withColumn(name, F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256))
 
 
-# What marks a document as denied.
-DENIED_TRUE, DENIED_FALSE = ("contains_real_personal_data", "retired", "revoked"), ("release_allowed",)
-STATUS_KEYS, RETIRED = ("classification", "storage_class", "status", "artifact_status"), ("retired", "revoked", "superseded", "quarantin")
-DECLARATIONS = ("denied_values", "denylist")
-
-
-def denied(documents: Column, values: Sequence[str]) -> Column:
-    """Whether a JSON document, at any depth, holds a denied value, an unsafe flag or a retirement mark; broken JSON is denied."""
-    bad = frozenset(values)
-
-    def walk(v: object, key: str = "") -> bool:
-        if isinstance(v, dict):
-            return any(k in bad or (k not in DECLARATIONS and ((k in DENIED_TRUE and (c is True or not isinstance(c, bool))) or (k in DENIED_FALSE and c is not True) or walk(c, k))) for k, c in v.items())
-        if isinstance(v, list):
-            return any(walk(c, key) for c in v)
-        return isinstance(v, str) and (v in bad or (key in STATUS_KEYS and any(m in v.casefold() for m in RETIRED)))
-
-    @F.pandas_udf("boolean")
-    def check(s: pd.Series) -> pd.Series:
-        def one(text: str | None) -> bool:
-            try:
-                return walk(json.loads(text or ""))
-            except ValueError:
-                return True
-
-        return s.map(one)
-
-    return check(documents)
+# Keys that only declare what is denied, flags that must not be true, flags that must not be false for a
+# purpose, keys that hold a state, and marks of retirement in them.
+DECLARATIONS = ("denied_artifacts", "denied_ids", "forbidden_parent_artifacts", "prohibited_inputs")
+DENIED_TRUE = (
+    "artifact_test_informed_ancestry", "generator_defect_ancestry", "generator_defect_retired", "retired_due_to_generator_defect", "test_informed_ancestry",
+)
+DENIED_FALSE = {
+    "training": ("training_eligible", "public_weight_training_allowed", "weight_training_eligible"),
+    "release": ("release_eligible", "pii_release_eligible"),
+    "confirmatory_evaluation": ("confirmatory_evaluation_eligible", "external_benchmark_confirmatory_eligible", "PII_Bench_confirmatory_eligible"),
+    "ancestry": ("ancestry_eligible", "v3_parent_eligible"),
+}
+STATUS_KEYS = ("classification", "storage_class", "status", "artifact_status")
+RETIRED = ("diagnostic_generator_defect", "generator_defect_retired", "retired_generator_defect", "test_informed_diagnostic")
+
+
+def denied_documents(docs: DataFrame, values: Sequence[str], purpose: str, store: Store, key: str = "doc_id", document: str = "document") -> DataFrame:
+    """(key, denied) per row of ``docs``: whether its JSON document may not be used for ``purpose``.
+
+    A document is denied if a key or text at any depth is one of ``values``, if a flag of DENIED_TRUE is true or one of the
+    purpose's flags false, if any known flag is no boolean, or if a state holds a mark of retirement; what lies below a key
+    of DECLARATIONS doesn't count. Documents that are null, broken or repeat a key are denied. The tree is unfolded level by
+    level as VARIANT, so there are as many rounds as the deepest document has levels, and nothing leaves the JVM.
+    """
+    if purpose not in DENIED_FALSE:
+        raise ValueError(f"unknown purpose {purpose}")
+    flags = sorted({*DENIED_TRUE, *(f for own in DENIED_FALSE.values() for f in own)})
+    level = store(docs.select(F.col(key).alias("_key"), F.try_parse_json(document).alias("value"), F.lit(None).cast("string").alias("name")))
+    found = [level.where("value IS NULL").select("_key")]
+    name, kind, text = F.col("name"), F.schema_of_variant("value"), F.try_variant_get("value", "$", "string")
+    open_ = F.coalesce(~name.isin(*DECLARATIONS), F.lit(True))
+    is_true = (kind == "BOOLEAN") & (text == "true")
+    marked = name.isin(*STATUS_KEYS) & (kind == "STRING") & contains_any(F.lower(text), RETIRED)
+    unsafe = (name.isin(*flags) & (kind != "BOOLEAN")) | (name.isin(*DENIED_TRUE) & is_true) | (name.isin(*DENIED_FALSE[purpose]) & (kind == "BOOLEAN") & (text == "false")) | marked
+    listed = F.lit(False) if not values else name.isin(*values) | (open_ & (kind == "STRING") & text.isin(*values))
+    while not level.isEmpty():
+        found.append(level.where(F.coalesce(listed, F.lit(False)) | F.coalesce(open_ & unsafe, F.lit(False))).select("_key"))
+        below = docs.sparkSession.tvf.variant_explode(F.col("value").outer()).select(F.col("key").alias("_name"), F.col("value").alias("_value"))
+        level = store(level.where(open_ & kind.rlike("^(OBJECT|ARRAY)")).lateralJoin(below).select("_key", F.col("_value").alias("value"), F.col("_name").alias("name")))
+    hits = reduce(DataFrame.unionByName, found).distinct().withColumn("denied", F.lit(True))
+    rows = docs.select(F.col(key).alias(key))
+    return rows.join(hits, rows[key].eqNullSafe(hits["_key"]), "left").select(key, F.coalesce("denied", F.lit(False)).alias("denied"))
 
 
 def require_aggregate(report: DataFrame, allowed: Sequence[str]) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.operators.evaluation import ratio
+from spanloom.operators.evaluation import outcomes, ratio
 
 
 def counter_draw(seed: str, domain: str, counter: Column, n: Column) -> Column:
@@ -23,29 +28,110 @@ def counter_draw(seed: str, domain: str, counter: Column, n: Column) -> Column:
     return F.aggregate(digits, F.lit(0).cast("bigint"), lambda acc, d: F.pmod(acc * (1 << 24) + d, n.cast("bigint")))
 
 
-def sample_plan(spark, n_docs: int, samples: int, seed: str, domain: str = "bootstrap") -> DataFrame:
-    """(sample, index, times): how often each document index is drawn in each sample of n_docs draws."""
-    draws = spark.range(samples * n_docs).select((F.col("id") / n_docs).cast("bigint").alias("sample"), counter_draw(seed, domain, F.col("id"), F.lit(n_docs)).alias("index"))
-    return draws.groupBy("sample", "index").agg(F.count(F.lit(1)).alias("times"))
+def drawn_index(head: bytes, counters: Iterable[int], n: int) -> list[int]:
+    """The draws of ``counter_draw`` in plain Python; ``head`` is all that comes before the counter."""
+    sha256, number = hashlib.sha256, int.from_bytes
+    return [number(sha256(head + c.to_bytes(16, "big")).digest(), "big") % n for c in counters]
 
 
-def indexed(stats: DataFrame, store: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """Add index, 0 to n - 1 in doc_id order: ranks within ranges, offset by the counts of the ranges before.
+def indexed(stats: DataFrame, store: Callable[[DataFrame], DataFrame] = lambda df: df, order: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Add index, 0 to n - 1 in ``order``: places within ranges, offset by the counts of the ranges before.
 
-    ``store`` writes the ranged rows, so that both uses see the same ranges.
+    ``store`` writes the ranged rows, so that both uses see the same ranges; the offsets are one row per range.
     """
-    from pyspark.sql import Window
+    ranged = store(stats.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_at", 33)
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select(F.col("_part").alias("_p"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    joined = ranged.join(before, part == F.col("_p"))
+    return joined.withColumn("index", F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_before")).drop("_at", "_p", "_before")
+
 
-    ranged = store(stats.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id").withColumn("_part", F.spark_partition_id()))
-    local = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy("doc_id")) - 1)
-    sizes = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row per partition
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return local.join(F.broadcast(before), "_part").withColumn("index", F.col("_rank") + F.col("_before")).drop("_part", "_rank", "_before")
+#: Documents of a block at least, blocks at most, and draws that a task gathers before it sends them.
+BLOCK, BLOCKS, GATHERED = 1 << 13, 4096, 1 << 19
 
 
-def sample_sums(stats: DataFrame, plan: DataFrame, columns: list[str]) -> DataFrame:
-    """Per sample the weighted sums of ``columns`` of stats(index, ...): the whole bootstrap is one join and one aggregate."""
-    return plan.join(stats, "index").groupBy("sample").agg(*[F.sum(F.col("times") * F.col(c)).cast("long").alias(c) for c in columns])
+def resampled_sums(stats: DataFrame, columns: Sequence[str], sizes: Sequence[int], samples: int, seed: str, domain: str = "bootstrap") -> DataFrame:
+    """Per sample (from 0) the sums of ``columns`` over the documents that it draws, for stats(index, columns...).
+
+    ``sizes``: documents per stratum; strata follow each other in index, and every sample draws as many of each as it has.
+    Draws are made in parallel and travel as packed lists of places per sample and block of documents. A task holds one
+    block's counts as a matrix, multiplies every list's counts of places with it, and sends one row per sample and block;
+    nothing has a row per sample and document. All columns, of as many systems as there are, share one set of draws.
+    """
+    spark, n, columns = stats.sparkSession, sum(sizes), list(columns)
+    width = max(BLOCK, -(-n // BLOCKS))
+    head = domain.encode() + b"\0" + len(seed.encode()).to_bytes(4, "big") + seed.encode()
+    starts = [sum(sizes[:k]) for k in range(len(sizes) + 1)]
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists, held = defaultdict(list), 0
+
+        def send() -> pa.RecordBatch:
+            block, sample = zip(*lists, strict=True)
+            picks = [np.concatenate(v) for v in lists.values()]
+            at = np.concatenate([[0], np.cumsum([len(v) for v in picks])])
+            packed = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(picks), pa.int32()))
+            return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(sample, pa.int64()), packed], ["block", "sample", "picks"])
+
+        for b in batches:
+            ids = b.column("id").to_numpy()
+            place = ids % n
+            for k, size in enumerate(sizes):
+                mine = ids[(place >= starts[k]) & (place < starts[k + 1])]
+                if len(mine):
+                    index = np.array(drawn_index(head, mine.tolist(), size), np.int64) + starts[k]
+                    key = mine // n * BLOCKS * 2 + index // width
+                    order = np.argsort(key, kind="stable")
+                    cuts = np.flatnonzero(np.diff(key[order])) + 1
+                    for part in np.split(order, cuts):
+                        lists[int(index[part[0]] // width), int(mine[part[0]] // n)].append((index[part] % width).astype(np.int32))
+            held += len(ids)
+            if held >= GATHERED:
+                yield send()
+                lists, held = defaultdict(list), 0
+        if lists:
+            yield send()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks one after the other: first their documents, then the lists of draws."""
+        own, counts, sums = None, None, {}
+
+        def send() -> pa.RecordBatch:
+            values = np.rint(np.array(list(sums.values()))).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), *[pa.array(values[:, i]) for i in range(len(columns))]], ["sample", *columns])
+
+        for b in batches:
+            block, at = b.column("block").to_numpy(), b.column("at").to_numpy(zero_copy_only=False)
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [b.num_rows]])
+            for a, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if not b.num_rows:
+                    continue
+                if block[a] != own:
+                    if sums:
+                        yield send()
+                    own, counts, sums = block[a], np.zeros((width, len(columns))), {}
+                part = b.slice(a, e - a)
+                is_doc = ~np.isnan(at[a:e].astype(float))
+                docs = part.filter(pa.array(is_doc))
+                if docs.num_rows:
+                    counts[docs.column("at").to_numpy()] = np.stack([docs.column(c).to_numpy() for c in columns], 1)
+                draws = part.filter(pa.array(~is_doc))
+                picks = draws.column("picks")
+                for i, sample in enumerate(draws.column("sample").to_pylist()):
+                    got = np.bincount(picks[i].values.to_numpy(), minlength=width) @ counts
+                    sums[sample] = sums[sample] + got if sample in sums else got
+        if sums:
+            yield send()
+
+    draws = spark.range(samples * n).mapInArrow(draw, "block long, sample long, picks array<int>")
+    draws = draws.select("block", F.lit(None).cast("int").alias("at"), "sample", "picks", *[F.lit(None).cast("long").alias(c) for c in columns])
+    block = (F.col("index") / width).cast("long")
+    rows = stats.select(block.alias("block"), F.pmod("index", F.lit(width)).cast("int").alias("at"), F.lit(None).cast("long").alias("sample"),
+                        F.lit(None).cast("array<int>").alias("picks"), *[F.col(c).cast("long").alias(c) for c in columns])
+    lined = rows.unionByName(draws).repartition("block").sortWithinPartitions("block", F.col("at").isNull())
+    parts = lined.mapInArrow(add, ", ".join(f"{c} long" for c in ["sample", *columns]))
+    return parts.groupBy("sample").agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def interval(values: DataFrame, column: str, level: float = 0.95) -> DataFrame:
@@ -58,9 +144,10 @@ def f1_samples(sums: DataFrame) -> DataFrame:
     return sums.withColumn("f1", ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
 
 
-def paired_difference(a: DataFrame, b: DataFrame, level: float = 0.95) -> DataFrame:
-    """Two systems on the same samples: interval of the F1 difference, wins, ties, and the smoothed tail probability."""
-    both = a.select("sample", F.col("f1").alias("a")).join(b.select("sample", F.col("f1").alias("b")), "sample").withColumn("d", F.col("a") - F.col("b"))
+def paired_difference(sums: DataFrame, level: float = 0.95) -> DataFrame:
+    """Two systems on the same samples, sums(a_tp, a_fp, a_fn, b_tp, ...): interval of the F1 difference, wins, ties, and the smoothed tail probability."""
+    f1 = lambda s: ratio(2 * F.col(f"{s}_tp"), 2 * F.col(f"{s}_tp") + F.col(f"{s}_fp") + F.col(f"{s}_fn"))
+    both = sums.select((f1("a") - f1("b")).alias("d"))
     tail = (1 - level) / 2
     n, worse = F.count(F.lit(1)), F.sum((F.col("d") <= 0).cast("long"))
     return both.agg(
@@ -69,38 +156,10 @@ def paired_difference(a: DataFrame, b: DataFrame, level: float = 0.95) -> DataFr
     )
 
 
-def stratified_plan(spark, sizes: dict[str, int], samples: int, seed: str, domain: str = "bootstrap") -> DataFrame:
-    """(sample, stratum, index, times): every sample draws as many documents of each stratum as it has, strata in the given order."""
-    n = sum(sizes.values())
-    at, place, size, end = F.pmod("id", F.lit(max(1, n))), F.lit(None).cast("string"), F.lit(1), n
-    for name, k in reversed(sizes.items()):
-        here = (at >= end - k) & (at < end)
-        place, size, end = F.when(here, F.lit(name)).otherwise(place), F.when(here, F.lit(k)).otherwise(size), end - k
-    rows = spark.range(samples * n).select((F.col("id") / max(1, n)).cast("bigint").alias("sample"), place.alias("stratum"), counter_draw(seed, domain, F.col("id"), size).alias("index"))
-    return rows.groupBy("sample", "stratum", "index").agg(F.count(F.lit(1)).alias("times"))
-
-
 #: Margin and ceiling of the clean-document rate.
 MARGIN, MOST = 0.005, 0.05
 
 
-def three_metrics(docs: DataFrame, gold: DataFrame, system: DataFrame, drawn: DataFrame, n_labels: int) -> DataFrame:
-    """(sample, micro, macro, clean_rate) of one system over drawn(sample, doc_id, clean, times)."""
-    from spanloom.operators.evaluation import _sums, outcomes
-
-    per = outcomes(gold, system).groupBy("doc_id", "label").agg(*_sums())
-    sums = drawn.join(per, "doc_id").groupBy("sample", "label").agg(*[F.sum(F.col("times") * F.col(c)).alias(c) for c in ("tp", "fp", "fn")])
-    f1 = lambda tp, fp, fn: ratio(2 * tp, 2 * tp + fp + fn)
-    total = [F.sum(c) for c in ("tp", "fp", "fn")]
-    scores = sums.groupBy("sample").agg(f1(*total).alias("micro"), (F.sum(f1(F.col("tp"), F.col("fp"), F.col("fn"))) / n_labels).alias("macro"))
-    hit = system.select("doc_id").distinct().withColumn("_hit", F.lit(1))
-    clean = drawn.where("clean").join(hit, "doc_id", "left").groupBy("sample").agg(
-        ratio(F.sum(F.when(F.col("_hit").isNotNull(), F.col("times")).otherwise(0)), F.sum("times")).alias("clean_rate")
-    )
-    every = drawn.select("sample").distinct()
-    return every.join(scores, "sample", "left").join(clean, "sample", "left").na.fill(0.0, ["micro", "macro"])
-
-
 def superiority(
     docs: DataFrame, gold: DataFrame, candidate: DataFrame, comparator: DataFrame, samples: int, seed: str,
     store: Callable[[DataFrame], DataFrame] = lambda df: df, level: float = 0.95,
@@ -109,23 +168,37 @@ def superiority(
 
     Documents are drawn within strata (with gold, clean). Micro and macro F1 must gain (low > 0); the rate of clean documents
     with a finding must not be worse by more than MARGIN (low of comparator - candidate + MARGIN at least 0) nor above MOST.
+    Both systems' counts per label lie side by side in one row per document, so there is one set of draws and one pass.
     """
-    from spanloom.operators.datasets import ranked_in_order
-
-    spark = docs.sparkSession
-    has = gold.select("doc_id").distinct().withColumn("_g", F.lit(1))
-    base = docs.select("doc_id").join(has, "doc_id", "left").select("doc_id", F.when(F.col("_g").isNull(), F.lit("clean")).otherwise(F.lit("gold")).alias("stratum"))
-    ranked = ranked_in_order(base, ["stratum"], F.floor(F.col("doc_id") / (1 << 16)), ["doc_id"])
-    found = {r["stratum"]: r["n"] for r in base.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = stratified_plan(spark, {k: found[k] for k in ("gold", "clean") if k in found}, samples, seed)
-    on = (plan["stratum"] == ranked["stratum"]) & (plan["index"] == ranked["_rank"] - 1)
-    drawn = store(plan.join(ranked.drop("_total"), on).select("sample", "doc_id", (ranked["stratum"] == "clean").alias("clean"), "times"))
-    labels = gold.select("label").unionByName(candidate.select("label")).unionByName(comparator.select("label")).distinct().count()
-    a, b = (three_metrics(docs, gold, s, drawn, max(1, labels)) for s in (candidate, comparator))
-    both = a.select("sample", *[F.col(c).alias(f"a_{c}") for c in ("micro", "macro", "clean_rate")]).join(b, "sample")
-    gain = [F.struct(F.lit(m).alias("metric"), (F.col(f"a_{m}") - F.col(m)).alias("d")) for m in ("micro", "macro")]
-    gain.append(F.struct(F.lit("clean_rate").alias("metric"), (F.col("clean_rate") - F.col("a_clean_rate") + MARGIN).alias("d")))
-    rows = both.select(F.inline(F.array(*gain)))
+    names = gold.select("label").unionByName(candidate.select("label")).unionByName(comparator.select("label")).distinct()
+    labels = sorted(r["label"] for r in names.collect())  # one row per label
+    column = lambda system, i, what: f"{system}{i}_{what}"
+    g, p = F.col("g"), F.col("p")
+    kinds = {"tp": g & p, "fp": ~g & p, "fn": g & ~p}
+    base = docs.select("doc_id").join(gold.select("doc_id").distinct().withColumn("_g", F.lit(1)), "doc_id", "left")
+    stats = base.select("doc_id", F.when(F.col("_g").isNull(), 1).otherwise(0).alias("clean"))
+    for system, spans in (("a", candidate), ("b", comparator)):
+        at = [((F.col("label") == name) & on, column(system, i, what)) for i, name in enumerate(labels) for what, on in kinds.items()]
+        per = outcomes(gold, spans).groupBy("doc_id").agg(*[F.sum(F.when(on, 1).otherwise(0)).alias(c) for on, c in at], F.max(F.col("p").cast("int")).alias(f"{system}_any"))
+        stats = stats.join(per, "doc_id", "left")
+    columns = [column(s, i, what) for s in "ab" for i in range(len(labels)) for what in kinds]
+    hits = [(F.col("clean") * F.coalesce(f"{s}_any", F.lit(0))).alias(f"{s}_hit") for s in "ab"]
+    stats = stats.select("doc_id", "clean", *[F.coalesce(c, F.lit(0)).alias(c) for c in columns], *hits)
+    strata = {r["clean"]: r["n"] for r in base.groupBy(F.when(F.col("_g").isNull(), 1).otherwise(0).alias("clean")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = [strata[k] for k in (0, 1) if k in strata]
+    sums = resampled_sums(indexed(stats, store, ("clean", "doc_id")), ["clean", *columns, "a_hit", "b_hit"], sizes, samples, seed)
+
+    def metrics(s: str) -> list[Column]:
+        f1 = lambda tp, fp, fn: ratio(2 * tp, 2 * tp + fp + fn)
+        of = lambda what: [F.col(column(s, i, what)) for i in range(len(labels))]
+        add = lambda xs: reduce(lambda x, y: x + y, xs, F.lit(0))
+        micro = f1(*(add(of(w)) for w in kinds))
+        macro = add([f1(*xs) for xs in zip(*(of(w) for w in kinds), strict=True)]) / max(1, len(labels))
+        return [micro, macro, ratio(F.col(f"{s}_hit"), F.col("clean"))]
+
+    (micro, macro, rate), (micro_b, macro_b, rate_b) = metrics("a"), metrics("b")
+    gains = [("micro", micro - micro_b), ("macro", macro - macro_b), ("clean_rate", rate_b - rate + MARGIN)]
+    rows = sums.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), d.alias("d")) for m, d in gains])))
     tail = (1 - level) / 2
     out = rows.groupBy("metric").agg(F.percentile("d", F.lit(tail)).alias("low"), F.percentile("d", F.lit(1 - tail)).alias("high"), F.count(F.lit(1)).alias("samples"))
     own = stratified_rate(docs, gold, candidate)

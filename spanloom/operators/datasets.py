@@ -8,6 +8,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.dealing import deal, taken
 from spanloom.operators.graph import connected_components
 
 
@@ -88,34 +89,28 @@ def greedy_split(
 
     ``assigned`` and ``total`` continue a split that was begun elsewhere.
 
-    ``components``: component, size. What the driver walks is one row per component size class: components of one
-    size are dealt in hashed order, so the assignment needs only how many of each size a split takes, and the rows
-    themselves are placed by their rank in a join.
+    ``components``: component, size. Components of one size are dealt in hashed order; each that a split takes leaves it a
+    size less room, so the split of a component follows from its rank. The driver keeps one row per size, whatever the
+    number of components. Ties in room go to the split with less assigned, then to the greater hash.
     """
-    spark = components.sparkSession
     h = F.sha2(F.concat_ws(":", F.lit(seed), F.col("component").cast("string")), 256)
-    ranked = ranked_in_order(components.withColumn("_h", h), ["size"], F.substring("_h", 1, 3), ["_h", "component"]).withColumn("_rank", F.col("_rank") - 1)
-    sizes = sorted(((r["size"], r["n"]) for r in components.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    components = components.withColumn("size", F.col("size").cast("long"))
+    ranked = ranked_in_order(components.withColumn("_h", h), ["size"], F.substring("_h", 1, 3), ["_h", "component"])
+    sizes = sorted(((r["size"], r["n"]) for r in components.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)  # one row per size
+    if sizes and sizes[-1][0] < 1:
+        raise ValueError("a component has no documents")
     total = sum(s * n for s, n in sizes) if total is None else total
-    assigned = dict.fromkeys(targets, 0) | dict(assigned or {})
-    room = {k: v * total - assigned[k] for k, v in targets.items()}
+    now = dict.fromkeys(targets, 0) | dict(assigned or {})
     token = {k: hashlib.sha256(f"{seed}:{k}".encode()).hexdigest() for k in targets}
-    ranges = []
+    aim = {k: v * total for k, v in targets.items()}
+    # at equal room less is assigned where the target is smaller
+    splits, plan = sorted(sorted(targets, key=lambda k: token[k], reverse=True), key=lambda k: aim[k]), []
     for size, n in sizes:
-        at = 0
-        while at < n:
-            order = sorted(targets, key=lambda k: (room[k], -assigned[k], token[k]), reverse=True)
-            best = order[0]
-            # as many in a row as keep this split ahead of the next one
-            lead = room[best] - room[order[1]] if len(order) > 1 else size * n
-            take = min(n - at, max(1, int(lead // size)))
-            ranges.append((size, at, at + take, best))
-            room[best] -= size * take
-            assigned[best] += take
-            at += take
-    table = spark.createDataFrame(ranges or [(0, 0, 0, "")], "size long, first long, last long, split string")
-    inside = (ranked["size"] == table["size"]) & (F.col("_rank") >= F.col("first")) & (F.col("_rank") < F.col("last"))
-    return ranked.join(table, inside).select("component", "split")
+        first, step = [now[k] - aim[k] for k in splits], [float(size)] * len(splits)
+        plan.append((size, first, step))
+        for k, m in zip(splits, taken(first, step, n), strict=True):
+            now[k] += size * m
+    return deal(ranked, ["size"], plan, splits)
 
 
 def hash_rank_resplit(docs: DataFrame, strata: Sequence[str], share: float, salt: str, key: str = "doc_id") -> DataFrame:

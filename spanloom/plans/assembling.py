@@ -123,7 +123,7 @@ def i30_template_cycles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def i31_surface(spark: SparkSession, d: str) -> DataFrame:
-    rows = _made(spark, d, text="if(k % 9 = 0, concat(c_name, ' Example'), c_name)", value="concat('v', k % 100, if(k % 50 = 1, ' 测试', ''))")
+    rows = _made(spark, d, text="if(k % 9 = 0, concat(c_name, ' TeſT 演练'), c_name)", value="concat('v', k % 100, if(k % 50 = 1, ' 虚构', ''))")
     return Y.surface_violations(rows.select("text"), rows.select("value"))
 
 
@@ -183,10 +183,26 @@ def i46_token_scope(spark: SparkSession, d: str) -> DataFrame:
     return out.select("valid", "digit_o", "digit_entity", *[F.round(c, 9).alias(c) for c in ("o_fraction", "entity_fraction", "weighted_fraction", "entity_over_o")])
 
 
+#: Documents by the remainder of their key, and the purposes that each is denied for.
+DENIALS = [
+    ('{"a":{"b":["good"]},"status":"ok","training_eligible":true}', ()), ('{"a":{"b":["bad"]}}', ("training", "release", "confirmatory_evaluation", "ancestry")),
+    ('{"denied_ids":["bad"],"a":1}', ()), ('{"a":[{"bad":1}]}', ("training", "release", "confirmatory_evaluation", "ancestry")),
+    ('{"meta":{"artifact_test_informed_ancestry":true}}', ("training", "release", "confirmatory_evaluation", "ancestry")), ('{"generator_defect_retired":false}', ()),
+    ('{"test_informed_ancestry":"no"}', ("training", "release", "confirmatory_evaluation", "ancestry")), ('{"x":[{"training_eligible":false}]}', ("training",)), ('{"pii_release_eligible":false}', ("release",)),
+    ('{"PII_Bench_confirmatory_eligible":false}', ("confirmatory_evaluation",)), ('{"v3_parent_eligible":false}', ("ancestry",)), ('{"v3_parent_eligible":0}', ("training", "release", "confirmatory_evaluation", "ancestry")),
+    ('{"deep":{"artifact_status":"Diagnostic_Generator_Defect v2"}}', ("training", "release", "confirmatory_evaluation", "ancestry")), ('{"status":["diagnostic_generator_defect"],"note":"test_informed_diagnostic"}', ()),
+    ('{"a":', ("training", "release", "confirmatory_evaluation", "ancestry")), ('{"a":1,"a":2}', ("training", "release", "confirmatory_evaluation", "ancestry")),
+    ('{"prohibited_inputs":{"training_eligible":false,"status":"test_informed_diagnostic"}}', ()),
+]
+
+
 def j2_denied(spark: SparkSession, d: str) -> DataFrame:
-    doc = """concat('{"a":{"b":["', if(k % 7 = 1, 'bad', 'good'), '"]},"status":"', if(k % 7 = 2, 'Retired v1', 'ok'), '","release_allowed":', if(k % 7 = 3, 'false', 'true'), ',"revoked":', if(k % 7 = 4, '"no"', 'false'), ',"denylist":["bad"]', if(k % 7 = 5, '', '}'))"""
-    rows = _made(spark, d, doc=doc)
-    return rows.groupBy((F.col("k") % 7).alias("kind"), Y.denied(F.col("doc"), ["bad"]).alias("denied")).agg(F.count(F.lit(1)).alias("n"))
+    """How many documents of each kind may not be used for each purpose."""
+    cases = F.array(*[F.lit(doc) for doc, _ in DENIALS])
+    rows = _made(spark, d).select(F.col("k").alias("doc_id"), F.element_at(cases, (F.col("k") % len(DENIALS) + 1).cast("int")).alias("document"))
+    parts = [Y.denied_documents(rows, ["bad"], p, X.store).select(F.lit(p).alias("purpose"), "*") for p in Y.DENIED_FALSE]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return out.groupBy("purpose", (F.col("doc_id") % len(DENIALS)).alias("kind"), "denied").agg(F.count(F.lit(1)).alias("n"))
 
 
 def j3_row_hashes(spark: SparkSession, d: str) -> DataFrame:
@@ -234,7 +250,7 @@ ALL = {
   SELECT serial, 'user' || v || '@example.invalid' AS mail, '2001:db8::' || hi || ':' || lo AS ipv6, '02:00:00:' || six[1:2] || ':' || six[3:4] || ':' || six[5:6] AS mac, '9900' || lpad(v::VARCHAR, 8, '0') AS number FROM h"""),
     "i30_template_cycles": (i30_template_cycles, """WITH r AS (SELECT c AS cycle, t AS template FROM (SELECT unnest(range(21)) AS c), (SELECT unnest(['a', 'b', 'c', 'd', 'e']) AS t)),
   p AS (SELECT cycle * 5 + row_number() OVER (PARTITION BY cycle ORDER BY sha256('42:' || cycle || ':' || template), template) - 1 AS serial, template FROM r) SELECT serial, template FROM p WHERE serial < 103"""),
-    "i31_surface": (i31_surface, """WITH v AS (SELECT 'v' || c_custkey % 100 || CASE WHEN c_custkey % 50 = 1 THEN ' 测试' ELSE '' END AS v FROM customer)
+    "i31_surface": (i31_surface, """WITH v AS (SELECT 'v' || c_custkey % 100 || CASE WHEN c_custkey % 50 = 1 THEN ' 虚构' ELSE '' END AS v FROM customer)
   SELECT (SELECT count(*) FROM customer WHERE c_custkey % 9 = 0) AS texts, (SELECT count(*) FROM customer WHERE c_custkey % 50 = 1) AS values, (SELECT count(*) FROM (SELECT v FROM v GROUP BY v HAVING count(*) > 1)) AS repeated"""),
     "i34_disjointness": (i34_disjointness, """WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN 'validation' ELSE 'train' END AS split FROM customer),
   p AS (SELECT 'document_id' AS kind, split, k::VARCHAR AS v FROM c UNION ALL SELECT 'template_group', split, (k % 10)::VARCHAR FROM c UNION ALL SELECT 'entity_value_group', split, 'a' || k % 6 FROM c UNION ALL SELECT 'entity_value_group', split, 'b' || k FROM c),
@@ -257,7 +273,8 @@ ALL = {
     "i45_single_candidate": (i45_single_candidate, "SELECT c_custkey % 3 <> 0 AND c_custkey % 4 <> 0 AS single, count(*) AS n FROM customer GROUP BY 1"),
     "i46_token_scope": (i46_token_scope, f"""WITH {X.tokens_sql()}, c AS (SELECT count(*) AS valid, count(*) FILTER (e - s = 3 AND tag = 'O') AS digit_o, count(*) FILTER (e - s = 3 AND tag <> 'O') AS digit_entity FROM tokens)
   SELECT valid, digit_o, digit_entity, round(digit_o::DOUBLE / valid, 9) AS o_fraction, round(digit_entity::DOUBLE / valid, 9) AS entity_fraction, round(4 * digit_o::DOUBLE / (valid + 3 * digit_o), 9) AS weighted_fraction, round(digit_entity::DOUBLE / digit_o, 9) AS entity_over_o FROM c"""),
-    "j2_denied": (j2_denied, "SELECT c_custkey % 7 AS kind, c_custkey % 7 IN (1, 2, 3, 4, 5) AS denied, count(*) AS n FROM customer GROUP BY ALL"),
+    "j2_denied": (j2_denied, "WITH t(kind, purpose, denied) AS (VALUES " + ", ".join(f"({i}, '{p}', {str(p in ps).lower()})" for i, (_, ps) in enumerate(DENIALS) for p in ("training", "release", "confirmatory_evaluation", "ancestry")) + f""")
+  SELECT purpose, kind::BIGINT AS kind, denied, count(*) AS n FROM customer JOIN t ON c_custkey % {len(DENIALS)} = kind GROUP BY ALL"""),
     "j3_row_hashes": (j3_row_hashes, """SELECT c_custkey, sha256('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}') AS row_sha256 FROM customer"""),
     "j4_contract": (j4_contract, "WITH " + X.PRED_SQL + """, c AS (SELECT count(*) AS n, count(*) FILTER (doc_id % 10 < 4) AS clean, count(*) FILTER (doc_id % 4 = 0) AS hard, count(*) FILTER (split = 'train') AS a, count(*) FILTER (split = 'validation') AS b, count(*) FILTER (split = 'test') AS t FROM docs)
   SELECT n, n = 1500 AS total_ok, a = 500 AND b = 500 AND t = 500 AS splits_ok, clean * 100 = n * 40 AS clean_ok, hard >= n * 0.25 AS hard_ok FROM c"""),

@@ -139,26 +139,29 @@ def h27_selection_score(spark: SparkSession, d: str) -> DataFrame:
 
 #: Samples that the SQL can follow, and those of the full runs.
 SAMPLES, ALL_SAMPLES = 20, 1000
+COUNTS = ("tp", "fp", "fn")
 
 
-def _bootstrap(spark: SparkSession, per_document: DataFrame, samples: int) -> DataFrame:
-    plan = B.sample_plan(spark, per_document.count(), samples, "42")
-    return B.f1_samples(B.sample_sums(B.indexed(per_document, X.store), plan, ["tp", "fp", "fn"]))
+def _bootstrap(per_document: DataFrame, columns: tuple[str, ...], samples: int) -> DataFrame:
+    indexed = B.indexed(per_document.select("doc_id", *columns), X.store)
+    return B.resampled_sums(indexed, columns, [per_document.count()], samples, "42")
 
 
 def h12_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Micro F1 of each sample of a seeded document bootstrap over all documents."""
-    return _bootstrap(spark, h13_per_document(spark, d), SAMPLES)
+    return B.f1_samples(_bootstrap(h13_per_document(spark, d), COUNTS, SAMPLES))
 
 
 def h12_bootstrap_all(spark: SparkSession, d: str) -> DataFrame:
     """As h12_bootstrap, with ALL_SAMPLES samples, which is beyond the SQL."""
-    return _bootstrap(spark, h13_per_document(spark, d), ALL_SAMPLES)
+    return B.f1_samples(_bootstrap(h13_per_document(spark, d), COUNTS, ALL_SAMPLES))
 
 
 def _paired(spark: SparkSession, d: str, samples: int) -> DataFrame:
-    one = lambda p: _bootstrap(spark, E.per_document(X.docs(spark, d), X.gold(spark, d), p), samples)
-    return B.paired_difference(one(X.pred(spark, d)), one(X.second(spark, d)))
+    """Both systems' counts side by side, so that one set of draws serves them."""
+    of = lambda s, p: E.per_document(X.docs(spark, d), X.gold(spark, d), p).select("doc_id", *[F.col(c).alias(f"{s}_{c}") for c in COUNTS])
+    both = of("a", X.pred(spark, d)).join(of("b", X.second(spark, d)), "doc_id")
+    return B.paired_difference(_bootstrap(both, tuple(c for c in both.columns if c != "doc_id"), samples))
 
 
 def h18_paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import assembly as Y
 from spanloom.operators import evaluation as E
-from spanloom.operators.bootstrap import stratified_plan
 from spanloom.plans import fixtures as X
 from spanloom.sources import converters as K
 from spanloom.sources import records as A
@@ -115,7 +114,6 @@ def test_guards(spark):
     with pytest.raises(ValueError, match="aggregate"):
         Y.require_aggregate(spark.range(1).select(F.col("id").alias("doc_id")), ("doc_id",))
     assert Y.canonical_hash({"b": 1, "a": [None, "ü"]}) == hashlib.sha256(b'{"a":[null,"\\u00fc"],"b":1}').hexdigest()
-    assert {r.stratum: r.n for r in stratified_plan(spark, {"gold": 7, "clean": 3}, 5, "s").groupBy("stratum").agg(F.sum("times").alias("n")).collect()} == {"gold": 35, "clean": 15}
     with pytest.raises(Exception, match="source value"):
         K.render_dialogue(spark.createDataFrame([(1, 1, "user", "ab")], "conv_id long, turn long, role string, text string"), replacements={"a": "ba"}).collect()
     doubled = X.docs(spark, "/root/testdata/sf0.001").select("doc_id").limit(3).withColumn("text", F.lit("t")).withColumn("at", F.col("doc_id"))
