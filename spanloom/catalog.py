@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.plans import assembling, building, detecting, measuring, recording
+from spanloom.plans import assembling, building, detecting, measuring, planning, recording
 
 FLAGSHIP = "e11_redact_documents"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_ALL = detecting.ALL | recording.ALL | measuring.ALL | building.ALL | assembling.ALL
+_ALL = detecting.ALL | recording.ALL | measuring.ALL | building.ALL | assembling.ALL | planning.ALL
 
 
 def queries() -> dict[str, Query]:

@@ -16,15 +16,24 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def store(df: DataFrame) -> DataFrame:
-    """A written table in the folder that spark.checkpoint.dir names; where it is unset, as in tests, in the warehouse."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+def fresh_path(spark: SparkSession) -> str:
+    """A new path in the folder that spark.checkpoint.dir names, deleted when the driver's JVM ends; local sessions without it use the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
     path = f"{root.rstrip('/')}/spanloom-{uuid.uuid4().hex}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def store(df: DataFrame) -> DataFrame:
+    """A written table under a fresh path, read back: cuts the lineage and survives lost executors."""
+    path = fresh_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:

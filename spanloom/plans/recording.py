@@ -31,14 +31,14 @@ DOCUMENT_JSON = """concat('{"schema_version":"', if(k % 11 = 1, 'v0', 'pii-zh-v1
   ',"label":"X","text":"', if(k % 11 = 5, 'abd', 'abc'), '"}],"language":"zh","domain":"', if(k % 11 = 8, ' ', 'web'), '","scene":"s","license":"MIT","provenance":{"license":"', if(k % 11 = 3, 'GPL', 'MIT'),
   '"},"quality":{"quality_gate":true},"public_weight_training_allowed":true,"data_pool":"', if(k % 11 = 6, 'quarantined', 'public_release'), '"', if(k % 11 = 2, ',"extra":1', ''), if(k % 11 = 7, '', '}'))"""
 DOCUMENT_WHY = {1: "'schema_version'", 2: "'unknown_fields'", 3: "'license_mismatch'", 4: "'span_out_of_bounds'", 5: "'span_text_mismatch'", 6: "'data_pool'", 7: "'not_valid_json'", 8: "'empty_domain'"}
-GOLD_JSON = """concat('{"doc_id":"d', k, '","spans":[{"start":0,"end":', if(k % 7 = 5, '0', '3'), ',"label":"X","text":"', if(k % 7 = 3, 'abd', 'abc'), '"}', if(k % 7 = 4, ',{"start":0,"end":3,"label":"X"}', ''), ']',
-  if(k % 7 = 1, ',"entities":[]', ''), ',"text":"abc def","text_length":', if(k % 7 = 2, '9', '7'), '}')"""
-GOLD_WHY = {1: "'spans_and_entities'", 2: "'text_length_mismatch'", 3: "'span_text_mismatch'", 4: "'duplicate_span'", 5: "'span_invalid'"}
-PRED_JSON = """concat('{"doc_id":"d', k, '"', if(k % 7 = 1, ',"text":"x"', ''), if(k % 7 = 5, '', concat(',"spans":[{"start":0,"end":3,"label":"X","score":', if(k % 7 = 3, '1.5', '0.5'), if(k % 7 = 2, ',"text":"abc"', ''), '}',
-  if(k % 7 = 4, ',{"start":0,"end":3,"label":"X"}', ''), ']')), '}')"""
-PRED_WHY = {1: "'unknown_fields'", 2: "'unknown_span_fields'", 3: "'span_invalid'", 4: "'duplicate_span'", 5: "'spans_not_an_array'"}
-TEXT_JSON = """concat('{"', if(k % 5 = 1, 'content', 'text'), '":"abc', if(k % 5 = 2, 'defghijk', ''), '"', if(k % 5 = 3, ',"id":1', ''), if(k % 5 = 4, '', '}'))"""
-TEXT_WHY = {1: "'unknown_fields,text_missing'", 2: "'text_too_long'", 3: "'unknown_fields'", 4: "'not_valid_json'"}
+GOLD_JSON = """concat('{"doc_id":"d', k, '","spans":[{"start":0,"end":', if(k % 11 = 5, '0', '3'), ',"label":', if(k % 11 = 9, '7', '"X"'), ',"text":"', if(k % 11 = 3, 'abd', 'abc'), '"}', if(k % 11 = 4, ',{"start":0,"end":3,"label":"X"}', ''), if(k % 11 = 6, ',{"start":0,"start":1,"end":3,"label":"Y"}', ''), ']',
+  if(k % 11 = 1, ',"entities":[]', ''), ',"text":"abc def","text_length":', if(k % 11 = 2, '9', '7'), if(k % 11 = 7, ',"doc_id":"e"', ''), '}', if(k % 11 = 8, ' {}', ''))"""
+GOLD_WHY = {1: "'spans_and_entities'", 2: "'text_length_mismatch'", 3: "'span_text_mismatch'", 4: "'duplicate_span'", 5: "'span_invalid'", 6: "'not_valid_json'", 7: "'not_valid_json'", 8: "'not_valid_json'", 9: "'not_valid_json'"}
+PRED_JSON = """concat('{"doc_id":"d', k, '"', if(k % 11 = 1, ',"text":"x"', ''), if(k % 11 = 6, ',"doc_id":"e"', ''), if(k % 11 = 5, '', concat(',"spans":[{"start":0,"end":3,"label":"X","score":', CASE k % 11 WHEN 3 THEN '1.5' WHEN 7 THEN 'NaN' WHEN 8 THEN '1e400' ELSE '0.5' END,
+  if(k % 11 = 2, ',"text":"abc"', ''), if(k % 11 = 9, ',"end":3', ''), '}', if(k % 11 = 4, ',{"start":0,"end":3,"label":"X"}', ''), ']')), '}')"""
+PRED_WHY = {1: "'unknown_fields'", 2: "'unknown_span_fields'", 3: "'span_invalid'", 4: "'duplicate_span'", 5: "'spans_not_an_array'", 6: "'not_valid_json'", 7: "'not_valid_json'", 8: "'span_invalid'", 9: "'not_valid_json'"}
+TEXT_JSON = """concat('{"', if(k % 7 = 1, 'content', 'text'), '":"abc', if(k % 7 = 2, 'defghijk', ''), '"', if(k % 7 = 3, ',"id":1', ''), if(k % 7 = 5, ',"text":"x"', ''), if(k % 7 = 4, '', '}'), if(k % 7 = 6, '{}', ''))"""
+TEXT_WHY = {1: "'unknown_fields,text_missing'", 2: "'text_too_long'", 3: "'unknown_fields'", 4: "'not_valid_json'", 5: "'not_valid_json'", 6: "'not_valid_json'"}
 EVIDENCE = "concat('at place', k % 7, ' tel 139', lpad(cast(k as string), 8, '0'), ' mail a', lpad(cast(k as string), 6, '0'), '@b.cc')"
 RESIDUAL = "concat('note ', " + _case("k % 9", {
     0: "concat('139', lpad(cast(k as string), 8, '0'))", 1: "'me@host.invalid'", 2: "'me@host.net'", 3: "'192.0.2.77'", 4: "'8.8.4.4'", 5: "'02:00:5e:00:53:01'", 6: "'00:1b:44:11:3a:b7'",
@@ -228,14 +228,14 @@ BYTE = "CAST('0x' || substr(sha256('k:' || {k} || chr(0) || ({i} // 32)), CAST({
 ALL = {
     "a1_document_lines": (a1_document_lines, _why_sql(DOCUMENT_WHY, 11)),
     "a2_document_sink": (a2_document_sink, """SELECT '{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '","c_note":null}' AS value FROM customer"""),
-    "a3_gold_lines": (a3_gold_lines, _why_sql(GOLD_WHY, 7, ", 7::INTEGER AS text_length")),
-    "a4_prediction_lines": (a4_prediction_lines, _why_sql(PRED_WHY, 7)),
+    "a3_gold_lines": (a3_gold_lines, _why_sql(GOLD_WHY, 11, ", 7::INTEGER AS text_length")),
+    "a4_prediction_lines": (a4_prediction_lines, _why_sql(PRED_WHY, 11)),
     "a5_prediction_sink": (a5_prediction_sink, "WITH " + X.PRED_SQL + """, p AS (SELECT doc_id, string_agg('{"end":' || e || ',"label":"' || label || '","score":' || ((s % 10)::DOUBLE / 10)::VARCHAR || ',"start":' || s || '}', ',' ORDER BY s, e, label) AS x FROM pred GROUP BY doc_id)
   SELECT d.doc_id, '{"doc_id":' || d.doc_id || ',"spans":[' || coalesce(x, '') || ']}' AS value FROM docs d LEFT JOIN p ON d.doc_id = p.doc_id"""),
     "a7_parts": (a7_parts, "SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) AS n, (SELECT count(*) FROM region) AS regions, (SELECT count(*) FROM nation) AS nations"),
     "a8_pinned_order": (a8_pinned_order, """WITH l AS (SELECT floor(l_quantity) AS s, lag(floor(l_quantity)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS b FROM lineitem)
   SELECT count(*) AS n, sum(s)::BIGINT AS sum_start FROM l WHERE s < b"""),
-    "a9_text_lines": (a9_text_lines, _why_sql(TEXT_WHY, 5)),
+    "a9_text_lines": (a9_text_lines, _why_sql(TEXT_WHY, 7)),
     "a10_resolve_spans": (a10_resolve_spans, """SELECT c_custkey AS k, 0::INTEGER AS "start", 8::INTEGER AS "end", 'A' AS label, c_custkey % 3 = 0 AS valid FROM customer
   UNION ALL SELECT c_custkey, 9, (9 + c_custkey % 30)::INTEGER, 'B', c_custkey % 30 > 0 AND 9 + c_custkey % 30 <= length(c_name) + 4 FROM customer"""),
     "a13_value_groups": (a13_value_groups, "SELECT c_custkey AS k, array_to_string(list_sort(['sha256:' || sha256(lower(replace(c_mktsegment, ' ', ''))), 'sha256:' || sha256(lower(c_name))]), ',') AS groups FROM customer"),

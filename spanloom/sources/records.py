@@ -1,5 +1,6 @@
 """JSON-lines records of documents, gold spans and predictions: parsing with violations, and sinks.
 
+A record is strict JSON: one object per line, no repeated keys, no numbers that are not finite, no numbers for texts.
 Nothing raises inside a task: a parsed row carries its violations, an ordered array of reasons that hold no text of the
 record, and the caller decides. ``require_clean`` counts them and fails on the driver.
 """
@@ -29,6 +30,10 @@ DOCUMENT = (
 )
 DOCUMENT_FIELDS = tuple(part.split()[0] for part in DOCUMENT.replace(f"array<{ENTITY}>", "x").replace(PROVENANCE, "x").replace(QUALITY, "x").split(", "))
 REQUIRED = ("schema_version", "doc_id", "text", "entities", "language", "domain", "scene", "license", "provenance", "quality", "data_pool")
+TEXTS = (
+    "schema_version", "doc_id", "text", "language", "domain", "scene", "license", "data_pool", "tenant_group", "conversation_group", "template_group",
+    "created_at_bucket", "generator_version", "split",
+)
 TIERS = ("T0", "T1", "T2")
 SPAN = "struct<start:int,end:int,label:string,text:string,score:double>"
 GOLD = f"doc_id string, spans array<{SPAN}>, entities array<{SPAN}>, text string, text_length int"
@@ -52,7 +57,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     blocks = rows.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
     before = F.sum("_n").over(Window.partitionBy("file").orderBy("_block")) - F.col("_n")
     blocks = blocks.select("file", "_block", "_first", before.alias("_before"))
-    out = rows.join(F.broadcast(blocks), ["file", "_block"])
+    out = rows.join(blocks, ["file", "_block"])
     return out.where(F.trim("value") != "").select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line"), "value")
 
 
@@ -60,10 +65,32 @@ def _reasons(*checks: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(why)) for c, why in checks]))
 
 
-def _parsed(lines: DataFrame, schema: str) -> DataFrame:
-    """Add r (the record), keys (its fields) and broken (not a JSON object of these types)."""
+def strict_json(value: Column) -> Column:
+    """The one JSON value of the text as VARIANT; null if there is none, more than one, a key that an object of any depth
+    repeats, or a number that is not finite."""
+    # alone, the parser stops after the first value; in brackets it has to read all
+    v = F.try_parse_json(F.concat(F.lit("["), value, F.lit("]")))
+    return F.when(F.try_variant_get(v, "$[1]", "variant").isNull(), F.try_variant_get(v, "$[0]", "variant"))
+
+
+def _not_texts(v: Column, fields: Sequence[str]) -> Column:
+    """Whether a field of the object is there and neither text nor null."""
+    kinds = F.array(*[F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant")) for f in fields])
+    return F.exists(kinds, lambda k: F.coalesce(~k.isin("STRING", "VOID"), F.lit(False)))
+
+
+def _parsed(lines: DataFrame, schema: str, texts: Sequence[str], lists: Sequence[str] = (), inner: Sequence[str] = ()) -> DataFrame:
+    """Add r (the record), keys (its fields) and broken (not a strict JSON object of these types).
+
+    ``texts``: fields that hold texts; ``inner``: those of the objects in the arrays ``lists``. Without the check a number
+    would turn into a text.
+    """
     r = F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
-    return lines.withColumn("r", r).withColumn("keys", F.json_object_keys("value")).withColumn("broken", F.col("keys").isNull() | F.col("r._corrupt").isNotNull())
+    p = lines.withColumns({"r": r, "keys": F.json_object_keys("value"), "v": strict_json(F.col("value"))})
+    wrong = _not_texts(F.col("v"), texts)
+    for name in lists:
+        wrong = wrong | F.coalesce(F.exists(F.try_variant_get("v", f"$.{name}", "array<variant>"), lambda x: _not_texts(x, inner)), F.lit(False))
+    return p.withColumn("broken", F.col("keys").isNull() | F.col("v").isNull() | F.col("r._corrupt").isNotNull() | wrong).drop("v")
 
 
 def _bad_span(s: Column, length: Column) -> Column:
@@ -91,7 +118,7 @@ def expected_pool(gate: Column, allowed: Column, evaluation_only: Column, privat
 
 def parse_documents(lines: DataFrame) -> DataFrame:
     """The columns of ``lines``, the record's fields and violations: closed fields, offsets, quotes, licence, pool, training, groups."""
-    p = _parsed(lines, DOCUMENT)
+    p = _parsed(lines, DOCUMENT, TEXTS, ("entities",), ("label", "text", "source", "risk_tier", "validator_state"))
     r = F.col("r")
     prov, qual, text = r["provenance"], r["quality"], r["text"]
     empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
@@ -122,7 +149,7 @@ def parse_documents(lines: DataFrame) -> DataFrame:
 
 def parse_gold(lines: DataFrame) -> DataFrame:
     """doc_id, spans(start, end, label), text_length, violations: spans or entities but not both; the text itself is dropped."""
-    p = _parsed(lines, GOLD)
+    p = _parsed(lines, GOLD, ("doc_id", "text"), ("spans", "entities"), ("label", "text"))
     r = F.col("r")
     has = lambda k: F.array_contains("keys", k)
     spans, text = F.coalesce(r["spans"], r["entities"]), r["text"]
@@ -141,7 +168,7 @@ def parse_gold(lines: DataFrame) -> DataFrame:
 
 def parse_predictions(lines: DataFrame) -> DataFrame:
     """doc_id, spans(start, end, label, score), violations: only these fields may occur."""
-    p = _parsed(lines, PREDICTION)
+    p = _parsed(lines, PREDICTION, ("doc_id",), ("spans",), ("label",))
     r = F.col("r")
     checks = [
         (F.size(F.array_except("keys", F.array(F.lit("doc_id"), F.lit("spans")))) > 0, "unknown_fields"), (F.coalesce(F.trim(r["doc_id"]), F.lit("")) == "", "doc_id"),
@@ -155,7 +182,7 @@ def parse_predictions(lines: DataFrame) -> DataFrame:
 
 def parse_texts(lines: DataFrame, most_characters: int = MOST_CHARACTERS) -> DataFrame:
     """text, violations: objects of exactly one field, text, of limited length. ``too_many`` limits the number of records."""
-    p = _parsed(lines, "text string")
+    p = _parsed(lines, "text string", ("text",))
     checks = [
         (F.size(F.array_except("keys", F.array(F.lit("text")))) > 0, "unknown_fields"), (F.col("r.text").isNull(), "text_missing"),
         (F.char_length(F.col("r.text")) > most_characters, "text_too_long"),
