@@ -59,6 +59,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     left out; an empty table gives an empty one.
     """
     # rows that repeat an id and a size share their number of copies, so the join adds no rows
+    docs = docs.select(*COLUMNS)
     copies = mix(docs).where("copies > 0").groupBy("doc_id", "size").agg(F.max("copies").alias("copies"))
     sized = docs.withColumn("size", word_count(F.col("text")))
     same = sized["doc_id"].eqNullSafe(copies["doc_id"]) & (sized["size"] == copies["size"])

@@ -76,19 +76,52 @@ def window_runs(texts: list[bytes], length: int) -> tuple[bytes, np.ndarray, np.
     return joined, ends, v, m[first[good]], first[good], last[good]
 
 
+def periodic_windows(part: bytes, key: int, length: int) -> np.ndarray:
+    """The period of each window of ``part`` that equals the one a period, of at most PIECE bytes, before it; 0 for the others.
+
+    In a stretch of that period the piece ``key`` recurs at even distances, which is where to look; bytes are compared.
+    """
+    data, n = np.frombuffer(part, np.uint8), len(part) - length + 1
+    period = np.zeros(n, np.int32)
+    at = np.flatnonzero(mix64(rolled(data, (piece_bytes(length),))[0]) == np.uint64(key))
+    gap = np.diff(at)
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(gap)) + 1, [len(gap)]])
+    for a, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if e > a and gap[a] <= PIECE:
+            d, lo, hi = int(gap[a]), max(0, int(at[a]) - length), min(len(data), int(at[e]) + 2 * length)
+            unlike = np.flatnonzero(data[lo : hi - d] != data[lo + d : hi])
+            bounds = np.concatenate([[-1], unlike, [hi - d - lo]])
+            # between two places that differ lie this many windows that equal the one d further on
+            for first, end in zip((bounds[:-1] + 1).tolist(), (bounds[1:] - length + 1).tolist(), strict=True):
+                if end > first:
+                    period[lo + first + d : lo + end + d] = d
+    return period
+
+
+def periodic_repeats(period: np.ndarray) -> np.ndarray:
+    """Windows that equal another of their part: those with a period, and those a period before them."""
+    later = np.flatnonzero(period)
+    again = period > 0
+    again[later - period[later]] = True
+    return again
+
+
 def named_anew(part: bytes, key: int, length: int, band: int) -> list[tuple[int, int, int]]:
     """(name, first, end) of the runs of windows of ``part``, all with piece ``key``, that keep one place of the piece and one band.
 
     Windows with the piece at offsets o to o + band - 1 share all but band - 1 of their bytes; the hash of those is the new
-    name, so equal windows are again in runs of one name. With a band of one the name is that of the whole window.
+    name, so equal windows are again in runs of one name. With a band of one the name is that of the whole window. Windows
+    that equal the one a period before them have no name of their own: the first period stands for them.
     """
     piece, n = piece_bytes(length), len(part) - length + 1
     at = np.flatnonzero(mix64(rolled(np.frombuffer(part, np.uint8), (piece,))[0]) == np.uint64(key))
     place = at[np.searchsorted(at, np.arange(n))]
     own = (place - np.arange(n)) // band
-    edges = [0, *(np.flatnonzero((np.diff(place) != 0) | (np.diff(own) != 0)) + 1).tolist(), n]
+    later = periodic_windows(part, key, length) > 0
+    edges = np.concatenate([[0], np.flatnonzero((np.diff(place) != 0) | (np.diff(own) != 0) | (later[1:] != later[:-1])) + 1, [n]])
+    kept = ~later[edges[:-1]]
     out = []
-    for a, e in zip(edges, edges[1:], strict=False):
+    for a, e in zip(edges[:-1][kept].tolist(), edges[1:][kept].tolist(), strict=True):
         low, q = int(own[a]) * band, int(place[a])
         shared = part[q - low : q + length - min(low + band - 1, length - piece)]
         out.append((xxhash.xxh3_64_intdigest(shared, (key + low) & (1 << 64) - 1), a, e))
@@ -201,7 +234,8 @@ def repeated_spans(
     the rest come in runs of windows with one name. Runs with equal bytes form a class, known by name and content hash,
     and one text of each class, with its number of copies, goes to the merge of transforms, which finds what repeats.
     Names are dealt out by hash. A name whose classes have more than ``hot_bytes`` is split: its windows are named anew by
-    what surrounds the piece, names with one window drop out, and those that are still hot by all bytes of the window; so
+    what surrounds the piece, names with one window drop out, and those that are still hot by all bytes of the window.
+    Windows that equal the one a period before them, as in long runs of one character, repeat at sight and aren't named. So
     no task holds much more than ``chunk_bytes`` of segments, however many documents share a passage.
     """
     if length < 2:
@@ -282,6 +316,8 @@ def repeated_spans(
             for b in byte_slices(batches, "part", 1 << 18):
                 for key, content, base, copies, part in zip(*(b.column(c).to_pylist() for c in ("key", "content", "base", "copies", "part")), strict=True):
                     found = named_anew(part, key % (1 << 64), length, band)
+                    if not found:
+                        continue
                     name, a, e = (np.array(x, np.uint64) for x in zip(*found, strict=True))
                     same = lambda v, n=len(found), kind=np.int64: pa.array(np.full(n, v, kind))
                     yield pa.RecordBatch.from_arrays(
@@ -291,6 +327,14 @@ def repeated_spans(
 
         return split
 
+    def periods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows that repeat each other at the distance of a period."""
+        for b in byte_slices(batches, "part", 1 << 18):
+            rows = zip(*(b.column(c).to_pylist() for c in ("key", "content", "part")), strict=True)
+            out = [(k, c, a, e) for k, c, part in rows for a, e in intervals(periodic_repeats(periodic_windows(part, k % (1 << 64), length)))]
+            key, content, a, e = map(list, zip(*out, strict=True)) if out else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(content, pa.int64()), pa.array(a, pa.int32()), pa.array(e, pa.int32())], ["key", "content", "a", "b"])
+
     anew = "name long, key long, content long, base int, copies long, a int, b int"
     marks = None
     if not segments.where("hot").isEmpty():
@@ -305,6 +349,7 @@ def repeated_spans(
         windows = stored(again.where("hotter").mapInArrow(renamed(1), anew), "repeat-windows")
         twice = stored(windows.groupBy("name").agg(F.sum("copies").alias("n")).where("n > 1").select("name"), "repeat-twice")
         marks = windows.join(twice, "name").select("key", "content", (F.col("base") + F.col("a")).alias("a"), (F.col("base") + F.col("b")).alias("b"))
+        marks = marks.unionByName(parts.mapInArrow(periods, "key long, content long, a int, b int"))
 
     dealt = cool.repartition(shuffle_partitions(spark), "name").sortWithinPartitions("name", "key", "content", "base")
 

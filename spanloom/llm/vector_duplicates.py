@@ -50,7 +50,9 @@ class Index:
 
     @classmethod
     def fit(cls, x: np.ndarray, lists: int, cosine: float, subspaces: int = 8, recall: float = 0.995, seed: int = 7) -> Index:
-        """``x``: unit vectors. Probes: the rank, under which ``recall`` of vectors turned by exactly ``cosine`` find their list."""
+        """``x``: unit vectors, finite all. Probes: the rank, under which ``recall`` of vectors turned by exactly ``cosine`` find their list."""
+        if not np.isfinite(x).all():
+            raise ValueError("the index takes finite vectors alone")
         r = np.random.default_rng(seed)
         centres = kmeans(x, lists)
         own = nearest(x, centres)
@@ -100,8 +102,11 @@ class Index:
 
 
 def unit_rows(column: pa.Array, width: int) -> np.ndarray:
-    """Packed doubles as unit vectors."""
+    """Packed doubles as unit vectors; the largest component is brought near one before anything is squared."""
     x = np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), width)
+    # powers of two are exact, and take two steps where one would leave the range of a double
+    power = -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]
+    x = np.ldexp(np.ldexp(x, power // 2), power - power // 2)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
