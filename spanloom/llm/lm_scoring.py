@@ -322,7 +322,7 @@ def train_round(docs: DataFrame, vocabulary, start: bytes, seed: int, shards: in
     """(id, w, v): tokens seen and packed model of every shard, fit to its texts from ``start``.
 
     Documents are dealt to ``shards`` by a hash of the id and read in hashed order, so a model depends on its documents
-    and not on how the input was split. A corpus below a shard's tokens is gone over until that many are seen.
+    and not on how the input was split. Every token is gone over once in a round, whatever the size of the corpus.
     """
     h = F.xxhash64("doc_id", F.lit(seed))
     rows = docs.select(F.pmod(h, F.lit(shards)).cast("int").alias("shard"), h.alias("h"), F.col(text).cast("string").alias("text"))
@@ -330,12 +330,9 @@ def train_round(docs: DataFrame, vocabulary, start: bytes, seed: int, shards: in
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, model = vocabulary.value, LogBilinear.unpacked(start)
-        shard, learner, seen, kept = None, None, 0, []
+        shard, learner, seen = None, None, 0
 
         def done() -> pa.RecordBatch:
-            for _ in range(min(20, SHARD_TOKENS // max(1, seen)) if shards == 1 else 0):
-                for part in kept:
-                    learner.learn(*part)
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([float(seen)]), pa.array([learner.model.packed()], pa.binary())], ["id", "w", "v"])
 
         for b in byte_slices(batches, "text"):
@@ -345,14 +342,11 @@ def train_round(docs: DataFrame, vocabulary, start: bytes, seed: int, shards: in
                 if own[i] != shard:
                     if learner is not None:
                         yield done()
-                    shard, learner, seen, kept = int(own[i]), Learner(model, v, int(own[i])), 0, []
+                    shard, learner, seen = int(own[i]), Learner(model, v, int(own[i])), 0
                 code, h, sizes = tokens(b.column("text").slice(i, j - i))
                 _, unit, place = v.find(h)
-                part = contexts(unit[code], sizes), unit[code], place[code]
-                learner.learn(*part)
+                learner.learn(contexts(unit[code], sizes), unit[code], place[code])
                 seen += len(code)
-                if shards == 1 and seen < SHARD_TOKENS:
-                    kept.append(part)
         if learner is not None:
             yield done()
 
