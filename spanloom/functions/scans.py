@@ -31,20 +31,27 @@ ARTIFACT = (
     ("assigned_secret", r"(?i)\b(?:api[_-]?key|access[_-]?token|auth[_-]?token|password|secret)\s*[:=]\s*[\"']?([A-Za-z0-9._~+/=-]{12,})", 1),
     ("potential_cn_mobile", r"(?<![0-9A-Za-z])(1[3-9]\d{9})(?![0-9A-Za-z])", 0), ("potential_cn_resident_id", r"(?<![0-9A-Za-z])(\d{17}[0-9Xx])(?![0-9A-Za-z])", 0),
     ("potential_payment_card", r"(?<![0-9A-Za-z.])(\d{16,19})(?![0-9A-Za-z.])", 0), ("potential_email", r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", 0),
-    ("private_local_path", r"(?i)(?<![A-Za-z0-9+.-])file://[^\s\"'`<>]+|(?-i:(?<![A-Za-z0-9_.~$-])/(?:data\d*|home|Users|root)(?![A-Za-z0-9_.~-])(?:/[^\s\"'`<>|]+)+)"
-     r"|(?<![A-Za-z0-9])[A-Z]:[\\/](?:Users|Documents and Settings)[\\/][^\s\"'`<>|]+", 0),
-    ("fixed_physical_gpu", r"\bCUDA_VISIBLE_DEVICES\s*=\s*(?:[\"']\d+(?:\s*,\s*\d+)*[\"']|\d+(?:\s*,\s*\d+)*)(?=$|[\s;,&|)\]}\"'`\\])|[\"']CUDA_VISIBLE_DEVICES[\"']\s*:\s*[\"']\d+(?:\s*,\s*\d+)*[\"']", 0),
+    ("private_local_path", r"(?i)(?<![A-Za-z0-9+.-])file://[^\s\"'`<>]+", 0),
+    ("private_local_path", r"(?<![A-Za-z0-9_.~$-])/(?:data\d*|home|Users|root)(?![A-Za-z0-9_.~-])(?:/[^\s\"'`<>|]+)+", 0),
+    ("private_local_path", r"(?i)(?<![A-Za-z0-9])[A-Z]:[\\/](?:Users|Documents and Settings)[\\/][^\s\"'`<>|]+", 0),
+    ("fixed_physical_gpu", r"\bCUDA_VISIBLE_DEVICES\s*=\s*(?:[\"']\d+(?:\s*,\s*\d+)*[\"']|\d+(?:\s*,\s*\d+)*)(?=$|[\s;,&|)\]}\"'`\\])", 0),
+    ("fixed_physical_gpu", r"[\"']CUDA_VISIBLE_DEVICES[\"']\s*:\s*[\"']\d+(?:\s*,\s*\d+)*[\"']", 0),
 )
+ONE_A_LINE = ("private_local_path", "fixed_physical_gpu")
+# Files in which a line that only sets a threshold of the label SECRET is no secret, and such a line.
+THRESHOLD_FILES = ("calibration.json", "thresholds.yaml")
+THRESHOLD_LINE = r"\A\s*(?:\"SECRET\"|SECRET)\s*:\s*([+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?)\s*,?\s*\z"
 PLACEHOLDERS = ("changeme", "example", "placeholder", "redacted", "replace_me")
 RESERVED_ENDINGS, RESERVED_DOMAINS = (".example", ".invalid", ".localhost", ".test"), ("example.com", "example.net", "example.org")
 # Slots of contributed texts, and what may not stand beside them.
 SLOT, NEGATIVE_SLOT = r"\[\[PII_SLOT:(slot_[a-z0-9_]{2,63})\]\]", r"\[\[NEG_SLOT:([A-Z][A-Z0-9_]{1,63}):(slot_[a-z0-9_]{2,63})\]\]"
 INTAKE_SECRETS = (
     r"-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
-    r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,})\b", r"\bhf_[A-Za-z0-9]{20,}\b", ARTIFACT[5][1],
+    r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,})\b", r"\bhf_[A-Za-z0-9]{20,}\b",
+    r"(?i)\b(?:api[_-]?key|access[_-]?token|auth[_-]?token|password|secret)\s*[:=]\s*[\"']?([A-Za-z0-9._~+/=-]{12,})",
 )
 INTAKE_PERSONAL = (
-    r"(?<![0-9A-Za-z])(?:\+?86[- ]?)?1[3-9]\d{9}(?![0-9A-Za-z])", RESIDENT.replace(r"(?<!\d)", "(?<![0-9A-Za-z])").replace(r"(?!\d)", "(?![0-9A-Za-z])"),
+    r"(?<![0-9A-Za-z])(?:\+?86[- ]?)?1[3-9]\d{9}(?![0-9A-Za-z])", r"(?<![0-9A-Za-z])\d{17}[0-9Xx](?![0-9A-Za-z])",
     r"(?<![0-9A-Za-z.])\d{12,19}(?![0-9A-Za-z.])", r"(?i)(?<![A-Z0-9._%+-])[A-Z0-9._%+-]+@(?:[A-Z0-9-]+\.)+[A-Z]{2,63}",
     r"(?i)(?<![0-9A-F])(?:[0-9A-F]{2}[:-]){5}[0-9A-F]{2}(?![0-9A-F])", r"(?<![0-9.])(?:\d{1,3}\.){3}\d{1,3}(?![0-9.])",
 )
@@ -97,27 +104,33 @@ def _digest_of(kind: str):
 def artifact_findings(lines: DataFrame, path: str = "path", line: str = "line", text: str = "text", canaries: tuple[str, ...] = ()) -> DataFrame:
     """(path, line, kind, fingerprint): once per line, kind and value; the fingerprint is of the place, never of the value.
 
-    ``canaries``: sha256 digests of values that are known and allowed.
+    ``canaries``: sha256 digests of values that are known and allowed. In the files named THRESHOLD_FILES a line that only
+    sets a threshold from 0 to 1 for the label SECRET assigns no secret.
     """
     t = F.col(text)
-    found = []
+    # what a file of thresholds sets for SECRET, if the line does only that
+    threshold = F.when(F.substring_index(F.col(path).cast("string"), "/", -1).isin(*THRESHOLD_FILES), F.regexp_extract(t, THRESHOLD_LINE, 1))
+    found, places = [], {}
     for kind, pattern, group in ARTIFACT:
         values = F.transform(find_spans(t, pattern, group), lambda m: m["value"])
         low = F.lower
         if kind == "assigned_secret":
             made_up = lambda v: low(v).isin(*PLACEHOLDERS) | low(v).contains("example") | low(v).contains("placeholder") | low(v).contains("redact") | v.rlike(r"\Ax+\z")
-            values = F.filter(values, lambda v: ~made_up(v))
+            share = F.expr("try_cast(_threshold AS double)")
+            values = F.when(F.coalesce(share.between(0.0, 1.0), F.lit(False)), F.slice(values, 1, 0)).otherwise(F.filter(values, lambda v: ~made_up(v)))
         elif kind == "potential_payment_card":
             values = F.filter(values, lambda v: F.call_function("luhn_check", v))
         elif kind == "potential_email":
             domain = lambda v: low(F.substring_index(v, "@", -1))
             reserved = lambda v: domain(v).isin(*RESERVED_DOMAINS) | domain(v).rlike("(?:" + "|".join(e.replace(".", r"\.") for e in RESERVED_ENDINGS) + ")$")
             values = F.filter(values, lambda v: ~reserved(v))
-        elif kind in ("private_local_path", "fixed_physical_gpu"):
-            values = F.slice(values, 1, 1)  # one of these per line
         some = F.when(t.rlike(pattern), F.array_distinct(values)).otherwise(F.expr("cast(array() as array<string>)"))
-        found.append(F.transform(some, _digest_of(kind)))
-    rows = lines.select(path, line, F.inline(F.concat(*found)))
+        if kind in ONE_A_LINE:
+            places.setdefault(kind, []).append(some)
+        else:
+            found.append(F.transform(some, _digest_of(kind)))
+    found += [F.transform(F.slice(F.concat(*some), 1, 1), _digest_of(kind)) for kind, some in places.items()]
+    rows = lines.withColumn("_threshold", threshold).select(path, line, F.inline(F.concat(*found)))
     if canaries:
         rows = rows.where(~F.col("digest").isin(*canaries))
     place = F.sha2(F.concat(F.col(path).cast("string"), F.lit("\0"), F.col(line).cast("string"), F.lit("\0"), F.col("kind")), 256)

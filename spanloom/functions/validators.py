@@ -23,7 +23,8 @@ MOBILE = r"(?U)(?:\+?86)?1[3-9]\d{9}"
 LANDLINE = r"(?U)0\d{2,3}\d{7,8}(?:转\d{1,6})?"
 MAC = r"(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}"
 COORDINATE = r"\s*([+-]?(?:\d+(?:\.\d*)?|\.\d+))\s*[,，]\s*([+-]?(?:\d+(?:\.\d*)?|\.\d+))\s*"
-PASSPORT = r"PZ-?[A-Z0-9]{8}|[EGPDS]\d{7,8}|[A-Z]{1,2}[A-Z0-9]{6,9}"
+PASSPORT = r"[EGPDS]\d{7,8}|[A-Z]{1,2}[A-Z0-9]{6,9}"
+PASSPORT_SYNTHETIC = r"PZ-?[A-Z0-9]{8}"
 DRIVER_SYNTHETIC = r"DL[A-Z0-9]{10}|DL-ZZ-[A-Z0-9]{8}"
 DRIVER_LOCAL = r"[A-Z]{1,4}[-/]?[A-Z0-9]{6,20}"
 SOCIAL_SECURITY = r"[0-9A-Z]{8,24}"
@@ -195,7 +196,7 @@ def _plausible(normalized: Column, good: Column, kind: str) -> Column:
 
 def passport(value: Column) -> Column:
     n = F.upper(_strip(value))
-    return _plausible(n, full_match(n, PASSPORT), "passport number")
+    return _plausible(n, full_match(n, PASSPORT_SYNTHETIC) | full_match(n, PASSPORT), "passport number")
 
 
 def driver_license(value: Column) -> Column:

@@ -9,14 +9,17 @@ import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from spanloom.functions.text import contains_any, find_spans, slice_text
-from spanloom.operators.datasets import greedy_split, ranked_in_order, shingle_rows
+from spanloom.operators.datasets import greedy_split, ranked_in_order
 from spanloom.operators.dealing import deal, taken
+from spanloom.operators.graph import connected_components
 from spanloom.operators.spans import rebuild, replace_spans
 
 Store = Callable[[DataFrame], DataFrame]
@@ -203,72 +206,123 @@ def allocate_campaign(categories: Sequence[str], quotas: Mapping[str, int]) -> d
 # packing and templates -----------------------------------------------------------------------------------------------
 
 
-def _sharded(docs: DataFrame, shards: int, seed: str) -> DataFrame:
+def _in_hashed_order(docs: DataFrame, seed: str, block: int, store: Store) -> DataFrame:
+    """``docs`` with _at, rising in hashed order over all rows, and the block of about ``block`` rows that it lies in."""
     h = F.sha2(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")), 256)
-    return docs.withColumn("_h", h).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
+    rows = docs.withColumn("_h", h).repartitionByRange("_h", "doc_id").sortWithinPartitions("_h", "doc_id").withColumn("_at", F.monotonically_increasing_id())
+    return store(rows.withColumn("_block", F.expr(f"_at div {block}")))
 
 
-def greedy_packs(docs: DataFrame, shards: int, seed: str, least: int = 128, most: int = 192) -> DataFrame:
-    """docs(doc_id, n): (pack, position, doc_id) of packs of ``least`` to ``most`` tokens, built in hashed order per shard.
+def _per_block(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per block with the columns of its rows as lists in order; a block is bounded, so its row is."""
+    listed = F.array_sort(F.collect_list(F.struct("_at", *columns)))
+    blocks = rows.groupBy("_block").agg(listed.alias("_rows"))
+    return blocks.select("_block", *[F.col(f"_rows.{c}").alias(c) for c in columns])
+
+
+def open_sizes(n: Sequence[int], least: int, most: int, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a block of documents of ``n`` tokens makes of every open pack size: the size left open, and how many packs it opens."""
+    size, opened = size.copy(), np.zeros(len(size), np.int64)
+    for x in n:
+        size = np.where(size + x > most, 0, size)
+        opened += size == 0
+        size += x
+        size = np.where(size >= least, 0, size)
+    return size, opened
+
+
+def greedy_packs(docs: DataFrame, seed: str, store: Store, least: int = 128, most: int = 192, block: int = 8192) -> DataFrame:
+    """docs(doc_id, n): (pack, position, doc_id) of packs of ``least`` to ``most`` tokens, built by a walk in hashed order.
 
     A document joins the open pack unless that would pass ``most``; a pack closes as soon as it reaches ``least``. Packs
-    that end outside the bounds are given up. The order within a shard is sequential, shards are independent.
+    that end outside the bounds are given up. What a block of documents does depends on the walk before it only by the
+    size of the open pack, of which there are ``least``; so blocks tabulate that apart from each other, their tables are
+    put together in order, one row per block, and the blocks then place their documents apart again. Packs are numbered
+    in the order in which they are opened, those given up included. Documents without tokens are in none.
     """
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, open_, size, made = None, [], 0, 0
-        out: list[tuple] = []
+    rows = _in_hashed_order(docs.where("n > 0").select("doc_id", "n"), seed, block, store)
+    blocks = store(_per_block(rows, ["doc_id", "n"]))
+    states = np.arange(least)
 
-        def close() -> None:
-            nonlocal open_, size, made
-            if open_ and least <= size <= most:
-                out.extend((f"{shard}-{made}", i, d) for i, d in enumerate(open_))
-                made += 1
-            open_, size = [], 0
+    def tabulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [open_sizes(n, least, most, states) for n in b.column("n").to_pylist()]
+            lists = [pa.array([f[i].tolist() for f in found], pa.list_(pa.int64())) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([b.column("_block"), *lists], ["_block", "left", "opened"])
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The size of the open pack before every block, and how many packs were opened by then."""
+        size, packs = 0, 0
+        for b in batches:
+            out, (left, opened) = [], (b.column(c) for c in ("left", "opened"))
+            for k in range(b.num_rows):
+                out.append((b.column("_block")[k].as_py(), size, packs))
+                packs += opened[k][size].as_py()
+                size = left[k][size].as_py()
+            columns = [pa.array(list(c), pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 3)]
+            yield pa.RecordBatch.from_arrays(columns, ["_block", "size", "packs"])
+
+    tables = blocks.select("_block", "n").mapInArrow(tabulate, "_block long, left array<long>, opened array<long>")
+    # one row of least x 2 numbers per block, read in order by one task that holds two numbers
+    chained = store(tables.repartition(1).sortWithinPartitions("_block").mapInArrow(chain, "_block long, size long, packs long"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(pack, doc_id, at, state): the pack of every document, and per pack that closes here whether it is in bounds."""
+        for b in batches:
+            for k in range(b.num_rows):
+                size, pack = b.column("size")[k].as_py(), b.column("packs")[k].as_py() - 1
+                out, at = [], b.column("_block")[k].as_py() * block
+                for i, (d, n) in enumerate(zip(b.column("doc_id")[k].as_py(), b.column("n")[k].as_py(), strict=True)):
+                    if size and size + n > most:
+                        out.append((pack, None, None, least <= size <= most))
+                        size = 0
+                    pack += size == 0
+                    size += n
+                    out.append((pack, d, at + i, None))
+                    if size >= least:
+                        out.append((pack, None, None, size <= most))
+                        size = 0
+                columns = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["pack", "doc_id", "at", "good"])
+
+    placed = store(blocks.join(chained, "_block").mapInArrow(place, "pack long, doc_id long, at long, good boolean"))
+    good = placed.where("good").select("pack")
+    kept = placed.where("at IS NOT NULL").join(good, "pack", "left_semi")
+    position = F.row_number().over(Window.partitionBy("pack").orderBy("at")) - 1  # a pack has most documents at most
+    return kept.select("pack", position.cast("int").alias("position"), "doc_id")
+
+
+def low_density_packs(docs: DataFrame, seed: str, store: Store, least: int = 128, most: int = 192, block: int = 8192) -> DataFrame:
+    """docs(doc_id, n, positive): (pack, position, doc_id) of one positive, which names the pack, and the negatives that follow it.
+
+    The hashed order is cut into blocks of ``block`` rows, as many as there is data for. In a block every positive takes the
+    negatives from where the one before it stopped, round and round, as many as reach ``least``; one that would pass ``most``
+    is used up and ends the pack, which is given up if it is too short.
+    """
+    blocks = _per_block(_in_hashed_order(docs.select("doc_id", "n", "positive"), seed, block, store), ["doc_id", "n", "positive"])
 
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s, d, n in zip(b["shard"], b["doc_id"], b["n"], strict=True):
-                if s != shard:
-                    close()
-                    shard, made = s, 0
-                if open_ and size + n > most:
-                    close()
-                open_.append(d)
-                size += n
-                if size >= least:
-                    close()
-            if out:
-                yield pd.DataFrame(out, columns=["pack", "position", "doc_id"])
-                out = []
-        close()
-        if out:
-            yield pd.DataFrame(out, columns=["pack", "position", "doc_id"])
-
-    rows = _sharded(docs, shards, seed).repartition(shards, "shard").sortWithinPartitions("shard", "_h", "doc_id")
-    return rows.select("shard", "doc_id", "n").mapInPandas(walk, "pack string, position int, doc_id long")
-
-
-def low_density_packs(docs: DataFrame, shards: int, seed: str, least: int = 128, most: int = 192) -> DataFrame:
-    """docs(doc_id, n, positive): (pack, position, doc_id) of one positive and as many negatives, in turn, as reach ``least``."""
-    def walk(_: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["_h", "doc_id"])
-        ours, others = b[b["positive"]], b[~b["positive"]]
-        pool, at, out = list(zip(others["doc_id"], others["n"], strict=True)), 0, []
-        for d, n in zip(ours["doc_id"], ours["n"], strict=True):
-            pack, size = [d], n
-            for _ in range(len(pool)):
-                x, m = pool[at % len(pool)]
-                at += 1
-                if size + m > most:
-                    break
-                pack.append(x)
-                size += m
-                if size >= least:
-                    break
-            if least <= size <= most:
-                out += [(f"{d}", i, x) for i, x in enumerate(pack)]
-        return pd.DataFrame(out, columns=["pack", "position", "doc_id"])
-
-    return _sharded(docs, shards, seed).select("shard", "_h", "doc_id", "n", "positive").groupBy("shard").applyInPandas(walk, "pack string, position int, doc_id long")
+            for ids, sizes, marks in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n", "positive")), strict=True):
+                rows = list(zip(ids, sizes, marks, strict=True))
+                pool, at, out = [(d, n) for d, n, p in rows if not p], 0, []
+                for first, size in ((d, n) for d, n, p in rows if p):
+                    pack = [first]
+                    for _ in range(len(pool) if size < least else 0):
+                        d, n = pool[at % len(pool)]
+                        at += 1
+                        if size + n > most:
+                            break
+                        pack.append(d)
+                        size += n
+                        if size >= least:
+                            break
+                    if least <= size <= most:
+                        out += [(first, i, d) for i, d in enumerate(pack)]
+                columns = list(zip(*out, strict=True)) if out else [[]] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["pack", "position", "doc_id"])
+
+    return blocks.mapInArrow(walk, "pack long, position int, doc_id long")
 
 
 def combine(parts: DataFrame, connector: str = "\n") -> DataFrame:
@@ -287,22 +341,52 @@ def combine(parts: DataFrame, connector: str = "\n") -> DataFrame:
     return rows.select("pack", done.alias("d"), F.size("p").alias("n_parts")).select("pack", F.col("d.out").alias("text"), "d.spans", "n_parts")
 
 
-def unique_records(docs: DataFrame, order: str, store: Store) -> DataFrame:
+def unique_records(docs: DataFrame, order: str, store: Store, rounds: int = 3) -> DataFrame:
     """The rows that a walk in ``order`` keeps, which leaves out each whose doc_id or text an earlier kept row has.
 
-    Round by round the rows that come first in both of their groups are kept and what conflicts with them goes; a
-    round settles at least the first open row of every group, and chains of conflicts are short.
+    In a round, the rows that come first in both of their groups are kept and what conflicts with them goes. Most conflicts
+    are settled so. Chains, where a row waits for one before it, would take a round a link: after ``rounds`` of them what is
+    left is split into connected parts, and each part is walked in order, as a stream, in one pass over the data. Rows
+    whose id or text is null conflict with those whose is null as well.
     """
-    h = F.sha2(F.col("text"), 256)
-    left = store(docs.withColumn("_h", h).select("doc_id", "_h", order))
-    kept = None
-    while not left.isEmpty():
-        first = lambda key: F.min(order).over(Window.partitionBy(key)) == F.col(order)
-        now = store(left.withColumn("_a", first("doc_id")).withColumn("_b", first("_h")).where("_a AND _b").drop("_a", "_b"))
-        kept = now if kept is None else kept.unionByName(now)
-        left = store(left.join(now.select("doc_id").distinct(), "doc_id", "left_anti").join(now.select("_h").distinct(), "_h", "left_anti"))
-    keys = kept.select(F.col(order).alias("_o")) if kept is not None else docs.select(F.col(order).alias("_o")).limit(0)
-    return docs.join(keys, F.col(order) == F.col("_o"), "left_semi")
+    keys = docs.select(F.xxhash64("doc_id").alias("_i"), F.sha2(F.col("text"), 256).alias("_h"), F.col(order).alias("_o"), F.col("doc_id").alias("_d"))
+    left, kept = store(keys), []
+    for _ in range(rounds):
+        if left.isEmpty():
+            break
+        first = lambda key: F.min("_o").over(Window.partitionBy(key)) == F.col("_o")
+        now = store(left.withColumn("_a", first("_d")).withColumn("_b", first("_h")).where("_a AND _b").drop("_a", "_b"))
+        kept.append(now.select("_o"))
+        ids, texts = now.select(F.col("_d").alias("_x")).distinct(), now.select(F.col("_h").alias("_y")).distinct()
+        left = left.join(ids, F.col("_d").eqNullSafe(F.col("_x")), "left_anti")
+        left = store(left.join(texts, F.col("_h").eqNullSafe(F.col("_y")), "left_anti"))
+    if not left.isEmpty():
+        kept.append(_walked(left, store))
+    wanted = reduce(DataFrame.unionByName, kept) if kept else keys.select("_o").limit(0)
+    return docs.join(wanted, F.col(order) == F.col("_o"), "left_semi")
+
+
+def _walked(left: DataFrame, store: Store) -> DataFrame:
+    """Places that the walk keeps of rows whose conflicts chain: one walk for each connected part."""
+    text = F.xxhash64(F.coalesce("_h", F.lit("")), F.lit(1))
+    nodes = connected_components(left.select(F.col("_i").alias("a"), text.alias("b")), store)
+    parted = left.withColumn("_t", text).join(nodes, F.col("_i") == F.col("node"), "left").withColumn("_c", F.coalesce("component", "_i"))
+    lined = parted.repartition("_c").sortWithinPartitions("_c", "_o").select("_c", "_o", "_d", "_h")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, ids, texts = None, set(), set()
+        for b in batches:
+            part, place, keep = b.column("_c").to_pylist(), b.column("_o"), []
+            for c, d, h in zip(part, b.column("_d").to_pylist(), b.column("_h").to_pylist(), strict=True):
+                if c != own:
+                    own, ids, texts = c, set(), set()
+                keep.append(d not in ids and h not in texts)
+                if keep[-1]:
+                    ids.add(d)
+                    texts.add(h)
+            yield pa.RecordBatch.from_arrays([place.filter(pa.array(keep, pa.bool_()))], ["_o"])
+
+    return lined.mapInArrow(walk, f"_o {left.schema['_o'].dataType.simpleString()}")
 
 
 SLOT = r"\{[a-z_]+\}"
@@ -402,17 +486,6 @@ def benchmark_statistics(docs: DataFrame, spans: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_audit(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """One row: documents, pairs of equal texts, near pairs among different texts (from near_duplicate_pairs over distinct texts)."""
-    exact = docs.groupBy("text").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n_docs"), F.coalesce(F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("long")), F.lit(0)).alias("exact_pairs"))
-    return exact.join(pairs.agg(F.count(F.lit(1)).alias("near_pairs"))).withColumn("threshold", F.lit(threshold))  # one row each
-
-
-# Surfaces that a skeleton masks.
-ASCII_SURFACE = r"(?<![A-Za-z0-9])([A-Za-z0-9][A-Za-z0-9@._:/+*\-]{5,}[A-Za-z0-9])(?![A-Za-z0-9])"
-CN_DATE = r"(?U)(?<!\d)((?:19|20|21)\d{2}年\d{1,2}月\d{1,2}日)(?!\d)"
-
-
 def structured_surfaces(text: Column) -> Column:
     """array<struct<start,end,value>> of ASCII surfaces of seven or more characters and of dates, distinct, in order."""
     of = lambda p: F.transform(find_spans(text, p, 1), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
@@ -554,9 +627,3 @@ def require_aggregate(report: DataFrame, allowed: Sequence[str]) -> DataFrame:
     if extra or named:
         raise ValueError(f"not an aggregate report: {sorted(set(extra + named))}")
     return report
-
-
-def skeleton_grams(docs: DataFrame, size: int = 3) -> DataFrame:
-    """shingle_rows of texts in their normal form: NFKC, full case folding, letters and digits only."""
-    flat = F.regexp_replace(security_normal("text"), r"(?U)[^\p{L}\p{N}]+", "")
-    return shingle_rows(docs.withColumn("text", flat), "text", size)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,9 +60,11 @@ def choose_thresholds(rows: DataFrame, support: DataFrame | None = None, beta: f
     b2 = beta * beta
     tp, fp, fn = F.col("tp"), F.col("hits") - F.col("tp"), F.col("total") - F.col("tp")
     runs = runs.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f": ratio((1 + b2) * tp, (1 + b2) * tp + b2 * fn + fp)})
-    best = runs.where(F.col("recall") >= min_recall).groupBy("label").agg(F.max(F.struct("f", "recall", "precision", "score")).alias("best"), F.max("total").alias("total"))
+    feasible = F.when(F.col("recall") >= min_recall, F.struct("f", "recall", "precision", "score"))
+    best = runs.groupBy("label").agg(F.max(feasible).alias("best"), F.max("total").alias("total"))
+    never = F.raise_error(F.concat(F.lit("no threshold reaches the recall floor for "), F.col("label"))).cast("double")
     none = runs.groupBy("label").agg(F.max("total").alias("_t")).where("_t = 0").select("label", F.lit(1.0).alias("threshold"), F.lit(0.0).alias("f"), F.lit(0.0).alias("recall"), F.lit(0.0).alias("precision"))
-    chosen = best.where("total > 0").select("label", F.col("best.score").alias("threshold"), "best.f", "best.recall", "best.precision")
+    chosen = best.where("total > 0").select("label", F.coalesce("best.score", never).alias("threshold"), "best.f", "best.recall", "best.precision")
     return chosen.unionByName(none)
 
 
@@ -89,39 +94,63 @@ def calibration_error(rows: DataFrame, bins: int = 10) -> DataFrame:
     return r.join(rows.agg(F.avg(gap * gap).alias("brier")))  # one row each
 
 
-def fit_temperature(rows: DataFrame, low: float = 0.05, high: float = 20.0, rounds: int = 96, clip: float = 1e-6, min_rows: int = 2) -> float:
-    """Temperature of the least negative log-likelihood, by golden section over its logarithm.
+#: Bounds of a temperature, scores are clipped to CLIP from both ends, and cells per unit of the logit.
+LOW, HIGH, CLIP, CELLS = 0.05, 20.0, 1e-6, 2048
 
-    Scores are summed up in at most 65,536 cells of their logit first, so what the rounds iterate over is bounded;
-    each cell keeps its exact mean logit.
-    """
+
+def _cells(rows: DataFrame, clip: float) -> pa.Table:
+    """Per label and cell of the logit: mean logit, positives, examples. At most 60,000 cells a label, whatever the number of examples."""
     p = F.least(F.greatest(F.col("score"), F.lit(clip)), F.lit(1 - clip))
     z = F.log(p) - F.log1p(-p)
-    cells = rows.select(z.alias("z"), F.col("positive").cast("long").alias("y")).groupBy(F.round(F.col("z") * 2048).alias("cell"))
-    cells = cells.agg(F.avg("z").alias("z"), F.sum("y").alias("y"), F.count(F.lit(1)).alias("n")).collect()
-    if sum(c["n"] for c in cells) < min_rows or not 0 < sum(c["y"] for c in cells) < sum(c["n"] for c in cells):
-        return 1.0
-
-    def loss(log_t: float) -> float:
-        t, total = math.exp(log_t), 0.0
-        for c in cells:
-            x = c["z"] / t
-            total += c["n"] * (max(x, 0.0) + math.log1p(math.exp(-abs(x)))) - c["y"] * x
-        return total
-
-    a, b, g = math.log(low), math.log(high), (math.sqrt(5) - 1) / 2
+    cells = rows.select("label", z.alias("z"), F.col("positive").cast("long").alias("y")).groupBy("label", F.round(F.col("z") * CELLS).alias("cell"))
+    return cells.agg(F.avg("z").alias("z"), F.sum("y").alias("y"), F.count(F.lit(1)).alias("n")).toArrow()
+
+
+def _golden(z: np.ndarray, y: np.ndarray, n: np.ndarray, group: np.ndarray, groups: int, low: float, high: float, rounds: int) -> np.ndarray:
+    """The temperature of the least negative log-likelihood of every group, all searches in step: one sum over the cells a round."""
+
+    def loss(log_t: np.ndarray) -> np.ndarray:
+        x = z / np.exp(log_t)[group]
+        return np.bincount(group, n * (np.maximum(x, 0.0) + np.log1p(np.exp(-np.abs(x)))) - y * x, groups)
+
+    a, b, g = np.full(groups, math.log(low)), np.full(groups, math.log(high)), (math.sqrt(5) - 1) / 2
     c, d = b - g * (b - a), a + g * (b - a)
     fc, fd = loss(c), loss(d)
     for _ in range(rounds):
-        if fc <= fd:
-            b, d, fd = d, c, fc
-            c = b - g * (b - a)
-            fc = loss(c)
-        else:
-            a, c, fc = c, d, fd
-            d = a + g * (b - a)
-            fd = loss(d)
-    return math.exp((a + b) / 2)
+        left = fc <= fd
+        a, b = np.where(left, a, c), np.where(left, d, b)
+        fresh = np.where(left, b - g * (b - a), a + g * (b - a))
+        value = loss(fresh)
+        c, d, fc, fd = np.where(left, fresh, d), np.where(left, c, fresh), np.where(left, value, fd), np.where(left, fc, value)
+    return np.exp((a + b) / 2)
+
+
+def fit_temperatures(
+    rows: DataFrame, low: float = LOW, high: float = HIGH, rounds: int = 96, clip: float = CLIP, min_rows: int = 2, min_class: int = 1, per_label: bool = True
+) -> DataFrame:
+    """Per label (and, as label null, over all of them): label, n, positives, temperature, status.
+
+    rows: label, score, positive. A golden-section search over the logarithm of the temperature. With fewer than ``min_rows``
+    examples, or ``min_class`` of either kind, the temperature is 1 and the status ``insufficient_statistics``, otherwise
+    ``fitted``. One aggregate over the examples; what the driver holds is bounded by labels x cells.
+    """
+    t = _cells(rows, clip)
+    names, own = np.unique(np.array(t.column("label").to_pylist(), object), return_inverse=True) if t.num_rows else (np.zeros(0, object), np.zeros(0, np.int64))
+    z, y, n = (t.column(c).to_numpy().astype(float) for c in ("z", "y", "n"))
+    # the pooled fit is one more group over the same cells
+    k = len(names) if per_label else 0
+    group = np.concatenate([own if per_label else own[:0], np.full(len(z), k)]).astype(np.int64)
+    z, y, n = (np.concatenate([v, v]) if per_label else v for v in (z, y, n))
+    total, hits = np.bincount(group, n, k + 1), np.bincount(group, y, k + 1)
+    enough = (total >= min_rows) & (hits >= min_class) & (total - hits >= min_class) & (hits > 0) & (hits < total)
+    found = _golden(z, y, n, group, k + 1, low, high, rounds)
+    out = [(str(names[i]) if i < k else None, int(total[i]), int(hits[i]), float(found[i]) if enough[i] else 1.0, "fitted" if enough[i] else "insufficient_statistics") for i in range(k + 1)]
+    return rows.sparkSession.createDataFrame(out, "label string, n long, positives long, temperature double, status string")
+
+
+def fit_temperature(rows: DataFrame, **limits: float) -> float:
+    """The one temperature over all labels."""
+    return fit_temperatures(rows, per_label=False, **limits).first()["temperature"]
 
 
 def length_score_filter(pred: DataFrame, short: int, short_score: float, long_score: float) -> DataFrame:

@@ -136,47 +136,6 @@ def hash_sample(docs: DataFrame, n: int, seed: str, key: str = "doc_id") -> Data
     return docs.orderBy(F.sha2(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")), 256), key).limit(n)
 
 
-def shingle_rows(docs: DataFrame, text: str, size: int, key: str = "doc_id") -> DataFrame:
-    """(doc_id, n, gram): distinct character n-grams of the text without white space and case."""
-    flat = F.replace(F.lower(F.regexp_replace(F.col(text), r"(?U)\s+", "")), F.lit("ß"), F.lit("ss"))
-    short = F.when(F.char_length("_t") > 0, F.array("_t")).otherwise(F.expr("cast(array() as array<string>)"))
-    grams = F.when(F.char_length("_t") >= size, F.transform(F.sequence(F.lit(1), F.char_length("_t") - (size - 1)), lambda i: F.substring(F.col("_t"), i, F.lit(size)))).otherwise(short)
-    rows = docs.select(F.col(key).alias("doc_id"), flat.alias("_t")).select("doc_id", F.array_distinct(grams).alias("_g"))
-    return rows.select("doc_id", F.size("_g").alias("n"), F.explode("_g").alias("gram"))
-
-
-def near_duplicate_pairs(docs: DataFrame, text: str = "text", size: int = 5, threshold: float = 0.75, key: str = "doc_id") -> DataFrame:
-    """(a, b, shared, na, nb) of documents with Jaccard similarity from ``threshold`` on, exactly, over character n-grams."""
-    return near_duplicate_grams(shingle_rows(docs, text, size, key), threshold)
-
-
-def near_duplicate_grams(grams: DataFrame, threshold: float) -> DataFrame:
-    """``near_duplicate_pairs`` over rows (doc_id, n, gram).
-
-    Prefix filter: a pair at the threshold must share one of each side's rarest n - ceil(threshold * n) + 1 grams, so only
-    those enter the join that makes candidates, whose sizes must fit too; candidates are then counted on all grams.
-    Documents with equal gram sets are a class that its smallest id stands for; the others come as a pair with it.
-    """
-    df = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    sets = grams.join(df, "gram").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
-    sets = sets.withColumn("g", F.transform("g", lambda x: x["gram"])).withColumn("d", F.sha2(F.array_join(F.array_sort("g"), "\0"), 256))
-    reps = sets.groupBy("d", "n").agg(F.min("doc_id").alias("rep"))
-    placed = sets.join(reps, ["d", "n"])
-    classes = placed.where("doc_id = rep").select("rep", "n", "g")
-    keep = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1).cast("int")
-    prefix = classes.select("rep", "n", F.explode(F.slice("g", F.lit(1), keep)).alias("gram"))
-    a = prefix.select("gram", F.col("rep").alias("a"), F.col("n").alias("na"))
-    b = prefix.select("gram", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    fit = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb"))
-    pairs = a.join(b, "gram").where(fit).select("a", "b", "na", "nb").distinct()
-    side = lambda s: classes.select(F.col("rep").alias(s), F.col("g").alias(f"g{s}"))
-    full = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.size(F.array_intersect("ga", "gb")))
-    out = full.where(F.col("shared") >= F.lit(threshold) * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b", "shared", "na", "nb")
-    # members of one class follow their smallest, which is all that components need
-    own = placed.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.col("n").alias("shared"), F.col("n").alias("na"), F.col("n").alias("nb"))
-    return out.unionByName(own)
-
-
 def duplicate_groups(docs: DataFrame, value: Column) -> DataFrame:
     """Groups of equal values of two or more rows: how many, rows in them, largest."""
     g = docs.groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -180,6 +181,108 @@ def viterbi(docs: DataFrame, labels: list[str], allowed: np.ndarray, may_start:
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "logits", "valid").mapInPandas(run, "doc_id string, tags array<string>")
 
 
+def bie_labels(types: Sequence[str]) -> list[str]:
+    """O, then begin, inside and end of every type."""
+    return ["O", *(f"{p}-{t}" for t in types for p in "BIE")]
+
+
+def bie_paths(logits: np.ndarray, sizes: np.ndarray, types: int) -> np.ndarray:
+    """Best legal paths of padded documents, longest first: logits[document, token, label] of ``bie_labels`` to label numbers.
+
+    O and B follow O, B or E; I and E follow B or I of their type; a document starts with O or B and ends with O, B or E.
+    So a state needs one best predecessor that may end a span, and per type one of two: a step costs as much as there are
+    labels, not their square. Ties go to O, then to B and E by type; before I and E to B.
+    """
+    docs, steps, _ = logits.shape
+    o, b, i, e = logits[..., 0], logits[..., 1::3], logits[..., 2::3], logits[..., 3::3]
+    score_o, score_b = o[:, 0].copy(), b[:, 0].copy()
+    score_i, score_e = np.full((docs, types), -np.inf), np.full((docs, types), -np.inf)
+    ended, inner = np.zeros((docs, steps), np.int64), np.zeros((docs, steps, types), bool)
+    last = np.zeros(docs, np.int64)
+    rows = np.arange(docs)
+
+    def best_end(n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Label and score of the best state that may end a span, of the first ``n`` documents."""
+        if not types:
+            return np.zeros(n, np.int64), score_o[:n].copy()
+        kb, ke = score_b[:n].argmax(1), score_e[:n].argmax(1)
+        vb, ve = score_b[rows[:n], kb], score_e[rows[:n], ke]
+        label, value = np.where(vb > score_o[:n], 1 + 3 * kb, 0), np.maximum(score_o[:n], vb)
+        return np.where(ve > value, 3 + 3 * ke, label), np.maximum(value, ve)
+
+    for t in range(steps):
+        n = int(np.searchsorted(-sizes, -t, "left"))  # documents of more than t tokens
+        if t:
+            ended[:n, t], value = best_end(n)
+            inner[:n, t] = score_i[:n] > score_b[:n]
+            source = np.maximum(score_b[:n], score_i[:n])
+            score_o[:n], score_b[:n] = value + o[:n, t], value[:, None] + b[:n, t]
+            score_i[:n], score_e[:n] = source + i[:n, t], source + e[:n, t]
+        done = slice(int(np.searchsorted(-sizes, -t - 1, "left")), n)
+        if done.stop > done.start:
+            last[done] = best_end(n)[0][done]
+    path = np.zeros((docs, steps), np.int64)
+    for t in range(steps - 1, -1, -1):
+        n = int(np.searchsorted(-sizes, -t, "left"))
+        ends = sizes[:n] == t + 1
+        if t + 1 < steps:
+            after = path[:n, t + 1]
+            kind = np.maximum(after - 1, 0) // 3
+            inside = (after > 0) & ((after - 1) % 3 > 0)
+            was = np.where(inner[rows[:n], t + 1, kind] if types else False, 2, 1) + 3 * kind if types else after
+            path[:n, t] = np.where(inside, was, ended[:n, t + 1])
+        path[:n, t] = np.where(ends, last[:n], path[:n, t])
+    return path
+
+
+def bie_viterbi(docs: DataFrame, types: Sequence[str], scope: Sequence[str] | None = None, tokens: int = 1 << 15) -> DataFrame:
+    """docs(doc_id, logits array<array<double>>, valid array<boolean>) to doc_id, tags and violation.
+
+    Logits are those of ``bie_labels(types)``; only types of ``scope``, if given, may be chosen, which is decided before the
+    search. Invalid tokens are O. Documents are decoded together, padded, in parts of about ``tokens`` tokens. Logits that
+    are missing, not finite or of another width give no tags and a violation; empty documents give no tags.
+    """
+    labels = bie_labels(types)
+    names = pa.array(labels)
+    shut = np.array([scope is not None and t not in scope for t in types], bool)
+
+    def numbers(rows: pa.Array) -> np.ndarray | None:
+        values, sizes = rows.flatten(), np.diff(rows.offsets.to_numpy())
+        if rows.null_count or values.null_count or (sizes != len(labels)).any():
+            return None
+        x = values.to_numpy(zero_copy_only=False).reshape(-1, len(labels)).astype(float)
+        return x if np.isfinite(x).all() else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            logits, valid = batch.column("logits"), batch.column("valid")
+            found = [numbers(logits[k].values) if logits[k].is_valid and logits[k].values is not None else None for k in range(batch.num_rows)]
+            marks = [np.array(v if v is not None else [True] * (0 if x is None else len(x)), object) for v, x in zip(valid.to_pylist(), found, strict=True)]
+            bad = [x is None or len(m) != len(x) for x, m in zip(found, marks, strict=True)]
+            tags: list[list[str] | None] = [None if wrong else [] for wrong in bad]
+            order = sorted((k for k in range(batch.num_rows) if not bad[k] and len(found[k])), key=lambda k: -len(found[k]))
+            at = 0
+            while at < len(order):
+                part = order[at : at + max(1, tokens // len(found[order[at]]))]
+                at += len(part)
+                sizes = np.array([len(found[k]) for k in part])
+                x = np.zeros((len(part), sizes[0], len(labels)))
+                for d, k in enumerate(part):
+                    x[d, : sizes[d]] = found[k]
+                    off = ~(marks[k] == True)  # noqa: E712
+                    x[d, : sizes[d]][off] = -np.inf
+                    x[d, : sizes[d], 0][off] = 0.0
+                for k in np.flatnonzero(shut).tolist():
+                    x[:, :, 1 + 3 * k : 4 + 3 * k] = -np.inf
+                paths = bie_paths(x, sizes, len(types))
+                for d, k in enumerate(part):
+                    tags[k] = names.take(pa.array(paths[d, : sizes[d]])).to_pylist()
+            why = ["logits" if wrong else None for wrong in bad]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tags, pa.list_(pa.string())), pa.array(why, pa.string())], ["doc_id", "tags", "violation"])
+
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "logits", "valid").mapInArrow(run, "doc_id string, tags array<string>, violation string")
+
+
 def owns(start: Column, end: Column, owner_start: Column, owner_end: Column, is_last: Column) -> Column:
     """Whether a window owns a span: the span's doubled centre lies in its owner range, whose end counts only in the last."""
     centre = start + end

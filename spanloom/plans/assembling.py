@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.operators import assembly as Y
 from spanloom.operators import datasets as D
 from spanloom.operators import decoding
+from spanloom.operators import near_pairs as N
 from spanloom.plans import building as U
 from spanloom.plans import fixtures as X
 from spanloom.plans.recording import _made
@@ -62,15 +63,23 @@ def i13_isolated_ids(spark: SparkSession, d: str) -> DataFrame:
     return Y.isolated_ids(rows, b"secret of the driver").groupBy("split").agg(F.count_distinct("relation_id").alias("relations"), F.count_distinct("seed").alias("seeds"))
 
 
-def i14_near_duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Sizes of the near-duplicate groups of a catalogue of texts: normal forms, character 3-grams, similarity of 0.75 or more."""
-    items = U.near_items(spark, d).where("text IS NOT NULL")
-    pairs = D.near_duplicate_grams(X.store(Y.skeleton_grams(items)), 0.75)
-    groups = D.connected_components(pairs.select("a", "b"), X.store).withColumnRenamed("node", "doc_id")
+def _group_sizes(items: DataFrame) -> DataFrame:
+    members, _, links = N.near_classes(items, X.store, N.skeleton, 3)
+    groups = N.near_groups(members, links, X.store)
     sizes = items.select("doc_id").join(groups, "doc_id", "left").groupBy(F.coalesce("component", "doc_id").alias("c")).agg(F.count(F.lit(1)).alias("size"))
     return sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n_groups"))
 
 
+def i14_near_duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of the near-duplicate groups of a catalogue of texts: normal forms, character 3-grams, similarity of 0.75 or more."""
+    return _group_sizes(U.near_items(spark, d).where("text IS NOT NULL"))
+
+
+def i14_document_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The same over every whole document."""
+    return _group_sizes(X.read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text"))
+
+
 def i15_closure(spark: SparkSession, d: str) -> DataFrame:
     rows = _made(spark, d).select(F.col("k").alias("member"), (F.col("k") % 40).alias("group"), F.expr("CASE WHEN k % 20 = 3 THEN 'validation' WHEN k % 40 = 7 OR k % 80 = 9 THEN 'test' ELSE 'train' END").alias("split"))
     return Y.close_over_groups(rows).groupBy("owner", "clash").agg(F.count(F.lit(1)).alias("n"))
@@ -86,11 +95,11 @@ def _lengths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def i24_greedy_packs(spark: SparkSession, d: str) -> DataFrame:
-    return Y.greedy_packs(_lengths(spark, d), 8, "42")
+    return Y.greedy_packs(_lengths(spark, d), "42", X.store)
 
 
 def i25_low_density_packs(spark: SparkSession, d: str) -> DataFrame:
-    return Y.low_density_packs(_lengths(spark, d).withColumn("positive", F.col("doc_id") % 5 == 0), 8, "42")
+    return Y.low_density_packs(_lengths(spark, d).withColumn("positive", F.col("doc_id") % 5 == 0), "42", X.store)
 
 
 def i26_combine(spark: SparkSession, d: str) -> DataFrame:
@@ -142,11 +151,19 @@ def i38_campaign(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(s, c, n) for s, own in plan.items() for c, n in own.items()], "split string, category string, n int")
 
 
+def _pair_audit(docs: DataFrame) -> DataFrame:
+    members, classes, links = N.near_classes(docs, X.store)
+    return N.pair_audit(docs, classes, links, members, 0.75)
+
+
 def i39_duplicate_audit(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of equal, and of nearly equal, different texts among passages, copies that lack their first words, and conversations."""
-    docs = U.near_items(spark, d)
-    distinct = docs.groupBy("text").agg(F.min("doc_id").alias("doc_id"))
-    return Y.duplicate_audit(docs, D.near_duplicate_pairs(distinct), 0.75)
+    return _pair_audit(U.near_items(spark, d))
+
+
+def i39_document_audit(spark: SparkSession, d: str) -> DataFrame:
+    """The same over every whole document."""
+    return _pair_audit(X.read(spark, d, "documents").select("doc_id", "text"))
 
 
 def i40_masked_skeletons(spark: SparkSession, d: str) -> DataFrame:
@@ -231,12 +248,17 @@ ALL = {
     "i13_isolated_ids": (i13_isolated_ids, """WITH c AS (SELECT CASE WHEN c_custkey % 4 = 0 THEN 'test' ELSE 'train' END AS split, c_custkey % 10 AS r, c_custkey % 3 = 0 AS l FROM customer)
   SELECT split, count(DISTINCT r) AS relations, count(DISTINCT (r, l)) AS seeds FROM c GROUP BY split"""),
     "i14_near_duplicate_groups": (i14_near_duplicate_groups, GROUPS_SQL),
+    "i14_document_groups": (i14_document_groups, None),
     "i15_closure": (i15_closure, """WITH m AS (SELECT c_custkey % 40 AS g, CASE WHEN c_custkey % 20 = 3 THEN 'validation' WHEN c_custkey % 40 = 7 OR c_custkey % 80 = 9 THEN 'test' ELSE 'train' END AS split FROM customer),
   o AS (SELECT g, CASE WHEN bool_or(split = 'validation') THEN 'validation' WHEN bool_or(split = 'train') THEN 'train' END AS owner, bool_or(split = 'test') AND bool_or(split <> 'test') AS clash FROM m GROUP BY g)
   SELECT CASE WHEN split = 'test' THEN 'test' ELSE owner END AS owner, clash, count(*) AS n FROM m JOIN o USING (g) GROUP BY ALL"""),
     "i18_recipe_audit": (i18_recipe_audit, """WITH g AS (SELECT c_mktsegment AS split, count(*) AS n, count(*) FILTER (c_custkey % 5 < 2) AS n_clean, count(DISTINCT c_custkey % 7) AS templates, count(DISTINCT c_custkey % 3) AS cues FROM customer GROUP BY 1)
   SELECT *, n = CASE split WHEN 'BUILDING' THEN 30 WHEN 'MACHINERY' THEN 31 ELSE -1 END AS size_ok, n_clean >= n * 0.4::DOUBLE AS clean_ok, templates >= 7 AS templates_ok, cues >= 2 AS cues_ok FROM g"""),
-    "i24_greedy_packs": (i24_greedy_packs, None),
+    "i24_greedy_packs": (i24_greedy_packs, """WITH RECURSIVE n AS (SELECT doc_id, coalesce(len(list_filter(string_split_regex(text, '[\\s\\x0b]+'), lambda x: x <> '')), 0) AS n FROM documents),
+  r AS MATERIALIZED (SELECT doc_id, n, row_number() OVER (ORDER BY sha256('42:' || doc_id), doc_id) AS i FROM n WHERE n > 0),
+  w(i, doc_id, n, size, pack) AS (SELECT 0::BIGINT, NULL::BIGINT, 0::BIGINT, 0::BIGINT, -1::BIGINT UNION ALL
+    SELECT r.i, r.doc_id, r.n, CASE WHEN x.s + r.n >= 128 THEN 0 ELSE x.s + r.n END, w.pack + (x.s = 0)::INT FROM w JOIN r ON r.i = w.i + 1, LATERAL (SELECT CASE WHEN w.size + r.n > 192 THEN 0 ELSE w.size END AS s) x)
+  SELECT pack, (row_number() OVER (PARTITION BY pack ORDER BY i) - 1)::INTEGER AS position, doc_id FROM w WHERE pack IN (SELECT pack FROM w WHERE i > 0 GROUP BY pack HAVING sum(n) BETWEEN 128 AND 192)"""),
     "i25_low_density_packs": (i25_low_density_packs, None),
     "i26_combine": (i26_combine, """WITH p AS (SELECT c_custkey % 30 AS pack, c_custkey AS k, c_name AS t FROM customer)
   SELECT pack, string_agg(t, ' + ' ORDER BY k) AS text, count(*)::INTEGER AS n_parts, (length(string_agg(t, ' + ' ORDER BY k)) - length(arg_max(t, k)))::INTEGER AS last_start FROM p GROUP BY pack"""),
@@ -261,6 +283,7 @@ ALL = {
     "i39_duplicate_audit": (i39_duplicate_audit, U.GRAMS_SQL.split("SELECT a, b, shared")[0].replace("docs AS (", "every AS (", 1).replace("flat AS (", "docs AS (SELECT min(doc_id) AS doc_id, text FROM every GROUP BY text), flat AS (", 1) + """
   SELECT (SELECT count(*) FROM every) AS n_docs, (SELECT coalesce(sum(n * (n - 1) // 2), 0)::BIGINT FROM (SELECT count(*) AS n FROM every GROUP BY text)) AS exact_pairs,
     (SELECT count(*) FROM pairs WHERE shared >= 0.75 * (na + nb - shared)) + (SELECT count(*) FROM sets JOIN reps ON sets.g = reps.g WHERE doc_id <> rep) AS near_pairs, 0.75::DOUBLE AS threshold"""),
+    "i39_document_audit": (i39_document_audit, None),
     "i40_masked_skeletons": (i40_masked_skeletons, "SELECT c_custkey AS k, 'ab编号占位#' || CASE WHEN length(regexp_extract(c_name, '[0-9]+$')) >= 7 THEN '占位' ELSE regexp_extract(c_name, '[0-9]+$') END || '于占位至xyz' AS skeleton FROM customer"),
     "i42_surfaces": (i42_surfaces, """WITH c AS (SELECT c_custkey AS k, length(c_name) AS n, c_name, c_mktsegment AS m FROM customer)
   SELECT k, 0::INTEGER AS "start", 8::INTEGER AS "end", 'Customer' AS value FROM c UNION ALL SELECT k, 9, n::INTEGER, substr(c_name, 10) FROM c WHERE n - 9 >= 7

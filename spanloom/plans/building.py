@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators import datasets as D
+from spanloom.operators import near_pairs as N
 from spanloom.plans import fixtures as X
 
 SPLITS = ("test", "train", "validation")
@@ -83,7 +84,10 @@ def near_items(spark: SparkSession, d: str) -> DataFrame:
 
 def i14_near_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs at 0.75 or more by five-grams of characters."""
-    return D.near_duplicate_pairs(near_items(spark, d))
+    members, _, links = N.near_classes(near_items(spark, d), X.store)
+    sizes = N.gram_sets(near_items(spark, d), N.folded, 5).select("doc_id", F.size("g").alias("n"))
+    own = members.where("doc_id <> rep").join(sizes, "doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), *[F.col("n").alias(c) for c in ("shared", "na", "nb")])
+    return links.unionByName(own)
 
 
 def i16_isolation(spark: SparkSession, d: str) -> DataFrame:

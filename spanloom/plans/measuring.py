@@ -367,6 +367,28 @@ def f11_viterbi(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.array_join("tags", " ").alias("tags"))
 
 
+def f11_viterbi_73(spark: SparkSession, d: str) -> DataFrame:
+    """Best legal paths over the 73 labels of 24 types, one document per vector, from its components."""
+    types = [f"T{i:02d}" for i in range(24)]
+    docs = X.read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    # token t and label k see the component (7 t + 3 k) mod 64, so that all labels compete
+    steps = F.sequence(F.lit(0), (F.col("doc_id") % 24).cast("int"))
+    cell = lambda t, k: F.get("e", F.pmod(t * 7 + k * 3, F.size("e"))) * (1 + F.pmod(t + k, F.lit(5)))
+    logits = F.transform(steps, lambda t: F.transform(F.sequence(F.lit(0), F.lit(72)), lambda k: cell(t, k)))
+    docs = docs.select("doc_id", logits.alias("logits"), F.transform(steps, lambda t: F.pmod(t + F.col("doc_id"), F.lit(11)) != 0).alias("valid"))
+    return D.bie_viterbi(docs, types).select("doc_id", F.array_join("tags", " ").alias("tags"), "violation")
+
+
+def g8_label_temperatures(spark: SparkSession, d: str) -> DataFrame:
+    """Temperatures of every label and of all, from one aggregate over the emitted spans."""
+    return C.fit_temperatures(C.examples(X.gold(spark, d), X.scored(spark, d)), min_rows=20, min_class=5)
+
+
+def g8_label_counts(spark: SparkSession, d: str) -> DataFrame:
+    """What those fits stand on, and which of them were made."""
+    return g8_label_temperatures(spark, d).select("label", "n", "positives", "status", ((F.col("temperature") >= C.LOW) & (F.col("temperature") <= C.HIGH)).alias("in_bounds"))
+
+
 def f12_scoped_argmax(spark: SparkSession, d: str) -> DataFrame:
     e = X.read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     return e.select("vec_id", D.scoped_argmax(F.col("e"), ["O", "B-X", "I-X", "B-Y", "I-Y"], ["O", "B-Y", "I-Y"]).alias("tag"))
@@ -526,6 +548,10 @@ ALL = {
     "f10_bie_valid": (f10_bie_valid, f"""WITH {X.tokens_sql(BIE)}, t AS (SELECT doc_id, token_index, tag, lag(tag) OVER w AS was, lead(tag) OVER w AS then_ FROM tokens WINDOW w AS (PARTITION BY doc_id ORDER BY token_index))
   SELECT doc_id, bool_and(CASE WHEN tag[1] IN ('I', 'E') THEN coalesce(was[1] IN ('B', 'I') AND substr(was, 3) = substr(tag, 3), false) ELSE coalesce(was[1], 'O') <> 'I' END AND NOT (tag[1] = 'I' AND then_ IS NULL)) AS valid FROM t GROUP BY doc_id"""),
     "f11_viterbi": (f11_viterbi, None),
+    "f11_viterbi_73": (f11_viterbi_73, None),
+    "g8_label_temperatures": (g8_label_temperatures, None),
+    "g8_label_counts": (g8_label_counts, "WITH " + EXAMPLES + """ SELECT label, count(*) AS n, sum(positive::INT)::BIGINT AS positives,
+  CASE WHEN count(*) >= 20 AND least(sum(positive::INT), count(*) - sum(positive::INT)) >= 5 THEN 'fitted' ELSE 'insufficient_statistics' END AS status, true AS in_bounds FROM examples GROUP BY ROLLUP (label)"""),
     "f12_scoped_argmax": (f12_scoped_argmax, """WITH e AS (SELECT vec_id, [embedding[1], embedding[4], embedding[5]] AS x FROM embeddings)
   SELECT vec_id, ['O', 'B-Y', 'I-Y'][list_position(x, list_max(x))] AS tag FROM e"""),
     "f13_align": (f13_align, f"WITH {X.tokens_sql(BIO)}, flat AS (SELECT doc_id, token_index, s, e, score, CASE WHEN e <= s THEN 'O' ELSE tag END AS tag FROM tokens){REPAIR} SELECT doc_id, CAST(token_index AS INTEGER) AS token_index, tag FROM fixed"),

@@ -1,4 +1,4 @@
-"""Queries over strict lines on disk and over windows of documents with gold spans."""
+"""Queries over strict lines on disk, windows of documents with gold spans, and measured passes."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import find_spans
+from spanloom.operators import harness as H
+from spanloom.operators import policies as P
+from spanloom.operators import routing as T
 from spanloom.operators import safe_windows as W
 from spanloom.plans import fixtures as X
 from spanloom.sources import records as A
@@ -50,7 +53,50 @@ def f4_owned_gold(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "owned", "whole", "own", "broken", (F.col("tokens") <= WINDOW_TOKENS).alias("fits"))
 
 
+POLICIES = (
+    P.StagePolicy(), P.StagePolicy("raw-model", "evaluation_ablation", False, False, False, False, "exact_duplicates_only", (), ("PHONE_NUMBER", "PERSON", "SECRET")),
+    P.StagePolicy("union", "evaluation_ablation", conflicts="exact_duplicates_only"), P.StagePolicy("no-thresholds", "evaluation_ablation", context=False, thresholds=False),
+)
+
+
+def d8_policies(spark: SparkSession, d: str) -> DataFrame:
+    """What four policies emit of rule and model candidates that agree, overlap, fail their validator or stay below a threshold."""
+    k = F.col("c_custkey")
+    docs = X.read(spark, d, "customer").select(k.alias("doc_id"), F.when(k % 3 == 0, "tel 12912345678 end").otherwise("tel 13912345678 end").alias("text"))
+    one = lambda branch, label, score, start, end: F.struct(F.lit(branch).alias("branch"), F.lit(label).alias("label"), score.alias("score"), F.lit(start).alias("start"), F.lit(end).alias("end"))
+    rows = [
+        one("rule", "PHONE_NUMBER", F.lit(0.9), 4, 15), one("model", "PHONE_NUMBER", F.lit(0.6), 4, 15), one("model", "SECRET", F.lit(0.9), 16, 19),
+        one("model", "PERSON", F.when(F.col("doc_id") % 2 == 0, 0.4).otherwise(0.6), 0, 8), one("rule", "USERNAME", F.lit(0.5), 2, 9), one("model", "lower", F.lit(0.9), 0, 2),
+    ]
+    candidates = docs.select("doc_id", "text", F.inline(F.array(*rows)))
+    parts = [P.run_policy(candidates, T.routes(spark), p).withColumn("policy", F.lit(p.name)) for p in POLICIES]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return out.groupBy("policy", "label", F.array_join("sources", ",").alias("sources"), "decision").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
+
+
+def h28_measured(spark: SparkSession, d: str) -> DataFrame:
+    """Two counted passes of two jobs over every document; the times themselves are only checked to be there."""
+    docs = X.read(spark, d, "documents").select("doc_id", "text")
+    jobs = {
+        "pairs": lambda df: df.select("doc_id", F.inline(find_spans(F.col("text"), PAIR))),
+        "lengths": lambda df: df.groupBy(F.char_length("text").alias("n")).agg(F.count(F.lit(1)).alias("docs")),
+    }
+    report = H.measured(spark, docs, jobs, 1, 2)
+    timed = (F.col("p50_ms") > 0) & (F.col("p95_ms") >= F.col("p50_ms")) & (F.col("docs_per_second") > 0) & (F.col("warmup_ms") > 0)
+    return report.select("name", "repetitions", "n_docs", "n_chars", "n_rows", timed.alias("timed"))
+
+
 ALL = {
+    "d8_policies": (d8_policies, """WITH c AS (SELECT c_custkey AS k, c_custkey % 3 <> 0 AS good, c_custkey % 2 = 1 AS sure FROM customer),
+  e AS (SELECT k, 'release-default' AS policy, 'PHONE_NUMBER' AS label, 'qwen,rule:cn_common' AS sources FROM c WHERE good
+    UNION ALL SELECT k, 'release-default', 'USERNAME', 'rule:cn_common' FROM c WHERE NOT good AND NOT sure UNION ALL SELECT k, 'release-default', 'PERSON', 'qwen' FROM c WHERE NOT good AND sure
+    UNION ALL SELECT k, 'raw-model', unnest(['PHONE_NUMBER', 'PERSON', 'SECRET']), 'qwen' FROM c
+    UNION ALL SELECT k, 'union', 'PHONE_NUMBER', 'qwen,rule:cn_common' FROM c WHERE good UNION ALL SELECT k, 'union', 'USERNAME', 'rule:cn_common' FROM c UNION ALL SELECT k, 'union', 'PERSON', 'qwen' FROM c WHERE sure
+    UNION ALL SELECT k, 'no-thresholds', 'PHONE_NUMBER', 'qwen,rule:cn_common' FROM c WHERE good UNION ALL SELECT k, 'no-thresholds', 'PERSON', 'qwen' FROM c WHERE NOT good)
+  SELECT policy, label, sources, CASE WHEN contains(sources, ',') THEN 'exact_same_type_collapsed' ELSE 'single_source' END AS decision, count(*) AS n, sum(k)::BIGINT AS ids FROM e GROUP BY ALL"""),
+    "h28_measured": (h28_measured, """SELECT 'pairs' AS name, 2::INTEGER AS repetitions, (2 * count(*))::BIGINT AS n_docs, (2 * sum(length(text)))::BIGINT AS n_chars,
+  (2 * sum(len(regexp_extract_all(text, '[A-Z][a-z]+\\s+[a-z]+'))))::BIGINT AS n_rows, true AS timed FROM documents
+  UNION ALL SELECT 'lengths', 2, 2 * count(*), 2 * sum(length(text)), 2 * count(DISTINCT coalesce(length(text), -1)), true FROM documents"""),
     "a5_strict_round_trip": (a5_strict_round_trip, "WITH " + X.PRED_SQL + """ SELECT d.doc_id, true AS clean, s AS "start", e AS "end", label, score FROM docs d LEFT JOIN scored p USING (doc_id)"""),
     "f4_safe_windows": (f4_safe_windows, None),
     "f4_owned_gold": (f4_owned_gold, """WITH d AS (SELECT doc_id, length(text) AS own, len(regexp_extract_all(text, '[A-Z][a-z]+\\s+[a-z]+'))::BIGINT AS n FROM documents WHERE length(text) > 0)

@@ -140,7 +140,10 @@ HIGH_RISK = (
     ("pattern_email", r"(?i)(?<![A-Z0-9._%+-])[A-Z0-9._%+-]+@(?:[A-Z0-9-]+\.)+[A-Z]{2,63}", 0),
     ("pattern_cn_resident_id", r"(?<![0-9A-Za-z])\d{17}[0-9Xx](?![0-9A-Za-z])", 0),
     ("pattern_bank_card", r"(?<![0-9A-Za-z.])(?:\d[ -]?){11,18}\d(?![0-9A-Za-z.])", 0),
-    ("pattern_secret", r"-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----|\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\b(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,})\b|\bhf_[A-Za-z0-9]{20,}\b", 0),
+    ("pattern_secret", r"-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----", 0),
+    ("pattern_secret", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b", 0),
+    ("pattern_secret", r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,})\b", 0),
+    ("pattern_secret", r"\bhf_[A-Za-z0-9]{20,}\b", 0),
     ("pattern_secret", r"(?i)\b(?:api[_-]?key|access[_-]?token|auth[_-]?token|password|secret)\s*[:=]\s*[\"']?([A-Za-z0-9._~+/=-]{12,})", 1),
 )
 

@@ -72,13 +72,13 @@ def test_packs(spark):
     docs = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") * 37 % 90 + 1).cast("int").alias("n"))
     n = {r.doc_id: r.n for r in docs.collect()}
     packs = defaultdict(list)
-    for r in Y.greedy_packs(docs, 4, "s").orderBy("pack", "position").collect():
+    for r in Y.greedy_packs(docs, "s", X.store, block=32).orderBy("pack", "position").collect():
         packs[r.pack].append(r.doc_id)
     assert len(packs) > 50 and all(128 <= sum(n[d] for d in p) <= 192 for p in packs.values())
     assert all(sum(n[d] for d in p[:-1]) < 128 for p in packs.values())
     assert len({d for p in packs.values() for d in p}) == sum(map(len, packs.values()))
     low = defaultdict(list)
-    for r in Y.low_density_packs(docs.withColumn("positive", F.col("doc_id") % 6 == 0), 4, "s").orderBy("pack", "position").collect():
+    for r in Y.low_density_packs(docs.withColumn("positive", F.col("doc_id") % 6 == 0), "s", X.store, block=90).orderBy("pack", "position").collect():
         low[r.pack].append(r.doc_id)
     assert low and all([d % 6 == 0 for d in p] == [True] + [False] * (len(p) - 1) and 128 <= sum(n[d] for d in p) <= 192 for p in low.values())
 
