@@ -43,8 +43,8 @@ def one_pass(docs: DataFrame, job: Job, text: str) -> tuple[float, int, int, int
 def measured(spark: SparkSession, docs: DataFrame, jobs: dict[str, Job], warmups: int = 1, repetitions: int = 3, text: str = "text") -> DataFrame:
     """One row per job of full passes over ``docs``: counts over all repetitions, percentiles of a pass, and throughput.
 
-    Warm-up passes are timed apart and don't count. A job is one plan over the documents that it is given; jobs run one
-    after the other. The report holds aggregates alone, and its status says that it describes this run and no more.
+    Warm-up passes are timed apart and don't count. A job is one plan that reads the documents that it is given; jobs run
+    one after the other. The report holds aggregates alone, and its status says that it describes this run and no more.
     """
     if warmups < 0 or repetitions < 1:
         raise ValueError("warm-ups must not be negative, and there must be a repetition")
