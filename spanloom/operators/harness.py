@@ -50,7 +50,7 @@ def measured(spark: SparkSession, docs: DataFrame, jobs: dict[str, Job], warmups
         raise ValueError("warm-ups must not be negative, and there must be a repetition")
     out = []
     for name, job in jobs.items():
-        before = sum(one_pass(docs, job, text)[0] for _ in range(warmups))
+        before = float(sum(one_pass(docs, job, text)[0] for _ in range(warmups)))
         passes = [one_pass(docs, job, text) for _ in range(repetitions)]
         times = [p[0] for p in passes]
         total, counts = sum(times), [sum(p[i] for p in passes) for i in (1, 2, 3)]
