@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import slice_text
@@ -234,6 +234,21 @@ def read_parts(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(*paths)
 
 
+def write_extract(rows: DataFrame, path: str, expected: int) -> int:
+    """Write rows as Parquet with ZSTD; another number of rows than expected fails and leaves nothing behind.
+
+    Rows are counted by the job that writes them; predicates and columns of ``rows`` reach the scan as in any plan.
+    """
+    spark, seen = rows.sparkSession, Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd").parquet(path)
+    n = seen.get["n"]
+    if n != expected:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        raise ValueError(f"{n} rows, not {expected}")
+    return n
+
+
 def read_pinned(spark: SparkSession, path: str, schema: str, rows: int | None = None) -> DataFrame:
     """A Parquet table whose field names, order and types, and number of rows, must be the given ones."""
     df = spark.read.parquet(path)

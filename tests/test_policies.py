@@ -49,3 +49,25 @@ def test_measured_passes(spark):
     assert H.percentile([4.0, 1.0, 3.0, 2.0], 0.5) == 2.5 and H.percentile([1.0], 0.95) == 1.0
     with pytest.raises(ValueError):
         H.measured(spark, docs, {}, 0, 0)
+
+
+def test_extracts_assert_their_rows(spark, tmp_path):
+    import os
+
+    from spanloom.operators import audits as S
+    from spanloom.operators.datasets import corpus_overlap
+    from spanloom.sources import records as A
+
+    path = f"file://{tmp_path}/x"
+    assert A.write_extract(spark.range(10).where("id > 2"), path, 7) == 7 and spark.read.parquet(path).count() == 7
+    assert any(".zstd." in n for n in os.listdir(tmp_path / "x"))
+    with pytest.raises(ValueError, match="3 rows, not 4"):
+        A.write_extract(spark.range(3), f"file://{tmp_path}/y", 4)
+    assert not os.path.exists(tmp_path / "y")
+    docs = spark.createDataFrame([("a", 1, "One two"), ("b", 2, "one  TWO"), (None, 1, "x"), ("b", 3, None)], "corpus string, doc_id long, text string")
+    values = spark.createDataFrame([("a", "Ann"), ("b", "Bob"), ("b", None)], "corpus string, value string")
+    overlap = corpus_overlap(S.corpus_fingerprints(docs, values))
+    assert [tuple(r) for r in overlap.collect()] == [("normalized_text_sha256", "a", "b", 1)]
+    with pytest.raises(ValueError, match="normalized_text_sha256 x1"):
+        S.require_isolated(overlap)
+    S.require_isolated(overlap.limit(0))
