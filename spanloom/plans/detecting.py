@@ -511,7 +511,15 @@ ALL = {
     CASE WHEN NOT shape THEN 'unsupported or invalid civilian mainland vehicle plate syntax' WHEN m = 1 THEN 'ordinary civilian serial must contain at least three digits'
       WHEN m = 2 THEN 'valid ordinary civilian mainland plate' ELSE 'valid small new-energy mainland plate' END AS reason FROM v"""),
     "c9_formats": (c9_formats, _c9_sql()),
-    "c10_other_formats": (c10_other_formats, None),
+    "c10_other_formats": (c10_other_formats, f"""WITH c AS (SELECT c_custkey AS k, {ID18} AS id, {PHONE} AS phone, {PLATE} AS plate, c_custkey % 3 AS m, c_custkey % 4 <> 0 AS shape FROM customer),
+  n AS (SELECT *, m <> 0 AND try_strptime(substr(id, 7, 8), '%Y%m%d') IS NOT NULL AND substr(id, 15, 3) <> '000' AS real_id, replace(regexp_replace(phone, '[\\s()-]', '', 'g'), '分机', '转') AS p FROM c),
+  g AS (SELECT *, regexp_full_match(p, '([+]?86)?1[3-9][0-9]{{9}}') OR regexp_full_match(p, '0[0-9]{{2,3}}[0-9]{{7,8}}(转[0-9]{{1,6}})?') AS real_phone FROM n)
+  SELECT 'DRIVER_LICENSE_NUMBER' AS label, k, id AS value, real_id AS valid, id AS normalized, CASE WHEN real_id THEN 'valid resident-ID-shaped driver license' ELSE 'invalid driver-license number format' END AS reason FROM g
+  UNION ALL SELECT 'ALIPAY_ACCOUNT', k, phone, real_phone, CASE WHEN real_phone THEN p ELSE phone END, CASE WHEN real_phone THEN 'valid phone-shaped Alipay account' ELSE 'invalid Alipay account format' END FROM g
+  UNION ALL SELECT 'DEVICE_ID', k, 'DEV-' || lpad(k::VARCHAR, 9, '0'), true, 'DEV-' || lpad(k::VARCHAR, 9, '0'), 'plausible synthetic device ID format' FROM g
+  UNION ALL SELECT 'SECRET', k, 'sk_' || lpad(k::VARCHAR, 20, 'aB'), true, 'sk_' || lpad(k::VARCHAR, 20, 'aB'), 'plausible secret format' FROM g
+  UNION ALL SELECT 'CN_VEHICLE_LICENSE_PLATE', k, plate, shape AND m <> 1, CASE WHEN shape THEN replace(plate, '·', '') ELSE plate END, CASE WHEN NOT shape THEN 'unsupported or invalid civilian mainland vehicle plate syntax'
+    WHEN m = 1 THEN 'ordinary civilian serial must contain at least three digits' WHEN m = 2 THEN 'valid ordinary civilian mainland plate' ELSE 'valid small new-energy mainland plate' END FROM g"""),
     "d1_canonical_labels": (d1_canonical_labels, """WITH c AS (SELECT ['ADDRESS', 'CN_RESIDENT_ID', 'PERSON_NAME', 'SOCIAL_SECURITY_NUMBER', 'VEHICLE_LICENSE_PLATE', 'PHONE_NUMBER', 'lower'][c_custkey % 7 + 1] AS label FROM customer)
   SELECT label, CASE label WHEN 'ADDRESS' THEN 'CN_ADDRESS' WHEN 'CN_RESIDENT_ID' THEN 'CN_ID_CARD' WHEN 'PERSON_NAME' THEN 'PERSON' WHEN 'SOCIAL_SECURITY_NUMBER' THEN 'CN_SOCIAL_SECURITY_NUMBER'
     WHEN 'VEHICLE_LICENSE_PLATE' THEN 'CN_VEHICLE_LICENSE_PLATE' WHEN 'lower' THEN NULL ELSE label END AS canonical, count(*) AS n FROM c GROUP BY ALL"""),

@@ -539,7 +539,10 @@ ALL = {
   SELECT window_id, count(*) AS n, sum(s)::BIGINT AS sum_start FROM pred, w WHERE s + e >= 40 * window_id AND (s + e < 40 * window_id + 40 OR (window_id = 5 AND s + e <= 240)) GROUP BY window_id"""),
     "f5_repair_bio": (f5_repair_bio, f"WITH {X.tokens_sql(BIO)}, flat AS (SELECT doc_id, token_index, s, e, score, CASE WHEN e <= s THEN 'O' ELSE tag END AS tag FROM tokens){REPAIR} SELECT doc_id, CAST(token_index AS INTEGER) AS token_index, tag FROM fixed"),
     "f6_decode_bio": (f6_decode_bio, _islands_sql(BIO, REPAIR)),
-    "f7_decode_bie": (f7_decode_bie, None),
+    "f7_decode_bie": (f7_decode_bie, f"""WITH {X.tokens_sql(BIE)}, t AS (SELECT *, substr(tag, 3) AS label, row_number() OVER (PARTITION BY doc_id ORDER BY token_index) AS i FROM tokens WHERE e > s),
+  b AS (SELECT b.doc_id, b.i, b.s, b.label, min(o.i) AS stop FROM t b LEFT JOIN t o ON o.doc_id = b.doc_id AND o.i > b.i AND o.tag <> 'I-' || b.label WHERE b.tag[1] = 'B' GROUP BY ALL),
+  l AS (SELECT b.*, CASE WHEN o.tag = 'E-' || b.label THEN b.stop ELSE coalesce(b.stop - 1, 1000000000) END AS last FROM b LEFT JOIN t o ON o.doc_id = b.doc_id AND o.i = b.stop)
+  SELECT l.doc_id, l.s AS "start", max_by(t.e, t.i) AS "end", l.label, min(t.score)::DOUBLE AS score FROM l JOIN t ON t.doc_id = l.doc_id AND t.i BETWEEN l.i AND l.last GROUP BY l.doc_id, l.i, l.s, l.label"""),
     "f8_decode_bios": (f8_decode_bios, _islands_sql(BIOS, REPAIR_S)),
     "f9_decode_sparse": (f9_decode_sparse, f"""WITH {X.tokens_sql(BIO)}, t AS (SELECT *, substr(tag, 3) AS label, lag(substr(tag, 3)) OVER w AS pl, lag(e) OVER w AS pe FROM tokens WHERE tag[1] IN ('B', 'I') AND e > s WINDOW w AS (PARTITION BY doc_id ORDER BY s, e, token_index)),
   u AS (SELECT *, coalesce(pl = label AND s > pe AND label = 'X' AND regexp_full_match(substr(text, pe + 1, s - pe), '[\\s-]+'), false) AS bridge, coalesce(pl = label AND s <= pe, false) AS touch FROM t),
