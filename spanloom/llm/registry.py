@@ -43,5 +43,23 @@ def queries() -> dict[str, Query]:
     }
 
 
+#: Smallest node that links(a, b), both ways, lead to from every one of nodes(node).
+REACH = """reach(node, root) AS (SELECT node, node FROM nodes UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node WHERE r.root < l.b),
+  component AS (SELECT node, min(root) AS root FROM reach GROUP BY node)"""
+
+OP2_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+  s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' '))) END AS g FROM w),
+  x AS (SELECT doc_id, len(g) AS n, unnest(g) AS h FROM s),
+  links AS (SELECT a, b FROM (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) AS total, count(*) AS shared FROM x a JOIN x b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL) WHERE 100 * shared >= 85 * (total - shared)),
+  nodes AS (SELECT doc_id AS node FROM documents), {REACH}
+  SELECT doc_id, len(g) AS n_shingles, root AS component_id, doc_id = root AS kept FROM s JOIN component ON doc_id = node"""
+
+OP7_SQL = f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+  good AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(e, lambda c: c <> 0)) > 0),
+  links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+  nodes AS (SELECT vec_id AS node FROM embeddings), {REACH}
+  SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, root AS component_id, vec_id = root AS kept FROM v JOIN component ON vec_id = node"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op12_exact_duplicates": OP12_SQL}
+    return {"op2_near_duplicates": OP2_SQL, "op7_vector_duplicates": OP7_SQL, "op12_exact_duplicates": OP12_SQL}
