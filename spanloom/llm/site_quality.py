@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import byte_slices, stored, table
@@ -102,8 +102,8 @@ def posteriors(sums: DataFrame, levels: tuple[str, ...], bad: str) -> DataFrame:
     that level differ beyond what their sizes explain (method of moments); the top level is the whole corpus. Also _k and
     _prior of the last level: the strength and the mean of the prior that theta was shrunk toward.
     """
-    everything = Window.partitionBy()
-    df = sums.withColumn("theta", F.sum(bad).over(everything) / F.greatest(F.sum("n").over(everything), F.lit(1e-9)))
+    overall = sums.agg((F.sum(bad) / F.greatest(F.sum("n"), F.lit(1e-9))).alias("theta"))  # one row
+    df = sums.crossJoin(F.broadcast(overall))
     for k in range(1, len(levels) + 1):
         own = df.groupBy(*levels[:k]).agg(F.sum("n").alias("_n"), F.sum(bad).alias("_b"), F.first("theta").alias("_up"))
         gap = (F.col("_b") / F.greatest(F.col("_n"), F.lit(1e-9)) - F.col("_up")) ** 2
@@ -180,21 +180,26 @@ def site_quality(
     # soft counts in millionths add up to the same numbers in any order
     soft = lambda c: F.sum(F.round(1e6 / (1 + F.exp(-F.col(c)))).cast("long")) / 1e6
     sums = stored(judged.groupBy(*levels).agg(F.count(F.lit(1)).alias("n"), soft("bad").alias("bad"), soft("toxic").alias("toxic")), "site-sums")
-    out = judged
+    # both targets' rates side by side, one row per path, so that documents are joined once
+    rates = None
     for name in ("bad", "toxic"):
-        rates = posteriors(sums.select(*levels, "n", name), levels, name).select(
-            *[F.col(c).alias(f"_{c}") for c in levels], F.col("theta").alias(f"{name}_rate"), "_k", "_prior", F.col("n").alias("_n"), F.col(name).alias("_b")
+        own = posteriors(sums.select(*levels, "n", name), levels, name).select(
+            *[F.col(c).alias(f"_{name}_at_{c}") for c in levels], F.col("theta").alias(f"{name}_rate"), F.col("_k").alias(f"_{name}_k"), F.col("_prior").alias(f"_{name}_prior"), F.col("n").alias(f"_{name}_n"), F.col(name).alias(f"_{name}_b")
         )
-        out = out.join(rates, [out[c].eqNullSafe(rates[f"_{c}"]) for c in levels]).drop(*[f"_{c}" for c in levels])
+        rates = own if rates is None else rates.join(own, [rates[f"_bad_at_{c}"].eqNullSafe(own[f"_toxic_at_{c}"]) for c in levels])
+    out = judged.join(stored(rates, "site-rates"), [F.col(c).eqNullSafe(F.col(f"_bad_at_{c}")) for c in levels])
+    for name in ("bad", "toxic"):
+        k, prior, n, b = (F.col(f"_{name}_{c}") for c in ("k", "prior", "n", "b"))
         total = sums.agg(F.sum(name) / F.greatest(F.sum("n"), F.lit(1))).first()[0]
         # the rate that the other documents of the path give: a document is no evidence about itself
         share = F.round(1e6 / (1 + F.exp(-F.col(name)))) / 1e6
-        others = (F.col("_k") * F.col("_prior") + F.greatest(F.col("_b") - share, F.lit(0.0))) / (F.col("_k") + F.col("_n") - 1)
+        others = (k * prior + F.greatest(b - share, F.lit(0.0))) / (k + n - 1)
         moved = F.col(name) + _logit(others) - _logit(F.lit(float(total or 0.5)))
         out = out.withColumn(f"{name}_posterior", 1 / (1 + F.exp(-moved)))
         cut = models[name].threshold if name in models else float("inf")
-        out = out.withColumn(f"_{name}_cut", moved > F.lit(cut)).drop("_k", "_prior", "_n", "_b")
-    out = out.withColumn("kept", ~(F.col("_bad_cut") | F.col("_toxic_cut"))).drop("_bad_cut", "_toxic_cut")
+        out = out.withColumn(f"_{name}_cut", moved > F.lit(cut))
+    out = out.withColumn("kept", ~(F.col("_bad_cut") | F.col("_toxic_cut")))
+    out = out.select("doc_id", *levels, "bad", "toxic", *[f"{name}_{c}" for name in ("bad", "toxic") for c in ("rate", "posterior")], "kept")
     return out.withColumnsRenamed({"bad": "bad_evidence", "toxic": "toxic_evidence"})
 
 

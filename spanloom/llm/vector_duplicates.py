@@ -187,7 +187,7 @@ def vector_duplicates(
         # one row per list: in how many blocks it lies, and in how many the queries come that visit it
         held = placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
         asked = placed.select(F.explode("visits").alias("list")).groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("asking"))
-        parts = F.broadcast(stored(held.join(asked, "list"), "vector-parts"))
+        parts = stored(held.join(asked, "list"), "vector-parts")
         stay = placed.select("list", F.lit(False).alias("query"), "rep", "m", "x", "code", "left", "visits").join(parts, "list")
         stay = stay.withColumns({"c": F.pmod(h, "blocks").cast("int"), "q": F.explode(F.sequence(F.lit(0), F.col("asking") - 1))})
         come = placed.select(F.explode("visits").alias("list"), F.lit(True).alias("query"), "rep", "m", "x", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("left"), F.array("list").alias("visits"))
