@@ -7,14 +7,14 @@ import hashlib
 import hmac
 import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from spanloom.functions.text import contains_any, find_spans, slice_text
 from spanloom.operators.datasets import greedy_split, ranked_in_order
@@ -55,49 +55,96 @@ def linkage_edges(docs: DataFrame, groups: Sequence[str], key: str = "doc_id") -
     return rows.where("value IS NOT NULL").distinct()
 
 
-def opaque_ids(docs: DataFrame, secret: bytes, prefix: str, parts: Sequence[str], protocol: bytes = b"spanloom-id-v2", name: str = "opaque") -> DataFrame:
-    """Add ``name``: prefix_v2_ and 18 bytes of HMAC-SHA256 over length-framed parts, URL-safe. The key never enters the plan."""
-    head = protocol + len(prefix).to_bytes(4, "big") + prefix.encode("ascii")
+# What stands before the parts of an id, and the purposes that keys and codes are derived for.
+ID_PROTOCOL = b"pii-zh/context-v2/public-id/v1"
+EXTRACT_SALT = b"pii-zh/surrogate/v2/hkdf-extract"
+RELATION_KEY, SPLIT_KEY, LABEL_KEY = b"pii-zh/surrogate/v2/relation-key", b"pii-zh/surrogate/v2/split-key", b"pii-zh/surrogate/v2/label-key"
+RELATION_MAC, SEED = b"pii-zh/surrogate/v2/relation-mac", b"pii-zh/surrogate/v2/seed"
+RELATION_ID_KEY, RELATION_ID = b"pii-zh/surrogate/v2/relation-id-key", b"pii-zh/surrogate/v2/relation-id"
+#: Bytes of an opaque id, and the shortest key.
+ID_BYTES, KEY_BYTES = 18, 32
 
-    @F.pandas_udf("string")
-    def opaque(rows: pd.DataFrame) -> pd.Series:
-        def one(values: tuple) -> str | None:
-            if any(v is None for v in values):
-                return None
-            framed = head + b"".join(len(b := str(v).encode()).to_bytes(8, "big") + b for v in values)
-            return f"{prefix}_v2_" + base64.urlsafe_b64encode(hmac.new(secret, framed, hashlib.sha256).digest()[:18]).rstrip(b"=").decode()
 
-        return pd.Series([one(v) for v in rows.itertuples(index=False)], dtype=object)
+def framed(*parts: bytes) -> bytes:
+    """The parts, each behind its length in eight bytes, so that no two lists of parts look alike."""
+    return b"".join(len(p).to_bytes(8, "big") + p for p in parts)
 
-    return docs.withColumn(name, opaque(F.struct(*[F.col(p).cast("string").alias(p) for p in parts])))
+
+def code(key: bytes, message: bytes) -> bytes:
+    return hmac.new(key, message, hashlib.sha256).digest()
+
+
+def url_name(digest: bytes) -> str:
+    return base64.urlsafe_b64encode(digest).rstrip(b"=").decode()
 
 
-def derived_key(secret: bytes, *context: str, length: int = 32, salt: bytes = b"spanloom-derive") -> bytes:
-    """HKDF-SHA256: extract with ``salt``, expand over length-framed context; each split and purpose has a key of its own."""
-    root = hmac.new(salt, secret, hashlib.sha256).digest()
-    info = b"".join(len(b := c.encode()).to_bytes(4, "big") + b for c in context)
+def expanded(key: bytes, info: bytes, length: int = 32) -> bytes:
+    """HKDF-SHA256's second step: ``length`` bytes from a key for one purpose."""
     out, block, i = b"", b"", 0
     while len(out) < length:
         i += 1
-        block = hmac.new(root, block + info + bytes([i]), hashlib.sha256).digest()
+        block = code(key, block + info + bytes([i]))
         out += block
     return out[:length]
 
 
-def isolated_ids(docs: DataFrame, secret: bytes, split: str = "split", relation: str = "relation", label: str = "label") -> DataFrame:
-    """Add relation_id (one per split and relation, whatever the label) and seed (which the label enters too)."""
-    splits = [r[0] for r in docs.select(split).distinct().collect()]  # one row per split
-    keys = {s: (derived_key(secret, "relation", str(s)), derived_key(secret, "seed", str(s))) for s in splits}
+def opaque_ids(docs: DataFrame, secret: bytes, prefix: str, parts: Sequence[str], protocol: bytes = ID_PROTOCOL, name: str = "opaque") -> DataFrame:
+    """Add ``name``: prefix_v2_ and 18 bytes of HMAC-SHA256 over the framed parts, URL-safe; null if a part is. The key never enters the plan."""
+    head = protocol + len(prefix).to_bytes(4, "big") + prefix.encode("ascii")
+
+    @F.pandas_udf(StringType())
+    def opaque(rows: pd.DataFrame) -> pd.Series:
+        one = lambda values: None if any(v is None for v in values) else f"{prefix}_v2_{url_name(code(secret, head + framed(*(v.encode() for v in values)))[:ID_BYTES])}"
+        return pd.Series([one(v) for v in rows.itertuples(index=False)], dtype=object)
+
+    return docs.withColumn(name, opaque(F.struct(*[F.col(p).cast("string").alias(p) for p in parts])))
+
+
+class Deriver:
+    """Keys of one secret: ids of relations that differ between splits and scopes, seeds that differ between labels as well."""
+
+    def __init__(self, root: bytes) -> None:
+        self.root, self.relation = root, expanded(root, framed(RELATION_KEY))
+        self.of_split, self.of_label = lru_cache(1024)(self._split), lru_cache(4096)(self._label)
+
+    @classmethod
+    def of(cls, secret: bytes) -> Deriver:
+        if len(secret) < KEY_BYTES:
+            raise ValueError(f"a key has {KEY_BYTES} bytes at least")
+        return cls(code(EXTRACT_SALT, secret))
+
+    def __reduce__(self) -> tuple:
+        return Deriver, (self.root,)  # workers get the root key and never the secret
+
+    def _split(self, split: str) -> tuple[bytes, bytes]:
+        key = expanded(self.root, framed(SPLIT_KEY, split.encode()))
+        return key, expanded(key, framed(RELATION_ID_KEY))
+
+    def _label(self, split: str, label: str) -> bytes:
+        return expanded(self.of_split(split)[0], framed(LABEL_KEY, label.encode()))
+
+    def derive(self, split: str | None, label: str | None, scope: str | None, relation: str | None) -> tuple[str | None, bytes | None]:
+        """(relation id, seed); none if a part is missing, empty or has blanks at its ends."""
+        if not relation or any(not p or p != p.strip() for p in (split, label, scope)):
+            return None, None
+        mac = code(self.relation, framed(RELATION_MAC, scope.encode(), relation.encode()))
+        name = code(self.of_split(split)[1], framed(RELATION_ID, scope.encode(), mac))[:ID_BYTES]
+        return f"rel_v2_{url_name(name)}", code(self.of_label(split, label), framed(SEED, scope.encode(), mac))
+
+
+def isolated_ids(docs: DataFrame, secret: bytes, split: str = "split", relation: str = "relation", label: str = "label", scope: str = "scope") -> DataFrame:
+    """Add relation_id (one per split, scope and relation, whatever the label) and seed (32 bytes, which the label enters too).
+
+    Keys of splits and labels are derived where they are met, so nothing is collected first.
+    """
+    keys = Deriver.of(secret)
 
-    @F.pandas_udf("struct<relation_id:string,seed:string>")
+    @F.pandas_udf(StructType([StructField("relation_id", StringType()), StructField("seed", BinaryType())]))
     def derive(rows: pd.DataFrame) -> pd.DataFrame:
-        pairs = []
-        for s, r, v in rows.itertuples(index=False):
-            by_relation, by_label = keys[s]
-            pairs.append((hmac.new(by_relation, str(r).encode(), hashlib.sha256).hexdigest(), hmac.new(by_label, f"{v}\0{r}".encode(), hashlib.sha256).hexdigest()))
-        return pd.DataFrame(pairs, columns=["relation_id", "seed"])
+        return pd.DataFrame([keys.derive(s, v, w, r) for s, v, w, r in rows.itertuples(index=False)], columns=["relation_id", "seed"])
 
-    return docs.withColumn("_d", derive(F.struct(split, F.col(relation).cast("string"), label))).select(*docs.columns, "_d.relation_id", "_d.seed")
+    given = F.struct(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate((split, label, scope, relation))])
+    return docs.withColumn("_d", derive(given)).select(*docs.columns, "_d.relation_id", "_d.seed")
 
 
 # splits --------------------------------------------------------------------------------------------------------------

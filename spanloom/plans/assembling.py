@@ -53,14 +53,48 @@ def i10_linkage(spark: SparkSession, d: str) -> DataFrame:
     return Y.linkage_edges(rows, ["tenant"]).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("values"))
 
 
+#: A key of the tests' own; real ones stay with the driver.
+KEY = b"secret of the driver, thirty-two bytes or more"
+
+
 def i12_opaque_ids(spark: SparkSession, d: str) -> DataFrame:
-    return Y.opaque_ids(_made(spark, d), b"secret of the driver", "grp", ["c_mktsegment", "k"]).select("k", "opaque")
+    return Y.opaque_ids(_made(spark, d), KEY, "grp", ["c_mktsegment", "k"]).select("k", "opaque")
+
+
+def _relations(spark: SparkSession, d: str) -> DataFrame:
+    rows = _made(spark, d, split="if(k % 4 = 0, 'test', 'train')", relation="if(k % 17 = 0, '', concat('r', k % 10))", label="if(k % 3 = 0, 'A', 'B')", scope="c_mktsegment")
+    return Y.isolated_ids(rows, KEY)
 
 
 def i13_isolated_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct relation ids and seeds per split: a relation has one id per split, and a seed per label."""
-    rows = _made(spark, d, split="if(k % 4 = 0, 'test', 'train')", relation="k % 10", label="if(k % 3 = 0, 'A', 'B')")
-    return Y.isolated_ids(rows, b"secret of the driver").groupBy("split").agg(F.count_distinct("relation_id").alias("relations"), F.count_distinct("seed").alias("seeds"))
+    """Distinct relation ids and seeds per split: a relation has one id per split and scope, and a seed per label."""
+    return _relations(spark, d).groupBy("split").agg(F.count_distinct("relation_id").alias("relations"), F.count_distinct("seed").alias("seeds"))
+
+
+def i13_relation_ids(spark: SparkSession, d: str) -> DataFrame:
+    return _relations(spark, d).select("k", "relation_id", F.lower(F.hex("seed")).alias("seed"))
+
+
+def _code_sql(key: bytes, message: str) -> str:
+    """HMAC-SHA256 of a blob as hex, from two hashes behind the padded key."""
+    inner, outer = (bytes(b ^ x for b in key.ljust(64, b"\0")).hex() for x in (0x36, 0x5C))
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || {message})))"
+
+
+def _framed_sql(*parts: str) -> str:
+    return " || ".join(f"unhex(lpad(hex(octet_length({p})), 16, '0')) || {p}" for p in parts)
+
+
+def _relations_sql() -> str:
+    keys = Y.Deriver.of(KEY)
+    blob = lambda b: f"unhex('{b.hex()}')"
+    mac = _code_sql(keys.relation, _framed_sql(blob(Y.RELATION_MAC), "encode(scope)", "encode(relation)"))
+    name = lambda s: _code_sql(keys.of_split(s)[1], _framed_sql(blob(Y.RELATION_ID), "encode(scope)", "unhex(mac)"))
+    seed = lambda s, v: _code_sql(keys.of_label(s, v), _framed_sql(blob(Y.SEED), "encode(scope)", "unhex(mac)"))
+    seeds = " ".join(f"WHEN split = '{s}' AND label = '{v}' THEN {seed(s, v)}" for s in ("test", "train") for v in "AB")
+    return f"""WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN 'test' ELSE 'train' END AS split, 'r' || c_custkey % 10 AS relation, c_custkey % 17 = 0 AS none, CASE WHEN c_custkey % 3 = 0 THEN 'A' ELSE 'B' END AS label, c_mktsegment AS scope FROM customer),
+  m AS (SELECT *, {mac} AS mac FROM c), r AS (SELECT *, CASE WHEN split = 'test' THEN {name('test')} ELSE {name('train')} END AS name, CASE {seeds} END AS seed_ FROM m)
+  SELECT k, CASE WHEN NOT none THEN 'rel_v2_' || translate(to_base64(unhex(substr(name, 1, 36))), '+/', '-_') END AS relation_id, CASE WHEN NOT none THEN seed_ END AS seed FROM r"""
 
 
 def _group_sizes(items: DataFrame) -> DataFrame:
@@ -244,9 +278,10 @@ ALL = {
     "i10_linkage": (i10_linkage, """WITH c AS (SELECT c_custkey AS k, 's' || c_custkey % 3 AS src, c_mktsegment AS dom FROM customer),
   e AS (SELECT k, 'record' AS kind, src || chr(0) || k AS value FROM c UNION ALL SELECT k, 'exact_placeholder', sha256(dom) FROM c UNION ALL SELECT k, 'tenant', 't' || k % 7 FROM c WHERE k % 2 = 0
     UNION ALL SELECT k, 'relation:' || src || ':' || dom, 'r' || k % 5 FROM c) SELECT kind, count(*) AS n, count(DISTINCT value) AS values FROM e GROUP BY kind"""),
-    "i12_opaque_ids": (i12_opaque_ids, None),
-    "i13_isolated_ids": (i13_isolated_ids, """WITH c AS (SELECT CASE WHEN c_custkey % 4 = 0 THEN 'test' ELSE 'train' END AS split, c_custkey % 10 AS r, c_custkey % 3 = 0 AS l FROM customer)
-  SELECT split, count(DISTINCT r) AS relations, count(DISTINCT (r, l)) AS seeds FROM c GROUP BY split"""),
+    "i12_opaque_ids": (i12_opaque_ids, "SELECT c_custkey AS k, 'grp_v2_' || translate(to_base64(unhex(substr(" + _code_sql(KEY, "unhex('" + (Y.ID_PROTOCOL + (3).to_bytes(4, "big") + b"grp").hex() + "') || " + _framed_sql("encode(c_mktsegment)", "encode(c_custkey::VARCHAR)")) + ", 1, 36))), '+/', '-_') AS opaque FROM customer"),
+    "i13_isolated_ids": (i13_isolated_ids, """WITH c AS (SELECT CASE WHEN c_custkey % 4 = 0 THEN 'test' ELSE 'train' END AS split, c_custkey % 10 AS r, c_custkey % 3 = 0 AS l, c_mktsegment AS s FROM customer WHERE c_custkey % 17 > 0)
+  SELECT split, count(DISTINCT (r, s)) AS relations, count(DISTINCT (r, s, l)) AS seeds FROM c GROUP BY split"""),
+    "i13_relation_ids": (i13_relation_ids, _relations_sql()),
     "i14_near_duplicate_groups": (i14_near_duplicate_groups, GROUPS_SQL),
     "i14_document_groups": (i14_document_groups, None),
     "i15_closure": (i15_closure, """WITH m AS (SELECT c_custkey % 40 AS g, CASE WHEN c_custkey % 20 = 3 THEN 'validation' WHEN c_custkey % 40 = 7 OR c_custkey % 80 = 9 THEN 'test' ELSE 'train' END AS split FROM customer),

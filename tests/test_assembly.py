@@ -106,8 +106,29 @@ def test_opaque_ids(spark):
     import base64
 
     assert got[0].opaque == "grp_v2_" + base64.urlsafe_b64encode(digest).decode() and got[1].opaque is None
-    one = hmac.new(hmac.new(b"salt", b"k", hashlib.sha256).digest(), (1).to_bytes(4, "big") + b"c" + b"\1", hashlib.sha256).digest()
-    assert Y.derived_key(b"k", "c", salt=b"salt") == one and Y.derived_key(b"k", "c", length=40, salt=b"salt")[:32] == one
+    assert Y.expanded(b"k", b"c") == hmac.new(b"k", b"c\1", hashlib.sha256).digest() and Y.expanded(b"k", b"c", 40)[:32] == Y.expanded(b"k", b"c")
+    with pytest.raises(ValueError, match="32 bytes"):
+        Y.Deriver.of(b"short")
+
+
+def test_isolated_ids(spark):
+    """One id per split, scope and relation whatever the label; seeds differ between labels; broken parts give none."""
+    rows = [("train", "a", "L", "s"), ("train", "a", "M", "s"), ("test", "a", "L", "s"), ("train", "a", "L", "t"), ("train", "", "L", "s"), ("train", None, "L", "s"), (" train", "a", "L", "s"), ("train", "a", None, "s")]
+    key = b"k" * 32
+    got = Y.isolated_ids(spark.createDataFrame(rows, "split string, relation string, label string, scope string"), key).collect()
+    ids, seeds = [r.relation_id for r in got], [r.seed for r in got]
+    assert ids[0] == ids[1] and len(set(ids[:4])) == 3 and len(set(seeds[:4])) == 4 and ids[4:] == seeds[4:] == [None] * 4
+    frame = lambda *ps: b"".join(len(p).to_bytes(8, "big") + p for p in ps)
+    mac = lambda k, m: hmac.new(k, m, hashlib.sha256).digest()
+    domain = lambda name: b"pii-zh/surrogate/v2/" + name
+    root = mac(domain(b"hkdf-extract"), key)
+    split = mac(root, frame(domain(b"split-key"), b"train") + b"\1")
+    relation = mac(mac(root, frame(domain(b"relation-key")) + b"\1"), frame(domain(b"relation-mac"), b"s", b"a"))
+    assert seeds[0] == mac(mac(split, frame(domain(b"label-key"), b"L") + b"\1"), frame(domain(b"seed"), b"s", relation))
+    import base64
+
+    name = mac(mac(split, frame(domain(b"relation-id-key")) + b"\1"), frame(domain(b"relation-id"), b"s", relation))[:18]
+    assert ids[0] == "rel_v2_" + base64.urlsafe_b64encode(name).decode()
 
 
 def test_guards(spark):
