@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BOUNDARY = re.compile(r"[\n。！？!?；;\t]")
+# Marks after which a window may end.
+BOUNDARY = "\n。！？!?；;\t"
 SCHEMA = "doc_id string, window_id int, start int, end int, owner_start int, owner_end int, token_start int, token_end int"
+_MARKS = np.array([ord(c) for c in BOUNDARY], np.uint32)
+_SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
 
 
-def plan_windows(n: int, breaks: set[int], size: int, least: float, share: float) -> list[tuple[int, int]]:
-    """Token ranges of at most ``size``, ended at the last break from ``least`` of it on, next ones starting ``share`` before the end."""
+def plan_windows(n: int, breaks: np.ndarray, size: int, least: float, share: float) -> list[tuple[int, int]]:
+    """Token ranges of at most ``size``, ended at the last of the rising ``breaks`` from ``least`` of it on, next ones starting ``share`` before the end."""
     out, first = [], 0
     while first < n:
         end = min(first + size, n)
         if end < n:
-            early = first + max(1, int(size * least))
-            end = max((b for b in range(early, end + 1) if b in breaks), default=end)
+            early, k = first + max(1, int(size * least)), int(np.searchsorted(breaks, end, "right"))
+            end = int(breaks[k - 1]) if k and breaks[k - 1] >= early else end
         out.append((first, end))
         if end == n:
             break
@@ -28,6 +31,20 @@ def plan_windows(n: int, breaks: set[int], size: int, least: float, share: float
     return out
 
 
+def word_places(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and the rising token counts after which a mark stands before the next word, in code points."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    edge = np.diff(np.concatenate([[0], ~np.isin(codes, _SPACES), [0]]).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    marks = np.flatnonzero(np.isin(codes, _MARKS)) + 1
+    if not len(starts) or not len(marks):
+        return starts, ends, np.zeros(0, np.int64)
+    after = np.concatenate([starts[1:], ends[-1:]])
+    at = np.searchsorted(marks, ends)
+    met = (at < len(marks)) & (marks[np.minimum(at, len(marks) - 1)] <= after)
+    return starts, ends, np.flatnonzero(met) + 1
+
+
 def token_windows(docs: DataFrame, size: int, least: float = 0.6, share: float = 0.25, text: str = "text") -> DataFrame:
     """Windows of up to ``size`` word tokens, cut at a structural mark where one lies late enough.
 
@@ -35,27 +52,23 @@ def token_windows(docs: DataFrame, size: int, least: float = 0.6, share: float =
     ``share`` of the earlier one, and own the text up to the middle of the overlap. Blank and null texts have none.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc_id, t in zip(pdf["doc_id"], pdf["text"], strict=True):
-                places = [m.span() for m in re.finditer(r"\S+", t or "")]
-                if not places:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        for batch in batches:
+            ids, parts = [], [np.zeros((0, 7), np.int64)]
+            for doc_id, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                starts, ends, breaks = word_places(t or "")
+                if not len(starts):
                     continue
-                marks = [m.end() for m in BOUNDARY.finditer(t)]
-                breaks, k = set(), 0
-                for i, (_, end) in enumerate(places, 1):
-                    after = places[i][0] if i < len(places) else end
-                    while k < len(marks) and marks[k] < end:
-                        k += 1
-                    if k < len(marks) and marks[k] <= after:
-                        breaks.add(i)
-                ranges = plan_windows(len(places), breaks, size, least, share)
-                spans = [(0 if i == 0 else places[a][0], len(t) if i == len(ranges) - 1 else places[b - 1][1]) for i, (a, b) in enumerate(ranges)]
-                middle = [b[0] if b[0] >= a[1] else (a[1] + b[0]) // 2 for a, b in zip(spans, spans[1:], strict=False)]
-                owners = list(zip([spans[0][0], *middle], [*middle, spans[-1][1]], strict=True))
-                rows += [(doc_id, i, *spans[i], *owners[i], *ranges[i]) for i in range(len(ranges))]
-            yield pd.DataFrame(rows, columns=["doc_id", "window_id", "start", "end", "owner_start", "owner_end", "token_start", "token_end"])
+                ranges = np.array(plan_windows(len(starts), breaks, size, least, share))
+                start, end = starts[ranges[:, 0]], ends[ranges[:, 1] - 1]
+                start[0], end[-1] = 0, len(t)
+                middle = np.where(start[1:] >= end[:-1], start[1:], (end[:-1] + start[1:]) // 2)
+                owners = np.concatenate([[0], middle]), np.concatenate([middle, [len(t)]])
+                parts.append(np.stack([np.arange(len(ranges)), start, end, *owners, ranges[:, 0], ranges[:, 1]], 1))
+                ids += [doc_id] * len(ranges)
+            rows = np.concatenate(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), *[pa.array(rows[:, i], pa.int32()) for i in range(7)]], names)
 
     source = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return source.mapInPandas(cut, SCHEMA)
+    return source.mapInArrow(cut, SCHEMA)

@@ -138,3 +138,39 @@ def test_tokens_cover_the_text(spark):
     for r in rows:
         assert "".join(r.text[a:e] for a, e in r.offsets) == r.text and all(a < e for a, e in r.offsets) and r.text_length == len(r.text)
         assert [r.text[a:e].strip() for a, e in r.offsets if r.text[a:e].strip()] == r.text.split()
+
+
+def test_chunks_against_a_plain_walk(spark):
+    """Windows at structural marks, token by token in plain Python, over odd white space and characters beyond the BMP."""
+    import re
+
+    from spanloom.operators.windows import token_windows
+
+    r = random.Random(1)
+    letters = [*"ab. \n\t。！?;；　\x85x𝒳", *["word ", "long "] * 3]
+    docs = [(i, "".join(r.choice(letters) for _ in range(r.randrange(200)))) for i in range(300)] + [(900, None), (901, ""), (902, "  \n")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for size in (3, 8, 20):
+        want = []
+        for i, t in docs:
+            words = [m.span() for m in re.finditer(r"\S+", t or "")]
+            if not words:
+                continue
+            ends_at = {m.end() for m in re.finditer(r"[\n。！？!?；;\t]", t)}
+            stops = [k for k, (_, e) in enumerate(words, 1) if any(e <= x <= (words[k][0] if k < len(words) else e) for x in ends_at)]
+            spans, first = [], 0
+            while True:
+                last = min(first + size, len(words))
+                if last < len(words):
+                    last = max((k for k in stops if first + max(1, int(size * 0.6)) <= k <= last), default=last)
+                spans.append((first, last))
+                if last == len(words):
+                    break
+                first = last - min(max(1, round((last - first) * 0.25)), last - first - 1)
+            text = [(words[a][0], words[b - 1][1]) for a, b in spans]
+            text[0], text[-1] = (0, text[0][1]), (text[-1][0], len(t))
+            if len(text) == 1:
+                text = [(0, len(t))]
+            cuts = [0, *(b[0] if b[0] >= a[1] else (a[1] + b[0]) // 2 for a, b in zip(text, text[1:], strict=False)), len(t)]
+            want += [(str(i), k, *text[k], cuts[k], cuts[k + 1], *spans[k]) for k in range(len(spans))]
+        assert sorted(tuple(x) for x in token_windows(df, size).collect()) == sorted(want)
