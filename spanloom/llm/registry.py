@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from spanloom.llm.conversation_repair import op11_conversation_repair
+from spanloom.llm.conversation_repair_sql import repair_sql
 from spanloom.llm.exact_duplicates import OP12_SQL, op12_exact_duplicates
 from spanloom.llm.lm_scoring import op4_lm_scores
 from spanloom.llm.mixing import op1_mix
@@ -62,4 +63,4 @@ OP7_SQL = f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_duplicates": OP2_SQL, "op7_vector_duplicates": OP7_SQL, "op12_exact_duplicates": OP12_SQL}
+    return {"op2_near_duplicates": OP2_SQL, "op7_vector_duplicates": OP7_SQL, "op11_conversation_repair": repair_sql(), "op12_exact_duplicates": OP12_SQL}

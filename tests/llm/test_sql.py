@@ -11,7 +11,7 @@ from tests.test_oracles import rows
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_matches_sql(name, spark):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = registry.queries()[name](spark, SF)
     theirs = con.execute(registry.oracle_sql()[name])
