@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +16,9 @@ _MARKS = np.array([ord(c) for c in BOUNDARY], np.uint32)
 _SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
 
 
-def plan_windows(n: int, breaks: np.ndarray, size: int, least: float, share: float) -> list[tuple[int, int]]:
-    """Token ranges of at most ``size``, ended at the last of the rising ``breaks`` from ``least`` of it on, next ones starting ``share`` before the end."""
-    out, first = [], 0
+def plan_windows(n: int, breaks: Iterable[int], size: int, least: float, share: float) -> list[tuple[int, int]]:
+    """Token ranges of at most ``size``, ended at the last of the ``breaks`` from ``least`` of it on, next ones starting ``share`` before the end."""
+    breaks, out, first = np.array(sorted(breaks), np.int64), [], 0
     while first < n:
         end = min(first + size, n)
         if end < n:

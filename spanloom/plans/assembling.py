@@ -47,10 +47,15 @@ def i9_placeholder_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return _made(spark, d).select("k", Y.placeholder_fingerprint(F.concat("c_name", F.lit("  ＡＢ  ß "), F.col("c_mktsegment")), edits).alias("fingerprint"))
 
 
-def i10_linkage(spark: SparkSession, d: str) -> DataFrame:
+def i10_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Every edge from a document to what links it: its record, its placeholders, its tenant, its relations."""
     rows = _made(spark, d, source_id="concat('s', k % 3)", domain="c_mktsegment", tenant="if(k % 2 = 0, concat('t', k % 7), null)", fingerprint="sha2(c_mktsegment, 256)")
     rows = rows.select(F.col("k").alias("doc_id"), "*").withColumn("relations", F.array(F.concat(F.lit("r"), (F.col("k") % 5).cast("string"))))
-    return Y.linkage_edges(rows, ["tenant"]).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("values"))
+    return Y.linkage_edges(rows, ["tenant"])
+
+
+def i10_linkage(spark: SparkSession, d: str) -> DataFrame:
+    return i10_edges(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("values"))
 
 
 #: A key of the tests' own; real ones stay with the driver.
@@ -270,14 +275,16 @@ GROUPS_SQL = (U.GRAMS_SQL.split("SELECT a, b, shared")[0].replace("WITH docs", "
   links AS (SELECT a, b FROM pairs WHERE shared >= 0.75 * (na + nb - shared) UNION SELECT rep, doc_id FROM sets JOIN reps ON sets.g = reps.g WHERE doc_id <> rep), both_ AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
   reach AS (SELECT DISTINCT doc_id AS node, doc_id AS root FROM docs UNION SELECT both_.b, reach.root FROM reach JOIN both_ ON both_.a = reach.node WHERE reach.root < both_.b)
   SELECT size, count(*) AS n_groups FROM (SELECT root, count(*) AS size FROM (SELECT node, min(root) AS root FROM reach GROUP BY node) GROUP BY root) GROUP BY size""")
+LINKS_SQL = """WITH c AS (SELECT c_custkey AS k, 's' || c_custkey % 3 AS src, c_mktsegment AS dom FROM customer),
+  e AS (SELECT k, 'record' AS kind, src || chr(0) || k AS value FROM c UNION ALL SELECT k, 'exact_placeholder', sha256(dom) FROM c UNION ALL SELECT k, 'tenant', 't' || k % 7 FROM c WHERE k % 2 = 0
+    UNION ALL SELECT k, 'relation:' || src || ':' || dom, 'r' || k % 5 FROM c)"""
 ALL = {
     "f3_global_offsets": (f3_global_offsets, "WITH " + X.PRED_SQL + ' SELECT doc_id, s AS "start", e AS "end", label FROM pred'),
     "i5_coverage_split": (i5_coverage_split, None),
     "i7_balanced_split": (i7_balanced_split, None),
     "i9_placeholder_fingerprints": (i9_placeholder_fingerprints, "SELECT c_custkey AS k, sha256('<pii:a>' || substr(c_name, 9, 1) || '<pii:b>' || substr(c_name, 14) || ' ab ss ' || lower(c_mktsegment)) AS fingerprint FROM customer"),
-    "i10_linkage": (i10_linkage, """WITH c AS (SELECT c_custkey AS k, 's' || c_custkey % 3 AS src, c_mktsegment AS dom FROM customer),
-  e AS (SELECT k, 'record' AS kind, src || chr(0) || k AS value FROM c UNION ALL SELECT k, 'exact_placeholder', sha256(dom) FROM c UNION ALL SELECT k, 'tenant', 't' || k % 7 FROM c WHERE k % 2 = 0
-    UNION ALL SELECT k, 'relation:' || src || ':' || dom, 'r' || k % 5 FROM c) SELECT kind, count(*) AS n, count(DISTINCT value) AS values FROM e GROUP BY kind"""),
+    "i10_edges": (i10_edges, LINKS_SQL + " SELECT DISTINCT k AS doc_id, kind, value FROM e"),
+    "i10_linkage": (i10_linkage, LINKS_SQL + " SELECT kind, count(*) AS n, count(DISTINCT value) AS values FROM e GROUP BY kind"),
     "i12_opaque_ids": (i12_opaque_ids, "SELECT c_custkey AS k, 'grp_v2_' || translate(to_base64(unhex(substr(" + _code_sql(KEY, "unhex('" + (Y.ID_PROTOCOL + (3).to_bytes(4, "big") + b"grp").hex() + "') || " + _framed_sql("encode(c_mktsegment)", "encode(c_custkey::VARCHAR)")) + ", 1, 36))), '+/', '-_') AS opaque FROM customer"),
     "i13_isolated_ids": (i13_isolated_ids, """WITH c AS (SELECT CASE WHEN c_custkey % 4 = 0 THEN 'test' ELSE 'train' END AS split, c_custkey % 10 AS r, c_custkey % 3 = 0 AS l, c_mktsegment AS s FROM customer WHERE c_custkey % 17 > 0)
   SELECT split, count(DISTINCT (r, s)) AS relations, count(DISTINCT (r, s, l)) AS seeds FROM c GROUP BY split"""),
