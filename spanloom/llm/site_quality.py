@@ -102,8 +102,8 @@ def posteriors(sums: DataFrame, levels: tuple[str, ...], bad: str) -> DataFrame:
     that level differ beyond what their sizes explain (method of moments); the top level is the whole corpus. Also _k and
     _prior of the last level: the strength and the mean of the prior that theta was shrunk toward.
     """
-    overall = sums.agg((F.sum(bad) / F.greatest(F.sum("n"), F.lit(1e-9))).alias("theta"))  # one row
-    df = sums.crossJoin(F.broadcast(overall))
+    overall = sums.agg(F.sum(bad) / F.greatest(F.sum("n"), F.lit(1e-9))).first()[0]  # one number
+    df = sums.withColumn("theta", F.lit(overall).cast("double"))
     for k in range(1, len(levels) + 1):
         own = df.groupBy(*levels[:k]).agg(F.sum("n").alias("_n"), F.sum(bad).alias("_b"), F.first("theta").alias("_up"))
         gap = (F.col("_b") / F.greatest(F.col("_n"), F.lit(1e-9)) - F.col("_up")) ** 2
@@ -114,9 +114,8 @@ def posteriors(sums: DataFrame, levels: tuple[str, ...], bad: str) -> DataFrame:
         # seen = noise + n * variance between groups; strength = own variance / variance between - 1
         between = F.greatest((F.col("seen") - F.col("noise")) / F.greatest(F.col("n"), F.lit(1)), F.lit(1e-9))
         mean_chance = F.col("own") / F.greatest(F.col("n"), F.lit(1))
-        strength = spread.select(F.greatest(F.lit(2.0), F.least(F.lit(1e4), mean_chance / between - 1)).alias("_k"))
-        own = own.crossJoin(F.broadcast(strength))  # one row
-        own = own.withColumn("_theta", (F.col("_k") * F.col("_up") + F.col("_b")) / (F.col("_k") + F.col("_n")))
+        strength = spread.select(F.greatest(F.lit(2.0), F.least(F.lit(1e4), mean_chance / between - 1))).first()[0]  # one number
+        own = own.withColumn("_k", F.lit(strength).cast("double")).withColumn("_theta", (F.col("_k") * F.col("_up") + F.col("_b")) / (F.col("_k") + F.col("_n")))
         keys = [own[c].alias(f"_{c}") for c in levels[:k]]
         own = own.select(*keys, "_theta", F.col("_k").alias("_strength"), F.col("_up").alias("_toward"))
         on = [df[c].eqNullSafe(own[f"_{c}"]) for c in levels[:k]]
