@@ -462,12 +462,12 @@ def cycled_templates(spark: SparkSession, templates: Sequence[str], n: int, seed
     return rows.select((F.col("cycle") * k + place).alias("serial"), "template").where(F.col("serial") < n)
 
 
-def reserved_values(spark: SparkSession, n: int, modulus: int, step: int, offset: int) -> DataFrame:
-    """Unique values per serial from names that are reserved for examples: mails, IPv6 and MAC addresses, numbers of unused regions."""
-    v = F.pmod(F.col("id") * step + offset, F.lit(modulus))
+def reserved_values(rows: DataFrame, modulus: int, step: int, offset: int) -> DataFrame:
+    """Per serial of ``rows`` unique values from names that are reserved for examples: mails, IPv6 and MAC addresses, numbers of unused regions."""
+    v = F.pmod(F.col("serial") * step + offset, F.lit(modulus))
     hexed = lambda shift, digits: F.lower(F.lpad(F.hex(F.pmod(F.floor(v / shift), F.lit(16**digits)).cast("long")), digits, "0"))
-    return spark.range(n).select(
-        F.col("id").alias("serial"), F.concat(F.lit("user"), v.cast("string"), F.lit("@example.invalid")).alias("mail"),
+    return rows.select(
+        "serial", F.concat(F.lit("user"), v.cast("string"), F.lit("@example.invalid")).alias("mail"),
         F.concat(F.lit("2001:db8::"), hexed(1 << 16, 4), F.lit(":"), hexed(1, 4)).alias("ipv6"),
         F.concat(F.lit("02:00:00:"), hexed(1 << 16, 2), F.lit(":"), hexed(1 << 8, 2), F.lit(":"), hexed(1, 2)).alias("mac"),
         F.concat(F.lit("9900"), F.lpad(v.cast("string"), 8, "0")).alias("number"),

@@ -194,9 +194,9 @@ def profile(spans: DataFrame, docs: DataFrame) -> DataFrame:
     return g.join(labels, "split", "left").na.fill(0, ["n_labels"])
 
 
-def unique_values(spark: SparkSession, n: int, modulus: int, step: int, offset: int) -> DataFrame:
-    """(serial, value): distinct numbers below ``modulus`` for n <= modulus and a step without common factor."""
-    return spark.range(n).select(F.col("id").alias("serial"), F.pmod(F.col("id") * step + offset, F.lit(modulus)).alias("value"))
+def unique_values(rows: DataFrame, modulus: int, step: int, offset: int) -> DataFrame:
+    """rows(serial) to (serial, value): distinct numbers for serials below ``modulus`` and a step without common factor."""
+    return rows.select("serial", F.pmod(F.col("serial") * step + offset, F.lit(modulus)).alias("value"))
 
 
 # Licences.

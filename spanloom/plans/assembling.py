@@ -163,11 +163,15 @@ def i28_render(spark: SparkSession, d: str) -> DataFrame:
 
 
 def i29_reserved_values(spark: SparkSession, d: str) -> DataFrame:
-    return Y.reserved_values(spark, 1000, 99_991, 7_919, 17)
+    """Reserved values of every customer."""
+    return Y.reserved_values(_made(spark, d).select(F.col("k").alias("serial")), 16_777_213, 7_919, 17)
 
 
 def i30_template_cycles(spark: SparkSession, d: str) -> DataFrame:
-    return Y.cycled_templates(spark, ["a", "b", "c", "d", "e"], 103, "42")
+    """The template of every customer, in whole cycles by key."""
+    customers = _made(spark, d).select(F.col("k").alias("serial"))
+    most = customers.agg(F.coalesce(F.max("serial"), F.lit(-1))).first()[0]
+    return Y.cycled_templates(spark, ["a", "b", "c", "d", "e"], most + 1, "42").join(customers, "serial")
 
 
 def i31_surface(spark: SparkSession, d: str) -> DataFrame:
@@ -310,10 +314,10 @@ ALL = {
   SELECT r.at, r.doc_id, r.text FROM w JOIN r USING (i) WHERE ok"""),
     "i28_render": (i28_render, """SELECT c_custkey AS k, 'Dear ' || c_name || ' of ' || lower(c_mktsegment) || ', ' || c_name || '!' AS text, 2::INTEGER AS n, (11 + length(c_name) + length(c_mktsegment))::INTEGER AS "start",
   (11 + 2 * length(c_name) + length(c_mktsegment))::INTEGER AS "end" FROM customer"""),
-    "i29_reserved_values": (i29_reserved_values, """WITH s AS (SELECT serial, (serial * 7919 + 17) % 99991 AS v FROM (SELECT unnest(range(1000)) AS serial)), h AS (SELECT *, lpad(lower(hex(v // 65536)), 4, '0') AS hi, lpad(lower(hex(v % 65536)), 4, '0') AS lo, lpad(lower(hex(v)), 6, '0') AS six FROM s)
+    "i29_reserved_values": (i29_reserved_values, """WITH s AS (SELECT c_custkey AS serial, (c_custkey * 7919 + 17) % 16777213 AS v FROM customer), h AS (SELECT *, lpad(lower(hex(v // 65536)), 4, '0') AS hi, lpad(lower(hex(v % 65536)), 4, '0') AS lo, lpad(lower(hex(v)), 6, '0') AS six FROM s)
   SELECT serial, 'user' || v || '@example.invalid' AS mail, '2001:db8::' || hi || ':' || lo AS ipv6, '02:00:00:' || six[1:2] || ':' || six[3:4] || ':' || six[5:6] AS mac, '9900' || lpad(v::VARCHAR, 8, '0') AS number FROM h"""),
-    "i30_template_cycles": (i30_template_cycles, """WITH r AS (SELECT c AS cycle, t AS template FROM (SELECT unnest(range(21)) AS c), (SELECT unnest(['a', 'b', 'c', 'd', 'e']) AS t)),
-  p AS (SELECT cycle * 5 + row_number() OVER (PARTITION BY cycle ORDER BY sha256('42:' || cycle || ':' || template), template) - 1 AS serial, template FROM r) SELECT serial, template FROM p WHERE serial < 103"""),
+    "i30_template_cycles": (i30_template_cycles, """WITH r AS (SELECT c AS cycle, t AS template FROM (SELECT unnest(range((SELECT max(c_custkey) // 5 + 1 FROM customer))) AS c), (SELECT unnest(['a', 'b', 'c', 'd', 'e']) AS t)),
+  p AS (SELECT cycle * 5 + row_number() OVER (PARTITION BY cycle ORDER BY sha256('42:' || cycle || ':' || template), template) - 1 AS serial, template FROM r) SELECT serial, template FROM p WHERE serial IN (SELECT c_custkey FROM customer)"""),
     "i31_surface": (i31_surface, """WITH v AS (SELECT 'v' || c_custkey % 100 || CASE WHEN c_custkey % 50 = 1 THEN ' 虚构' ELSE '' END AS v FROM customer)
   SELECT (SELECT count(*) FROM customer WHERE c_custkey % 9 = 0) AS texts, (SELECT count(*) FROM customer WHERE c_custkey % 50 = 1) AS values, (SELECT count(*) FROM (SELECT v FROM v GROUP BY v HAVING count(*) > 1)) AS repeated"""),
     "i34_disjointness": (i34_disjointness, """WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN 'validation' ELSE 'train' END AS split FROM customer),

@@ -142,8 +142,8 @@ def i36_length_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def i29_unique_values(spark: SparkSession, d: str) -> DataFrame:
-    n = 1000
-    return D.unique_values(spark, n, 99_991, 7_919, 17)
+    """A number of its own for every customer."""
+    return D.unique_values(X.read(spark, d, "customer").select(F.col("c_custkey").alias("serial")), 16_777_213, 7_919, 17)
 
 
 def i41_corpus_overlap(spark: SparkSession, d: str) -> DataFrame:
@@ -207,7 +207,7 @@ ALL = {
     "i22_duplicate_groups": (i22_duplicate_groups, f"""WITH g AS (SELECT sha256({FLAT}) AS v, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1)
   SELECT count(*) AS n_groups, coalesce(sum(n), 0)::BIGINT AS n_rows, coalesce(max(n), 0) AS largest FROM g"""),
     "i23_template_keys": (i23_template_keys, "WITH g AS (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1) SELECT count(*) AS n_groups, sum(n)::BIGINT AS n_rows, max(n) AS largest FROM g"),
-    "i29_unique_values": (i29_unique_values, "SELECT serial, (serial * 7919 + 17) % 99991 AS value FROM (SELECT unnest(range(1000)) AS serial)"),
+    "i29_unique_values": (i29_unique_values, "SELECT c_custkey AS serial, (c_custkey * 7919 + 17) % 16777213 AS value FROM customer"),
     "i32_class_weights": (i32_class_weights, f"WITH {X.GOLD_SQL}, n AS (SELECT label, count(*) AS n FROM gold GROUP BY 1) SELECT label, least(sqrt((SELECT sum(n) FROM n)::DOUBLE / n), 5.0::DOUBLE) AS weight FROM n"),
     "i33_document_weights": (i33_document_weights, f"""WITH {X.GOLD_SQL}, p AS (SELECT DISTINCT doc_id, label FROM gold), df AS (SELECT label, count(*) AS df FROM p GROUP BY 1),
   r AS (SELECT doc_id, least(max(sqrt((SELECT count(DISTINCT doc_id) FROM p)::DOUBLE / df)), 5.0::DOUBLE) AS raw FROM p JOIN df USING (label) GROUP BY 1) SELECT doc_id, round(raw / (SELECT avg(raw) FROM r), 9) AS weight FROM r"""),
