@@ -347,10 +347,10 @@ def e12_url_augmentation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def e14_rebuild(spark: SparkSession, d: str) -> DataFrame:
-    """Card numbers and addresses replaced by values of the same shape, with the spans' new offsets."""
+    """Card numbers and addresses replaced by values of the same shape, with the spans' new offsets; of spans that overlap, what they share stays, as in the SQL."""
     docs = _documents(spark, d).select("doc_id", "text", R.candidates(F.col("text"), labels=LABELS).alias("c")).where(F.size("c") > 0)
     edits = F.transform("c", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), F.concat(F.lit("["), s["label"], F.lit("]")).alias("value")))
-    out = docs.select("doc_id", S.rebuild(F.col("text"), edits).alias("r"))
+    out = docs.select("doc_id", S.rebuild(F.col("text"), edits, shared=True).alias("r"))
     return out.select("doc_id", F.sha2("r.text", 256).alias("text_hash"), F.size("r.spans").cast("long").alias("n"), F.element_at("r.spans", -1)["end"].cast("long").alias("last_end"))
 
 
