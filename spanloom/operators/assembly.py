@@ -373,19 +373,21 @@ def low_density_packs(docs: DataFrame, seed: str, store: Store, least: int = 128
 
 
 def combine(parts: DataFrame, connector: str = "\n") -> DataFrame:
-    """parts(pack, position, text, spans array<start,end,label>) -> pack, text, spans at their new offsets, n_parts."""
-    one = F.struct("position", F.coalesce("text", F.lit("")).alias("text"), F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"))).alias("spans"))
-    rows = parts.groupBy("pack").agg(F.array_sort(F.collect_list(one)).alias("p"))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,label:string>>)")
-
-    def step(acc: Column, p: Column) -> Column:
-        lead = F.concat(acc["out"], F.when(p["position"] > 0, F.lit(connector)).otherwise(F.lit("")))
-        at = F.char_length(lead)
-        moved = F.transform(F.coalesce(p["spans"], none), lambda s: F.struct((s["start"] + at).cast("int").alias("start"), (s["end"] + at).cast("int").alias("end"), s["label"].alias("label")))
-        return F.struct(F.concat(lead, p["text"]).alias("out"), F.concat(acc["spans"], moved).alias("spans"))
+    """parts(pack, position, text, spans array<start,end,label>) -> pack, text, spans at their new offsets, n_parts.
 
-    done = F.aggregate("p", F.struct(F.lit("").alias("out"), none.alias("spans")), step)
-    return rows.select("pack", done.alias("d"), F.size("p").alias("n_parts")).select("pack", F.col("d.out").alias("text"), "d.spans", "n_parts")
+    Offsets are running sums over the pack, so that a pack of many parts costs no more than its text.
+    """
+    none = F.expr("cast(array() as array<struct<start:int,end:int,label:string>>)")
+    spans = F.coalesce(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"))), none)
+    lead = F.when(F.col("position") > 0, F.lit(connector)).otherwise(F.lit(""))
+    rows = parts.select("pack", "position", F.coalesce("text", F.lit("")).alias("text"), spans.alias("spans"), lead.alias("lead"))
+    in_order = Window.partitionBy("pack").orderBy("position", "text", "spans")
+    length = F.char_length("lead") + F.char_length("text")
+    placed = rows.select("pack", F.row_number().over(in_order).alias("i"), F.concat("lead", "text").alias("out"), "spans",
+                         (F.sum(length).over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.char_length("text")).cast("int").alias("at"))
+    moved = F.transform("spans", lambda s: F.struct((s["start"] + F.col("at")).cast("int").alias("start"), (s["end"] + F.col("at")).cast("int").alias("end"), s["label"].alias("label")))
+    packs = placed.groupBy("pack").agg(F.sort_array(F.collect_list(F.struct("i", "out", moved.alias("spans")))).alias("p"))
+    return packs.select("pack", F.array_join("p.out", "").alias("text"), F.flatten("p.spans").alias("spans"), F.size("p").alias("n_parts"))
 
 
 def unique_records(docs: DataFrame, order: str, store: Store, rounds: int = 3) -> DataFrame:

@@ -23,3 +23,9 @@ TEXTS = ("at 38.211.12.42 4366089147969128 ly", "to x1.2.3.4@mail0.example.com a
 
 def test_rebuild_of_overlapping_spans(spark, tmp_path):
     check(spark, "e14_rebuild", tmp_path, documents="SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(TEXTS)) + ") t(doc_id, text)")
+
+
+def test_combine_has_no_fold_over_the_text_so_far(spark, tmp_path):
+    check(spark, "i26_combine", tmp_path, customer="SELECT (i * 30 + i // 3000)::BIGINT AS c_custkey, 'Customer#' || i AS c_name, 'X' AS c_mktsegment FROM range(4000) t(i)")
+    plan = catalog.queries()["i26_combine"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan.replace("Aggregate", "")
