@@ -132,7 +132,7 @@ def a23_required_replacements(spark: SparkSession, d: str) -> DataFrame:
 
 def a24_evidence(spark: SparkSession, d: str) -> DataFrame:
     found = K.evidence_spans(F.col("text"), {f"place{i}": "location_or_route_endpoint" for i in range(7)} | {"x": "vehicle_model"})
-    rows = _made(spark, d, text=EVIDENCE).select("k", found.alias("f"))
+    rows = X.spread(_made(spark, d).select("k")).select("k", F.expr(EVIDENCE).alias("text")).select("k", found.alias("f"))
     return rows.select("k", F.col("f.clash").alias("clash"), F.col("f.short").alias("short"), F.inline("f.spans"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import validators as V
-from spanloom.functions.text import contains_any, find_spans, slice_text
+from spanloom.functions.text import bind, contains_any, find_spans, slice_text
 from spanloom.operators.datasets import text_hash
 from spanloom.operators.spans import replace_spans
 
@@ -164,14 +164,19 @@ def evidence_spans(text: Column, values: Mapping[str, str], shortest: int = 2) -
         parts.append(of(found, lambda m, c=category: F.lit(c)))
     every = F.array_sort(F.array_distinct(F.concat(*parts)))
     same = lambda a, b: (a["start"] == b["start"]) & (a["end"] == b["end"])
-    best = F.filter(every, lambda a: ~F.exists(every, lambda b: same(a, b) & (b["rank"] < a["rank"])))
-    clash = F.exists(best, lambda a: F.exists(best, lambda b: ~same(a, b) & (a["start"] < b["end"]) & (b["start"] < a["end"])))
     names = F.array(*map(F.lit, CATEGORIES))
-    spans = F.transform(best, lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), F.element_at(names, s["rank"].cast("int") + 1).alias("category"), s["value"].alias("value")
-    ))
     short = contains_any(text, [v for v in values if len(v) < shortest])
-    return F.struct(spans.alias("spans"), clash.alias("clash"), short.alias("short"))
+
+    def told(best: Column) -> Column:
+        clash = F.exists(best, lambda a: F.exists(best, lambda b: ~same(a, b) & (a["start"] < b["end"]) & (b["start"] < a["end"])))
+        spans = F.transform(best, lambda s: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), F.element_at(names, s["rank"].cast("int") + 1).alias("category"), s["value"].alias("value")
+        ))
+        return F.struct(spans.alias("spans"), clash.alias("clash"), short.alias("short"))
+
+    # bound, so that every pattern is searched once and not again for every span that is compared
+    best = bind(every, lambda xs: F.filter(xs, lambda a: ~F.exists(xs, lambda b: same(a, b) & (b["rank"] < a["rank"]))))
+    return bind(best, told)
 
 
 def without_repeats(spans: DataFrame, key: str = "doc_id") -> DataFrame:
