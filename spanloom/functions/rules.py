@@ -137,8 +137,12 @@ def candidates(
 
 
 def detect(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """One row per candidate: ``key`` and the candidate's fields. Stateless per document, so it also runs on a stream."""
-    return docs.select(key, candidates(F.col(text), **options).alias("_c")).select(key, F.inline("_c"))
+    """One row per candidate: ``key`` and the candidate's fields. Stateless per document, so it also runs on a stream.
+
+    An outer ``inline``: for an inner one Spark infers a filter on the array, which would go through all rules two more times.
+    """
+    found = docs.select(key, candidates(F.col(text), **options).alias("_c")).select(key, F.inline_outer("_c"))
+    return found.where("name IS NOT NULL")
 
 
 # Links with a scheme or www, and the characters that are cut from their ends.

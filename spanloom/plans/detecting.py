@@ -88,7 +88,7 @@ def _crafted_text() -> tuple[str, str]:
 def b_crafted_rules(spark: SparkSession, d: str) -> DataFrame:
     """The rules over texts that are made from customer keys and hold one value of ten kinds each."""
     text = _crafted_text()[0]
-    docs = X.read(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(text).alias("text"))
+    docs = X.spread(X.read(spark, d, "customer").select("c_custkey")).select(F.col("c_custkey").alias("doc_id"), F.expr(text).alias("text"))
     labels = [label for _, _, label, _ in PARTS]
     return R.detect(docs, labels=labels).select("doc_id", "start", "end", "label", "score", "value")
 

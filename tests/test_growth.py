@@ -1,8 +1,10 @@
 """Odd inputs and large groups that the smallest tables do not hold, against the same SQL."""
 
 import duckdb
+import pytest
 
 from spanloom import catalog
+from tests.conftest import SF
 from tests.test_oracles import rows
 
 
@@ -29,3 +31,17 @@ def test_combine_has_no_fold_over_the_text_so_far(spark, tmp_path):
     check(spark, "i26_combine", tmp_path, customer="SELECT (i * 30 + i // 3000)::BIGINT AS c_custkey, 'Customer#' || i AS c_name, 'X' AS c_mktsegment FROM range(4000) t(i)")
     plan = catalog.queries()["i26_combine"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "aggregate(" not in plan.replace("Aggregate", "")
+
+
+@pytest.mark.parametrize("name, most", [("a24_evidence", 40), ("b_crafted_rules", 60), ("b_label_counts", 90)])
+def test_patterns_stand_once_in_the_plan(spark, name, most):
+    """Every search takes two or three expressions; neither a filter nor a comparison of spans repeats them."""
+    spark.conf.set("spark.sql.maxPlanStringLength", 20_000_000)
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < sum(plan.count(x) for x in ("regexp_extract_all(", "split(")) <= most
+    assert plan.count("Filter (size(") == 0
+
+
+def test_few_row_groups_are_dealt_to_all_tasks(spark):
+    for name in ("a24_evidence", "b_crafted_rules", "c10_other_formats"):
+        assert catalog.queries()[name](spark, SF).rdd.getNumPartitions() > 8
