@@ -191,7 +191,7 @@ def c9_formats(spark: SparkSession, d: str) -> DataFrame:
 
 def c10_other_formats(spark: SparkSession, d: str) -> DataFrame:
     """Driver licences, payment accounts, device ids, secrets and plates of the wider registry."""
-    c = X.read(spark, d, "customer")
+    c = X.spread(X.read(spark, d, "customer").select("c_custkey"))
     values = {
         "DRIVER_LICENSE_NUMBER": ID18, "ALIPAY_ACCOUNT": PHONE, "DEVICE_ID": "concat('DEV-', lpad(cast(c_custkey as string), 9, '0'))",
         "SECRET": "concat('sk_', lpad(cast(c_custkey as string), 20, 'aB'))", "CN_VEHICLE_LICENSE_PLATE": PLATE,
