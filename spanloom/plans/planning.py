@@ -23,12 +23,12 @@ WINDOW_TOKENS = 64
 
 def a5_strict_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Predictions written as strict lines, read back in byte ranges of 64 KB and parsed: the spans, and where their line lies."""
-    path = X.fresh_path(spark)
+    path = X.fresh_path(spark)  # what is broadcast below is one row per written file
     named = lambda df: df.withColumn("doc_id", F.col("doc_id").cast("string"))
     L.write_strict_lines(A.prediction_lines(named(X.docs(spark, d)).repartition(3), named(X.scored(spark, d))), path)
     parsed = A.parse_predictions(L.read_strict_lines(spark, path, 1 << 16))
     in_file = parsed.groupBy("file").agg((F.max("line") == F.count_distinct("line")).alias("numbered"))
-    rows = parsed.join(in_file, "file").select("doc_id", "violations", "numbered", F.explode_outer("spans").alias("s"))
+    rows = parsed.join(F.broadcast(in_file), "file").select("doc_id", "violations", "numbered", F.explode_outer("spans").alias("s"))
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("numbered") & (F.size("violations") == 0)).alias("clean"), "s.start", "s.end", "s.label", "s.score")
 
 

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
-RANGE_BYTES, BLOCK_BYTES = 64 << 20, 1 << 20
+#: Bytes of a range, of a read at most, of a read beyond the range, and of the short ranges that one task reads one after the other.
+RANGE_BYTES, BLOCK_BYTES, TAIL_BYTES, TASK_BYTES = 64 << 20, 1 << 20, 1 << 12, 4 << 20
 COLUMNS = pa.schema([("file", pa.string()), ("part", pa.int32()), ("row", pa.int64()), ("value", pa.string())])
 DONE, STAGING = "_SUCCESS", "_staging"
 
@@ -47,6 +48,24 @@ class ByteRange(InputPartition):
     high: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges that one task reads: numbers of lines stay those within their range."""
+
+    ranges: list[ByteRange]
+
+
+def _packed(ranges: list[ByteRange]) -> list[Ranges]:
+    out, held = [], TASK_BYTES
+    for r in ranges:
+        if held + r.high - r.low > TASK_BYTES:
+            out.append(Ranges([]))
+            held = 0
+        out[-1].ranges.append(r)
+        held += r.high - r.low
+    return out
+
+
 def _ranges(files: list[pafs.FileInfo], size: int) -> list[ByteRange]:
     return [ByteRange(f.path, k, low, min(low + size, f.size)) for f in files for k, low in enumerate(range(0, f.size, size))]
 
@@ -56,9 +75,10 @@ def _lines(fs: pafs.FileSystem, part: ByteRange) -> Iterator[bytes]:
     with fs.open_input_file(part.file) as f:
         at = part.low - 1 if part.low else 0
         f.seek(at)
-        skip, left = part.low > 0, b""
+        skip, left, size = part.low > 0, b"", part.high - at + TAIL_BYTES
         while True:
-            block = f.read(BLOCK_BYTES)
+            block = f.read(min(size, BLOCK_BYTES))
+            size = min(2 * size, BLOCK_BYTES)
             pieces = (left + block).split(b"\n")
             left = pieces.pop()
             for line in pieces:
@@ -73,7 +93,7 @@ def _lines(fs: pafs.FileSystem, part: ByteRange) -> Iterator[bytes]:
                 if left and not skip and at < part.high:
                     yield left
                 return
-            if not skip and at >= part.high:
+            if at >= part.high or (skip and at + len(left) >= part.high):
                 return
 
 
@@ -85,33 +105,34 @@ class _Reading:
         self.size = int(options.get("rangebytes", RANGE_BYTES))
         self.counting = options.get("counts", "false").lower() == "true"
 
-    def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
-        """Lines that are not blank, numbered within their range; with ``counts`` only the number of lines of the range."""
+    def read(self, part: Ranges) -> Iterator[pa.RecordBatch]:
+        """Lines that are not blank, numbered within their range; with ``counts`` only the number of lines of each range."""
         fs, _ = _place(self.path)
-        rows, values, held, n = [], [], 0, 0
+        rows, held = [], 0
 
         def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part.file] * len(rows)), pa.array([part.part] * len(rows), pa.int32()), pa.array(rows, pa.int64()), pa.array(values, pa.string())], schema=COLUMNS)
-
-        for line in _lines(fs, part):
-            n += 1
-            if not self.counting and line.strip():
-                rows.append(n - 1)
-                # bytes that are no UTF-8 show as replacement characters, inside strings or where no JSON can be
-                values.append(line.removesuffix(b"\r").decode("utf-8", "replace"))
-                held += len(line)
-                if held >= BLOCK_BYTES * 4 or len(rows) >= 8192:
-                    yield batch()
-                    rows, values, held = [], [], 0
-        if self.counting:
-            rows, values = [n], [None]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), COLUMNS.types, strict=True)], schema=COLUMNS)
+
+        for r in part.ranges:
+            n = 0
+            for line in _lines(fs, r):
+                n += 1
+                if not self.counting and line.strip():
+                    # bytes that are no UTF-8 show as replacement characters, inside strings or where no JSON can be
+                    rows.append((r.file, r.part, n - 1, line.removesuffix(b"\r").decode("utf-8", "replace")))
+                    held += len(line)
+                    if held >= BLOCK_BYTES * 4 or len(rows) >= 8192:
+                        yield batch()
+                        rows, held = [], 0
+            if self.counting:
+                rows.append((r.file, r.part, n, None))
         if rows:
             yield batch()
 
 
 class StrictReader(_Reading, DataSourceReader):
-    def partitions(self) -> list[ByteRange]:
-        return _ranges(_files(self.path), self.size)
+    def partitions(self) -> list[Ranges]:
+        return _packed(_ranges(_files(self.path), self.size))
 
 
 class StrictStreamReader(_Reading, DataSourceStreamReader):
@@ -131,8 +152,8 @@ class StrictStreamReader(_Reading, DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return {"until": max((f.mtime_ns for f in self._known()), default=0)}
 
-    def partitions(self, start: dict, end: dict) -> list[ByteRange]:
-        return _ranges([f for f in _files(self.path) if start["until"] < f.mtime_ns <= end["until"]], self.size)
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
+        return _packed(_ranges([f for f in _files(self.path) if start["until"] < f.mtime_ns <= end["until"]], self.size))
 
     def commit(self, end: dict) -> None:
         pass

@@ -45,3 +45,19 @@ def test_patterns_stand_once_in_the_plan(spark, name, most):
 def test_few_row_groups_are_dealt_to_all_tasks(spark):
     for name in ("a24_evidence", "b_crafted_rules", "c10_other_formats"):
         assert catalog.queries()[name](spark, SF).rdd.getNumPartitions() > 8
+
+
+def test_short_ranges_share_tasks(tmp_path):
+    """Ranges of 64 bytes: their lines are those of the file, few tasks read them, and a range reads little beyond its end."""
+    from spanloom.sources import strict_lines as L
+
+    lines = ["x" * (k % 90) for k in range(2000)]
+    (tmp_path / "part.jsonl").write_text("\n".join(lines))
+    for size in (64, 1000, 1 << 20):
+        reader = L.StrictReader({"path": str(tmp_path), "rangebytes": str(size)})
+        parts = reader.partitions()
+        assert len(parts) == 1
+        assert [v for p in parts for b in reader.read(p) for v in b.column("value").to_pylist()] == [x for x in lines if x]
+        counter = L.StrictReader({"path": str(tmp_path), "rangebytes": str(size), "counts": "true"})
+        counts = [(p, n) for q in counter.partitions() for b in counter.read(q) for p, n in zip(b.column("part").to_pylist(), b.column("row").to_pylist(), strict=True)]
+        assert [p for p, _ in counts] == list(range(-(-(tmp_path / "part.jsonl").stat().st_size // size))) and sum(n for _, n in counts) == len(lines)
