@@ -22,21 +22,29 @@ WINDOW = (
 )
 
 
+#: Documents that a task turns into tokens or windows at once.
+AT_ONCE = 256
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield from (b.slice(at, AT_ONCE) for at in range(0, b.num_rows, AT_ONCE))
+
+
 def covering_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with text_length and offsets: words with the white space before them, and white space at the end, without gaps."""
     pieces = F.regexp_extract_all(F.col(text), F.lit(r"(?s)\s*\S+|\s+\z"), F.lit(0))
     sized = docs.withColumns({"text_length": F.char_length(text), "_sizes": F.transform(pieces, lambda p: F.char_length(p))})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             sizes = b.column("_sizes")
             bounds = sizes.offsets.to_numpy()
-            ends = np.concatenate([[0], np.cumsum(sizes.values.to_numpy()[: bounds[-1]], dtype=np.int64)])
+            ends = np.concatenate([[0], np.cumsum(sizes.values.to_numpy()[bounds[0] : bounds[-1]], dtype=np.int64)])
+            bounds = bounds - bounds[0]
             base = np.repeat(ends[bounds[:-1]], np.diff(bounds))
-            at = slice(bounds[0], bounds[-1])
-            start, end = ends[:-1][at] - base, ends[1:][at] - base
-            pairs = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["start", "end"])
-            lists = pa.ListArray.from_arrays(pa.array(bounds - bounds[0], pa.int32()), pairs)
+            pairs = pa.StructArray.from_arrays([pa.array(ends[:-1] - base, pa.int32()), pa.array(ends[1:] - base, pa.int32())], ["start", "end"])
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pairs)
             kept = [c for c in b.schema.names if c != "_sizes"]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], lists], [*kept, "offsets"])
 
@@ -165,23 +173,26 @@ def safe_windows(docs: DataFrame, size: int, share: float = MOST_SHARE) -> DataF
 
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = [p.split()[0] for p in WINDOW.split(", ")]
-        kind = pa.list_(pa.struct([(f, pa.int32()) for f in fields]))
-        for b in batches:
+        none = np.zeros((0, len(fields)), np.int64)
+        for b in _slices(batches):
             windows, faults = [], []
             content, spans, wrong = b.column("content"), b.column("gold"), b.column("violations")
             for i, n in enumerate(b.column("length").to_pylist()):
-                found, why = [], wrong[i].as_py()
+                found, why = none, wrong[i].as_py()
                 if not why and n:
                     c, g = content[i].values, spans[i].values
                     places = [a.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for a in (c, g) for f in ("start", "end")]
                     try:
-                        found = [dict(zip(fields, r, strict=True)) for r in plan_document(n, *places, size, share).tolist()]
+                        found = plan_document(n, *places, size, share)
                     except Broken as rule:
                         why = [str(rule)]
                 windows.append(found)
                 faults.append(why)
             kept = [b.column(c) for c in ("doc_id", "content", "gold")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(windows, kind), pa.array(faults, pa.list_(pa.string()))], ["doc_id", "content", "gold", "windows", "violations"])
+            bounds, table = np.concatenate([[0], np.cumsum([len(x) for x in windows])]), np.concatenate(windows)
+            rows = pa.StructArray.from_arrays([pa.array(table[:, k], pa.int32()) for k in range(len(fields))], fields)
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rows)
+            yield pa.RecordBatch.from_arrays([*kept, lists, pa.array(faults, pa.list_(pa.string()))], ["doc_id", "content", "gold", "windows", "violations"])
 
     names = {f.name: f.dataType.simpleString() for f in ready.schema}
     struct = ",".join(p.replace(" ", ":") for p in WINDOW.split(", "))

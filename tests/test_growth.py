@@ -61,3 +61,17 @@ def test_short_ranges_share_tasks(tmp_path):
         counter = L.StrictReader({"path": str(tmp_path), "rangebytes": str(size), "counts": "true"})
         counts = [(p, n) for q in counter.partitions() for b in counter.read(q) for p, n in zip(b.column("part").to_pylist(), b.column("row").to_pylist(), strict=True)]
         assert [p for p, _ in counts] == list(range(-(-(tmp_path / "part.jsonl").stat().st_size // size))) and sum(n for _, n in counts) == len(lines)
+
+
+def test_tokens_come_in_short_slices(spark):
+    """600 documents in one batch: at most AT_ONCE at a time, with the offsets of each document's own text."""
+    import re
+
+    from spanloom.operators import safe_windows as W
+
+    texts = [" ab c\n" * (k % 7) + "d" * (k % 3) for k in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    found = {r["doc_id"]: [tuple(o) for o in r["offsets"]] for r in W.covering_tokens(docs).collect()}
+    assert found == {k: [m.span() for m in re.finditer(r"\s*\S+|\s+\Z", t)] for k, t in enumerate(texts)}
+    batch = docs.toArrow().combine_chunks().to_batches()[0]
+    assert [b.num_rows for b in W._slices(iter([batch]))] == [W.AT_ONCE, W.AT_ONCE, 600 - 2 * W.AT_ONCE]
