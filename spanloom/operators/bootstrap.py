@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 
@@ -47,51 +46,64 @@ def indexed(stats: DataFrame, store: Callable[[DataFrame], DataFrame] = lambda d
     return joined.withColumn("index", F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_before")).drop("_at", "_p", "_before")
 
 
-#: Documents of a block at least, blocks at most, and draws that a task gathers before it sends them.
-BLOCK, BLOCKS, GATHERED = 1 << 13, 4096, 1 << 19
+#: Documents of a block at least, blocks at most, draws that a task makes before it sends them, and digests that are read at once.
+BLOCK, BLOCKS, GATHERED, HASHED = 1 << 13, 4096, 1 << 24, 1 << 13
+
+
+def drawn_range(head: bytes, first: int, count: int, n: int) -> np.ndarray:
+    """The draws of ``counter_draw`` for counters ``first`` and on: NumPy lays out the messages and takes the digests modulo n."""
+    if n >= 1 << 31:
+        return np.array(drawn_index(head, range(first, first + count), n), np.int64)
+    sha256, out, size = hashlib.sha256, np.empty(count, np.int64), len(head) + 16
+    powers = np.array([pow(2, 32 * k, n) for k in range(7, -1, -1)], np.uint64)
+    for at in range(0, count, HASHED):
+        m = min(HASHED, count - at)
+        message = np.zeros((m, size), np.uint8)
+        message[:, : len(head)] = np.frombuffer(head, np.uint8)
+        message[:, -8:] = np.arange(first + at, first + at + m, dtype=np.int64).astype(">i8").view(np.uint8).reshape(m, 8)
+        digests = b"".join([sha256(x).digest() for x in message.view(f"V{size}").ravel().tolist()])
+        # eight products of 32-bit words and powers below n: their sum stays below 2**63 for n below 2**28
+        products = np.frombuffer(digests, ">u4").reshape(m, 8).astype(np.uint64) * powers
+        out[at : at + m] = ((products if n < 1 << 28 else products % np.uint64(n)).sum(1) % np.uint64(n)).astype(np.int64)
+    return out
 
 
 def resampled_sums(stats: DataFrame, columns: Sequence[str], sizes: Sequence[int], samples: int, seed: str, domain: str = "bootstrap") -> DataFrame:
     """Per sample (from 0) the sums of ``columns`` over the documents that it draws, for stats(index, columns...).
 
     ``sizes``: documents per stratum; strata follow each other in index, and every sample draws as many of each as it has.
-    Draws are made in parallel and travel as packed lists of places per sample and block of documents. A task holds one
-    block's counts as a matrix, multiplies every list's counts of places with it, and sends one row per sample and block;
+    Draws are made in parallel, a run of one sample's places at a time, and travel as one packed row per run and block of
+    documents: a byte per document that says how often it was drawn, or the places drawn where they are few. A task holds one
+    block's counts as a matrix, multiplies every row's counts of places with it, and sends one row per sample and block;
     nothing has a row per sample and document. All columns, of as many systems as there are, share one set of draws.
     """
     spark, n, columns = stats.sparkSession, sum(sizes), list(columns)
     width = max(BLOCK, -(-n // BLOCKS))
     head = domain.encode() + b"\0" + len(seed.encode()).to_bytes(4, "big") + seed.encode()
     starts = [sum(sizes[:k]) for k in range(len(sizes) + 1)]
+    blocks, spot = -(-n // width), np.uint16 if width <= 1 << 16 else np.int32
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    runs = max(1, -(-n // GATHERED), min(-(-tasks // max(1, samples)), -(-n // BLOCK)))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists, held = defaultdict(list), 0
-
-        def send() -> pa.RecordBatch:
-            block, sample = zip(*lists, strict=True)
-            picks = [np.concatenate(v) for v in lists.values()]
-            at = np.concatenate([[0], np.cumsum([len(v) for v in picks])])
-            packed = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(picks), pa.int32()))
-            return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(sample, pa.int64()), packed], ["block", "sample", "picks"])
-
-        for b in batches:
-            ids = b.column("id").to_numpy()
-            place = ids % n
-            for k, size in enumerate(sizes):
-                mine = ids[(place >= starts[k]) & (place < starts[k + 1])]
-                if len(mine):
-                    index = np.array(drawn_index(head, mine.tolist(), size), np.int64) + starts[k]
-                    key = mine // n * BLOCKS * 2 + index // width
-                    order = np.argsort(key, kind="stable")
-                    cuts = np.flatnonzero(np.diff(key[order])) + 1
-                    for part in np.split(order, cuts):
-                        lists[int(index[part[0]] // width), int(mine[part[0]] // n)].append((index[part] % width).astype(np.int32))
-            held += len(ids)
-            if held >= GATHERED:
-                yield send()
-                lists, held = defaultdict(list), 0
-        if lists:
-            yield send()
+        for run in (i for b in batches for i in b.column("id").to_pylist()):
+            sample, k = divmod(run, runs)
+            low, high = k * n // runs, (k + 1) * n // runs
+            parts = [(max(low, s), min(high, e), s, e - s) for s, e in zip(starts[:-1], starts[1:], strict=True)]
+            index = np.concatenate([drawn_range(head, sample * n + a, e - a, size) + s for a, e, s, size in parts if a < e] or [np.zeros(0, np.int64)])
+            if not len(index):
+                continue
+            times = np.bincount(index, minlength=blocks * width) if 2 * len(index) >= n else None
+            if times is not None and times.max() < 1 << 8:
+                rows = times.astype(np.uint8).reshape(blocks, width)
+                packed = [(i, True, rows[i].tobytes()) for i in range(blocks)]
+            else:
+                index.sort()
+                at = np.searchsorted(index, np.arange(blocks + 1) * width).tolist()
+                packed = [(i, False, (index[x:y] - i * width).astype(spot).tobytes()) for i, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)) if x < y]
+            for at in range(0, len(packed), 512):
+                block, whole, picks = zip(*packed[at : at + 512], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array([sample] * len(block), pa.int64()), pa.array(whole), pa.array(picks, pa.binary())], ["block", "sample", "whole", "picks"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks one after the other: first their documents, then the lists of draws."""
@@ -117,18 +129,18 @@ def resampled_sums(stats: DataFrame, columns: Sequence[str], sizes: Sequence[int
                 if docs.num_rows:
                     counts[docs.column("at").to_numpy()] = np.stack([docs.column(c).to_numpy() for c in columns], 1)
                 draws = part.filter(pa.array(~is_doc))
-                picks = draws.column("picks")
-                for i, sample in enumerate(draws.column("sample").to_pylist()):
-                    got = np.bincount(picks[i].values.to_numpy(), minlength=width) @ counts
+                for sample, whole, picks in zip(*(draws.column(c).to_pylist() for c in ("sample", "whole", "picks")), strict=True):
+                    times = np.frombuffer(picks, np.uint8) if whole else np.bincount(np.frombuffer(picks, spot), minlength=width)
+                    got = times.astype(float) @ counts
                     sums[sample] = sums[sample] + got if sample in sums else got
         if sums:
             yield send()
 
-    draws = spark.range(samples * n).mapInArrow(draw, "block long, sample long, picks array<int>")
-    draws = draws.select("block", F.lit(None).cast("int").alias("at"), "sample", "picks", *[F.lit(None).cast("long").alias(c) for c in columns])
+    draws = spark.range(0, samples * runs, 1, max(1, min(samples * runs, 4 * tasks))).mapInArrow(draw, "block long, sample long, whole boolean, picks binary")
+    draws = draws.select("block", F.lit(None).cast("int").alias("at"), "sample", "whole", "picks", *[F.lit(None).cast("long").alias(c) for c in columns])
     block = (F.col("index") / width).cast("long")
     rows = stats.select(block.alias("block"), F.pmod("index", F.lit(width)).cast("int").alias("at"), F.lit(None).cast("long").alias("sample"),
-                        F.lit(None).cast("array<int>").alias("picks"), *[F.col(c).cast("long").alias(c) for c in columns])
+                        F.lit(None).cast("boolean").alias("whole"), F.lit(None).cast("binary").alias("picks"), *[F.col(c).cast("long").alias(c) for c in columns])
     lined = rows.unionByName(draws).repartition("block").sortWithinPartitions("block", F.col("at").isNull())
     parts = lined.mapInArrow(add, ", ".join(f"{c} long" for c in ["sample", *columns]))
     return parts.groupBy("sample").agg(*[F.sum(c).alias(c) for c in columns])

@@ -88,6 +88,29 @@ def test_draws_are_the_numbered_ones(spark):
     assert [r.x for r in df.orderBy("id").collect()] == B.drawn_index(head, range(50), 37)
 
 
+@pytest.mark.parametrize("n", [1, 37, 9_000_001, (1 << 28) + 3, (1 << 31) - 1, (1 << 40) + 7])
+def test_draws_of_a_range(n):
+    head = b"bootstrap\0" + (2).to_bytes(4, "big") + b"42"
+    for first, count in ((0, 0), (0, 50), ((1 << 40) + 5, B.HASHED + 9)):
+        assert B.drawn_range(head, first, count, n).tolist() == B.drawn_index(head, range(first, first + count), n)
+
+
+@pytest.mark.parametrize("gathered", [1 << 24, 10])
+def test_draws_travel_packed(spark, monkeypatch, gathered):
+    """Runs of whole and of part samples: a row per run and block of documents, whatever the number of draws."""
+    monkeypatch.setattr(B, "GATHERED", gathered)
+    n, samples = 3 * B.BLOCK // 2 if gathered > 10 else 60, 64
+    seen, apart = [], type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda df, f, schema: seen.append(apart(df, f, schema)) or seen[-1])
+    stats = spark.range(n).select(F.col("id").alias("index"), (F.col("id") % 5).alias("x"))
+    got = {r.sample: r.x for r in B.resampled_sums(stats, ["x"], [n], samples, "s").collect()}
+    head = b"bootstrap\0" + (1).to_bytes(4, "big") + b"s"
+    for sample in (0, 1, 63):
+        assert got[sample] == sum(p % 5 for p in B.drawn_index(head, range(sample * n, sample * n + n), n))
+    sent = seen[0].agg(F.count(F.lit(1)).alias("n"), F.bool_and("whole").alias("whole"), F.sum(F.length("picks")).alias("size")).first()
+    assert sent.whole == (gathered > 10) and sent.n <= samples * 6 and sent["size"] <= samples * 2 * B.BLOCK
+
+
 @pytest.mark.parametrize("block", [7, 1 << 13])
 def test_resampled_sums(spark, monkeypatch, block):
     """Two strata, several blocks, documents whose ids have gaps; sums by drawing one document after the other."""
