@@ -55,6 +55,18 @@ def test_documents_against_all_pairs(spark, monkeypatch, size, letters):
         assert (audit.n_docs, audit.exact_pairs, audit.near_pairs) == (len(rows), sum(n * (n - 1) // 2 for n in copies.values()), alike)
 
 
+def test_common_grams_make_no_candidates(spark):
+    """Texts over few letters share most rare grams of a prefix with many others, but only near copies are compared."""
+    import random
+
+    r = random.Random(4)
+    texts = ["".join(r.choices("abcdefgh", k=r.randrange(200, 300))) for _ in range(400)]
+    texts[7], texts[9] = texts[300][:-15], texts[301] + "abc"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    members, classes, links = N.near_classes(docs, X.store, N.skeleton, 3)
+    assert {(x.a, x.b) for x in N.candidates(classes, 0.75).collect()} == {(7, 300), (9, 301)} == {(x.a, x.b) for x in links.collect()}
+
+
 def test_awkward_texts(spark):
     rows = [(1, None), (2, ""), (3, "  "), (4, "ab"), (5, "AB"), (6, "abcd efgh ijkl"), (7, "abcdefghijkl"), (8, "Straße und mehr davon"), (9, "strasse und mehr davon"), (10, "x" * 200_000)]
     members, _, links = N.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), X.store)
