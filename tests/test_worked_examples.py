@@ -160,3 +160,18 @@ def test_bootstraps_over_all_documents(spark):
     orders = [r.o_orderkey for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").collect()]
     assert draws == {k: draw(k, 1000) for k in orders} and max(orders) >= 500
     assert q["g2_softmax_all"](spark, SF).count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()
+
+
+def test_outcomes_without_join(spark, capsys):
+    """Both sides' spans meet in one aggregate, not in a join that sorts them; repeats count once and null spans equal none."""
+    from spanloom.operators.evaluation import outcomes
+
+    kind = "doc_id long, start int, end int, label string"
+    gold = spark.createDataFrame([(1, 0, 2, "A"), (1, 0, 2, "A"), (1, 3, 4, "A"), (2, 0, 1, None), (2, 0, 1, None)], kind)
+    pred = spark.createDataFrame([(1, 0, 2, "A"), (1, 3, 4, "B"), (2, 0, 1, None)], kind)
+    found = outcomes(gold, pred)
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [
+        (1, 0, 2, "A", True, True), (1, 3, 4, "A", True, False), (1, 3, 4, "B", False, True), (2, 0, 1, None, True, False), (2, 0, 1, None, False, True),
+    ]))
+    found.explain()
+    assert "Join" not in capsys.readouterr().out
