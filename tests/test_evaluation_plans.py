@@ -1,5 +1,7 @@
 """Plans of the evaluation steps: documents are dealt once, and no join or sort holds more than it must."""
 
+from pyspark.sql import functions as F
+
 from spanloom import catalog
 from spanloom.operators import evaluation as E
 from tests.conftest import SF
@@ -27,3 +29,23 @@ def test_boundaries_of_repeated_and_null_spans(spark):
     gold = spark.createDataFrame([(1, 0, 2, "A"), (1, 0, 2, "B"), (1, 0, 2, "A"), (None, 0, 2, "A"), (2, 5, 7, None)], SPAN)
     pred = spark.createDataFrame([(1, 0, 2, "C"), (None, 0, 2, "A"), (2, 5, 7, None), (2, 5, 7, "A")], SPAN)
     assert tuple(E.boundary_counts(gold, pred).first()) == (2, 4, 4)
+
+
+def test_characters_come_from_one_walk(spark):
+    for name in ("h8_character_counts", "h16_redaction_rates"):
+        logical, physical = plan(spark, name)
+        assert "Join" not in logical
+        assert physical.count("Sort [") == 1 and physical.count("Exchange hashpartitioning(doc_id") == 2
+
+
+def test_characters_against_sets_of_places(spark):
+    rows = [(d, (d * 7 + i * 5) % 23, (d * 7 + i * 5) % 23 + i % 4, "AB"[i % 3 % 2]) for d in range(20) for i in range(7)]
+    gold, pred = rows[::2], [(d, s + d % 3, e + i % 2 + d % 3, x) for i, (d, s, e, x) in enumerate(rows[1::3])] + rows[:40:5]
+    frames = [spark.createDataFrame(x, SPAN) for x in (gold, pred)]
+    for labels, by in ((True, lambda r: (r[0], r[3])), (False, lambda r: r[0])):
+        g, p = ({(by(r), c) for r in x for c in range(r[1], r[2])} for x in (gold, pred))
+        total = E.character_counts(*frames, by_label=labels)
+        total = (total.where(F.col("label").isNull()) if labels else total).first()
+        assert (total.tp, total.fp, total.fn) == (len(g & p), len(p - g), len(g - p))
+    none = spark.createDataFrame([(None, 0, 4, "A"), (3, None, 4, "A"), (3, 2, None, "A")], SPAN)
+    assert tuple(E.character_counts(none, none, by_label=False).select("tp", "fp", "fn").first()) == (0, 4, 4)
