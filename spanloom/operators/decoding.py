@@ -91,19 +91,23 @@ def bie_valid(tags: Column) -> Column:
     return F.aggregate(tags, init, step, lambda acc: acc["ok"] & (acc["kind"] != "I"))
 
 
-def decode_sparse(tokens: DataFrame, text: str = "text", connector: str = r"[\s-]+", structured: tuple[str, ...] = ()) -> DataFrame:
-    """Tagged tokens only: same-label tokens that touch or overlap join, those of ``structured`` labels also across connectors.
+def decode_sparse(tokens: DataFrame, text: str = "text", connectors: str = " \t\n\x0b\f\r-", structured: tuple[str, ...] = ()) -> DataFrame:
+    """Tagged tokens only: same-label tokens that touch or overlap join, those of ``structured`` labels also across ``connectors``.
 
-    ``tokens`` carries the document's text; bridges counts the connectors that were crossed.
+    ``tokens`` carries the document's text, of which a token takes along how many connectors stand right before it; a gap is all
+    connectors if they reach back to its start. bridges counts the gaps that were crossed.
     """
     kind, label = _parts()
     w = Window.partitionBy("doc_id").orderBy("start", "end", "token_index")
-    t = tokens.withColumns({"_kind": kind, "label": label}).where("_kind IN ('B', 'I') AND end > start")
-    gap = F.expr(f"substring({text}, lag(end) over (partition by doc_id order by start, end, token_index) + 1, start - lag(end) over (partition by doc_id order by start, end, token_index))")
-    t = t.withColumns({"_pl": F.lag("label").over(w), "_pe": F.lag("end").over(w), "_gap": gap})
+    before = F.substring(F.col(text), F.lit(1), F.col("start"))
+    lead = F.char_length(before) - F.char_length(F.rtrim(before, F.lit(connectors)))
+    t = tokens.where(kind.isin("B", "I") & (F.col("end") > F.col("start")))
+    t = t.select("doc_id", "start", "end", "token_index", "score", label.alias("label"), F.when(label.isin(*structured), lead).alias("_lead"))
+    t = t.repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    t = t.withColumns({"_pl": F.lag("label").over(w), "_pe": F.lag("end").over(w)})
     same = F.col("_pl") == F.col("label")
     touch = same & (F.col("start") <= F.col("_pe"))
-    bridge = same & (F.col("start") > F.col("_pe")) & F.col("label").isin(*structured) & F.col("_gap").rlike(f"^(?:{connector})$") if structured else F.lit(False)
+    bridge = same & (F.col("start") > F.col("_pe")) & (F.col("_lead") >= F.col("start") - F.col("_pe"))
     starts = ~F.coalesce(touch | bridge, F.lit(False))
     t = t.withColumns({"_new": starts.cast("int"), "_bridge": F.coalesce(bridge, F.lit(False)).cast("int")})
     t = t.withColumn("_span", F.sum("_new").over(w))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from spanloom import catalog
+from spanloom.operators import decoding as D
 from spanloom.operators import evaluation as E
 from tests.conftest import SF
 
@@ -49,3 +50,16 @@ def test_characters_against_sets_of_places(spark):
         assert (total.tp, total.fp, total.fn) == (len(g & p), len(p - g), len(g - p))
     none = spark.createDataFrame([(None, 0, 4, "A"), (3, None, 4, "A"), (3, 2, None, "A")], SPAN)
     assert tuple(E.character_counts(none, none, by_label=False).select("tp", "fp", "fn").first()) == (0, 4, 4)
+
+
+def test_no_text_goes_through_the_sort_of_tokens(spark):
+    logical, physical = plan(spark, "f9_decode_sparse")
+    ordered = [x for x in logical.splitlines() if "RepartitionByExpression" in x]
+    assert len(ordered) == 1 and "substr" not in logical.split("RepartitionByExpression")[0]
+    texts = {1: "ab - \tcd ef.gh", 2: "\u00e4\U0001f600 \x0b-x  y", 3: None}
+    spans = {1: [(0, 2), (6, 8), (9, 11), (12, 14)], 2: [(0, 2), (5, 6), (8, 9)], 3: [(0, 1), (2, 3)]}
+    rows = [(d, i, a, b, "I-X" if i else "B-X", 0.5, texts[d]) for d, x in spans.items() for i, (a, b) in enumerate(x)]
+    tokens = spark.createDataFrame(rows, "doc_id long, token_index int, start int, end int, tag string, score double, text string")
+    found = sorted((r.doc_id, r.start, r.end, r.bridges) for r in D.decode_sparse(tokens, structured=("X",)).collect())
+    assert found == [(1, 0, 11, 2), (1, 12, 14, 0), (2, 0, 9, 2), (3, 0, 1, 0), (3, 2, 3, 0)]
+    assert {r.bridges for r in D.decode_sparse(tokens).collect()} == {0}
