@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from spanloom import catalog
+from spanloom.operators import bootstrap as B
 from spanloom.operators import decoding as D
 from spanloom.operators import evaluation as E
+from spanloom.plans import fixtures as X
 from tests.conftest import SF
 
 SPAN = "doc_id long, start int, end int, label string"
@@ -63,3 +65,19 @@ def test_no_text_goes_through_the_sort_of_tokens(spark):
     found = sorted((r.doc_id, r.start, r.end, r.bridges) for r in D.decode_sparse(tokens, structured=("X",)).collect())
     assert found == [(1, 0, 11, 2), (1, 12, 14, 0), (2, 0, 9, 2), (3, 0, 1, 0), (3, 2, 3, 0)]
     assert {r.bridges for r in D.decode_sparse(tokens).collect()} == {0}
+
+
+def test_comparators_share_one_pass(spark):
+    """Gates of both comparators at once are those of each alone, and the spans are gone over once."""
+    made = []
+
+    def store(df):
+        made.append(df)
+        return X.store(df)
+
+    docs, gold, pred = X.docs(spark, SF), X.gold(spark, SF).where("doc_id % 3 > 0"), X.pred(spark, SF)
+    others = {"second": X.second(spark, SF).where("label <> 'ZZ'"), "even": pred.where("start % 2 = 0")}
+    get = lambda names: sorted(tuple(r) for r in B.superiority(docs, gold, pred, {n: others[n] for n in names}, 5, "42", store).collect())
+    both = get(["second", "even"])
+    assert len(made) == 2 and len(both) == 6
+    assert both == sorted(get(["second"]) + get(["even"]))
