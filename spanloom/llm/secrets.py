@@ -40,6 +40,10 @@ BEFORE, INSIDE, AFTER = 24, 40, 16
 WIDTH = BEFORE + INSIDE + AFTER
 #: Characters from one region of a long candidate to the next; the last one ends with the candidate.
 STEP = 4
+#: Windows of the corpus in one shard of the training, about; every window is in one.
+SHARD = 8192
+#: Logits are multiples of 1 / GRAIN up to MOST_LOGIT, so that counts of all of them are a table of bounded size.
+GRAIN, MOST_LOGIT = 256, 40
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -144,15 +148,16 @@ class CharCNN:
         return cols, best, pooled, pooled @ w["v"] + w["c"][0]
 
     def logits(self, x: np.ndarray, block: int = 2048) -> np.ndarray:
-        return np.concatenate([self.forward(x[i : i + block])[3] for i in range(0, len(x), block)] or [np.zeros(0)])
+        z = np.concatenate([self.forward(x[i : i + block])[3] for i in range(0, len(x), block)] or [np.zeros(0)])
+        return np.rint(np.clip(z, -MOST_LOGIT, MOST_LOGIT) * GRAIN) / GRAIN
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x) + self.shift, -40, 40)))
 
-    def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, x: np.ndarray, y: np.ndarray, share: np.ndarray) -> dict[str, np.ndarray]:
         w = self.weights
         cols, best, pooled, z = self.forward(x)
-        dz = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(x)
+        dz = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * share
         dp = dz[:, None] * w["v"] * (pooled > 0)
         out = {"v": pooled.T @ dz, "c": np.array([dz.sum()]), "k": np.zeros_like(w["k"]), "b": dp.reshape(len(x), 3, -1).sum((0, 1)), "e": np.zeros_like(w["e"])}
         rows = np.arange(len(x))[:, None]
@@ -166,30 +171,46 @@ class CharCNN:
                 np.add.at(out["e"], padded[rows, at + i], back[:, :, i * self.DIM : (i + 1) * self.DIM])
         return out
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 256, rate: float = 0.01, seed: int = 1) -> None:
-        """Adam on the logistic loss, both classes weighing the same."""
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 3, batch: int = 256, rate: float = 0.01, seed: int = 1) -> None:
+        """Adam on the logistic loss, both classes weighing the same; an epoch goes over every window, a rare class several times."""
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.weights.items()}
         s = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        step, pos, neg = 0, np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-        for _ in range(epochs * max(1, min(20_000, len(y)) // batch)):
-            pick = np.concatenate([r.choice(pos, batch // 2), r.choice(neg, batch // 2)])
-            step += 1
-            for k, g in self.gradients(x[pick], y[pick]).items():
-                m[k] = 0.9 * m[k] + 0.1 * g
-                s[k] = 0.999 * s[k] + 0.001 * g * g
-                self.weights[k] = self.weights[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
+        step, classes, steps = 0, [np.flatnonzero(y == 1), np.flatnonzero(y == 0)], -(-len(y) // batch)
+        for _ in range(epochs):
+            orders = [np.array_split(np.resize(r.permutation(c), max(len(c), steps * batch // 4)), steps) for c in classes]
+            for parts in zip(*orders, strict=True):
+                pick = np.concatenate(parts)
+                step += 1
+                for k, g in self.gradients(x[pick], y[pick], np.concatenate([np.full(len(i), 0.5 / len(i)) for i in parts])).items():
+                    m[k] = 0.9 * m[k] + 0.1 * g
+                    s[k] = 0.999 * s[k] + 0.001 * g * g
+                    self.weights[k] = self.weights[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = 0.98) -> None:
-        """Platt scaling on held-out windows, then the highest threshold that keeps ``recall`` of the positives."""
-        z = self.logits(x)
-        a, b = 1.0, 0.0
+        self.calibrate_counts(self.logits(x), y, np.ones(len(y)), recall)
+
+    def calibrate_counts(self, z: np.ndarray, y: np.ndarray, n: np.ndarray, recall: float = 0.98) -> None:
+        """Platt scaling on held-out logits, each seen ``n`` times, then the highest threshold that keeps ``recall`` of the positives."""
+        a, b, total = 1.0, 0.0, float(n.sum())
+        mean = lambda v: float((n * v).sum() / total)
         for _ in range(200):
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
-            a, b = a - 0.1 * float(np.mean((p - y) * z)) / (1 + float(np.mean(z * z))), b - 0.1 * float(np.mean(p - y))
+            a, b = a - 0.1 * mean((p - y) * z) / (1 + mean(z * z)), b - 0.1 * mean(p - y)
         self.scale, self.shift = max(a, 1e-3), b
-        own = np.sort(self.probability(x[y == 1]))
-        self.threshold = float(own[int((1 - recall) * len(own))]) if len(own) else 1.0
+        own = y == 1
+        p = 1 / (1 + np.exp(-np.clip(self.scale * z[own] + self.shift, -40, 40)))
+        order = np.argsort(p, kind="stable")
+        below = np.cumsum(n[own][order])
+        self.threshold = float(p[order][np.searchsorted(below, int((1 - recall) * below[-1]), "right")]) if len(below) else 1.0
+
+    def packed(self) -> np.ndarray:
+        return np.concatenate([v.ravel() for v in self.weights.values()])
+
+    def replaced(self, flat: np.ndarray) -> CharCNN:
+        """A net of the same shape with the weights of ``flat``."""
+        parts = np.split(flat, np.cumsum([v.size for v in self.weights.values()])[:-1])
+        return CharCNN({k: p.reshape(v.shape).copy() for (k, v), p in zip(self.weights.items(), parts, strict=True)})
 
 
 def made_up_findings(n: int = 600, seed: int = 5) -> tuple[list[str], list[int]]:
@@ -214,18 +235,6 @@ def made_up_findings(n: int = 600, seed: int = 5) -> tuple[list[str], list[int]]
     return windows, labels
 
 
-def train(findings: list[tuple[str, bool]]) -> CharCNN:
-    """Fit on labelled windows of the corpus and the made-up ones; every fourth is held out for the threshold."""
-    windows, labels = made_up_findings()
-    both = list(zip(windows, labels, strict=True)) + [(w, int(y)) for w, y in findings]
-    x, y = encode_windows([w for w, _ in both]), np.array([v for _, v in both], float)
-    held = np.arange(len(y)) % 8 >= 6
-    net = CharCNN.fresh()
-    net.fit(x[~held], y[~held])
-    net.calibrate(x[held], y[held])
-    return net
-
-
 def find_base(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per document doc_id, base (array of kind, start, end) and candidates (start, end, labelled, at, whole); no other text leaves the task."""
 
@@ -247,19 +256,89 @@ def find_base(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", F.col(text).cast("string").alias("text")).mapInArrow(scan, schema)
 
 
-def fit_network(found: DataFrame, positives: int = 3000, negatives: int = 6000) -> CharCNN:
-    """Train on at most ``positives`` candidates that the patterns found too and ``negatives`` that they did not (smallest hashes)."""
+def training_windows(found: DataFrame) -> DataFrame:
+    """(window, labelled, h) of every candidate: its training window, whether a pattern found it too, and the hash that deals it."""
     each = found.select("doc_id", F.explode("candidates").alias("c")).select("doc_id", "c.*")
     own, size = F.col("whole"), F.col("end") - F.col("start")
     inside = F.substring(own, F.col("at") + BEFORE + 1, F.least(size - F.col("at"), F.lit(INSIDE)))
     window = F.concat(F.substring(own, 1, BEFORE), F.rpad(inside, INSIDE, "\0"), F.substring(own, size + BEFORE + 1, F.lit(AFTER)))
-    each = each.select("doc_id", "start", "labelled", window.alias("window"))
-    order = F.xxhash64("doc_id", "start", "window")
-    findings = []
-    for flag, most in ((True, positives), (False, negatives)):
-        rows = each.where(F.col("labelled") == flag).orderBy(order, "doc_id", "start").limit(most).select("window").collect()
-        findings += [(r["window"], flag) for r in rows]
-    return train(sorted(findings))
+    return each.select(window.alias("window"), "labelled", F.xxhash64("doc_id", "start", window).alias("h"))
+
+
+def train_round(windows: DataFrame, net: CharCNN, seed: int, shards: int) -> CharCNN:
+    """The mean of the nets that every shard fits from ``net`` to its windows and the made-up ones.
+
+    Windows are dealt by their hash and read in its order, and weights are summed as whole numbers, so the mean depends
+    neither on partitions nor on the order of the sums.
+    """
+    made, labels = made_up_findings()
+    learning = np.arange(len(labels)) % 8 < 6
+    rows = windows.select(F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(shards)).cast("int").alias("shard"), "h", "window", "labelled")
+    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "h", "window", "labelled")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        extra, known = encode_windows(made)[learning], np.array(labels, float)[learning]
+
+        def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            own = pa.Table.from_batches(parts)
+            x = np.concatenate([extra, encode_windows(own.column("window").to_pylist())])
+            y = np.concatenate([known, own.column("labelled").to_numpy().astype(float)])
+            mine = net.replaced(net.packed())
+            mine.fit(x, y, seed=seed)
+            return pa.RecordBatch.from_arrays([pa.array([np.rint(mine.packed() * 2.0**32).astype(np.int64)], pa.list_(pa.int64()))], ["weights"])
+
+        shard, parts = None, []
+        for b in batches:
+            own = b.column("shard").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)] if len(own) else []
+            for i, j in zip(edges, edges[1:], strict=False):
+                if parts and own[i] != shard:
+                    yield done(parts)
+                    parts = []
+                shard = own[i]
+                parts.append(b.slice(i, j - i))
+        if parts:
+            yield done(parts)
+
+    fitted = stored(rows.mapInArrow(fit, "weights array<long>"), "secret-nets")
+    sums = fitted.select(F.posexplode("weights")).groupBy("pos").agg(F.sum("col").alias("total"), F.count(F.lit(1)).alias("n"))
+    rows = sorted(sums.collect())  # one row per weight
+    return net.replaced(np.array([r["total"] / r["n"] for r in rows]) / 2.0**32)
+
+
+def count_logits(windows: DataFrame, net: CharCNN) -> list[tuple[float, float, int]]:
+    """(logit, label, how many windows have both), a table bounded by the grain of the logits."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            z = net.logits(encode_windows(b.column("window").to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(z), b.column("labelled")], ["z", "labelled"])
+
+    scored = windows.select("window", "labelled").mapInArrow(score, "z double, labelled boolean")
+    return [(r["z"], float(r["labelled"]), r["count"]) for r in scored.groupBy("z", "labelled").count().collect()]
+
+
+def fit_network(found: DataFrame, rounds: int = 2, shard: int = SHARD) -> CharCNN:
+    """Train on every candidate of the corpus, labelled by whether the patterns found it too, and on the made-up windows.
+
+    A quarter, by hash, is held out for the calibration and the threshold, which come from all of it. Each round fits
+    a net to every shard of about ``shard`` windows from a common start, each over all its windows, and takes their mean.
+    """
+    windows = stored(training_windows(found), "secret-windows")
+    held = F.pmod("h", F.lit(8)) >= 6
+    learning, net = windows.where(~held), CharCNN.fresh()
+    n, (made, labels) = learning.count(), made_up_findings()
+    made, labels = encode_windows(made), np.array(labels, float)
+    kept_out = np.arange(len(labels)) % 8 >= 6
+    for r in range(rounds):
+        if n:
+            net = train_round(learning, net, r + 1, max(1, round(n / shard)))
+        else:
+            net.fit(made[~kept_out], labels[~kept_out], seed=r + 1)
+    seen = count_logits(windows.where(held), net) + [(z, y, 1) for z, y in zip(net.logits(made[kept_out]), labels[kept_out], strict=True)]
+    z, y, times = map(np.array, zip(*sorted(seen), strict=True))
+    net.calibrate_counts(z, y, times.astype(float))
+    return net
 
 
 def _in_order(spans: list[dict]) -> list[dict]:
@@ -289,17 +368,16 @@ def mask_secrets(docs: DataFrame, net: CharCNN, text: str = "text", mark: str =
     return docs.mapInArrow(cover, docs.schema)
 
 
-def scan_secrets(docs: DataFrame, text: str = "text", positives: int = 3000, negatives: int = 6000) -> DataFrame:
+def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """Return doc_id and spans: array of (kind, start, end) in code points, by start, then kind as in KINDS.
 
-    Pattern findings always stay. The network is trained here on at most ``positives`` candidates that the patterns
-    found and ``negatives`` that they did not (those with the smallest hashes), and adds, as kind ``learned``, every
-    candidate of the whole text, also those that overlap a pattern finding, one of whose regions reaches the threshold
+    Pattern findings always stay. The network is trained here on every candidate, those that the patterns found and
+    those that they did not, and adds, as kind ``learned``, every candidate of the whole text, also those that overlap a pattern finding, one of whose regions reaches the threshold
     with its calibrated probability. Null texts have no spans, long ones are scanned whole, repeated rows each get their own,
     extra columns are ignored, and an empty table gives none.
     """
     found = stored(find_base(docs, text), "secret-candidates")
-    net = fit_network(found, positives, negatives)
+    net = fit_network(found)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))

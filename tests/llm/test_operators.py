@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spanloom.llm import lm_scoring as lm
+from spanloom.llm import secrets
 from spanloom.llm.lm_scoring import score_texts
 from spanloom.llm.mixing import mix
 from spanloom.llm.near_duplicates import near_duplicates, shared_counts
@@ -417,6 +418,33 @@ def test_secrets_late_short_and_without_digits(spark):
     assert np.mean(net.probability(x[y == 1]) >= net.threshold) >= 0.98
 
 
+def test_secret_network_learns_from_every_candidate(spark, monkeypatch):
+    """7,200 candidates without a pattern: all of them are learned from or held out, in shards whose nets are averaged."""
+    docs = spark.range(1200).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 6), i -> concat('row', id, 'x', i)), ' ') || ' token=k' || md5(string(id)) AS text")
+    windows = secrets.training_windows(find_base(docs)).cache()
+    rows = windows.withColumns({"part": F.pmod(F.xxhash64("h", F.lit(1)), F.lit(2)), "out": F.pmod("h", F.lit(8)) >= 6}).collect()
+    assert len(rows) >= 8400 and sum(not r.labelled for r in rows) >= 7200
+    seen = []
+    monkeypatch.setattr(CharCNN, "calibrate_counts", lambda self, z, y, n, recall=0.98: seen.append(int(n.sum())))
+    monkeypatch.setattr(secrets, "train_round", lambda w, net, seed, shards: seen.append(w.count()) or net)
+    fit_network(find_base(docs), shard=1000)
+    held = sum(r.out for r in rows)
+    assert seen == [len(rows) - held, len(rows) - held, held + 300]
+    monkeypatch.undo()
+    made, labels = secrets.made_up_findings()
+    nets = []
+    few = [r for r in rows if r.h % 16 == 0]
+    for part in (0, 1):
+        own, net = sorted((r.h, r.window, r.labelled) for r in few if r.part == part), CharCNN.fresh()
+        x = secrets.encode_windows(made + [w for _, w, _ in own])
+        y = np.array([*labels, *(v for *_, v in own)], float)
+        use = np.r_[np.arange(len(labels)) % 8 < 6, np.ones(len(own), bool)]
+        net.fit(x[use], y[use], seed=1)
+        nets.append(net.packed())
+    mean = secrets.train_round(windows.where("h % 16 = 0").repartition(5), CharCNN.fresh(), 1, 2)
+    assert np.allclose(mean.packed(), np.mean(nets, axis=0), atol=1e-6) and not np.allclose(nets[0], nets[1], atol=1e-3)
+
+
 def test_site_quality(docs, labels, odd, empty):
     rows = site_quality(docs, labels).collect()
     truth = {r.doc_id: r for r in labels.collect()}
