@@ -81,3 +81,7 @@ def test_comparators_share_one_pass(spark):
     both = get(["second", "even"])
     assert len(made) == 2 and len(both) == 6
     assert both == sorted(get(["second"]) + get(["even"]))
+
+
+def test_paired_bootstrap_takes_all_samples(spark):
+    assert catalog.queries()["h18_paired_bootstrap"](spark, SF).first().samples == 1000
