@@ -85,3 +85,7 @@ def test_comparators_share_one_pass(spark):
 
 def test_paired_bootstrap_takes_all_samples(spark):
     assert catalog.queries()["h18_paired_bootstrap"](spark, SF).first().samples == 1000
+
+
+def test_superiority_takes_all_samples(spark):
+    assert {(r.metric, r.samples) for r in catalog.queries()["h19_superiority"](spark, SF).collect()} == {(m, 1000) for m in ("micro", "macro", "clean_rate")}
