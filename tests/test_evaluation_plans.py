@@ -89,3 +89,8 @@ def test_paired_bootstrap_takes_all_samples(spark):
 
 def test_superiority_takes_all_samples(spark):
     assert {(r.metric, r.samples) for r in catalog.queries()["h19_superiority"](spark, SF).collect()} == {(m, 1000) for m in ("micro", "macro", "clean_rate")}
+
+
+def test_comparators_take_all_samples(spark, monkeypatch):
+    monkeypatch.setattr(B, "passes_all", lambda gates: gates.select("comparator", "samples").distinct())
+    assert {tuple(r) for r in catalog.queries()["h21_all_comparators"](spark, SF).collect()} == {("second", 1000), ("even", 1000)}
