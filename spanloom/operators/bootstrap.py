@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.compiled import DRAWS, java_function
 from spanloom.operators.evaluation import SPAN, ratio
 
 
@@ -46,8 +47,9 @@ def indexed(stats: DataFrame, store: Callable[[DataFrame], DataFrame] = lambda d
     return joined.withColumn("index", F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_before")).drop("_at", "_p", "_before")
 
 
-#: Documents of a block at least, blocks at most, draws that a task makes before it sends them, and digests that are read at once.
-BLOCK, BLOCKS, GATHERED, HASHED = 1 << 13, 4096, 1 << 24, 1 << 13
+#: Documents of a block at least, blocks at most, draws that a task makes before it sends them, digests that are read at once,
+#: draws of a row from Java, and rows of draws that are multiplied at once.
+BLOCK, BLOCKS, GATHERED, HASHED, PIECE, TOGETHER = 1 << 13, 4096, 1 << 24, 1 << 13, 1 << 16, 64
 
 
 def drawn_range(head: bytes, first: int, count: int, n: int) -> np.ndarray:
@@ -85,12 +87,30 @@ def resampled_sums(stats: DataFrame, columns: Sequence[str], sizes: Sequence[int
     tasks = 4 * spark.sparkContext.defaultParallelism
     runs = max(1, -(-n // GATHERED), min(-(-tasks // max(1, samples)), -(-n // BLOCK)))
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        """Runs and their draws, one after the other, from runs alone."""
         for run in (i for b in batches for i in b.column("id").to_pylist()):
             sample, k = divmod(run, runs)
             low, high = k * n // runs, (k + 1) * n // runs
             parts = [(max(low, s), min(high, e), s, e - s) for s, e in zip(starts[:-1], starts[1:], strict=True)]
-            index = np.concatenate([drawn_range(head, sample * n + a, e - a, size) + s for a, e, s, size in parts if a < e] or [np.zeros(0, np.int64)])
+            yield run, np.concatenate([drawn_range(head, sample * n + a, e - a, size) + s for a, e, s, size in parts if a < e] or [np.zeros(0, np.int64)])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        """The same from rows of draws, those of a run following each other."""
+        own, kept = None, []
+        for b in batches:
+            for run, some in zip(b.column("id").to_pylist(), b.column("draws"), strict=True):
+                if run != own and kept:
+                    yield own, np.concatenate(kept)
+                    kept = []
+                own = run
+                kept.append(np.frombuffer(some.as_buffer(), "<i4"))
+        if kept:
+            yield own, np.concatenate(kept)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run, index in (joined if java else made)(batches):
+            sample = run // runs
             if not len(index):
                 continue
             times = np.bincount(index, minlength=blocks * width) if 2 * len(index) >= n else None
@@ -98,7 +118,7 @@ def resampled_sums(stats: DataFrame, columns: Sequence[str], sizes: Sequence[int
                 rows = times.astype(np.uint8).reshape(blocks, width)
                 packed = [(i, True, rows[i].tobytes()) for i in range(blocks)]
             else:
-                index.sort()
+                index = np.sort(index)
                 at = np.searchsorted(index, np.arange(blocks + 1) * width).tolist()
                 packed = [(i, False, (index[x:y] - i * width).astype(spot).tobytes()) for i, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)) if x < y]
             for at in range(0, len(packed), 512):
@@ -129,14 +149,27 @@ def resampled_sums(stats: DataFrame, columns: Sequence[str], sizes: Sequence[int
                 if docs.num_rows:
                     counts[docs.column("at").to_numpy()] = np.stack([docs.column(c).to_numpy() for c in columns], 1)
                 draws = part.filter(pa.array(~is_doc))
-                for sample, whole, picks in zip(*(draws.column(c).to_pylist() for c in ("sample", "whole", "picks")), strict=True):
-                    times = np.frombuffer(picks, np.uint8) if whole else np.bincount(np.frombuffer(picks, spot), minlength=width)
-                    got = times.astype(float) @ counts
-                    sums[sample] = sums[sample] + got if sample in sums else got
+                for at_ in range(0, draws.num_rows, TOGETHER):
+                    some = draws.slice(at_, TOGETHER)
+                    times = np.empty((some.num_rows, width))
+                    for k, (whole, picks) in enumerate(zip(some.column("whole").to_pylist(), some.column("picks").to_pylist(), strict=True)):
+                        times[k] = np.frombuffer(picks, np.uint8) if whole else np.bincount(np.frombuffer(picks, spot), minlength=width)
+                    for sample, got in zip(some.column("sample").to_pylist(), times @ counts, strict=True):
+                        sums[sample] = sums[sample] + got if sample in sums else got
         if sums:
             yield send()
 
-    draws = spark.range(0, samples * runs, 1, max(1, min(samples * runs, 4 * tasks))).mapInArrow(draw, "block long, sample long, whole boolean, picks binary")
+    java = java_function(spark, DRAWS, "Draws", "binary") if 0 < n < 1 << 31 else None
+    # what a task of draws holds at once is a run, or many short ones
+    work = spark.range(0, samples * runs, 1, max(1, min(samples * runs, max(4 * tasks, samples * n // (GATHERED // 2)))))
+    if java:
+        pieces = -(-(-(-n // runs)) // PIECE)
+        cut = work.select("id", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("_c"))
+        first = F.expr(f"(id % {runs}L) * {n}L div {runs}L") + F.col("_c") * PIECE
+        last = F.least(F.expr(f"(id % {runs}L + 1) * {n}L div {runs}L"), first + PIECE)
+        base = F.expr(f"id div {runs}L * {n}L")
+        work = cut.select("id", F.call_function(java, F.lit(head), base, first, F.greatest(first, last), F.lit(",".join(map(str, starts)))).alias("draws"))
+    draws = work.mapInArrow(draw, "block long, sample long, whole boolean, picks binary")
     draws = draws.select("block", F.lit(None).cast("int").alias("at"), "sample", "whole", "picks", *[F.lit(None).cast("long").alias(c) for c in columns])
     block = (F.col("index") / width).cast("long")
     rows = stats.select(block.alias("block"), F.pmod("index", F.lit(width)).cast("int").alias("at"), F.lit(None).cast("long").alias("sample"),
@@ -168,6 +201,32 @@ def paired_difference(sums: DataFrame, level: float = 0.95) -> DataFrame:
     )
 
 
+def side_by_side(gold: DataFrame, systems: Sequence[DataFrame]) -> tuple[DataFrame, list[str]]:
+    """One row per distinct span of any side, with flags g and one per system (their names are returned too): one aggregate over all spans."""
+    seen = [f"s{k}" for k in range(len(systems))]
+    alone = reduce(Column.__or__, [F.col(c).isNull() for c in SPAN])  # a span with a null equals none of another side
+
+    def side(df: DataFrame, own: str) -> DataFrame:
+        return df.select(*SPAN, *[F.lit(c == own).alias(c) for c in ("g", *seen)], F.when(alone, F.lit(own)).alias("_side"))
+
+    rows = reduce(DataFrame.unionByName, [side(df, c) for df, c in zip([gold, *systems], ("g", *seen), strict=True)])
+    return rows.groupBy(*SPAN, "_side").agg(*[F.bool_or(c).alias(c) for c in ("g", *seen)]), seen
+
+
+def _kinds(seen: Sequence[str], kinds: Sequence[str] = ("tp", "fp", "fn")) -> list[Column]:
+    """Per system its spans found, spurious and missed: sums over rows of ``side_by_side``."""
+    g = F.col("g")
+    on = {"tp": lambda p: g & p, "fp": lambda p: ~g & p, "fn": lambda p: g & ~p}
+    return [F.sum(on[k](F.col(c)).cast("long")).alias(f"{c}_{k}") for c in seen for k in kinds]
+
+
+def paired_counts(docs: DataFrame, gold: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """(doc_id, a_tp, a_fp, a_fn, b_tp, ...) of every document for two systems, in one pass over all spans."""
+    spans, seen = side_by_side(gold, [first, second])
+    out = docs.select("doc_id").join(spans.groupBy("doc_id").agg(*_kinds(seen)), "doc_id", "left")
+    return out.select("doc_id", *[F.coalesce(f"{c}_{k}", F.lit(0)).alias(f"{s}_{k}") for s, c in zip("ab", seen, strict=True) for k in ("tp", "fp", "fn")])
+
+
 #: Margin and ceiling of the clean-document rate.
 MARGIN, MOST = 0.005, 0.05
 
@@ -184,19 +243,9 @@ def superiority(
     one row per document, so there is one pass over the spans and one set of draws, however many comparators there are.
     """
     names = list(comparators)
-    systems = [candidate, *comparators.values()]
-    seen = [f"s{k}" for k in range(len(systems))]
-    alone = reduce(Column.__or__, [F.col(c).isNull() for c in SPAN])  # a span with a null equals none of another side
-
-    def side(df: DataFrame, own: str) -> DataFrame:
-        return df.select(*SPAN, *[F.lit(c == own).alias(c) for c in ("g", *seen)], F.when(alone, F.lit(own)).alias("_side"))
-
-    rows = reduce(DataFrame.unionByName, [side(df, c) for df, c in zip([gold, *systems], ("g", *seen), strict=True)])
-    spans = rows.groupBy(*SPAN, "_side").agg(*[F.bool_or(c).alias(c) for c in ("g", *seen)])
-    g, total = F.col("g"), lambda c: F.sum(c.cast("long"))
-    kinds = {"tp": lambda p: g & p, "fp": lambda p: ~g & p, "fn": lambda p: g & ~p}
-    counts = [total(on(F.col(c))).alias(f"{c}_{what}") for c in seen for what, on in kinds.items()]
-    per = store(spans.groupBy("doc_id", "label").agg(total(g).alias("g"), *counts))
+    spans, seen = side_by_side(gold, [candidate, *comparators.values()])
+    kinds = ("tp", "fp", "fn")
+    per = store(spans.groupBy("doc_id", "label").agg(F.sum(F.col("g").cast("long")).alias("g"), *_kinds(seen, kinds)))
     has = lambda c: F.max(F.col(f"{c}_tp") + F.col(f"{c}_fp") > 0).alias(c)
     labels = per.groupBy("label").agg((F.max("g") > 0).alias("g"), *[has(c) for c in seen]).collect()  # one row per label
     labels = sorted(labels, key=lambda r: (r["label"] is None, r["label"] or ""))

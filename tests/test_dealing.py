@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import assembly as Y
 from spanloom.operators import bootstrap as B
+from spanloom.operators.compiled import DRAWS, java_function
 from spanloom.operators import datasets as D
 from spanloom.operators.dealing import taken, taker
 from spanloom.plans import fixtures as X
@@ -95,6 +96,29 @@ def test_draws_of_a_range(n):
         assert B.drawn_range(head, first, count, n).tolist() == B.drawn_index(head, range(first, first + count), n)
 
 
+@pytest.mark.parametrize("sizes", [[1, 40], [9_000_001], [300, (1 << 28) + 3], [(1 << 31) - 1]])
+def test_draws_from_java(spark, sizes):
+    """The same numbers as from Python, across strata and for moduli on both sides of 2**28; a second call compiles nothing."""
+    name, head = java_function(spark, DRAWS, "Draws", "binary"), b"bootstrap\0" + (2).to_bytes(4, "big") + b"42"
+    assert name and name == java_function(spark, "no Java", "Draws", "binary")
+    starts, base = [0, *np.cumsum(sizes).tolist()], (1 << 40) + 5
+    low, high = max(0, starts[1] - 25), min(starts[-1], starts[1] + 25)
+    args = F.lit(head), F.lit(base), F.lit(low), F.lit(high), F.lit(",".join(map(str, starts)))
+    got = np.frombuffer(spark.range(1).select(F.call_function(name, *args).alias("x")).first().x, "<i4").tolist()
+    parts = [(max(low, s), min(high, e), s, e - s) for s, e in zip(starts[:-1], starts[1:], strict=True)]
+    assert got == [s + x for a, b, s, n in parts if a < b for x in B.drawn_index(head, range(base + a, base + b), n)]
+
+
+def test_draws_without_java(spark, monkeypatch):
+    sizes, columns = [700, 320], ["x", "y"]
+    stats = spark.range(sum(sizes)).select(F.col("id").alias("index"), (F.col("id") % 5).alias("x"), (F.col("id") * 7).alias("y"))
+    monkeypatch.setattr(B, "PIECE", 64)
+    sums = lambda: sorted(B.resampled_sums(stats, columns, sizes, 70, "s").collect())
+    mine = sums()
+    monkeypatch.setattr(B, "java_function", lambda *args: None)
+    assert mine == sums() and len(mine) == 70
+
+
 @pytest.mark.parametrize("gathered", [1 << 24, 10])
 def test_draws_travel_packed(spark, monkeypatch, gathered):
     """Runs of whole and of part samples: a row per run and block of documents, whatever the number of draws."""

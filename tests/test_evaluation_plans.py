@@ -94,3 +94,16 @@ def test_superiority_takes_all_samples(spark):
 def test_comparators_take_all_samples(spark, monkeypatch):
     monkeypatch.setattr(B, "passes_all", lambda gates: gates.select("comparator", "samples").distinct())
     assert {tuple(r) for r in catalog.queries()["h21_all_comparators"](spark, SF).collect()} == {("second", 1000), ("even", 1000)}
+
+
+def test_documents_are_counted_once_for_a_bootstrap(spark, monkeypatch):
+    """Draws need the number of documents, which comes from the written counts and not from a second pass over the spans."""
+    read = []
+    monkeypatch.setattr(X, "_lines", lambda *args, own=X._lines: read.append(1) or own(*args))
+    counted = []
+    monkeypatch.setattr(B, "resampled_sums", lambda stats, columns, sizes, *rest: counted.append((stats._jdf.queryExecution().optimizedPlan().toString(), sizes)) or stats)
+    monkeypatch.setattr(B, "paired_difference", lambda sums: sums)
+    monkeypatch.setattr(type(spark.range(1)), "count", lambda df, own=type(spark.range(1)).count: counted.append(df._jdf.queryExecution().optimizedPlan().toString()) or own(df))
+    catalog.queries()["h18_paired_bootstrap"](spark, SF)
+    assert "o_orderkey" not in counted[0] and "l_orderkey" not in counted[0]
+    assert len(read) == 3  # gold once, and each system
