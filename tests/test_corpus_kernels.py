@@ -76,6 +76,34 @@ def test_awkward_texts(spark):
     assert N.gram_hashes("abcab", 3).tolist() == sorted({ord(a) << 42 | ord(b) << 21 | ord(c) for a, b, c in ("abc", "bca", "cab")})
 
 
+def test_a_text_goes_to_the_blocks_of_its_size(spark, monkeypatch):
+    """What is shuffled is a text for each block that may hold its like, not a set for each pair of blocks."""
+    r = random.Random(5)
+    texts = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=int(20 * 1.012**i))) for i in range(400)] * 2
+    docs = spark.createDataFrame([(i, t + "xyz" * (i >= 400)) for i, t in enumerate(texts)], "doc_id long, text string")
+    _, classes, links = N.near_classes(docs, X.store)
+    monkeypatch.setattr(N, "BLOCK", 16)
+    monkeypatch.setattr(N, "BINNED", 2048)
+    sent, apart = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, f, schema: sent.append(df) or apart(df, f, schema))
+    found = N.candidates(classes, 0.75)
+    pairs = {(x.a, x.b) for x in found.collect()}
+    assert pairs == {(x.a, x.b) for x in links.collect()} and {(i, i + 400) for i in range(50, 400)} <= pairs
+    passed = sent[0].groupBy("rep").count().agg(F.max("count"), F.sum("count")).first()
+    assert passed[0] <= 2 + N.BLOCKS // 2 and passed[1] <= 8 * 800
+
+
+def test_blocks_cover_all_sizes_that_fit():
+    sizes = [(b, 1 + b * 7 % 40, (1 + b * 7 % 40) * (b + 2), b + 1, b + 2) for b in range(0, 90, 2)] + [(95, 5000, 5000 * 100, 100, 101)]
+    plan = N._dealt(sizes, 0.75)
+    spans = {b: (first, first + parts - 1, low) for b, first, parts, low in plan}
+    assert [first for _, first, _, _ in plan] == sorted(first for _, first, _, _ in plan)
+    for bucket, _, _, least, _ in sizes:
+        for other, _, _, _, largest in sizes:
+            if other <= bucket and largest >= 0.75 * least:  # such classes may be alike: the larger passes by the smaller's blocks
+                assert spans[bucket][2] <= spans[other][0] and spans[other][1] <= spans[bucket][1]
+
+
 # packs and records ---------------------------------------------------------------------------------------------------
 
 
