@@ -93,6 +93,20 @@ def test_a_text_goes_to_the_blocks_of_its_size(spark, monkeypatch):
     assert passed[0] <= 2 + N.BLOCKS // 2 and passed[1] <= 8 * 800
 
 
+def test_groups_need_no_link_within_a_group(spark):
+    r = random.Random(6)
+    base = ["".join(r.choices("abcdefghijklmnop", k=300)) for _ in range(5)]
+    chain = [base[0][3 * i : 3 * i + 200] for i in range(30)]  # each is near its neighbours and not near the last
+    texts = [*chain, *(base[i % 4 + 1] + "q" * (1 + i // 4) for i in range(80))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {}
+    for spanning in (False, True):
+        members, _, links = N.near_classes(docs, X.store, N.skeleton, 3, spanning=spanning)
+        found[spanning] = links.count(), {x.doc_id: x.component for x in N.near_groups(members, links, X.store).collect()}
+    assert found[True][1] == found[False][1] and len(set(found[True][1].values())) == 5
+    assert found[True][0] < len(texts) < found[False][0]
+
+
 def test_blocks_cover_all_sizes_that_fit():
     sizes = [(b, 1 + b * 7 % 40, (1 + b * 7 % 40) * (b + 2), b + 1, b + 2) for b in range(0, 90, 2)] + [(95, 5000, 5000 * 100, 100, 101)]
     plan = N._dealt(sizes, 0.75)
